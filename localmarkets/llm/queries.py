@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, exact_dedup, sharding
+from localmarkets.llm import chat, exact_dedup, packing, sharding, token_files
 from localmarkets.shared import table
 
 
@@ -30,6 +30,21 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, length=4096)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8, law="rows").withColumnRenamed("id", "doc_id")
 
@@ -40,6 +55,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_chat_format": op6_chat_format,
+    "op7_packing": op7_packing,
+    "op9_token_files": op9_token_files,
     "op8_sharding": op8_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
