@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, exact_dedup, packing, sharding, token_files
+from localmarkets.llm import chat, exact_dedup, packing, sharding, simhash, token_files
 from localmarkets.shared import table
 
 
@@ -30,6 +30,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4).withColumnRenamed("id", "doc_id")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, the same on the driver and the executors."""
     import public_tokenizers
@@ -54,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
