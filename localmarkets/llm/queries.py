@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, exact_dedup, packing, sharding, simhash, token_files
+from localmarkets.llm import chat, exact_dedup, packing, quality, sharding, simhash, token_files
 from localmarkets.shared import table
 
 
@@ -34,6 +34,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4).withColumnRenamed("id", "doc_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(quality.fold(F.col("doc_id"), 3) != 1))
+    scored = quality.scores(docs, model)
+    held_out = quality.fold(F.col("id"), 3) == 1
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, the same on the driver and the executors."""
     import public_tokenizers
@@ -59,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
