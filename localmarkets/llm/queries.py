@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, exact_dedup, packing, quality, sharding, simhash, token_files
+from localmarkets.llm import chat, exact_dedup, language, packing, quality, sharding, simhash, token_files
 from localmarkets.shared import table
 
 
@@ -42,6 +42,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(*language.sample(docs.where(language_fold(F.col("doc_id")) != 0)))
+    found = language.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (language_fold(F.col("id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def language_fold(id_col: Column) -> Column:
+    return quality.fold(id_col, 5)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, the same on the driver and the executors."""
     import public_tokenizers
@@ -68,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
