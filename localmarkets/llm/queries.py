@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, exact_dedup, language, packing, quality, sharding, simhash, token_files
+from localmarkets.llm import chat, decontaminate, exact_dedup, language, packing, quality, sharding, simhash, token_files
 from localmarkets.shared import table
 
 
@@ -53,6 +53,10 @@ def language_fold(id_col: Column) -> Column:
     return quality.fold(id_col, 5)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, the same on the driver and the executors."""
     import public_tokenizers
@@ -80,6 +84,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_decontaminate": op5_decontaminate,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,

@@ -207,3 +207,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, id_col: str
     classes = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(classes, "fp").select("id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the document with the smallest id, all columns as they were; rows with a null id stay.
+
+    Rows that repeat a kept id stay, too: ids tell documents apart here.
+    """
+    gone = near_duplicates(docs, words, most, id_col, text_col).where("id <> component_id").select(F.col("id").alias("__id"))
+    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
