@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from localmarkets.plans import text
+
+PLANS = [text]
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
