@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from localmarkets.plans import dates, resolve, text
+from localmarkets.plans import dates, listing, resolve, text
 
-PLANS = [text, dates, resolve]
+PLANS = [text, dates, resolve, listing]
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """What a visitor near the capital sees: large, corroborated outdoor markets of the next ten days within 150 km, nearest first."""
+    return listing.explore(spark, sf_dir).orderBy("km", "next_date", "k")
