@@ -67,14 +67,16 @@ class Filters:
 
 def matches_query(hay: Column, query: str) -> Column:
     """Every token is in the folded text, or, from four characters on, within one edit of a word of three or more."""
-    tokens = [t for t in query.split() if t]
     ok = F.lit(True)
-    for t in tokens:
-        near = F.exists(F.split(hay, "[^a-z0-9]+"), lambda w, t=t: (F.length(w) >= 3) & F.levenshtein(w, F.lit(t), 1).between(0, 1))
-        ok = ok & (F.contains(hay, F.lit(t)) | near if len(t) >= 4 else F.contains(hay, F.lit(t)))
+    for t in query.split():
+        ok = ok & (F.contains(hay, F.lit(t)) | F.exists(F.split(hay, "[^a-z0-9]+"), _within_an_edit(t)) if len(t) >= 4 else F.contains(hay, F.lit(t)))
     return ok
 
 
+def _within_an_edit(token: str):
+    return lambda w: (F.length(w) >= 3) & F.levenshtein(w, F.lit(token), 1).between(0, 1)
+
+
 def haystack(*columns: str) -> Column:
     return T.fold_for_search(F.concat_ws(" ", *columns))
 

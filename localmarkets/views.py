@@ -144,12 +144,14 @@ SELECT c_custkey AS id, 'sted-' || CAST(c_custkey AS VARCHAR(20)) AS slug, {choo
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'Bagvejen ' || CAST(c_custkey % 40 AS VARCHAR(20)) || CASE WHEN c_custkey % 3 = 0 THEN ' B' ELSE '' END END AS street,
   CAST(1000 + (c_custkey * 13) % 8999 AS VARCHAR(20)) AS postcode, n.n_name AS city,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 551e-1 + (c_custkey % 150) * 1e-2 + (c_custkey % 2) * 4e-4 END AS lat,
-  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 89e-1 + ((c_custkey * 3) % 300) * 1e-2 END AS lng,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 89e-1 + ((c_custkey * 7) % 611) * 1e-2 END AS lng,
   {choose("c_custkey", ["exact", "street", "postcode", "area", "unknown"])} AS geo_precision,
   {choose("c_custkey", VISIBILITIES)} AS address_visibility, {choose("c_custkey", STATUSES)} AS status,
-  {choose("c_custkey", ["20 30 40 50", None, "+45 31 22 44 55", "12345678", "0045 40506070", "11111111", "555"])} AS phone,
-  {choose("c_custkey", ["https://www.facebook.com/groups/123", None, "facebook.com/lopper", "https://facebook.com/profile.php?id=99", "https://example.com/x", "https://fb.com/posts/1"])} AS profile_url,
-  CASE WHEN c_custkey % 4 = 0 THEN 'Jens ' || CAST(c_custkey % 30 AS VARCHAR(20)) END AS contact_name,
+  CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN CAST(20300000 + CAST(floor(c_custkey / 21) AS BIGINT) AS VARCHAR(20)) WHEN 1 THEN NULL WHEN 2 THEN '+45 ' || CAST(31220000 + CAST(floor(c_custkey / 28) AS BIGINT) AS VARCHAR(20))
+    WHEN 3 THEN '12345678' WHEN 4 THEN '0045 ' || CAST(40500000 + CAST(floor(c_custkey / 21) AS BIGINT) AS VARCHAR(20)) WHEN 5 THEN '11111111' ELSE '555' END AS phone,
+  CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'https://www.facebook.com/groups/' || CAST(CAST(floor(c_custkey / 18) AS BIGINT) AS VARCHAR(20)) WHEN 1 THEN NULL WHEN 2 THEN 'facebook.com/lopper' || CAST(CAST(floor(c_custkey / 24) AS BIGINT) AS VARCHAR(20))
+    WHEN 3 THEN 'https://facebook.com/profile.php?id=' || CAST(CAST(floor(c_custkey / 12) AS BIGINT) AS VARCHAR(20)) WHEN 4 THEN 'https://example.com/x' ELSE 'https://fb.com/posts/1' END AS profile_url,
+  CASE WHEN c_custkey % 4 = 0 THEN 'Jens ' || CAST(CAST(floor(c_custkey / 8) AS BIGINT) AS VARCHAR(20)) END AS contact_name,
   CASE WHEN c_custkey % 3 = 0 THEN 'Hver weekend' END AS pattern,
   c_custkey % 6 = 0 AS call_first, CAST(20 + c_custkey % 81 AS INT) AS confidence, CAST(c_custkey % 101 AS INT) AS find_score,
   CASE WHEN c_custkey % 4 = 1 THEN 'Ring først' END AS opening_notes, CAST(c_custkey % 3 AS INT) AS n_images,
