@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = words(data, "<")
     grams = len(data) - GRAM + 1
     h = w[:grams] * _M1
-    second = w[8 : 8 + grams] * _M2
+    second = w[GRAM - 8 : GRAM - 8 + grams] * _M2
     h ^= (second << np.uint64(31)) | (second >> np.uint64(33))
     h ^= h >> np.uint64(29)
     h *= _M3
@@ -287,12 +288,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         low, high = np.full(len(numbers), LAST), np.full(len(numbers), np.iinfo(np.int64).min)
         np.minimum.at(low, seen[:, 0], group.doc[seen[:, 2]])
         np.maximum.at(high, seen[:, 0], group.doc[seen[:, 2]])
-        texts = list(numbers)
+        texts, packer = list(numbers), zstandard.ZstdCompressor(level=3)  # neighbouring segments overlap
         out: dict[str, list] = {"b": [], "low": [], "high": [], "sizes": [], "texts": [], "numbers": []}
         order = np.argsort(bucket, kind="stable")
         for few in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
             own = [texts[i] for i in few]
-            for k, v in (("b", int(bucket[few[0]])), ("low", _blob(low[few])), ("high", _blob(high[few])), ("sizes", _blob(np.array([len(t) for t in own], np.int32))), ("texts", b"".join(own)), ("numbers", _blob(few.astype(np.int32)))):
+            for k, v in (("b", int(bucket[few[0]])), ("low", _blob(low[few])), ("high", _blob(high[few])), ("sizes", _blob(np.array([len(t) for t in own], np.int32))), ("texts", packer.compress(b"".join(own))), ("numbers", _blob(few.astype(np.int32)))):
                 out[k].append(v)
         return pa.table({"b": pa.array(out["b"], pa.int64()), "g": pa.array([key[0].as_py()] * len(out["b"]), pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("low", "high", "sizes", "texts", "numbers")}})
 
@@ -300,7 +301,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         number: dict[bytes, int] = {}
         docs_: list[int] = []
         mine = []
-        for low, sizes, texts in zip(table["low"].to_pylist(), table["sizes"].to_pylist(), table["texts"].to_pylist(), strict=True):
+        unpacker = zstandard.ZstdDecompressor()
+        for low, sizes, packed in zip(table["low"].to_pylist(), table["sizes"].to_pylist(), table["texts"].to_pylist(), strict=True):
+            texts = unpacker.decompress(packed)
             ends = np.cumsum(np.frombuffer(sizes, np.int32).astype(np.int64)).tolist()
             own = []
             for a, z, doc in zip([0, *ends[:-1]], ends, np.frombuffer(low, np.int64).tolist(), strict=True):
