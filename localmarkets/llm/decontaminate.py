@@ -147,7 +147,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col:
 
         def chosen(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in slices(batches, place):
                 yield b.filter(pa.array([next(matcher.match(t or ""), None) is None for t in b.column(place).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(chosen, docs.schema)

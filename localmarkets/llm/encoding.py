@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches that a worker remembers (about 150 MB); beyond that, new ones are encoded for their batch only.
-REMEMBERED = 700_000
+#: Stretches that a worker remembers (about 60 MB); beyond that, new ones are encoded for their batch only.
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Stretches in one call's text.
 JOINED = 2000
 

@@ -135,7 +135,7 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5, text_col
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model) if model else None
-        for b in batches:
+        for b in slices(batches, place):
             good = [True] * len(b)
             for i, t in enumerate(b.column(place).to_pylist() if sizes else []):
                 z = (np.dot((np.array(sizes.features(t.encode())) - model.centre) / model.scale, model.weights[:-1]) + model.weights[-1]) if t else np.log(model.prior / (1 - model.prior))
