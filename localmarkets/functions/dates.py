@@ -36,20 +36,20 @@ def weekday(d: Column) -> Column:
 
 
 def scan_dates(c: Column, ref: Column) -> Column:
-    """Distinct dates in a text, in order. Without a year: this year's, or next year's if more than 45 days past and near; else left out."""
-    low = F.lower(c)
-    months = "|".join(MONTH_NAMES)
-    named = F.transform(F.regexp_extract_all(low, F.lit(rf"{W0}(\d{{1,2}}\.?\s*(?:{months})(?:\s+\d{{4}})?)"), F.lit(1)), lambda m: F.struct(
-        F.regexp_extract(m, r"^(\d{1,2})", 1).alias("d"), _month(F.regexp_extract(m, rf"({months})", 1)).cast("string").alias("m"), F.regexp_extract(m, r"(\d{4})$", 1).alias("y")))
-    marked = F.transform(F.regexp_extract_all(low, F.lit(rf"{W0}(?:d\.|den)\s*(\d{{1,2}}[./]\d{{1,2}}(?:[./-]\d{{4}})?)"), F.lit(1)), lambda m: F.struct(
-        F.regexp_extract(m, r"^(\d{1,2})", 1).alias("d"), F.regexp_extract(m, r"^\d{1,2}[./](\d{1,2})", 1).alias("m"), F.regexp_extract(m, r"(\d{4})$", 1).alias("y")))
+    """Distinct dates in a text, in order. A date without a year is this year's if not past, next year's if more than 45 days past, else left out; a dotted one needs "d." or "den"."""
+    low, months = F.lower(c), "|".join(MONTH_NAMES)
+    every = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(1))
+    full = F.transform(every(rf"(\d{{1,2}}[./-]\d{{1,2}}[./ -]\d{{4}}|\d{{1,2}}\.?\s+(?:{months})\s+\d{{4}})"), parse_danish_date)
+    number = lambda m, p: F.regexp_extract(m, p, 1)
+    named = F.transform(every(rf"(\d{{1,2}}\.?\s+(?:{months}))(?!\s+\d{{4}})"), lambda m: F.struct(number(m, r"^(\d+)").alias("d"), _month(number(m, rf"({months})")).cast("string").alias("m")))
+    slashed, dotted = every(r"(?<![\d./-])(\d{1,2}/\d{1,2})(?![\d./-])"), every(rf"{W0}(?:den|d\.)\s*(\d{{1,2}}\.\d{{1,2}})(?![.\d/])")
+    split = F.transform(F.concat(slashed, dotted), lambda m: F.struct(number(m, r"^(\d+)").alias("d"), number(m, r"(\d+)$").alias("m")))
 
     def resolve(p: Column) -> Column:
-        own, after = _date(F.year(ref), p["m"], p["d"]), _date(F.year(ref) + 1, p["m"], p["d"])
-        plain = F.when(own >= F.date_sub(ref, 45), own).otherwise(F.when(after <= F.date_add(ref, 365), after))
-        return F.when(p["y"] != "", _date(p["y"], p["m"], p["d"])).otherwise(plain)
+        own = _date(F.year(ref), p["m"], p["d"])
+        return F.when(own >= ref, own).when(F.datediff(ref, own) > 45, _date(F.year(ref) + 1, p["m"], p["d"]))
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(named, marked), resolve))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(full, F.transform(F.concat(named, split), resolve)))))
 
 
 def nth_weekday(d: Column, day: Column, n: Column) -> Column:
@@ -144,7 +144,7 @@ def parse_opening_hours(c: Column) -> Column:
     pieces = F.regexp_extract_all(low, F.lit(rf"({CLAUSE})(?!\s*\.?\s*(?:{months}))"), F.lit(1))
     clauses = F.transform(pieces, lambda p: F.struct(
         day_number(F.regexp_extract(p, CLAUSE, 1)).alias("a"), day_number(F.regexp_extract(p, CLAUSE, 2)).alias("z"), _window(p, CLAUSE, 3).alias("w"),
-        F.regexp_extract(p, CLAUSE, 3).cast("int").alias("h"), F.regexp_extract(p, CLAUSE, 5).cast("int").alias("e")))
+        F.regexp_extract(p, CLAUSE, 3).try_cast("int").alias("h"), F.regexp_extract(p, CLAUSE, 5).try_cast("int").alias("e")))
     clauses = F.filter(clauses, lambda p: (p["h"] <= 23) & (p["e"] <= 24))
 
     def covers(p: Column, d: Column) -> Column:
@@ -152,7 +152,7 @@ def parse_opening_hours(c: Column) -> Column:
         return F.when(p["a"] <= z, d.between(p["a"], z)).otherwise((d >= p["a"]) | (d <= z))
 
     days = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda d: F.try_element_at(F.filter(clauses, lambda p: covers(p, d)), F.lit(-1))["w"])
-    start, end = F.regexp_extract(low, HOUR_RANGE, 1).cast("int"), F.regexp_extract(low, HOUR_RANGE, 3).cast("int")
+    start, end = F.regexp_extract(low, HOUR_RANGE, 1).try_cast("int"), F.regexp_extract(low, HOUR_RANGE, 3).try_cast("int")
     generic = F.when((F.size(clauses) == 0) & low.rlike(HOUR_RANGE) & (start <= 23) & (end <= 24) & (end > start), _window(low, HOUR_RANGE, 1))
     empty = F.array_repeat(F.lit(None).cast(WINDOW), 7)
     return F.struct(F.coalesce(days, empty).alias("days"), generic.alias("generic"))

@@ -53,12 +53,6 @@ def _(spark, d):
     return view(spark, d, "v_key").select("k", D.parse_danish_date(text).alias("date"))
 
 
-@query("D2_scan_dates")
-def _(spark, d):
-    text = F.concat(c("text"), F.lit(" og den "), (c("k") % 28 + 1).cast("string"), F.lit("."), (c("k") % 12 + 1).cast("string"))
-    return view(spark, d, "v_text").select("k", D.scan_dates(text, today()).cast("array<string>").alias("dates"))
-
-
 @query("D3_calendar", "SELECT o_orderkey, isodow(o_orderdate) AS weekday, week(o_orderdate) AS iso_week, CAST(o_orderdate AS DATE) + 9 AS later FROM orders")
 def _(spark, d):
     day = F.to_date("o_orderdate")
