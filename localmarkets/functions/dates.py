@@ -309,3 +309,25 @@ def date_labels(d: Column) -> Column:
         F.substring(day, 1, 3).alias("weekday_short"), day.alias("weekday_long"), F.substring(month, 1, 3).alias("month_short"),
         F.concat(day, F.lit(" "), number, F.lit(". "), month).alias("long"), F.concat(number, F.lit(". "), month, F.lit(" "), F.year(d).cast("string")).alias("updated"),
     )
+
+
+def parse_summary_range(c: Column) -> Column:
+    """struct(start, end) of "d. month [yyyy] – d. month yyyy"; the year of the end holds for a start without one; null if the end comes first."""
+    months = "|".join(MONTH_NAMES)
+    p = rf"(\d{{1,2}})\.?\s+({months})(?:\s+(\d{{4}}))?\s*[-–]\s*(\d{{1,2}})\.?\s+({months})\s+(\d{{4}})"
+    low = F.lower(c)
+    part = lambda i: F.regexp_extract(low, p, i)
+    year = F.when(part(3) == "", part(6)).otherwise(part(3))
+    start, end = F.when(low.rlike(p), _date(year, _month(part(2)), part(1))), F.when(low.rlike(p), _date(part(6), _month(part(5)), part(4)))
+    return F.when(start <= end, F.struct(start.alias("start"), end.alias("end")))
+
+
+def parse_week_windows(c: Column, year: Column) -> Column:
+    """Days of all "uge NN den D.–D. month" windows of up to 7 days, in order."""
+    months = "|".join(MONTH_NAMES)
+    p = rf"uge\s+\d{{1,2}}\s+den\s+(\d{{1,2}})\.?\s*[-–]\s*(\d{{1,2}})\.?\s+({months})"
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"({p})"), F.lit(1))
+    spans = F.transform(found, lambda m: F.struct(
+        _date(year, _month(F.regexp_extract(m, p, 3)), F.regexp_extract(m, p, 1)).alias("a"), _date(year, _month(F.regexp_extract(m, p, 3)), F.regexp_extract(m, p, 2)).alias("z")))
+    good = F.filter(spans, lambda s: F.datediff(s["z"], s["a"]).between(0, 6))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda s: F.sequence(s["a"], s["z"])))))

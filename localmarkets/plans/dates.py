@@ -250,3 +250,30 @@ SELECT o_orderkey, substr({names(D.DAY_NAMES, 'isodow(d)')}, 1, 3) AS weekday_sh
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) x""")
 def _(spark, d):
     return view(spark, d, "orders").select("o_orderkey", D.date_labels(F.to_date("o_orderdate")).alias("l")).select("o_orderkey", "l.*")
+
+
+@query("D12_summary_range", f"""
+WITH x AS (SELECT o_orderkey AS k, DATE '2026-07-06' + CAST(o_orderkey % 40 AS INT) AS a, DATE '2026-07-06' + CAST(o_orderkey % 40 + o_orderkey % 13 AS INT) AS z FROM orders),
+d AS (SELECT k, a, z, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM x)
+SELECT k, date FROM d WHERE z - a <= 6 OR date IN (a, z) OR isodow(date) = 7""")
+def _(spark, d):
+    k = c("o_orderkey")
+    a, n = F.date_add(F.lit("2026-07-06").cast("date"), (k % 40).cast("int")), (k % 13).cast("int")
+    label = lambda x: F.concat(F.dayofmonth(x).cast("string"), F.lit(". "), F.element_at(F.array(*[F.lit(m) for m in D.MONTH_NAMES]), F.month(x)))
+    rows = view(spark, d, "orders").select(k.alias("k"), F.concat(label(a), F.lit(" – "), label(F.date_add(a, n)), F.lit(" 2026")).alias("text")).withColumn("r", D.parse_summary_range(c("text")))
+    days = D.resolve_schedule(c("r.start"), c("r.end"), F.lit("hver søndag"), F.lit(None).cast("string"), F.lit("2026-07-03").cast("date"), 180)
+    return rows.select("k", F.explode(F.transform(days, lambda o: o["date"])).alias("date"))
+
+
+@query("D13_week_windows", """
+SELECT c_custkey AS k, CAST(unnest(generate_series(DATE '2026-07-06', DATE '2026-07-06' + CAST(c_custkey % 7 AS INT), INTERVAL 1 DAY)) AS DATE) AS date FROM customer""")
+def _(spark, d):
+    text = F.concat(F.lit("Marked uge 28 den 6.-"), (c("c_custkey") % 7 + 6).cast("string"), F.lit(". juli, uge 30 den 1.–20. juli"))
+    return view(spark, d, "customer").select(c("c_custkey").alias("k"), F.explode(D.parse_week_windows(text, F.lit(2026))).alias("date"))
+
+
+@query("T30_stable_id", "SELECT count(DISTINCT c_name) AS names, count(DISTINCT c_name) AS ids FROM customer")
+def _(spark, d):
+    from localmarkets.functions.text import stable_id
+
+    return view(spark, d, "customer").agg(F.count_distinct("c_name").alias("names"), F.count_distinct(stable_id(c("c_name"))).alias("ids"))
