@@ -9,6 +9,7 @@ both kinds could meet, go through the tokenizer whole.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -168,6 +169,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def tidy() -> None:
+    """Gives freed memory back, so that workers that wait for the next task don't hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_col: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut into parts of about ``most`` bytes of text."""
     for b in batches:
@@ -177,6 +187,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: int = 1, most: int = BAT
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
             yield b.slice(at, end - at)
             at = end
+    tidy()
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
