@@ -172,11 +172,14 @@ def resolve_schedule(start: Column, end: Column, schedule: Column, hours: Column
     short = F.datediff(end, start) <= 6
     ranged = F.when(start.isNull(), F.array().cast("array<date>")).when(short & (end >= start), F.sequence(start, end)).otherwise(F.when(short, F.array().cast("array<date>")).otherwise(F.array(start, end)))
     low, high = F.greatest(F.coalesce(start, first), first), F.least(F.coalesce(end, last), last)
-    rules = parse_recurrence(schedule)
-    days = F.when((F.size(rules) > 0) & (low <= high), F.filter(F.sequence(low, high), lambda d: F.exists(rules, lambda r: on_rule(d, r)))).otherwise(F.array().cast("array<date>"))
-    every = F.array_sort(F.array_union(F.filter(ranged, inside), days))
-    told = parse_opening_hours(F.coalesce(hours, F.lit("")))
-    return F.transform(every, lambda d: F.struct(d.alias("date"), times_for(told, d)["start"].alias("start_time"), times_for(told, d)["end"].alias("end_time")))
+    both = F.struct(parse_recurrence(schedule).alias("rules"), parse_opening_hours(F.coalesce(hours, F.lit(""))).alias("hours"))
+
+    def resolved(x: Column) -> Column:
+        days = F.when((F.size(x["rules"]) > 0) & (low <= high), F.filter(F.sequence(low, high), lambda d: F.exists(x["rules"], lambda r: on_rule(d, r)))).otherwise(F.array().cast("array<date>"))
+        every = F.array_sort(F.array_union(F.filter(ranged, inside), days))
+        return F.transform(every, lambda d: F.struct(d.alias("date"), times_for(x["hours"], d)["start"].alias("start_time"), times_for(x["hours"], d)["end"].alias("end_time")))
+
+    return let(both, resolved)
 
 
 # --- opening hours of map data ---
