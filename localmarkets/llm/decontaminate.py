@@ -93,7 +93,7 @@ class Matcher:
                 places.setdefault(k, []).append(end + 1 - n - at)
         for k, begins in places.items():
             item, own, errors, bits = self.items[k]
-            best, seen = None, -1
+            best, seen = None, -len(own) - 1  # a text may begin inside the item: begins can be negative
             for begin in sorted(set(begins)):
                 if begin <= seen:  # the last window reaches over this one
                     continue

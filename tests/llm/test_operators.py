@@ -234,6 +234,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_at_the_ends(spark):
+    item = "Which of these rivers flows through the old town before it reaches the northern sea, and which of them is dry?"
+    budget = int(len(item) * decontaminate.RATE)
+    rows, want = [], {}
+    for k in range(budget + 3):
+        for n, t in enumerate((item[k:], item[k:] + " And more.", item[: len(item) - k], "Words before: " + item[: len(item) - k])):
+            rows.append((10 * k + n, t))
+            if (d := edit(decontaminate.plain(item), decontaminate.plain(t))) <= budget:
+                want[10 * k + n] = d
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r.distance for r in decontaminate.contaminated(docs, items).collect()} == want and len(want) >= 4 * budget
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {i for i, _ in rows} - set(want)
+
+
 # --- 6 ---
 def test_chat_parts(spark):
     part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
