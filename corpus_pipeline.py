@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from localmarkets.llm import decontaminate, packing, quality, simhash
+from localmarkets.llm import decontaminate, near, packing, quality
 from localmarkets.llm.exact_dedup import exact_dedup
 from localmarkets.llm.queries import vocabulary
 from localmarkets.shared import cut, table
@@ -25,7 +25,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str, words: int) -> int:
-    hashes = shingle_hashes(text, words)
+def bit_majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), COUNTED):
         few = hashes[at : at + COUNTED].astype("<u8")
@@ -58,6 +57,10 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int) -> int:
+    return bit_majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (a long with the fingerprint's bits)."""
 

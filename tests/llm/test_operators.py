@@ -12,7 +12,7 @@ import xxhash
 from compare import database, rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, decontaminate, encoding, exact_dedup, language, packing, quality, queries, repeats, sharding, simhash, token_files
+from localmarkets.llm import chat, decontaminate, encoding, exact_dedup, language, near, packing, quality, queries, repeats, sharding, simhash, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, g string, fp string, part string"
 A = "the quick brown fox jumps over the lazy dog and runs away from the very large bear in the wood "
@@ -139,6 +139,50 @@ def test_keep_one(docs):
     assert ids.count("3") == 0 and ids.count("1") == 1 and ids.count("None") == 2
 
 
+def brute_near(rows, words=5, most=4, least=0.8):
+    """Label of each id by all pairs, and the pairs at ``least`` that fingerprints don't link."""
+    ids = [i for i, _ in rows]
+    sets = [set(simhash.shingle_hashes(t or "", words).tolist()) for _, t in rows]
+    prints = np.array([simhash.fingerprint(t or "", words) for _, t in rows], np.uint64)
+    edges, wide = [], 0
+    for k in range(len(rows)):
+        bits = np.bitwise_count(prints[:k] ^ prints[k])
+        for j in range(k):
+            alike = bool(sets[k]) and len(sets[k] & sets[j]) >= least * len(sets[k] | sets[j])
+            if alike or bits[j] <= most:
+                edges.append((k, j))
+                wide += bits[j] > most
+    label = simhash.components(len(rows), np.array(edges).reshape(-1, 2))
+    return {i: min(ids[j] for j in np.flatnonzero(label == label[k])) for k, i in enumerate(ids)}, wide
+
+
+def test_near_copies_by_similarity(spark):
+    rng = np.random.default_rng(5)
+    vocabulary, rows = [f"w{k}" for k in range(3000)], []
+    for length in (20, 60, 200, 200, 600):
+        base = rng.choice(vocabulary, length).tolist()
+        for share in (0, 0.005, 0.01, 0.02, 0.02, 0.03, 0.05, 0.1):
+            text = [w if rng.random() >= share else f"x{rng.integers(1000)}" for w in base]
+            rows.append((len(rows), " ".join(text)))
+    passage = rng.choice(vocabulary, 150).tolist()  # many texts that share most but not enough, and a chain of copies among them
+    for _ in range(30):
+        rows.append((len(rows), " ".join(passage + rng.choice(vocabulary, 40).tolist())))
+    text = rows[-1][1].split()
+    for k in range(8):
+        text = text[6:] + rng.choice(vocabulary, 6).tolist()
+        rows.append((len(rows), " ".join(text)))
+    rng.shuffle(ids := list(range(len(rows))))
+    rows = [(i, t) for i, (_, t) in zip(ids, rows, strict=True)] + [(1000, None), (1001, ""), (1002, "few words"), (1003, "Few  words")]
+    want, wide = brute_near(rows)
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    told = {r.node: r.component for r in near.near_components(docs).collect()}
+    assert {i: told.get(i, i) for i in want} == want and wide > 10
+    kept = near.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*{str(c) for c in want.values()}, "None"])
+    assert near.keep_one(docs.limit(0)).count() == 0
+
+
 # --- 3 and 4 ---
 def test_quality_is_held_out(spark):
     sf = "/root/testdata/sf0.01"
