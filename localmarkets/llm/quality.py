@@ -6,10 +6,12 @@ text. Features are the normalised difference (b - g) / (b + g) and how well eith
 all; a logistic curve fitted to other labelled rows turns them into a score between 0 and 1.
 
 Bounds: the dictionaries and the curve are fitted on at most ``rows`` rows of each label, of each a
-slice of at most ``slice_bytes`` at a place that the row's hash decides. Scoring covers whole texts.
+slice of at most ``slice_bytes`` at a place that the row's hash decides. The curve weighs its rows
+so that either label has its share of all labelled rows; the bound on rows leaves the scores' level
+as it is. Scoring covers whole texts.
 
 Defined results: null and empty texts get the score of a text without evidence (the share of good
-rows that the curve was fitted on); null labels are left out; a row that is labelled twice counts
+rows among all labelled rows); null labels are left out; a row that is labelled twice counts
 twice; without a row of each label every score is 0.5; an empty table gives an empty result. Only
 the id and text columns are read, and the id for nothing but the output.
 """
@@ -57,6 +59,11 @@ class Sizes:
         return (b - g) / (b + g), g / len(text), b / len(text)
 
 
+def _good_share(labels: DataFrame, label_col: str) -> float:
+    """Share of good rows among all labelled rows."""
+    return float(labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double")).alias("share")).first().share)
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, slice_bytes: int, id_col: str, text_col: str, label_col: str) -> list:
     """At most ``rows`` rows of each label, by the order of their hash; slices of texts only."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
@@ -75,14 +82,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, slice_bytes: int =
     if not texts[0] or not texts[1]:
         return None
     # Two thirds make the dictionaries, the rest fits the curve.
+    share = _good_share(labels, label_col)
     made = {v: _dictionary(t[: max(1, 2 * len(t) // 3)]) for v, t in texts.items()}
-    model = Model(made[1], made[0], [], [], [], len(texts[1]) / len(sample))
+    model = Model(made[1], made[0], [], [], [], share)
     sizes = Sizes(model)
     held = [(sizes.features(t), v) for v, some in texts.items() for t in (some[2 * len(some) // 3 :] or some)]
     x, y = np.array([f for f, _ in held]), np.array([v for _, v in held], float)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # one on average
+    centre = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight)) + 1e-9
     model.centre, model.scale = centre.tolist(), scale.tolist()
-    model.weights = _logistic((x - centre) / scale, y).tolist()
+    model.weights = _logistic((x - centre) / scale, y, weight).tolist()
     return model
 
 
@@ -95,13 +105,13 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and constant by Newton's method with a ridge on the weights."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and constant by Newton's method with a ridge on the weights; ``weight``: of each row."""
     x = np.column_stack([x, np.ones(len(x))])
     w, keep = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + keep, x.T @ (p - y) + keep @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + keep, x.T @ (weight * (p - y)) + keep @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

@@ -201,6 +201,21 @@ def test_quality_edges(spark, docs):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_keeps_the_share_of_good_rows(spark):
+    rng = np.random.default_rng(3)
+    words = [[f"{c}{k}" for k in range(300)] for c in "bg"]
+    rows = [(i, int(i % 5 > 0)) for i in range(1500)]
+    texts = [(i, " ".join(rng.choice(words[v] if rng.random() < 0.7 else words[1 - v]) for _ in range(40) for v in [q])) for i, q in rows]
+    docs = spark.createDataFrame([*texts, (-1, "")], "doc_id long, text string")
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    for most in (240, 600, 1500):  # both labels over the bound, one, none
+        model = quality.fit(docs, labels, rows=most)
+        told = {r.id: r.score for r in quality.scores(docs, model).collect()}
+        assert told.pop(-1) == model.prior == 0.8
+        assert abs(np.mean(list(told.values())) - 0.8) < 0.06
+        assert -1 in {r.doc_id for r in quality.keep_good(docs, model).collect()}
+
+
 def test_language_is_held_out(spark):
     sf = "/root/testdata/sf0.01"
     told = queries.op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
