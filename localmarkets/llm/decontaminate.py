@@ -8,14 +8,17 @@ finds the pieces in a text; around each hit the item is verified with Myers' bit
 The items are a stated query set. They are taken in blocks of at most ``BLOCK_BYTES`` characters;
 each block is one pass over all texts, so what a task holds does not grow with the benchmark.
 
-Defined results: null and empty texts and items match nothing; items of fewer than ``LEAST``
-characters are left out, as they'd occur in clean text; equal items and repeated rows each give
+Items of fewer than ``LEAST`` characters may differ in nothing and must stand as words of their own:
+neither end may cut a word, where each character of a script without spaces is a word.
+
+Defined results: null and empty texts and items match nothing, nor do items of white space; equal items and repeated rows each give
 their own matches; an empty table gives no matches. Only id and text columns are read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,12 +32,23 @@ RATE = 0.08
 LEAST = 40
 BLOCK_BYTES = 8 << 20
 _SPACE = re.compile(r"\s+")
+#: Thai, Lao, Myanmar, Khmer, kana and Han: written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def plain(text: str) -> str:
     return _SPACE.sub(" ", text.lower()).strip()
 
 
+def _part_of_word(c: str) -> bool:
+    return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
+
+
+def parted(text: str, at: int) -> bool:
+    """Whether no word goes on over this place of the text."""
+    return not (0 < at < len(text) and _part_of_word(text[at - 1]) and _part_of_word(text[at]))
+
+
 def split(item: str, errors: int) -> list[tuple[int, str]]:
     """(place, piece) of ``errors`` + 1 pieces that cover the item."""
     ends = [len(item) * k // (errors + 1) for k in range(errors + 2)]
@@ -72,7 +86,7 @@ class Matcher:
     """Items of one block: (id, plain text)."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate), masks(t)) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= LEAST else 0, masks(t)) for i, t in items]
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, errors, _) in enumerate(self.items):
@@ -93,6 +107,10 @@ class Matcher:
                 places.setdefault(k, []).append(end + 1 - n - at)
         for k, begins in places.items():
             item, own, errors, bits = self.items[k]
+            if len(own) < LEAST:  # the one piece is the item
+                if (begin := next((b for b in begins if parted(text, b) and parted(text, b + len(own))), None)) is not None:
+                    yield item, 0, begin + len(own)
+                continue
             best, seen = None, -len(own) - 1  # a text may begin inside the item: begins can be negative
             for begin in sorted(set(begins)):
                 if begin <= seen:  # the last window reaches over this one
@@ -112,8 +130,8 @@ class Matcher:
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items, block by block; the driver holds one block."""
     held, size = [], 0
-    for r in items.select(id_col, text_col).where(F.length(text_col) >= LEAST).toLocalIterator():
-        if len(own := plain(r[1])) >= LEAST:
+    for r in items.select(id_col, text_col).where(F.length(text_col) > 0).toLocalIterator():
+        if own := plain(r[1]):
             held.append((r[0], own))
             size += len(own)
         if size >= BLOCK_BYTES:

@@ -307,6 +307,15 @@ def test_decontamination_at_the_ends(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {i for i, _ in rows} - set(want)
 
 
+def test_short_items_are_matched_exactly(spark):
+    texts = ["Which is  Dry?", "and which\nis dry? yes", "which is dryer?", "sandwhich is dry?", "whichis dry?", "好的,東京の首都はどこですか知って", "東京の首都は", "a cat.", "concat", "(cat)", "cats; cat", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "which is DRY?"), (2, "首都はどこですか"), (3, "cat"), (4, " "), (5, ""), (6, None)], "item_id long, text string")
+    told = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()}
+    assert told == {(0, 1, 0), (1, 1, 0), (5, 2, 0), (7, 3, 0), (9, 3, 0), (10, 3, 0)}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == set(range(len(texts))) - {i for i, _, _ in told}
+
+
 # --- 6 ---
 def test_chat_parts(spark):
     part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
