@@ -57,9 +57,9 @@ def merge_items(items: DataFrame, key: str, order: str, path: str, periods: str)
 
 def json_ld_events(pages: DataFrame) -> DataFrame:
     """The first schema.org Event of each page: name, start, end, town. Text after the object is ignored."""
-    tails = F.split("html", r'(?=\{[^{}]*"@type"\s*:\s*"Event")')
+    tails = F.split(F.concat(F.lit(" "), "html"), r'(?=\{[^{}]*"@type"\s*:\s*"Event")')
     event = "struct<name:string,startDate:string,endDate:string,location:struct<name:string,address:struct<addressLocality:string>>>"
-    found = F.filter(F.transform(F.slice(tails, 2, 20), lambda t: F.from_json(t, event)), lambda e: e["name"].isNotNull())
+    found = F.filter(F.transform(F.slice(tails, 2, F.greatest(F.size(tails) - 1, F.lit(0))), lambda t: F.from_json(t, event)), lambda e: e["name"].isNotNull())
     return pages.select("page_id", F.try_element_at(found, F.lit(1)).alias("e")).where("e is not null").select(
         "page_id", "e.name", F.to_date("e.startDate").alias("start"), F.to_date("e.endDate").alias("end"), F.col("e.location.address.addressLocality").alias("town")
     )
