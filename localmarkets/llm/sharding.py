@@ -1,12 +1,13 @@
 """Two-pass external shuffle into shards (native DataFrame code).
 
-Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash. Pass 2 brings each
-bucket into one array, Fisher-Yates shuffles it (Spark's ``shuffle``) and numbers it; the buckets
-laid one after another give each record its place in the whole order.
+Pass 1 scatters whole records uniformly into buckets, sized by the records' bytes, by a seeded hash.
+Pass 2 brings each bucket into one array, Fisher-Yates shuffles it (Spark's ``shuffle``) and numbers
+it; the buckets laid one after another give each record its place in the whole order. The shards are
+written from the buckets, and what ``assign_shards`` tells is of the records read back.
 
 Defined results: a null text has no bytes (size 1); null ids are hashed like any other value;
-repeated rows are separate records; an empty table gives an empty result. Only the id and text
-columns are read for placing, so other columns may have any name.
+repeated rows are separate records; an empty table gives an empty result. ``assign_shards`` keeps
+records apart from its own columns, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,89 +15,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from localmarkets.shared import cut, shared_path
+
 #: Bytes of records that one bucket holds on average.
 BUCKET_BYTES = 16 << 20
-#: Bytes that a record's numbers take in a bucket.
+#: Bytes that a record takes in a bucket besides its values.
 ROW_BYTES = 64
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-
-
 def key_shard(key: Column, shards: int, seed: int) -> Column:
     """Highest seeded hash wins: one more shard takes rows only into itself."""
     scores = F.array(*[F.struct(F.xxhash64(key, F.lit(seed), F.lit(s)).alias("score"), F.lit(s).alias("shard")) for s in range(shards)])
     return F.array_max(scores)["shard"]
 
 
-def shuffled(rows: DataFrame, keys: list[str], seed: int, buckets: int) -> DataFrame:
-    """``rows`` with the long column ``position``: a random order of all rows, from 0 without gaps."""
-    record = F.struct(*rows.columns)
-    scattered = rows.select(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets)).cast("int").alias("bucket"), record.alias("record"))
+def _record_bytes(docs: DataFrame) -> Column:
+    """Bytes of a record: its strings and binaries, 8 for each other plain value, nested values as JSON."""
+    size = F.lit(ROW_BYTES).cast("long")
+    for name, kind in docs.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(column), F.lit(0))
+        elif "<" in kind:
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size += F.lit(8)
+    return size
+
+
+def shuffled(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """bucket, position, record: all records in a random order, from 0 without gaps.
+
+    Pass 1 deals whole records to buckets; pass 2 shuffles each bucket. Records are sorted before
+    that, so that the order in which they arrive decides nothing.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *[f"`{c}`" for c in docs.columns]), F.lit(buckets)).cast("int").alias("bucket")
+    scattered = docs.select(bucket, F.struct(*[f"`{c}`" for c in docs.columns]).alias("record"))
     gathered = scattered.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("record")), seed).alias("records"))
-    before = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    # One row a bucket, not a record: the running total is over data size / bucket size rows.
-    before = before.select("bucket", (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return (
-        gathered.join(before, "bucket")
-        .select("before", F.posexplode("records").alias("i", "record"))
-        .select("record.*", (F.col("before") + F.col("i")).cast("long").alias("position"))
+    return gathered.join(_before(docs.select(bucket), [], F.lit(1)), "bucket").select("bucket", "before", F.posexplode("records").alias("i", "record")).select(
+        "bucket", (F.col("before") + F.col("i")).cast("long").alias("position"), "record"
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, law: str = "rows", seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per record: id, size, text_crc32, law, shard, slot, grown_shard.
+def _before(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
+    """bucket, ``by``, before: the sum of ``amount`` over the earlier buckets. One row a bucket, not a record, meets in the window."""
+    sums = rows.groupBy("bucket", *by).agg(F.sum(amount).cast("long").alias("n"))
+    earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sums.select("bucket", *by, (F.sum("n").over(earlier) - F.col("n")).alias("before"))
 
-    ``rows``: counts at most one apart. ``bytes``: the shuffled order is cut where the running size
-    passes each next part of the total, so sizes differ by a record at most. ``key``: id and shard
-    count decide.
-    """
-    rows = _described(docs, id_col, text_col)
-    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    buckets = max(1, -(-total.n * ROW_BYTES // bucket_bytes))
-    placed = shuffled(rows, ["id", "text_crc32"], seed, buckets)
-    none = F.lit(None).cast("int")
+
+def _placed(docs: DataFrame, shards: int, law: str, seed: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
+    """record, size, shard, slot, grown_shard: the one way from records to their places, for each law."""
+    if law not in ("rows", "bytes", "key"):
+        raise ValueError(f"unknown law {law!r}")
+    size = _text(F.col(f"`{text_col}`"))[0]
+    total = docs.agg(F.sum(_record_bytes(docs)).alias("held"), F.sum(size).alias("bytes")).first()
+    buckets = max(1, -(-(total.held or 0) // bucket_bytes))
+    rows = shuffled(docs, seed, buckets)
     if law == "rows":
-        shard = F.pmod("position", F.lit(shards)).cast("int")
-        out = placed.select("id", "size", "text_crc32", shard.alias("shard"), F.floor(F.col("position") / shards).alias("slot"), none.alias("grown_shard"))
-    elif law == "bytes":
-        out = _numbered(_by_bytes(placed, shards, total.bytes or 0), none)
-    elif law == "key":
-        out = _numbered(placed.withColumn("shard", key_shard(F.col("id"), shards, seed)), key_shard(F.col("id"), shards + 1, seed))
+        return rows.select("record", F.pmod("position", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("position") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # The order is read twice, so it is kept: ``shuffle`` need not give it twice.
+    rows, none = cut(rows, "shard-order"), F.lit(None).cast("int")
+    facts = rows.select("bucket", "position", F.col("record")[id_col].alias("id"), _text(F.col("record")[text_col])[0].alias("size"))
+    own = Window.partitionBy("bucket").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if law == "bytes":
+        running = facts.join(_before(facts, [], F.col("size")), "bucket").withColumn("total", F.col("before") + F.sum("size").over(own) - F.col("size"))
+        middle = F.col("total") + F.col("size") / 2
+        dealt = running.select("bucket", "position", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total.bytes or 0)))).cast("int").alias("shard"), none.alias("grown_shard"))
     else:
-        raise ValueError(f"unknown law {law!r}")
-    return out.select("id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
-
+        dealt = facts.select("bucket", "position", key_shard(F.col("id"), shards, seed).alias("shard"), key_shard(F.col("id"), shards + 1, seed).cast("int").alias("grown_shard"))
+    within = Window.partitionBy("bucket", "shard").orderBy("position")
+    numbered = dealt.join(_before(dealt, ["shard"], F.lit(1)), ["bucket", "shard"])
+    numbered = numbered.select("position", "shard", (F.col("before") + F.row_number().over(within) - 1).cast("long").alias("slot"), "grown_shard")
+    return rows.join(numbered, "position").select("record", "shard", "slot", "grown_shard")
 
-#: Rows that one part of the order has when running totals are taken in two steps.
-PART_ROWS = 1 << 16
 
+def _text(text: Column) -> tuple[Column, Column]:
+    """(bytes and one more, CRC-32) of a text."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
 
-def _running(rows: DataFrame, amount: str, by: list[str]) -> DataFrame:
-    """``total``: the sum of ``amount`` over the earlier rows of the order, per ``by``; in two steps, so that no task has more than a part."""
-    part = rows.withColumn("part", F.floor(F.col("position") / PART_ROWS))
-    own = Window.partitionBy("part", *by).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = part.groupBy("part", *by).agg(F.sum(amount).alias("part_sum"))
-    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select("part", *by, (F.sum("part_sum").over(earlier) - F.col("part_sum")).alias("earlier"))
-    return part.join(sums, ["part", *by]).withColumn("total", F.col("earlier") + F.sum(amount).over(own) - F.col(amount))
 
+def assign_shards(docs: DataFrame, shards: int = 8, law: str = "rows", seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Writes the shards to the shared folder and tells of each record read back: id, size, text_crc32, law, shard, slot, grown_shard.
 
-def _by_bytes(placed: DataFrame, shards: int, total: int) -> DataFrame:
-    middle = F.col("total") + F.col("size") / 2
-    shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total))))
-    return _running(placed, "size", []).select("id", "size", "text_crc32", "position", shard.cast("int").alias("shard"))
+    ``rows``: counts at most one apart. ``bytes``: the shuffled order is cut where the running size
+    passes each next part of the total, so sizes differ by a record at most. ``key``: id and shard
+    count decide.
+    """
+    path = shared_path(docs.sparkSession, "shards")
+    placed = _placed(docs, shards, law, seed, id_col, text_col, bucket_bytes).select("record", "slot", "grown_shard", "shard")
+    _write(placed, path)
+    back = docs.sparkSession.read.schema(placed.schema).parquet(path)
+    size, crc = _text(F.col("record")[text_col])
+    return back.select(F.col("record")[id_col].alias("id"), size.alias("size"), crc.alias("text_crc32"), F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
 
-def _numbered(placed: DataFrame, grown: Column) -> DataFrame:
-    return _running(placed.withColumn("one", F.lit(1).cast("long")), "one", ["shard"]).select("id", "size", "text_crc32", "shard", F.col("total").alias("slot"), grown.cast("int").alias("grown_shard"))
+def _write(placed: DataFrame, path: str) -> None:
+    """One folder a shard; each task writes its buckets' part of it, rows in slot order within a file."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Shuffle whole records and write them as Parquet, one folder a shard, rows in slot order within a file."""
-    total = docs.agg(F.sum(F.octet_length(F.to_json(F.struct(*docs.columns)))).alias("bytes")).first().bytes or 0
-    placed = shuffled(docs.select(F.struct(*docs.columns).alias("row")), ["row"], seed, max(1, -(-total // bucket_bytes)))
-    out = placed.select("row.*", F.pmod("position", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("position") / shards).alias("slot"))
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, law: str = "rows", id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Shuffle whole records and write them as Parquet, one folder a shard, with the records' own columns and their slot."""
+    placed = _placed(docs, shards, law, seed, id_col, text_col, bucket_bytes)
+    _write(placed.select("record.*", "shard", "slot"), path)

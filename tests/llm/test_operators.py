@@ -13,6 +13,7 @@ from compare import database, rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from localmarkets.llm import chat, decontaminate, encoding, exact_dedup, language, near, packing, quality, queries, repeats, sharding, simhash, token_files
+from localmarkets.shared import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, g string, fp string, part string"
 A = "the quick brown fox jumps over the lazy dog and runs away from the very large bear in the wood "
@@ -448,6 +449,21 @@ def test_shards_are_shuffled_and_written(spark, docs, real, tmp_path):
     assert sorted(map(repr, texts(back))) == sorted(map(repr, texts(docs)))
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes", "key"])
+def test_shards_are_those_of_the_files(spark, docs, real, tmp_path, law):
+    for n, df in enumerate((docs, real)):
+        before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+        told = sorted(repr((r.id, r.text_crc32, r.shard, r.slot)) for r in sharding.assign_shards(df, 4, law, bucket_bytes=20000).collect())
+        new = [x for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before if x.startswith("shards-")]
+        assert len(new) == 1
+        files = spark.read.parquet(f"{shared_dir(spark)}/{new[0]}").select("record.*", F.col("shard").alias("in_shard"), "slot").collect()
+        assert sorted(repr((r.doc_id, zlib.crc32((r.text or "").encode()), r.in_shard, r.slot)) for r in files) == told
+        sharding.write_shards(df, str(tmp_path / f"{n}"), 4, bucket_bytes=20000, law=law)
+        again = spark.read.parquet(str(tmp_path / f"{n}")).select("doc_id", "text", "shard", "slot").collect()
+        assert sorted(repr((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot)) for r in again) == told
+    assert sharding.shuffled(real, 7, 10).select("bucket").distinct().count() == 10
+
+
 # --- 10 ---
 def test_exact_dedup(docs):
     rows = [(r.id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup_index(docs).collect()]
