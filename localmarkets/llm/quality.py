@@ -2,18 +2,18 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled text. A text is read in
 windows; each is compressed with either dictionary, and the sizes add up to g and b over the whole
-text. Features are the normalised difference (b - g) / (b + g) and how well either compresses at
-all; a logistic curve fitted to other labelled rows turns them into a score between 0 and 1.
+text of n bytes. The normalised difference (b - g) / n is the one feature; a logistic curve fitted to
+other labelled rows turns it into a calibrated score between 0 and 1.
 
-Bounds: the dictionaries and the curve are fitted on at most ``rows`` rows of each label, of each a
-slice of at most ``slice_bytes`` at a place that the row's hash decides. The curve weighs its rows
-so that either label has its share of all labelled rows; the bound on rows leaves the scores' level
-as it is. Scoring covers whole texts.
+Bounds: the dictionaries and the curve are fitted on the whole texts of at most ``rows`` rows of each
+label, chosen by a hash of the id. The curve weighs its rows so that either label has its share of
+all labelled rows; the bound on rows leaves the scores' level as it is. Scoring covers whole texts.
 
 Defined results: null and empty texts get the score of a text without evidence (the share of good
 rows among all labelled rows); null labels are left out; a row that is labelled twice counts
-twice; without a row of each label every score is 0.5; an empty table gives an empty result. Only
-the id and text columns are read, and the id for nothing but the output.
+twice; without a row of each label every score is 0.5; of too little text for a trained dictionary
+the text itself is the dictionary; an empty table gives an empty result. Only the id and text
+columns are read, and the id for nothing but the output and the choice of the sample.
 """
 
 from __future__ import annotations
@@ -28,17 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from localmarkets.llm.encoding import slices
+from localmarkets.llm.sampling import least_hashes
 
-ROWS, SLICE_BYTES, WINDOW, DICTIONARY_BYTES, LEVEL = 1500, 4096, 2048, 64 << 10, 3
+ROWS, WINDOW, DICTIONARY_BYTES, LEVEL = 1500, 2048, 110 << 10, 3
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: list[float]  # of the features, then the constant
-    centre: list[float]
-    scale: list[float]
+    slope: float  # of the logistic curve over the difference
+    constant: float
     prior: float
     window: int = WINDOW
 
@@ -53,46 +53,62 @@ class Sizes:
             held.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False))
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def difference(self, text: bytes) -> float:
+        """Bytes that the good dictionary saves over the bad one, for each byte of the text."""
         parts = [text[i : i + self.window] for i in range(0, len(text), self.window)]
         g, b = (sum(len(c.compress(p)) for p in parts) for c in self.by)
-        return (b - g) / (b + g), g / len(text), b / len(text)
+        return (b - g) / len(text)
 
 
-def _good_share(labels: DataFrame, label_col: str) -> float:
-    """Share of good rows among all labelled rows."""
-    return float(labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double")).alias("share")).first().share)
+def _curve(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int, slice_bytes: int, id_col: str, text_col: str, label_col: str) -> list:
-    """At most ``rows`` rows of each label, by the order of their hash; slices of texts only."""
+def score(model: Model | None, sizes: Sizes | None, text: str | None) -> float:
+    """Of one text; ``sizes``: the model's."""
+    if model is None or sizes is None:
+        return 0.5
+    if not text:
+        return model.prior
+    return float(_curve(np.float64(model.slope * sizes.difference(text.encode()) + model.constant)))
+
+
+def _counts(labels: DataFrame, label_col: str) -> dict[int, int]:
+    """Labelled rows of each label: two rows at most."""
+    return {int(r[0]): r[1] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
+
+
+def _sample(docs: DataFrame, labels: DataFrame, counts: dict[int, int], rows: int, id_col: str, text_col: str, label_col: str) -> list:
+    """Whole texts of at most ``rows`` rows of each label, by the order of their hash."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = F.xxhash64("id", F.lit(3))
-    at = F.pmod(order, F.greatest(F.lit(1), F.length("text") - slice_bytes)).cast("int") + 1
-    # Ids first, so that only the chosen rows' texts meet their labels.
-    ids = [known.where(F.col("label") == v).withColumn("o", order).orderBy("o").limit(rows).drop("o") for v in (0, 1)]
+    # Ids first, so that only the chosen rows' texts meet their labels: 2 * rows rows at most are broadcast.
+    ids = [least_hashes(known.where(F.col("label") == v), counts.get(v, 0), rows, F.xxhash64("id", F.lit(3)), "o") for v in (0, 1)]
     chosen = ids[0].unionByName(ids[1])
-    return texts.join(F.broadcast(chosen), "id").select("label", F.substring("text", at, F.lit(slice_bytes)).alias("text"), order.alias("o")).orderBy("o").collect()
+    return texts.join(F.broadcast(chosen), "id").select("label", "text", "o").orderBy("o", "text").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    sample = _sample(docs, labels, rows, slice_bytes, id_col, text_col, label_col)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+    counts = _counts(labels, label_col)
+    sample = _sample(docs, labels, counts, rows, id_col, text_col, label_col)
     texts = {v: [r.text.encode() for r in sample if r.label == v] for v in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
-    # Two thirds make the dictionaries, the rest fits the curve.
-    share = _good_share(labels, label_col)
+    return fit_texts(texts, counts[1] / (counts[0] + counts[1]))
+
+
+def fit_texts(texts: dict[int, list[bytes]], share: float) -> Model:
+    """Of texts by label; ``share``: of good rows among all labelled ones. Two thirds of either make its dictionary, the rest fits the curve."""
     made = {v: _dictionary(t[: max(1, 2 * len(t) // 3)]) for v, t in texts.items()}
-    model = Model(made[1], made[0], [], [], [], share)
+    model = Model(made[1], made[0], 0.0, 0.0, share)
     sizes = Sizes(model)
-    held = [(sizes.features(t), v) for v, some in texts.items() for t in (some[2 * len(some) // 3 :] or some)]
-    x, y = np.array([f for f, _ in held]), np.array([v for _, v in held], float)
+    held = [(sizes.difference(t), v) for v, some in texts.items() for t in (some[2 * len(some) // 3 :] or some)]
+    x, y = np.array([d for d, _ in held]), np.array([v for _, v in held], float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # one on average
-    centre = np.average(x, axis=0, weights=weight)
-    scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight)) + 1e-9
-    model.centre, model.scale = centre.tolist(), scale.tolist()
-    model.weights = _logistic((x - centre) / scale, y, weight).tolist()
+    centre = np.average(x, weights=weight)
+    scale = np.sqrt(np.average((x - centre) ** 2, weights=weight)) + 1e-9
+    slope, constant = _logistic(((x - centre) / scale)[:, None], y, weight).tolist()
+    model.slope, model.constant = slope / scale, constant - slope * centre / scale
     return model
 
 
@@ -124,13 +140,7 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model) if model else None
         for b in slices(batches):
-            out = np.full(len(b), model.prior if model else 0.5)
-            texts = [(i, t.encode()) for i, t in enumerate(b.column(1).to_pylist()) if t] if sizes else []
-            if texts:
-                x = (np.array([sizes.features(t) for _, t in texts]) - model.centre) / model.scale
-                z = np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)
-                out[[i for i, _ in texts]] = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(model, sizes, t) for t in b.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(scored, "id long, score double")
 
@@ -146,10 +156,6 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5, text_col
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model) if model else None
         for b in slices(batches, place):
-            good = [True] * len(b)
-            for i, t in enumerate(b.column(place).to_pylist() if sizes else []):
-                z = (np.dot((np.array(sizes.features(t.encode())) - model.centre) / model.scale, model.weights[:-1]) + model.weights[-1]) if t else np.log(model.prior / (1 - model.prior))
-                good[i] = bool(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= least)
-            yield b.filter(pa.array(good))
+            yield b.filter(pa.array([model is None or score(model, sizes, t) >= least for t in b.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(chosen, docs.schema)
