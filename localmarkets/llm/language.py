@@ -1,12 +1,14 @@
 """Language of texts by a bidirectional gated recurrent network over bytes, trained in numpy.
 
 The bytes of a text are read in windows; one network reads each window forwards, one backwards, and
-the two states at a place give the probabilities of that byte's language. A document's probabilities
-are the mean of the logarithms over all its places, so every byte of the whole text counts. Training
-is backpropagation through time with Adam over windows of labelled texts.
+the two states at a place give the probabilities of that byte's language. A window is read from
+``WARM`` bytes before its first to ``WARM`` bytes after its last place, so that the states that label
+its places have seen what is around them. A document's probabilities are the mean of the logarithms
+over all its places, so every byte of the whole text counts once. Training is backpropagation through
+time with Adam over stretches of labelled texts.
 
-Bounds: at most ``rows`` labelled rows are used for training, of each one slice of ``SPAN`` bytes at
-a place that the row's hash decides. Labelling covers whole texts.
+Bounds: at most ``rows`` labelled rows, chosen by a hash of the id, are used for training, their texts
+whole; each step draws stretches of ``SPAN`` bytes from anywhere in them. Labelling covers whole texts.
 
 Defined results: texts that are null or have no letter give ``und`` with score 0; rows without a
 label are not learned from; without any labelled row every text gives ``und``; repeated rows are
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from localmarkets.llm.encoding import slices
+from localmarkets.llm.sampling import least_hashes
 
-HIDDEN, SPAN, WINDOW, ROWS, STEPS, BATCH = 12, 64, 256, 6000, 150, 192
+HIDDEN, SPAN, WINDOW, WARM, ROWS, STEPS, BATCH = 12, 64, 256, 8, 3000, 150, 192
 #: Windows that are read side by side.
 SIDE = 1024
 
@@ -119,19 +122,22 @@ def loss_and_gradients(w: dict[str, np.ndarray], data: np.ndarray, labels: np.nd
 
 
 def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 5, rate: float = 0.02) -> Model | None:
-    """From slices of labelled texts; each label weighs the same."""
+    """From labelled texts that aren't empty; each label weighs the same, and each text of a label."""
     names = sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     w = _start(rng, hidden, len(names))
-    data = np.stack([np.frombuffer((t * (SPAN // len(t) + 1))[:SPAN], np.uint8) for t in texts])
+    texts = [t if len(t) >= SPAN else (t * (SPAN // len(t) + 1))[:SPAN] for t in texts]
+    flat, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
     own = np.array([names.index(v) for v in labels])
     of = [np.flatnonzero(own == i) for i in range(len(names))]
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(o, max(1, batch // len(names))) for o in of])
-        _, grad = loss_and_gradients(w, data[chosen].T, own[chosen])
+        at = begins[chosen] + rng.integers(0, sizes[chosen] - SPAN + 1)
+        _, grad = loss_and_gradients(w, flat[at + np.arange(SPAN)[:, None]], own[chosen])
         now = rate * min(1.0, 2 * (1 - (step - 1) / steps))
         for k, g in grad.items():
             first[k] += 0.1 * (g - first[k])
@@ -141,11 +147,10 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
 
 
 def sample(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
-    """Slices of at most ``rows`` labelled texts by the order of their hash."""
-    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    order = F.xxhash64(id_col, F.lit(11))
-    at = F.pmod(F.shiftright(order, 20), F.greatest(F.lit(1), F.length(text_col) - SPAN)).cast("int") + 1
-    found = known.select(order.alias("o"), F.substring(text_col, at, F.lit(SPAN)).alias("text"), F.col(label_col).alias("label")).orderBy("o").limit(rows).collect()
+    """Whole texts and labels of at most ``rows`` labelled rows by the order of their hash."""
+    labelled = docs.where(F.col(label_col).isNotNull())
+    known = labelled.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    found = least_hashes(known, labelled.count(), rows, F.xxhash64("id", F.lit(11)), "o").select("text", "label").collect()
     return [r.text.encode() for r in found], [r.label for r in found]
 
 
@@ -163,16 +168,17 @@ def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     n = -(-lengths // WINDOW)
     of = np.repeat(np.arange(len(texts)), n)
     at = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
-    size = np.minimum(WINDOW, lengths[of] - at)
-    flat = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
-    begin = np.repeat(np.cumsum(lengths) - lengths, n) + at
+    own = np.minimum(WINDOW, lengths[of] - at)  # places that the window labels
+    lead = np.minimum(WARM, at)
+    size = np.minimum(own + lead + WARM, lengths[of] - at + lead)
+    flat = np.frombuffer(b"".join(texts) + bytes(WINDOW + 2 * WARM), np.uint8)
+    begin = np.repeat(np.cumsum(lengths) - lengths, n) + at - lead
     order = np.argsort(size, kind="stable")  # windows of like size side by side
     for i in range(0, len(order), SIDE):
         few = order[i : i + SIDE]
-        own = size[few]
-        logp = label_places(model, flat[begin[few] + np.arange(own.max())[:, None]], None if own.min() == own.max() else own)
-        if own.min() < own.max():
-            logp *= (np.arange(own.max())[:, None] < own)[:, None, :]
+        place = np.arange(size[few].max())[:, None]
+        logp = label_places(model, flat[begin[few] + place], None if size[few].min() == size[few].max() else size[few])
+        logp *= ((place >= lead[few]) & (place < lead[few] + own[few]))[:, None, :]
         np.add.at(sums, of[few], logp.sum(axis=0).T)
     mean = sums / np.maximum(lengths, 1)[:, None]
     p = np.exp(mean - mean.max(axis=1, keepdims=True))
