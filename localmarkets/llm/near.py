@@ -104,7 +104,10 @@ def _ordered(u, v) -> list:
 
 def near_components(docs: DataFrame, words: int = 5, most: int = 4, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node, component (smallest id) of each id that is joined to another."""
-    marked = cut(_marks(docs, words, id_col, text_col), "near-marks")
+    return _components(cut(_marks(docs, words, id_col, text_col), "near-marks"), docs, words, most, least, id_col, text_col)
+
+
+def _components(marked: DataFrame, docs: DataFrame, words: int, most: int, least: float, id_col: str, text_col: str) -> DataFrame:
     prints = marked.groupBy("fp").agg(F.min("id").alias("id"))
     sets = marked.where("own is not null").groupBy("own").agg(F.min("id").alias("id"))
     joined = marked.join(prints.withColumnRenamed("id", "first"), "fp").where("id > first").select(F.col("id").alias("u"), F.col("first").alias("v"))
@@ -140,7 +143,11 @@ def near_components(docs: DataFrame, words: int = 5, most: int = 4, least: float
 def keep_one(docs: DataFrame, words: int = 5, most: int = 4, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, all columns as they were; rows with a null id stay.
 
-    Rows that repeat a kept id stay, too: ids tell documents apart here.
+    Rows that repeat a kept id stay, and so do the rows of an id that stands on unlike texts: ids
+    tell documents apart, and no text may go for another's sake.
     """
-    gone = near_components(docs, words, most, least, id_col, text_col).where("node <> component").select(F.col("node").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    marked = cut(_marks(docs, words, id_col, text_col), "near-marks")
+    found = _components(marked, docs, words, most, least, id_col, text_col).where("node <> component").select("node").distinct()
+    unlike = marked.groupBy("id").agg(F.countDistinct("fp", F.coalesce("own", F.lit(0))).alias("n")).where("n > 1").select("id")
+    gone = found.join(unlike, found["node"] == unlike["id"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone["node"], "left_anti")

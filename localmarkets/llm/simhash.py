@@ -164,17 +164,26 @@ def bucket_edges(fps: np.ndarray, ids: np.ndarray, most: int, block: int = 4096)
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(fingerprints, ids) of each bucket, of rows that are sorted by bucket; single ones are left out."""
-    held: list[np.ndarray] = []
+    held: list[np.ndarray] = []  # parts of the bucket that is not over yet, joined once
+
+    def bucket(last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = np.concatenate([*held, last])
+        held.clear()
+        if len(rows) > 1:
+            yield np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3]
+
     for b in batches:
         rows = np.column_stack([b.column(i).to_numpy() for i in range(4)])  # pair, values, fp, id
-        rows = np.concatenate([*held, rows])
-        new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-        bounds = np.concatenate([[0], new])
-        for a, z in zip(bounds[:-1][np.diff(bounds) > 1], bounds[1:][np.diff(bounds) > 1], strict=True):
-            yield rows[a:z, 2].view(np.uint64) if rows[a:z, 2].flags.c_contiguous else np.ascontiguousarray(rows[a:z, 2]).view(np.uint64), rows[a:z, 3]
-        held = [rows[bounds[-1] :]]
-    if held and len(held[0]) > 1:
-        yield np.ascontiguousarray(held[0][:, 2]).view(np.uint64), held[0][:, 3]
+        if not len(rows):
+            continue
+        if held and (held[-1][-1, :2] != rows[0, :2]).any():
+            yield from bucket(rows[:0])
+        *whole, rest = np.split(rows, np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1)
+        for own in whole:
+            yield from bucket(own)
+        held.append(rest)
+    if held:
+        yield from bucket(held[0][:0])
 
 
 def _blocks(most: int) -> list[int]:
@@ -215,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, id_col: str
 def keep_one(docs: DataFrame, words: int = 5, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, all columns as they were; rows with a null id stay.
 
-    Rows that repeat a kept id stay, too: ids tell documents apart here.
+    Rows that repeat a kept id stay, and so do the rows of an id that stands on unlike texts: ids
+    tell documents apart, and no text may go for another's sake.
     """
-    gone = near_duplicates(docs, words, most, id_col, text_col).where("id <> component_id").select(F.col("id").alias("__id"))
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    marked = near_duplicates(docs, words, most, id_col, text_col).groupBy("id")
+    gone = marked.agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"), F.min("component_id").alias("component")).where("low = high AND id <> component")
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
