@@ -1,12 +1,14 @@
 """Pattern packing by non-negative least squares.
 
 Documents become token ids with an end id; only those longer than a sequence are cut, into full
-pieces and a rest. The histogram of piece lengths, in classes of ``WIDTH`` tokens rounded up, is all
-that the plan needs: patterns of a few classes that fill a sequence exactly are enumerated, their
-repeat counts are fitted to the histogram by non-negative least squares and rounded down as far as
-the pieces reach, and what is left is packed by best fit on class counts. The plan has as many rows
-as patterns with different contents, however many pieces there are; pieces take their places in it
-by their rank in their class.
+pieces and a rest. The histogram of piece lengths, at most one count for each length up to a
+sequence's, is all that the plan needs. Patterns of a few lengths that fill a sequence exactly are
+enumerated (of three, for each longest length those with the most frequent partners, none, one or
+some, whichever plans best), their repeat counts are
+fitted to the histogram by non-negative least squares and rounded as far as the pieces reach, and
+what is left is packed by best fit, many like sequences at a time. Lengths are never rounded. The
+plan has as many rows as patterns with different contents, however many pieces there are; pieces
+take their places in it by their rank among those of their length.
 
 Defined results: a null text is empty (the end id alone); repeated ids are separate documents told
 apart by their order; an empty table gives an empty result. Only the id and text columns are read.
@@ -26,18 +28,24 @@ from localmarkets.llm.encoding import encoded
 from localmarkets.llm.token_files import ended
 from localmarkets.shared import cut
 
-#: Tokens of a sequence, and of a length class.
-LENGTH, WIDTH = 4096, 16
-#: Documents of a pattern at most.
-FEW = 3
-#: Groups that the pieces of a class are ranked in, so that a length that many pieces share is ranked by many tasks.
-RANK_GROUPS = 64
+#: Tokens of a sequence.
+LENGTH = 4096
+#: Patterns of three that are enumerated for one longest length: a plan is made with each, the shortest stays.
+PARTNERS = (0, 1, 4)
+#: Steps of the fit.
+ROUNDS = 400
+#: Pieces of one length that a task ranks, so that a length that many pieces share is ranked by many tasks.
+RANKED = 8192
+
+#: Length, how many of it in a row.
+Part = tuple[int, int]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece."""
+    """doc_id, piece, start, length, ids_crc32 of each piece, and its number in its task (``place``)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
         for docs, ids, counts in encoded(batches, vocabulary):
             ids, counts = ended(ids, counts, end_id)
             n = -(-counts // length)
@@ -48,154 +56,169 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENG
             data = memoryview(ids.astype("<u4").tobytes())
             at = ((np.cumsum(counts) - counts)[doc] + start) * 4
             crc = [zlib.crc32(data[a : a + 4 * s]) for a, s in zip(at.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": docs.take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return docs.select(id_col, text_col).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def patterns(classes: np.ndarray, room: int, few: int = FEW) -> np.ndarray:
-    """All multisets of at most ``few`` of the classes that fill ``room`` exactly, one a row (0: no further piece)."""
-    classes = np.sort(classes)[::-1]
-    there = np.zeros(room + 1, bool)
-    there[classes] = True
-    found, part = [], np.zeros((1, 0), np.int64)
-    for k in range(1, few + 1):
-        used = part.sum(axis=1)
-        last = part[:, -1] if k > 1 else np.full(len(part), room)
-        rest = room - used
-        done = (rest <= last) & there[np.maximum(rest, 0)] & (rest > 0)  # closes with one more, no larger than the last
-        found.append(np.pad(np.column_stack([part[done], rest[done]]), ((0, 0), (0, few - k))))
-        if k < few:
-            i, c = np.meshgrid(np.arange(len(part)), classes, indexing="ij")
-            ok = (c <= last[:, None]) & (c < rest[:, None]) & (c * (few - k + 1) >= rest[:, None])  # the largest first: enough is left to fill
-            part = np.column_stack([part[i[ok]], c[ok]])
-    return np.concatenate(found)
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 with least |ax - b|, by an active set (Lawson and Hanson)."""
-    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+            columns = {"doc_id": docs.take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(crc, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {"place": pa.array(np.arange(place, place + len(doc)))})
+            place += len(doc)
+
+    return docs.select(id_col, text_col).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long, place long")
+
+
+def patterns(histogram: np.ndarray, room: int, partners: int) -> np.ndarray:
+    """Multisets of one to three lengths that fill ``room`` exactly, one a row, longest first (0: no further piece).
+
+    All of one and two; of three, for each longest length the ``partners`` whose rarer other length is most frequent.
+    """
+    held = np.zeros(room + 1, np.int64)
+    held[: len(histogram)] = histogram[: room + 1]
+    held[0] = 0
+    found = [(room, 0, 0)] if held[room] else []
+    for c in np.flatnonzero(held).tolist():
+        rest = room - c
+        if 0 < rest <= c and held[rest]:
+            found.append((c, rest, 0))
+        second = np.arange(-(-rest // 2), min(c, rest - 1) + 1)
+        if rest > 1 and len(second):
+            both = np.minimum(held[second], held[rest - second])
+            best = np.argsort(-both, kind="stable")[:partners]
+            found += [(c, s, rest - s) for s in second[best[both[best] > 0]].tolist()]
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def nnls(rows: np.ndarray, goal: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """x >= 0 that minimises the squares of (uses of each length - goal), by accelerated projected gradients.
+
+    Each of ``rows`` is a pattern: the lengths it uses; 0 is no length.
+    """
+    goal = goal.astype(float).copy()
+    goal[0] = 0
+
+    def uses(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(rows.ravel(), weights=np.repeat(x, rows.shape[1]), minlength=len(goal))
+        out[0] = 0
+        return out
+
+    def gain(residual: np.ndarray) -> np.ndarray:
+        return residual[rows].sum(axis=1)
+
+    v = np.ones(len(rows))
+    for _ in range(30):  # the largest eigenvalue bounds the step
+        v = gain(uses(v))
+        v /= np.linalg.norm(v)
+    step = 1 / (1.05 * np.linalg.norm(gain(uses(v))))
+    x, ahead, t = np.zeros(len(rows)), np.zeros(len(rows)), 1.0
     for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
-        gain[free] = -np.inf
-        j = int(np.argmax(gain))
-        if gain[j] <= 1e-9 * max(1.0, np.abs(b).max()):
-            break
-        free[j] = True
-        while True:
-            own = np.flatnonzero(free)
-            part = a[:, own]
-            gram = part.T @ part
-            gram[np.diag_indices_from(gram)] += 1e-9  # patterns that depend on each other
-            z = np.linalg.solve(gram, part.T @ b)
-            if (z > 1e-12).all():
-                x[:] = 0
-                x[own] = z
-                break
-            bad = z <= 1e-12
-            step = np.min(x[own][bad] / np.maximum(x[own][bad] - z[bad], 1e-300))
-            x[own] += step * (z - x[own])
-            free[own[x[own] <= 1e-12]] = False
-            x[~free] = 0
-            if not free.any():
-                break
+        new = np.maximum(ahead + step * gain(goal - uses(ahead)), 0)
+        if np.dot(ahead - new, new - x) > 0:  # going too far: start the acceleration anew
+            t = 1.0
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + (t - 1) / later * (new - x)
+        x, t = new, later
     return x
 
 
-def best_fit(left: np.ndarray, room: int) -> list[tuple[list[int], int]]:
-    """(classes, times) that take all of ``left`` (pieces of each class), largest first into the fullest sequence with room."""
-    open_: dict[int, list[tuple[list[int], int]]] = {}
+def best_fit(left: np.ndarray, room: int) -> list[tuple[list[Part], int]]:
+    """(parts, times) that take all of ``left`` (pieces of each length), longest first into the fullest sequence with room."""
+    open_: dict[int, list[tuple[list[Part], int]]] = {}
+    spaces = 0  # bit s: there are sequences with s tokens left
+
+    def put(space: int, parts: list[Part], times: int) -> None:
+        nonlocal spaces
+        open_.setdefault(space, []).append((parts, times))
+        spaces |= 1 << space
+
     for c in range(len(left) - 1, 0, -1):
         n = int(left[c])
         while n:
-            space = min((s for s in open_ if s >= c), default=None)
-            if space is None:  # as many as will fit of this class in each
+            fits = spaces >> c
+            if not fits:  # as many as will fit of this length in each
                 each = max(1, min(room // c, n))
                 times = max(1, n // each)
-                open_.setdefault(room - each * c, []).append(([c] * each, times))
+                put(room - each * c, [(c, each)], times)
                 n -= each * times
                 continue
-            held, times = open_[space].pop()
+            space = c + (fits & -fits).bit_length() - 1
+            parts, times = open_[space].pop()
             if not open_[space]:
                 del open_[space]
+                spaces &= ~(1 << space)
             each = max(1, min(space // c, n))
             take = max(1, min(times, n // each))
             if take < times:
-                open_.setdefault(space, []).append((held, times - take))
-            open_.setdefault(space - each * c, []).append((held + [c] * each, take))
+                put(space, parts, times - take)
+            put(space - each * c, [*parts, (c, each)], take)
             n -= each * take
     return [x for some in open_.values() for x in some]
 
 
-def plan(histogram: np.ndarray, room: int, few: int = FEW) -> list[tuple[list[int], int]]:
-    """Patterns and how often each is used; they take each class exactly as often as ``histogram`` says."""
-    left, out = histogram.astype(np.int64).copy(), []
-    classes = np.flatnonzero(left[1:]) + 1
-    if len(classes):
-        rows = patterns(classes, room, few)
-        if len(rows):
-            a = np.zeros((room + 1, len(rows)))
-            for k in range(rows.shape[1]):
-                np.add.at(a, (rows[:, k], np.arange(len(rows))), 1)
-            a[0] = 0
-            a = a[classes]
-            x = nnls(a, left[classes].astype(float))
-            for j in np.argsort(-x, kind="stable"):
-                used = rows[j][rows[j] > 0]
-                kinds, n = np.unique(used, return_counts=True)
-                times = int(min(np.rint(x[j]), (left[kinds] // n).min()))
-                if times > 0:
-                    out.append((used.tolist(), times))
-                    left[kinds] -= n * times
+def plan(histogram: np.ndarray, room: int) -> list[tuple[list[Part], int]]:
+    """Patterns and how often each is used; they take each length exactly as often as ``histogram`` says."""
+    left = np.zeros(room + 1, np.int64)
+    left[: len(histogram)] = histogram
+    return min((_plan(left.copy(), room, partners) for partners in PARTNERS), key=lambda made: sum(times for _, times in made))
+
+
+def _plan(left: np.ndarray, room: int, partners: int) -> list[tuple[list[Part], int]]:
+    rows, out = patterns(left, room, partners), []
+    if len(rows):
+        x = nnls(rows, left)
+        for j in np.argsort(-x, kind="stable"):
+            times = int(np.rint(x[j]))
+            if times <= 0:
+                break
+            kinds, n = np.unique(rows[j][rows[j] > 0], return_counts=True)
+            times = int(min(times, (left[kinds] // n).min()))
+            if times > 0:
+                out.append(([(int(c), int(k)) for c, k in zip(kinds[::-1], n[::-1], strict=True)], times))
+                left[kinds] -= n * times
     return out + best_fit(left, room)
 
 
-def places(planned: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(class, first rank, last rank, first sequence, slot): rank r of the class is in sequence first + r - first rank, at the slot."""
+def places(planned: list[tuple[list[Part], int]]) -> np.ndarray:
+    """(length, first rank, each, first sequence, offset) of each part, by length and rank.
+
+    Rank r of the length, k after the first rank, is in sequence first sequence + k // each, at offset + k % each lengths.
+    """
     rank: dict[int, int] = {}
     out, sequence = [], 0
-    for classes, times in planned:
-        for slot, c in enumerate(classes):
+    for parts, times in planned:
+        offset = 0
+        for c, each in parts:
             at = rank.get(c, 0)
-            out.append((c, at, at + times - 1, sequence, slot))
-            rank[c] = at + times
+            out.append((c, at, each, sequence, offset))
+            rank[c] = at + each * times
+            offset += c * each
         sequence += times
-    return out
+    found = np.array(out, np.int64).reshape(-1, 5)
+    return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
-def pack(cut_pieces: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
+def pack(cut_pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """The pieces with sequence_id and offset. ``cut_pieces`` has to give the same rows each time it is read."""
     spark = cut_pieces.sparkSession
-    rows = cut_pieces.withColumn("class", F.ceil(F.col("length") / width).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
-    # At most length / width classes times RANK_GROUPS rows.
-    counts = sorted((r["class"], r.part, r.n) for r in rows.groupBy("class", "part").agg(F.count("*").alias("n")).collect())
-    room = length // width
-    histogram, before = np.zeros(room + 1, np.int64), []
-    for c, part, n in counts:
-        before.append((c, part, int(histogram[c])))
-        histogram[c] += n
-    slots = places(plan(histogram, room))
-    starts = spark.createDataFrame(before, "class int, part int, before long")
-    order = Window.partitionBy("class", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.join(F.broadcast(starts), ["class", "part"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    counts = {r["length"]: r.n for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``length`` rows
+    slots = places(plan(np.bincount(list(counts), weights=list(counts.values()), minlength=length + 1).astype(np.int64) if counts else np.zeros(length + 1, np.int64), length))
+    groups = spark.createDataFrame([(c, -(-n // RANKED)) for c, n in counts.items()], "length long, groups long")
+    rows = cut_pieces.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("place", "doc_id"), "groups")).drop("groups")
+    sums = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sums.select("length", "part", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "place")
+    ranked = rows.withColumn("own", F.row_number().over(order)).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    by_class = {c: np.array(sorted(x[1:] for x in slots if x[0] == c), np.int64) for c in {x[0] for x in slots}}
+    first = np.searchsorted(slots[:, 0], np.arange(length + 2))  # of each length
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lengths and ranks as one number each, in the order of ``slots``.
+        most = max(slots[:, 1].max(initial=0), 0) + 1
+        keys = slots[:, 0] * most + slots[:, 1]
         for b in batches:
-            kind, rank = (b.column(n).to_numpy().astype(np.int64) for n in ("class", "rank"))
-            sequence, slot = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int32)
-            for c in np.unique(kind):
-                own = np.flatnonzero(kind == c)
-                span = by_class[int(c)]  # first rank, last rank, first sequence, slot
-                at = span[np.searchsorted(span[:, 0], rank[own], side="right") - 1]
-                sequence[own], slot[own] = at[:, 2] + rank[own] - at[:, 0], at[:, 3]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in columns], pa.array(sequence), pa.array(slot)], names=[*columns, "sequence_id", "slot"])
-
-    placed = ranked.select(*columns, "class", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, slot int")
-    inside = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).drop("slot")
+            size, rank = (b.column(n).to_numpy().astype(np.int64) for n in ("length", "rank"))
+            at = np.where(rank < most, np.searchsorted(keys, size * most + np.minimum(rank, most - 1), side="right"), first[size + 1]) - 1
+            _, begin, each, sequence, offset = slots[at].T
+            k = rank - begin
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in columns], pa.array(sequence + k // each), pa.array(offset + k % each * size)], names=[*columns, "sequence_id", "offset"])
+
+    return ranked.select(*columns, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
