@@ -1,13 +1,18 @@
 """Two-pass external shuffle into shards (native DataFrame code).
 
-Pass 1 scatters whole records uniformly into buckets, sized by the records' bytes, by a seeded hash.
-Pass 2 brings each bucket into one array, Fisher-Yates shuffles it (Spark's ``shuffle``) and numbers
-it; the buckets laid one after another give each record its place in the whole order. The shards are
-written from the buckets, and what ``assign_shards`` tells is of the records read back.
+Pass 1 scatters whole records uniformly into buckets, sized so that a bucket's records and the list
+of their places fit in memory, by a seeded hash. Pass 2 brings each bucket into one array and Fisher-
+Yates shuffles it: from the last place to the second, each is swapped with one at or before it that
+a hash of seed, bucket and place names. The buckets laid one after another give each record its place
+in the whole order; seed, records and the number of buckets decide it, not how Spark deals the rows.
+The shards are written from the buckets, and what ``assign_shards`` tells is of the records read back.
+
+Equal records are numbered, so that a record that a third of all rows repeat is scattered like others.
 
 Defined results: a null text has no bytes (size 1); null ids are hashed like any other value;
 repeated rows are separate records; an empty table gives an empty result. ``assign_shards`` keeps
-records apart from its own columns, so other columns may have any name.
+records apart from its own columns, so other columns may have any name; ``write_shards`` adds an
+underscore to its columns ``shard`` and ``slot`` where the records have these. Records hold no maps.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ from pyspark.sql import functions as F
 
 from localmarkets.shared import cut, shared_path
 
-#: Bytes of records that one bucket holds on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes and records that one bucket holds on average.
+BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 1024
 #: Bytes that a record takes in a bucket besides its values.
 ROW_BYTES = 64
 
@@ -43,18 +48,41 @@ def _record_bytes(docs: DataFrame) -> Column:
     return size
 
 
-def shuffled(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """bucket, position, record: all records in a random order, from 0 without gaps.
+def permutation(n: Column, seed: int, bucket: Column) -> Column:
+    """Fisher-Yates: 0 to n - 1 in an order that seed and bucket decide."""
 
-    Pass 1 deals whole records to buckets; pass 2 shuffles each bucket. Records are sorted before
-    that, so that the order in which they arrive decides nothing.
-    """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[f"`{c}`" for c in docs.columns]), F.lit(buckets)).cast("int").alias("bucket")
-    scattered = docs.select(bucket, F.struct(*[f"`{c}`" for c in docs.columns]).alias("record"))
-    gathered = scattered.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("record")), seed).alias("records"))
-    return gathered.join(_before(docs.select(bucket), [], F.lit(1)), "bucket").select("bucket", "before", F.posexplode("records").alias("i", "record")).select(
-        "bucket", (F.col("before") + F.col("i")).cast("long").alias("position"), "record"
-    )
+    def swap(order: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(F.lit(seed), bucket, i), i + 1).cast("int")
+        parts = [F.slice(order, F.lit(1), j), F.array(order[i]), F.slice(order, j + 2, i - j - 1), F.array(order[j]), F.slice(order, i + 2, n - i - 1)]
+        return F.when(j == i, order).otherwise(F.concat(*parts))
+
+    return F.when(n > 1, F.aggregate(F.sequence(n - 1, F.lit(1), F.lit(-1)), F.sequence(F.lit(0), n - 1), swap)).otherwise(F.array(F.lit(0)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """record, copy: equal records are told apart by a number where there are too many for one bucket."""
+    records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")).withColumn("h", F.xxhash64("record"))
+    often = cut(records.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select(F.col("h").alias("often")), "often")
+    plain = F.lit(0).cast("long").alias("copy")
+    if often.isEmpty():
+        return records.select("record", plain)
+    # Counted in the map tasks before they meet; numbers in runs, so that no array is long.
+    same = records.join(often, F.col("h") == F.col("often"), "left_semi").groupBy("record").agg(F.count("*").alias("n"))
+    runs = same.select("record", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BUCKET_ROWS).cast("long"))).alias("run"))
+    number = F.explode(F.sequence(F.col("run") * BUCKET_ROWS, F.least(F.col("n"), (F.col("run") + 1) * BUCKET_ROWS) - 1)).alias("copy")
+    return records.join(often, F.col("h") == F.col("often"), "left_anti").select("record", plain).unionByName(runs.select("record", number))
+
+
+def shuffled(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """bucket, position, record: all records in a random order, from 0 without gaps."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "record", "copy"), F.lit(buckets)).alias("bucket")
+    numbered = _numbered(docs)
+    # Sorted before the shuffle, so that the order in which records arrive decides nothing.
+    scattered = numbered.select(bucket, F.struct(F.xxhash64("record").alias("h"), "record").alias("r"))
+    gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list("r")).alias("records"))
+    ordered = gathered.select("bucket", "records", permutation(F.size("records"), seed, F.col("bucket")).alias("order"))
+    placed = ordered.join(_before(numbered.select(bucket), [], F.lit(1)), "bucket").select("bucket", "before", "records", F.posexplode("order").alias("i", "k"))
+    return placed.select("bucket", (F.col("before") + F.col("i")).cast("long").alias("position"), F.col("records")[F.col("k")]["record"].alias("record"))
 
 
 def _before(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
@@ -65,16 +93,15 @@ def _before(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
 
 
 def _placed(docs: DataFrame, shards: int, law: str, seed: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    """record, size, shard, slot, grown_shard: the one way from records to their places, for each law."""
+    """record, shard, slot, grown_shard: the one way from records to their places, for each law."""
     if law not in ("rows", "bytes", "key"):
         raise ValueError(f"unknown law {law!r}")
     size = _text(F.col(f"`{text_col}`"))[0]
-    total = docs.agg(F.sum(_record_bytes(docs)).alias("held"), F.sum(size).alias("bytes")).first()
-    buckets = max(1, -(-(total.held or 0) // bucket_bytes))
-    rows = shuffled(docs, seed, buckets)
+    total = docs.agg(F.count("*").alias("rows"), F.sum(_record_bytes(docs)).alias("held"), F.sum(size).alias("bytes")).first()
+    rows = shuffled(docs, seed, max(1, -(-(total.held or 0) // bucket_bytes), -(-total.rows // BUCKET_ROWS)))
     if law == "rows":
         return rows.select("record", F.pmod("position", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("position") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    # The order is read twice, so it is kept: ``shuffle`` need not give it twice.
+    # The order is read twice, so it is kept.
     rows, none = cut(rows, "shard-order"), F.lit(None).cast("int")
     facts = rows.select("bucket", "position", F.col("record")[id_col].alias("id"), _text(F.col("record")[text_col])[0].alias("size"))
     own = Window.partitionBy("bucket").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,18 +132,26 @@ def assign_shards(docs: DataFrame, shards: int = 8, law: str = "rows", seed: int
     """
     path = shared_path(docs.sparkSession, "shards")
     placed = _placed(docs, shards, law, seed, id_col, text_col, bucket_bytes).select("record", "slot", "grown_shard", "shard")
-    _write(placed, path)
+    _write(placed, path, "shard", "slot")
     back = docs.sparkSession.read.schema(placed.schema).parquet(path)
     size, crc = _text(F.col("record")[text_col])
     return back.select(F.col("record")[id_col].alias("id"), size.alias("size"), crc.alias("text_crc32"), F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
 
-def _write(placed: DataFrame, path: str) -> None:
+def _write(placed: DataFrame, path: str, shard: str, slot: str) -> None:
     """One folder a shard; each task writes its buckets' part of it, rows in slot order within a file."""
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, law: str = "rows", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Shuffle whole records and write them as Parquet, one folder a shard, with the records' own columns and their slot."""
     placed = _placed(docs, shards, law, seed, id_col, text_col, bucket_bytes)
-    _write(placed.select("record.*", "shard", "slot"), path)
+    shard, slot = (_free(name, docs.columns) for name in ("shard", "slot"))
+    _write(placed.select("record.*", F.col("shard").alias(shard), F.col("slot").alias(slot)), path, shard, slot)
