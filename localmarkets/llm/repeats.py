@@ -3,10 +3,13 @@
 A string of SPAN bytes is dealt by its minimizer, the k-gram of least hash in it, so equal strings
 meet however their documents are spread. Four passes over keyed groups:
 
-1. each group of documents tells the hashes of its minimizers to their buckets;
-2. a bucket answers which of them more than one document has, all others are done with;
-3. groups send the segments (neighbouring strings with one minimizer, as one piece of text) of these,
-   each distinct segment once with its smallest document;
+1. each group of documents tells the hashes of its minimizers to their buckets, and how many distinct
+   segments (neighbouring strings with one minimizer, as one piece of text) it would send for each;
+2. a bucket answers which of them more than one document has, all others are done with, and which of
+   these would bring more than ``CROWD`` segments together;
+3. groups send the segments of these, each distinct segment once with its smallest document. Strings
+   of a crowded minimizer go one by one to a bucket that the hash of the whole string names, so its
+   different surroundings are spread over all buckets and equal strings still meet;
 4. a bucket builds the suffix array of its segments and answers, for the strings of each segment,
    the smallest document that holds them; the groups remove what an earlier document holds.
 
@@ -16,7 +19,7 @@ bucket one array operation. Adjacent common prefixes, up to SPAN bytes, then par
 others.
 
 What a task holds follows the group and bucket sizes. A passage that a third of all documents share
-is one entry a group in passes 1 and 3, not one a document.
+is one entry a group in passes 1 and 3, not one a document; each of its strings is one entry a group.
 
 Defined results: a null text is empty and keeps nothing; texts under SPAN bytes stay whole; rows of
 the same id are one document for this purpose (no row of it loses to another) and each gives a row;
@@ -40,6 +43,8 @@ SPAN, GRAM = 50, 16
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: Strings that are looked at in one array operation.
 PART = 1 << 20
+#: Segments of one minimizer, over all groups, beyond which its strings are spread.
+CROWD = 1 << 15
 LAST = np.iinfo(np.int64).max
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -75,6 +80,16 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), h
 
 
+def string_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hash of the SPAN bytes at each of the places."""
+    w = np.append(words(data, "<"), np.zeros(SPAN, np.uint64))
+    h = np.full(len(places), _M3, np.uint64)
+    for at in [*range(0, SPAN - 8, 8), SPAN - 8]:
+        h ^= w[places + at] * _M2
+        h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * _M1
+    return h ^ (h >> np.uint64(32))
+
+
 class Group:
     """Documents of a group in a fixed order, their bytes and what is computed from them."""
 
@@ -121,41 +136,58 @@ class Group:
         return some[np.searchsorted((np.cumsum(sizes) - sizes)[some], places, side="right") - 1]
 
 
+def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
 def told(group: Group, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, hash, whether two documents of the group have it), by bucket."""
-    hashes, docs = [], []
-    for a, _, first, _, h in group.strings():
-        doc = group.doc[group.owner(a + first)]
+    """(bucket, hash, mark) by bucket. Mark: twice the exponent of a power of two that the distinct segments don't exceed, one more where two documents of the group have it."""
+    hashes, docs, kinds = [], [], []
+    for a, data, first, last, h in group.strings():
         hashes.append(h)
-        docs.append(doc)
-    h, doc = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *docs])
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    start = np.flatnonzero(np.append([True], h[1:] != h[:-1])[: len(h)])
-    many = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start) if len(start) else np.zeros(0, bool)
+        docs.append(group.doc[group.owner(a + first)])
+        kinds.append(string_hashes(data, first) ^ (string_hashes(data, last) * _M3))
+    h, doc, kind = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.uint64), *kinds])
+    order = np.lexsort((kind, h))
+    h, doc, kind = h[order], doc[order], kind[order]
+    fresh = np.append([True], h[1:] != h[:-1])[: len(h)]
+    start = np.flatnonzero(fresh)
+    if not len(start):
+        return start, h, np.zeros(0, np.uint8)
+    many = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+    segments = np.add.reduceat(fresh | np.append([True], kind[1:] != kind[:-1]), start, dtype=np.int64)
+    mark = (2 * np.ceil(np.log2(segments)) + many).astype(np.uint8)
     h = h[start]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    bucket = _buckets(h, buckets)
     order = np.argsort(bucket, kind="stable")
-    return bucket[order], h[order], many[order]
+    return bucket[order], h[order], mark[order]
+
 
+def distinct_segments(group: Group, shared: np.ndarray, crowded: np.ndarray, buckets: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The segments with a shared minimizer: (text -> number, bucket of each number, and of each occurrence (number, first byte, document) as rows).
 
-def distinct_segments(group: Group, shared: np.ndarray, buckets: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """The segments with a shared minimizer: (text -> number, bucket of each number, and of each occurrence (number, first byte, document) as rows)."""
+    ``shared``: hashes in their order; ``crowded``: of which of them each string is a segment of its own.
+    """
     numbers: dict[bytes, int] = {}
     bucket: list[np.ndarray] = []
     seen: list[np.ndarray] = []
     for a, data, first, last, h in group.strings():
-        own = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h) if len(shared) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        own = np.flatnonzero(shared[at] == h) if len(shared) else np.zeros(0, np.int64)
         if not len(own):
             continue
+        alone = crowded[at[own]]
+        whole, part = own[~alone], own[alone]
+        n = last[part] - first[part] + 1
+        strings = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        begin, end = np.concatenate([first[whole], strings]), np.concatenate([last[whole], strings])
+        dealt = np.concatenate([_buckets(h[whole], buckets), _buckets(string_hashes(data, strings), buckets)])
         raw, before = data.tobytes(), len(numbers)
-        number = np.array([numbers.setdefault(raw[s : e + SPAN], len(numbers)) for s, e in zip(first[own].tolist(), last[own].tolist(), strict=True)], np.int64)
-        _, at = np.unique(number, return_index=True)
-        fresh = at[number[at] >= before]
-        bucket.append((h[own][fresh] % np.uint64(buckets)).astype(np.int64))
-        begin = a + first[own]
-        seen.append(np.column_stack([number, begin, group.owner(begin)]))
-    return numbers, np.concatenate([np.zeros(0, np.int64), *bucket]), np.concatenate([np.zeros((0, 3), np.int64), *seen]), shared
+        number = np.array([numbers.setdefault(raw[s : e + SPAN], len(numbers)) for s, e in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+        _, place = np.unique(number, return_index=True)
+        bucket.append(dealt[place[number[place] >= before]])
+        seen.append(np.column_stack([number, a + begin, group.owner(a + begin)]))
+    return numbers, np.concatenate([np.zeros(0, np.int64), *bucket]), np.concatenate([np.zeros((0, 3), np.int64), *seen])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -254,37 +286,44 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, crowd: int = CROWD) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, spans (removed runs: start, end), kept (the other bytes)."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-total // bucket_bytes))
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
     by_group = rows.groupBy("g")
 
     def tell(key: tuple, table: pa.Table) -> pa.Table:
-        b, h, many = told(Group(table), buckets)
+        b, h, mark = told(Group(table), buckets)
         cut = np.flatnonzero(np.append([True], b[1:] != b[:-1])[: len(b)])
         parts = list(zip(cut, np.append(cut[1:], len(b)), strict=True)) if len(cut) else []
-        return pa.table({"b": pa.array(b[cut], pa.int64()), "g": pa.array([key[0].as_py()] * len(parts), pa.int64()), "hashes": pa.array([_blob(h[a:z]) for a, z in parts], pa.binary()), "many": pa.array([_blob(many[a:z]) for a, z in parts], pa.binary())})
+        return pa.table({"b": pa.array(b[cut], pa.int64()), "g": pa.array([key[0].as_py()] * len(parts), pa.int64()), "hashes": pa.array([_blob(h[a:z]) for a, z in parts], pa.binary()), "marks": pa.array([_blob(mark[a:z]) for a, z in parts], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        every = np.concatenate(hashes)
-        value, where, n = np.unique(every, return_inverse=True, return_counts=True)
+        mark = np.concatenate([np.frombuffer(x, np.uint8) for x in table["marks"].to_pylist()])
+        value, where, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         shared = n > 1
-        shared[where[np.concatenate([np.frombuffer(x, bool) for x in table["many"].to_pylist()])]] = True
-        mine = np.split(shared[where], np.cumsum([len(h) for h in hashes])[:-1])
-        out = [(g, _blob(h[m])) for g, h, m in zip(table["g"].to_pylist(), hashes, mine, strict=True) if m.any()]
-        return pa.table({"g": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
-
-    def shared_hashes(table: pa.Table) -> np.ndarray:
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]]))
+        shared[where[mark & 1 == 1]] = True
+        crowded = np.bincount(where, weights=np.exp2(mark >> 1), minlength=len(value)) > crowd
+        ends = np.cumsum([len(h) for h in hashes])[:-1]
+        out = []
+        for g, h, mine, many in zip(table["g"].to_pylist(), hashes, np.split(shared[where], ends), np.split(crowded[where], ends), strict=True):
+            if mine.any():
+                out.append((g, _blob(h[mine]), _blob(many[mine])))
+        return pa.table({"g": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary()), "crowded": pa.array([x[2] for x in out], pa.binary())})
+
+    def shared_hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]])
+        many = np.concatenate([np.zeros(0, bool), *[np.frombuffer(x, bool) for x in table["crowded"].to_pylist()]])
+        order = np.argsort(h)
+        return h[order], many[order]
 
     def send(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         group = Group(table)
-        numbers, bucket, seen, _ = distinct_segments(group, shared_hashes(known), buckets)
+        numbers, bucket, seen = distinct_segments(group, *shared_hashes(known), buckets)
         low, high = np.full(len(numbers), LAST), np.full(len(numbers), np.iinfo(np.int64).min)
         np.minimum.at(low, seen[:, 0], group.doc[seen[:, 2]])
         np.maximum.at(high, seen[:, 0], group.doc[seen[:, 2]])
@@ -338,9 +377,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         """``known``: the group's shared hashes and the runs of its segments."""
         group = Group(table)
-        hashes = known.filter(pc.is_valid(known["hashes"])).select(["hashes"])
+        hashes = known.filter(pc.is_valid(known["hashes"])).select(["hashes", "crowded"])
         runs = known.filter(pc.is_valid(known["segment"]))
-        _, _, seen, _ = distinct_segments(group, shared_hashes(hashes), buckets)
+        _, _, seen = distinct_segments(group, *shared_hashes(hashes), buckets)
         column = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in runs[name].to_pylist()]])
         segment, begin, end, least = column("segment", np.int32), column("begin", np.int32), column("end", np.int32), column("least", np.int64)
         order = np.argsort(segment, kind="stable")
@@ -365,8 +404,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at += len(t)
         return pa.table({"id": group.ids, "n_bytes": pa.array([len(t) for t in group.texts], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
-    asked = by_group.applyInArrow(tell, "b long, g long, hashes binary, many binary")
-    shared = asked.groupBy("b").applyInArrow(answer, "g long, hashes binary")
+    asked = by_group.applyInArrow(tell, "b long, g long, hashes binary, marks binary")
+    shared = asked.groupBy("b").applyInArrow(answer, "g long, hashes binary, crowded binary")
     sent = by_group.cogroup(shared.groupBy("g")).applyInArrow(send, "b long, g long, low binary, high binary, sizes binary, texts binary, numbers binary")
     runs = sent.groupBy("b").applyInArrow(sort, "g long, segment binary, begin binary, end binary, least binary")
     known = shared.unionByName(runs, allowMissingColumns=True)
