@@ -6,12 +6,13 @@ string, and each block starts at a byte. Footer, all little-endian: byte offset
 doc id (i64), null flag (u8) and id count (u64) of each document; then blocks, documents, ids a
 block, ids and bits (5 x u64) and the magic bytes. Readers find any id by its block's offset.
 
-Files are written in the shared folder in ascending doc_id order, one a task, under a name of the
-attempt and then renamed, so a task that runs again leaves one whole file. They are read back with
+Files are written in the shared folder in ascending doc_id order, under a name of the attempt and then
+renamed, so a task that runs again leaves whole files only. A task begins a new file after
+``FILE_BYTES``, so a file holds little more than that and one document. They are read back with
 Spark's binaryFile source.
 
 Defined results: a null text is an empty document (the end id only); null ids come first; repeated
-ids are separate documents in the order of their texts; an empty table writes no file and gives no
+ids are separate documents in the order of a hash of their texts; an empty table writes no file and gives no
 rows. Only the id and text columns are read.
 """
 
@@ -32,6 +33,8 @@ from localmarkets.shared import cut, shared_path
 
 MAGIC = b"BITIDS01"
 BLOCK_IDS = 1 << 16
+#: Packed bytes after which a task begins a new file.
+FILE_BYTES = 16 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -45,7 +48,7 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     return np.packbits(spread.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
-def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     if bits in (8, 16, 32):
         return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint32)
     flat = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * bits].reshape(n, bits)
@@ -96,8 +99,8 @@ class Writer:
 
 
 class Reader:
-    def __init__(self, data: bytes):
-        if data[-8:] != MAGIC:
+    def __init__(self, data: bytes | memoryview):
+        if bytes(data[-8:]) != MAGIC:
             raise ValueError("not a token file")
         blocks, docs, self.block_ids, self.n, self.bits = np.frombuffer(data[-48:-8], "<u8").astype(np.int64).tolist()
         at = len(data) - 48 - blocks * 8 - docs * 17
@@ -117,26 +120,38 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files and return their list: part, file, n_docs, n_ids, before (ids of all earlier files)."""
+def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the files and return their list: part (in order), file, n_docs, n_ids, before (ids of all earlier files)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         filesystem, folder = _filesystem(path)
         filesystem.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{task.partitionId():06d}.ids"
-        trial, writer = f"{folder}/_try-{task.taskAttemptId()}", None
+        trial, writer, number = f"{folder}/_try-{task.taskAttemptId()}", None, 0
+
+        def ended_file() -> pa.RecordBatch:
+            part = task.partitionId() << 24 | number
+            name = f"part-{part:016d}.ids"
+            writer.close()
+            writer.stream.close()
+            if filesystem.get_file_info(f"{folder}/{name}").is_file:  # of an attempt whose list was lost
+                filesystem.delete_file(f"{folder}/{name}")
+            filesystem.move(trial, f"{folder}/{name}")
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
+
         for docs, ids, counts in encoded(batches, vocabulary):
             if writer is None:
                 writer = Writer(filesystem.open_output_stream(trial), width(max(end_id + 1, encoder(vocabulary).tokenizer.get_vocab_size())))
             writer.add(docs.to_pylist(), *ended(ids, counts, end_id))
+            if writer.at >= file_bytes:
+                yield ended_file()
+                writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            writer.stream.close()
-            filesystem.move(trial, name)
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "file": [Path(name).name], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
+            yield ended_file()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    # The hash deals the rows of one id, or of none, to more than one task.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     files = cut(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-file-list")
     # One row a file.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -149,7 +164,7 @@ def read_tokens(spark, path: str, files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0), b.column(1), strict=True):
-                file = Reader(data.as_buffer().to_pybytes())
+                file = Reader(memoryview(data.as_buffer()))
                 starts = np.concatenate([[0], np.cumsum(file.counts)])
                 for at in range(0, len(file.docs), 4096):
                     few = slice(at, min(at + 4096, len(file.docs)))
