@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations and joins on node keys (minima are combined before the shuffle, and
-a node with very many neighbours is split by the adaptive skew join); rounds are cut by tables in
-the shared folder. The number of rounds grows with the logarithm of the longest path.
+Each round is two aggregations and joins on node keys: minima are combined before the shuffle, and the
+least neighbours of hubs (nodes with more than a share of all edges, so there are few) are broadcast to
+the hubs' edges instead of bringing these edges to one task. Rounds are cut by tables in the shared
+folder, each removed when the next is written. The number of rounds grows with the logarithm of the
+longest path.
 """
 
 from __future__ import annotations
@@ -10,20 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from localmarkets.shared import cut
+from localmarkets.shared import cut_at, remove
 
+#: A hub has more than 2**-HUB_BITS of all edges, and more than HUB_EDGES.
+HUB_BITS, HUB_EDGES = 10, 256
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
+def _with_least(rows: DataFrame, edges: int) -> DataFrame:
+    """u, v, m: each edge with the least v of its u."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    many = F.col("n") > max(HUB_EDGES, edges >> HUB_BITS)
+    hubs = F.broadcast(least.where(many).select("u", "m"))  # fewer than 2 * 2**HUB_BITS rows, as ``rows`` has each edge twice at most
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+def _large_star(now: DataFrame, edges: int) -> DataFrame:
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _with_least(both, edges).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+
+
+def _small_star(now: DataFrame, edges: int) -> DataFrame:
+    down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
+    told = _with_least(down, edges)
+    moved = told.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(told.where("v = m").select("u", "v")).distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,14 +43,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Nodes without an edge to another node don't appear; edges with a null end and loops are ignored.
     """
-    now = cut(edges.select("u", "v").where("u <> v"), "edges")
-    told = None
+    now, path = cut_at(edges.select("u", "v").where("u <> v"), "edges")
+    told, n = None, now.count()
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)), "stars")
+        before = path
+        now, path = cut_at(_small_star(_large_star(now, n), n), "stars")
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        remove(edges.sparkSession, before)
         if told == (state.n, state.x):
             break
-        told = (state.n, state.x)
+        told, n = (state.n, state.x), state.n
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
