@@ -48,7 +48,8 @@ def directory(hashes: DataFrame, total: int, capacity: int = BUCKET_BYTES, max_d
     up = sizes.select("prefix", "bytes", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("d"))
     up = up.select("prefix", "bytes", "d", F.expr(f"shiftright(prefix, {max_depth} - d)").alias("ancestor"))
     full = up.groupBy("d", "ancestor").agg(F.sum("bytes").alias("held")).where(F.col("held") > capacity).select("d", "ancestor", F.lit(1).alias("split"))
-    depths = up.join(full, ["d", "ancestor"], "left").groupBy("prefix").agg(F.count("split").cast("int").alias("depth"))
+    # There are 2**d ancestors at depth d, so fewer than 2**max_depth in all.
+    depths = up.join(F.broadcast(full), ["d", "ancestor"], "left").groupBy("prefix").agg(F.count("split").cast("int").alias("depth"))
     return depths.select("prefix", F.expr(f"shiftleft(shiftright(prefix, {max_depth} - depth), {max_depth} - depth)").alias("bucket"), "depth")
 
 
