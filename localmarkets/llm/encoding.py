@@ -3,13 +3,15 @@
 The pre-tokenizers of both vocabularies always cut where white space begins after other text and
 where ASCII punctuation follows a letter. The ids of a text are therefore the ids of the stretches
 between these places, joined. The distinct stretches of a batch go through the tokenizer once, and
-a worker remembers a bounded number of them. Texts with white space outside ASCII, where runs of
-both kinds could meet, go through the tokenizer whole.
+a worker remembers a bounded number of bytes of them. Texts with white space outside ASCII, where
+runs of both kinds could meet, go through the tokenizer whole. Spark's tasks are the parallel part:
+a worker's tokenizer runs in one thread, so it keeps no thread's memory beside the task's.
 """
 
 from __future__ import annotations
 
 import ctypes
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -17,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches that a worker remembers (about 60 MB); beyond that, new ones are encoded for their batch only.
-REMEMBERED = 300_000
-#: Bytes of text that are encoded at a time.
-BATCH_BYTES = 4 << 20
+#: Bytes that a worker's remembered stretches may take; beyond that, new ones are encoded for their batch only.
+REMEMBERED_BYTES = 16 << 20
+#: Bytes that a remembered stretch takes besides its own: its object, its number, its place in the table and its ids.
+ENTRY_BYTES = 180
+#: Bytes of text that are looked at, and that are encoded, at a time.
+BATCH_BYTES, ENCODED_BYTES = 2 << 20, 1 << 20
 #: Stretches in one call's text.
 JOINED = 2000
 
@@ -31,6 +35,7 @@ _LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
 
 
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at the first call
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -79,7 +84,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.first = np.zeros(1 << 20, np.uint32), [0]
+        self.held = 0
+        # Ids of the remembered stretches one after another, and where each begins.
+        self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
     def _alone(self, units: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
@@ -107,27 +114,40 @@ class Encoder:
             out[i] = x
         return out
 
+    def _remember(self, units: list[bytes], made: list[np.ndarray]) -> None:
+        """Keeps the first of the stretches for which there is room."""
+        held = self.held + np.cumsum([ENTRY_BYTES + len(u) for u in units])
+        room = int(np.searchsorted(held, REMEMBERED_BYTES, side="right"))
+        if not room:
+            return
+        self.held = int(held[room - 1])
+        n, sizes = len(self.known), np.array([len(x) for x in made[:room]])
+        used, bounds = int(self.first[n]), self.first[n] + np.cumsum(sizes)
+        if bounds[-1] > len(self.flat):
+            self.flat = np.append(self.flat[:used], np.zeros(int(bounds[-1]) * 5 // 4 - used, np.uint32))
+        if n + room >= len(self.first):
+            self.first = np.append(self.first[: n + 1], np.zeros((n + room) * 5 // 4 - n, np.int64))
+        self.flat[used : bounds[-1]] = np.concatenate(made[:room])
+        self.first[n + 1 : n + room + 1] = bounds
+        self.known.update(zip(units[:room], range(n, n + room), strict=True))
+
     def _numbers(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, first, count) for the stretches in order."""
-        get = self.known.get
+        get, n = self.known.get, len(self.known)
         at = np.array([get(u, -1) for u in units], np.int64)
-        new = np.flatnonzero(at < 0)
-        first = np.array(self.first, np.int64) if not len(new) else None
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        first, count = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        first[old] = self.first[at[old]]
+        count[old] = self.first[at[old] + 1] - first[old]
+        flat = self.flat[: self.first[n]]
         if len(new):
-            made = self._encode_units([units[i] for i in new])
-            used, sizes = self.first[-1], [len(x) for x in made]
-            flat = np.concatenate(made) if made else np.zeros(0, np.uint32)
-            while used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[used : used + len(flat)] = flat
-            bounds = (used + np.cumsum(sizes)).tolist()
-            n = len(self.first) - 1
-            at[new] = np.arange(n, n + len(new))
-            first = np.array(self.first + bounds, np.int64)
-            room = REMEMBERED - n
-            self.known.update((units[i], n + k) for k, i in enumerate(new[: max(0, room)].tolist()))
-            self.first += bounds[: max(0, room)]
-        return self.flat, first[at], first[at + 1] - first[at]
+            own = [units[i] for i in new]
+            made = self._encode_units(own)
+            count[new] = [len(x) for x in made]
+            first[new] = len(flat) + np.cumsum(count[new]) - count[new]
+            flat = np.concatenate([flat, *made])
+            self._remember(own, made)
+        return flat, first, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
@@ -179,7 +199,14 @@ def tidy() -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text_col: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into parts of about ``most`` bytes of text."""
+    """The batches, cut into parts of about ``most`` bytes of text. Operators that need no tokenizer let go of the worker's."""
+    _ENCODERS.clear()
+    tidy()
+    yield from _parts(batches, text_col, most)
+    tidy()
+
+
+def _parts(batches: Iterable[pa.RecordBatch], text_col: int, most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total, at = np.cumsum(sizes), 0
@@ -187,11 +214,11 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: int = 1, most: int = BAT
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
             yield b.slice(at, end - at)
             at = end
-    tidy()
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc ids, all ids, ids of each text) for parts of the batches (id, text)."""
-    for b in slices(batches):
+    for b in _parts(batches, 1, ENCODED_BYTES):
         ids, counts = encoder(path).encode(b.column(1))
         yield b.column(0), ids, counts
+    tidy()

@@ -10,7 +10,11 @@ In a bucket (texts with one key) each text is compared with the bucket's leader,
 bucket to bucket. After that, each text outside the leader's component is compared with all texts
 of the bucket that are not of its own component. So each two texts of a bucket are compared or
 already joined, and a large group of near copies costs its size, not the square of it; only texts
-that share a key with a large group and join none of it cost its size each.
+that share a key with a large group and join none of it are each held against all of it. That is done
+by sketches inside the join, so that only pairs which are near by their sketches leave it: the sketch
+of a set of at most ``SKETCH`` shingles is the whole set, so nothing else passes and nothing is lost;
+of a larger set it is the shingles under a bound of the hash, more than SKETCH / 2 on average, and the
+similarity that they must show is ``SLACK`` lower (over four standard deviations).
 
 Defined results: texts without a word have no shingles and are joined by their fingerprint only;
 null ids take part in nothing; texts with equal sets of shingles are joined without a comparison.
@@ -35,6 +39,8 @@ from localmarkets.shared import cut
 BANDS, ROWS = 24, 5
 #: Shingles whose values under all functions are held at a time.
 HELD = 256
+#: Shingles of a sketch at most, on average, and by how much a sampled sketch may fall short of the similarity.
+SKETCH, SLACK = 512, 0.12
 #: Sets of shingles that a task remembers while it compares pairs.
 REMEMBERED = 64
 
@@ -50,6 +56,13 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """(level, low halves of the hashes under 2 ** (64 - level)) of a set of shingle hashes."""
+    level = max(0, int(np.ceil(np.log2(max(len(shingles), 1) / SKETCH))))
+    own = shingles if not level else shingles[shingles < np.uint64(1 << (64 - level))]
+    return level, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id, fp, own (hash of the set of shingles; null without shingles), keys; rows with an id only."""
 
@@ -65,8 +78,23 @@ def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
             columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "own", "keys"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(marked, "id long, fp long, own long, keys array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(marked, "id long, fp long, own long, keys array<long>")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """id, level, sketch of each of ``texts`` (id, text)."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [sketch(np.unique(shingle_hashes(t or "", words))) for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([level for level, _ in made], pa.int32()), pa.array([values for _, values in made], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "level", "sketch"])
+
+    return texts.mapInArrow(sketched, "id long, level int, sketch array<int>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,9 +102,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose texts have a similarity of ``least`` or more."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text"))
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts (id, text) have a similarity of ``least`` or more."""
+    texts = texts.withColumnRenamed("id", "i")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -122,19 +150,27 @@ def _components(marked: DataFrame, docs: DataFrame, words: int, most: int, least
     leaders = leaders.where("n > 1").select("key", F.col("leader").bitwiseXOR(F.col("key")).alias("leader"))
     buckets = cut(dealt.join(leaders, "key").select("key", "id", "leader"), "near-buckets")
 
+    # Only the texts of documents that share a key are looked at again.
+    texts = cut(_texts(docs, id_col, text_col).join(buckets.select("id").distinct(), "id", "left_semi"), "near-texts")
+
     stars = buckets.where("id <> leader").select(*_ordered(F.col("id"), F.col("leader"))).distinct()
-    edges = cut(joined.unionByName(verified(stars, docs, words, least, id_col, text_col)), "near-edges")
+    edges = cut(joined.unionByName(verified(stars, texts, words, least)), "near-edges")
     found = connected_components(edges)
 
     named = found.select(F.col("node").alias("id"), "component")
     labelled = buckets.join(named, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("c"))
     heads = named.select(F.col("id").alias("leader"), F.col("component").alias("head"))
     labelled = cut(labelled.join(heads, "leader", "left").select("key", "id", "c", F.coalesce("head", "leader").alias("head")), "near-labels")
-    others = labelled.where("c <> head")
-    every = labelled.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), "head")
-    rest = others.select("key", "id", "c").join(every, "key").where("c <> c2 AND (c2 = head OR id < id2)")
+    # Buckets that hold more than one component, with the sketches of their texts.
+    open_ = labelled.join(labelled.where("c <> head").select("key").distinct(), "key", "left_semi")
+    sketches = _sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), words)
+    open_ = cut(open_.join(sketches, "id"), "near-open")
+    other = open_.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "c", "level", "sketch")])
+    pair = "c <> head AND c <> c2 AND (c2 = head OR id < id2) AND (level <> level2 OR size(array_intersect(sketch, sketch2)) + 1 >= (size(sketch) + size(sketch2)) * IF(level = 0, {}, {}))"
+    shares = [x / (1 + x) for x in (least, least - SLACK)]  # of both sizes, that two sets of this similarity have in common
+    rest = open_.join(other, "key").where(pair.format(*shares))
     rest = cut(rest.select(*_ordered(F.col("id"), F.col("id2"))).distinct().join(stars, ["u", "v"], "left_anti"), "near-rest")
-    more = cut(verified(rest, docs, words, least, id_col, text_col), "near-more")
+    more = cut(verified(rest, texts, words, least), "near-more")
     if not more.head(1):
         return found
     return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
