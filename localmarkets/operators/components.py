@@ -18,24 +18,26 @@ from localmarkets.shared import cut_at, remove
 HUB_BITS, HUB_EDGES = 10, 256
 
 
-def _with_least(rows: DataFrame, edges: int) -> DataFrame:
-    """u, v, m: each edge with the least v of its u."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    many = F.col("n") > max(HUB_EDGES, edges >> HUB_BITS)
-    hubs = F.broadcast(least.where(many).select("u", "m"))  # fewer than 2 * 2**HUB_BITS rows, as ``rows`` has each edge twice at most
-    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
-
-
-def _large_star(now: DataFrame, edges: int) -> DataFrame:
+def _large_star(now: DataFrame, edges: int) -> tuple[DataFrame, str]:
+    """The edges after the step, and the table of least neighbours that they are read from."""
     both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, edges).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    least, path = cut_at(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    many = F.col("n") > max(HUB_EDGES, edges >> HUB_BITS)
+    above = both.where("v > u")
+    if least.where(many).isEmpty():
+        told = above.join(least.select("u", "m"), "u")
+    else:
+        hubs = F.broadcast(least.where(many).select("u", "m"))  # fewer than 2 * 2**HUB_BITS rows, as each edge is there twice
+        told = above.join(hubs, "u").unionByName(above.join(hubs.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
+    return told.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), path
 
 
-def _small_star(now: DataFrame, edges: int) -> DataFrame:
-    down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    told = _with_least(down, edges)
-    moved = told.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(told.where("v = m").select("u", "v")).distinct()
+def _small_star(edges: DataFrame) -> DataFrame:
+    """After a large star a node has an edge to each other least neighbour of its neighbours, so it is no hub."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -46,10 +48,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, path = cut_at(edges.select("u", "v").where("u <> v"), "edges")
     told, n = None, now.count()
     for _ in range(rounds):
-        before = path
-        now, path = cut_at(_small_star(_large_star(now, n), n), "stars")
+        large, least = _large_star(now, n)
+        past = [path, least]
+        now, path = cut_at(_small_star(large), "stars")
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        remove(edges.sparkSession, before)
+        for old in past:
+            remove(edges.sparkSession, old)
         if told == (state.n, state.x):
             break
         told, n = (state.n, state.x), state.n
