@@ -35,7 +35,7 @@ PARTNERS = (0, 1, 4)
 #: Steps of the fit.
 ROUNDS = 400
 #: Pieces of one length that a task ranks, so that a length that many pieces share is ranked by many tasks.
-RANKED = 8192
+RANKED = 1024
 
 #: Length, how many of it in a row.
 Part = tuple[int, int]

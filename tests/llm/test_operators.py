@@ -242,6 +242,28 @@ def test_near_copies_by_similarity(spark):
     assert near.keep_one(docs.limit(0)).count() == 0
 
 
+def test_sketches_are_sets_or_their_share():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, near.SKETCH, near.SKETCH + 1, 5000):
+        some = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        level, own = near.sketch(some)
+        assert (level == 0) == (n <= near.SKETCH)
+        assert len(own) == len(some) if not level else near.SKETCH / 2 * 0.7 < len(own) < near.SKETCH * 1.3
+
+
+def test_near_copies_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    vocabulary, rows = [f"w{k}" for k in range(5000)], []
+    for length in (700, 3000):
+        base = rng.choice(vocabulary, length).tolist()
+        for share in (0, 0.01, 0.02, 0.03, 0.035, 0.04, 0.06, 0.1):
+            rows.append((len(rows), " ".join(w if rng.random() >= share else f"x{rng.integers(3)}" for w in base)))
+    want, _ = brute_near(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r.node: r.component for r in near.near_components(docs).collect()}
+    assert {i: told.get(i, i) for i in want} == want and len(set(want.values())) > 4
+
+
 # --- 3 and 4 ---
 def test_quality_is_held_out(spark):
     sf = "/root/testdata/sf0.01"
