@@ -74,3 +74,8 @@ def trust_layer(status: Column, confidence: Column, call_first: Column) -> Colum
 
 def source_trust_label(trust: Column) -> Column:
     return F.when(trust >= 0.7, "hoej").when(trust >= 0.55, "god").when(trust >= 0.45, "middel").otherwise("faellesskab")
+
+
+# What a place's status and the visibility of its address may be, the most open first.
+STATUSES = ["confirmed_active", "recently_observed", "active_online", "sporadic", "call_first", "unverified", "possibly_inactive", "historical", "rejected"]
+VISIBILITIES = ["fuld", "omraade", "kun-aabningsdage", "kontakt-kraeves", "intern", "ikke-offentlig"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from localmarkets.functions import dates, facts, geo, scores
 from localmarkets.functions import text as T
+from localmarkets.shared import cut
 
 HORIZON = 365
 
@@ -134,6 +135,16 @@ def explore_order(f: Filters) -> list[Column]:
     return [F.col("next_date"), few, F.desc("confidence"), F.col("k")]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their place (from 1) in an order over all of them, by ranges of it: no task holds more than its range."""
+    part = f"{name}_part"
+    dealt = cut(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(name, own.cast("long")).join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col("before")).drop(part, "before")
+
+
 def fallback_suggestions(rows: DataFrame, f: Filters, today: str, most: int = 3) -> DataFrame:
     """When a filter state shows nothing: the same facets over 45 days and without the radius, the first ``most``."""
     shown = explore(rows, f, today).limit(1).agg(F.count("*").alias("shown"))

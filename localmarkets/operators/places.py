@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from localmarkets.functions import geo, scores
 from localmarkets.functions import text as T
-from localmarkets.views import STATUSES, VISIBILITIES
+from localmarkets.functions.scores import STATUSES, VISIBILITIES
 
 HUMAN = ["user_visit", "phone_verification", "operator_review"]
 EXPOSURE = {v: 5 - i for i, v in enumerate(VISIBILITIES)}  # how much a visibility shows

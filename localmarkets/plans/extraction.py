@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localmarkets.functions import dates as D
@@ -110,10 +110,18 @@ def strip_feed_chrome(text):
     return F.trim(F.regexp_replace(T.squeeze(out), r"^[^\p{L}\p{N}]+", ""))
 
 
-@query("T32_strip_feed_chrome", "SELECT k, 'Anna ' || regexp_replace(text, '^[^a-zA-Z0-9æøåÆØÅ]+', '') AS text FROM v_text WHERE text NOT LIKE 'Book din%'")
+@query("T32_strip_feed_chrome", "SELECT k, 'Anna ' || regexp_replace(regexp_replace(text, '^[^a-zA-Z0-9æøåÆØÅ]+', ''), '^Book ', '') AS text FROM v_text")  # "Book" is a button's word
 def _(spark, d):
     noisy = F.concat(F.lit("• 3 Public group 1,2k members Anna July 2 at 8:11PM "), c("text"), F.lit(" • Share"))
-    return view(spark, d, "v_text").where("text not like 'Book din%'").select("k", strip_feed_chrome(noisy).alias("text"))
+    return view(spark, d, "v_text").select("k", strip_feed_chrome(noisy).alias("text"))
+
+
+def code_label(code: Column, labels: list[tuple[int, int, str]], other: str = "unknown") -> Column:
+    """The label of the range (first, last, label) that a code is in."""
+    out = F.lit(other)
+    for low, high, label in reversed(labels):
+        out = F.when(code.between(low, high), label).otherwise(out)
+    return out
 
 
 # Labels of weather codes by range.
@@ -122,9 +130,7 @@ WEATHER = [(0, 0, "clear"), (1, 3, "clouds"), (45, 48, "fog"), (51, 67, "rain"),
 
 @query("T40_code_label", "SELECT event_id, CASE " + " ".join(f"WHEN event_id % 100 BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in WEATHER) + " ELSE 'unknown' END AS label FROM events")
 def _(spark, d):
-    table = spark.createDataFrame(WEATHER, "low long, high long, label string")
-    rows = view(spark, d, "events").select("event_id", (c("event_id") % 100).alias("code"))
-    return rows.join(F.broadcast(table), c("code").between(c("low"), c("high")), "left").select("event_id", F.coalesce("label", F.lit("unknown")).alias("label"))
+    return view(spark, d, "events").select("event_id", code_label(c("event_id") % 100, WEATHER).alias("label"))
 
 
 @query("T42_extract_postal_town", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '5000 Odense' END AS town FROM pages")
@@ -147,8 +153,7 @@ def _(spark, d):
 WITH {Q_MINED}, r AS (SELECT domain, row_number() OVER (ORDER BY mentions DESC, domain) AS n FROM m), t AS (SELECT k, {q_domain('contact_website')} AS domain, title FROM v_raw)
 SELECT k, t.domain || '-' || k AS source_event_id, 3e-1 AS trust FROM t JOIN r ON r.domain = t.domain WHERE n <= 30 AND regexp_matches(title, 'marked', 'i')""")
 def _(spark, d):
-    # A row a domain is ranked, not a row a listing.
-    top = mined(spark, d).withColumn("n", F.row_number().over(Window.orderBy(F.desc("mentions"), "domain"))).where("n <= 30").select("domain")
+    top = mined(spark, d).orderBy(F.desc("mentions"), "domain").limit(30).select("domain")
     rows = view(spark, d, "v_raw").withColumn("domain", T.normalize_domain(c("contact_website"))).where(c("title").rlike("(?i)marked"))
     return rows.join(top, "domain").select("k", F.concat("domain", F.lit("-"), c("k").cast("string")).alias("source_event_id"), F.lit(0.3).alias("trust"))
 

@@ -70,7 +70,7 @@ def _(spark, d):
     return rows.select("k", facts.cash_only(c("cash"), c("pay")).alias("cash_only"))
 
 
-@query("X3_booking_url", f"SELECT k, CASE WHEN {_text} LIKE 'Book din stand%' THEN 'https://boerneloppen.dk/book' END AS url FROM v_text")
+@query("X3_booking_url", f"SELECT k, CASE WHEN {_text} LIKE 'Book din stand%' THEN 'https://example.com/book' END AS url FROM v_text")
 def _(spark, d):
     return view(spark, d, "v_text").select("k", facts.booking_url(c("text")).alias("url"))
 
@@ -177,8 +177,7 @@ SELECT k, row_number() OVER (ORDER BY round(km, 9) NULLS LAST, next_date, n_days
 def _(spark, d):
     f = Q.Filters(family=True, position=HERE)
     rows = Q.explore(upcoming(spark, d), f, TODAY).withColumn("km", F.round("km", 9))
-    # A place by day group: the order itself is written with orderBy; here it is shown as a number.
-    return rows.select("k", F.row_number().over(Window.orderBy(*Q.explore_order(f))).cast("long").alias("place"))
+    return Q.numbered(rows, Q.explore_order(f), "place").select("k", "place")
 
 
 @query("Q6_fallback_suggestions", f"""

@@ -12,7 +12,8 @@ from localmarkets.functions import text as T
 from localmarkets.operators import places as P
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import q_phone, q_profile, q_street, q_title, q_tokens
-from localmarkets.views import STATUSES, VISIBILITIES, view, with_views
+from localmarkets.functions.scores import STATUSES, VISIBILITIES
+from localmarkets.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from localmarkets.functions.scores import STATUSES, VISIBILITIES
 from localmarkets.shared import table
 
 #: The day that listings are looked at, and a position.
@@ -23,17 +24,17 @@ SENTENCES = [
     "Markedet aflyses ikke ved regn, kun i godt vejr",
     "Bagagerumsmarked hver søndag 9-14, ingen parkering på pladsen",
     "Julemarked i forsamlingshuset med æbleskiver og kaffe",
-    "Entré 30 kr, børn gratis. Der er toiletter i hallen",
+    "Entré 30 kr for voksne, og hallen har toiletter",
     "Antikmarked indendørs i sportshallen, voksne 40 kr",
     "Gårdloppemarked på Bagvejen 12, 8600 Silkeborg",
     "Kun kontant betaling, medbring kontanter",
-    "Betal nemt med MobilePay eller kontanter",
+    "Vi tager både MobilePay og kontanter",
     "Salg af møbler, lamper, keramik og gamle bøger",
     "Vinyl, LP plader, legetøj og lego til billige penge",
     "Hoppeborge og ansigtsmaling for de små",
     "Hallen er handicapvenlig med plads til kørestole",
     "Aflyses ved regn eller dårligt vejr",
-    "Book din stand via boerneloppen.dk/book senest fredag",
+    "Book din stand via example.com/book senest fredag",
     "Åbent hver anden søndag fra 10 til 15",
     "Første lørdag i måneden kl. 10.00-15.30",
     "Sidste søndag i måneden hele sommeren",
@@ -81,8 +82,6 @@ WEEK_HOURS = [
     "Mo-Fr 10:00-17:30", "Mo,We,Fr 10:00-14:00", "Mo 10:00-12:00,13:00-17:00", "24/7", "Mo-Sa 09:00-18:00; Su off", "Fr-Mo 12:00-00:00",
     "PH off", "Mo-Su 08:00-20:00; We 10:00-12:00", "Apr-Sep Mo-Fr 10:00-16:00", "closed", None, "", "Sa 10:00-14:00; PH off; Sa 11:00-13:00", "nonsense", "10:00-16:00",
 ]
-STATUSES = ["confirmed_active", "recently_observed", "active_online", "sporadic", "call_first", "unverified", "possibly_inactive", "historical", "rejected"]
-VISIBILITIES = ["fuld", "omraade", "kun-aabningsdage", "kontakt-kraeves", "intern", "ikke-offentlig"]
 PLACE_TYPES = ["lade", "gaard", "garage", "dodsbo", "andet"]
 SOURCE_TYPES = ["facebook_post", "website", "user_visit", "phone_verification", "classified"]
 
