@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localmarkets.functions import geo
 from localmarkets.functions import text as T
+from localmarkets.operators import joins as J
 from localmarkets.operators import lifecycle as L
+from localmarkets.operators import rollups as U
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import Q_INDOOR, Q_OUTDOOR, q_domain, q_free, q_has, q_in_out, q_stalls, q_title
 from localmarkets.shared import shared_path
@@ -39,14 +41,13 @@ def query(name: str, sql: str | None = None) -> Callable:
 # --- aggregations ---
 @query("A1_source_rollup", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, max(l_shipdate) AS newest FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
-    return view(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("sources"), F.max("l_shipdate").alias("newest"))
+    return U.source_rollup(view(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_shipdate")
 
 
 @query("A2_active_sources", "SELECT s_suppkey, s_name, count(DISTINCT l_orderkey) AS events FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linestatus = 'O' GROUP BY ALL")
 def _(spark, d):
-    counts = view(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("n"))
-    rows = view(spark, d, "supplier").join(counts, c("s_suppkey") == c("l_suppkey"), "left")
-    return rows.select("s_suppkey", "s_name", F.coalesce("n", F.lit(0).cast("long")).alias("events")).orderBy(F.desc("events"), "s_name")
+    links = view(spark, d, "lineitem").where("l_linestatus = 'O'").withColumnRenamed("l_suppkey", "s_suppkey")
+    return U.active_sources(view(spark, d, "supplier"), links, "s_suppkey", "s_name", "l_orderkey")
 
 
 Q_MINED = f"""d AS (SELECT k, {q_domain('contact_website')} AS domain, title, source_key FROM v_raw WHERE contact_website IS NOT NULL),
@@ -82,42 +83,38 @@ def _(spark, d):
 
 @query("A8_summarize_reviews", "SELECT user_id % 50 AS place, count(*) AS n, floor(avg(rating) * 10 + 5e-1) / 10 AS mean FROM (SELECT user_id, CAST(event_id % 7 AS INT) AS rating FROM events) x WHERE rating BETWEEN 1 AND 5 GROUP BY 1")
 def _(spark, d):
-    rows = view(spark, d, "events").select((c("user_id") % 50).alias("place"), (c("event_id") % 7).cast("int").alias("rating")).where("rating between 1 and 5")
-    return rows.groupBy("place").agg(F.count("*").alias("n"), (F.floor(F.avg("rating") * 10 + 0.5) / 10).alias("mean"))
+    rows = view(spark, d, "events").select((c("user_id") % 50).alias("place"), (c("event_id") % 7).cast("int").alias("rating"))
+    return U.summarize_reviews(rows, "place", "rating")
 
 
 @query("A10_pipeline_stats", "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 250000) AS large FROM orders GROUP BY 1")
 def _(spark, d):
-    return view(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(c("o_totalprice") > 250000).alias("large"))
+    return U.pipeline_stats(view(spark, d, "orders"), "o_orderstatus", large=c("o_totalprice") > 250000)
 
 
 @query("A11_latest_update", "SELECT greatest(max(ts) FILTER (WHERE event_type = 'purchase'), max(ts) FILTER (WHERE event_type = 'view')) AS latest FROM events")
 def _(spark, d):
-    newest = lambda t: F.max(F.when(c("event_type") == t, c("ts")))
-    return view(spark, d, "events").agg(F.greatest(newest("purchase"), newest("view")).alias("latest"))
+    of = lambda t: F.when(c("event_type") == t, c("ts"))
+    return U.latest_update(view(spark, d, "events"), of("purchase"), of("view"))
 
 
 @query("A14_new_share_guard", "SELECT o_orderkey, CASE WHEN (SELECT avg(CAST(o_orderdate >= TIMESTAMP '1998-01-01' AS INT)) FROM orders) > 4e-1 THEN false ELSE o_orderdate >= TIMESTAMP '1998-01-01' END AS fresh FROM orders")
 def _(spark, d):
     rows = view(spark, d, "orders").select("o_orderkey", (c("o_orderdate") >= "1998-01-01").alias("fresh"))
-    share = rows.agg(F.avg(c("fresh").cast("int")).alias("share"))  # one row
-    return rows.join(F.broadcast(share), F.lit(True)).select("o_orderkey", (c("fresh") & ~(c("share") > 0.4)).alias("fresh"))
+    return U.new_share_guard(rows, "fresh")
 
 
 @query("L15_newly_added", "SELECT k, DATE '2026-07-03' - last_seen < 10 AND (SELECT avg(CAST(DATE '2026-07-03' - last_seen < 10 AS INT)) FROM v_raw) <= 4e-1 AS fresh FROM v_raw")
 def _(spark, d):
-    rows = view(spark, d, "v_raw").select("k", (F.datediff(today(), "last_seen") < 10).alias("fresh"))
-    share = rows.agg(F.avg(c("fresh").cast("int")).alias("share"))
-    return rows.join(F.broadcast(share), F.lit(True)).select("k", (c("fresh") & (c("share") <= 0.4)).alias("fresh"))
+    return U.newly_added(view(spark, d, "v_raw").select("k", "last_seen"), "last_seen", today()).select("k", "fresh")
 
 
 @query("A16_contributions_by_source", """
 WITH p AS (SELECT m, source_key, list(DISTINCT f ORDER BY f) AS fields FROM (SELECT m, source_key, unnest(list_filter([CASE WHEN street IS NOT NULL THEN 'street' END, CASE WHEN description IS NOT NULL THEN 'description' END, 'title'], lambda x: x IS NOT NULL)) AS f FROM v_raw) x GROUP BY 1, 2)
 SELECT m, source_key, array_to_string(fields, ',') AS fields FROM p""")
 def _(spark, d):
-    told = F.array_compact(F.array(F.when(c("street").isNotNull(), "street"), F.when(c("description").isNotNull(), "description"), F.lit("title")))
-    rows = view(spark, d, "v_raw").select("m", "source_key", F.explode(told).alias("f"))
-    return rows.groupBy("m", "source_key").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("fields"))
+    rows = view(spark, d, "v_raw")
+    return U.contributions_by_source(rows, "m", "source_key", ["street", "description", "title"])
 
 
 @query("A17_map_clusters", "SELECT CAST(floor(lat / 5e-1) AS BIGINT) AS y, CAST(floor(lng / 5e-1) AS BIGINT) AS x, count(*) AS n FROM v_raw GROUP BY 1, 2")
@@ -137,14 +134,14 @@ def _(spark, d):
 
 @query("J8_attach_source_links", "SELECT o_orderkey, l_linenumber, s_name, s_acctbal FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F'")
 def _(spark, d):
-    rows = view(spark, d, "orders").where("o_orderstatus = 'F'").join(view(spark, d, "lineitem"), c("o_orderkey") == c("l_orderkey"))
-    return rows.join(view(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).select("o_orderkey", "l_linenumber", "s_name", "s_acctbal")
+    orders = view(spark, d, "orders").where("o_orderstatus = 'F'")
+    rows = J.attach_source_links(orders, view(spark, d, "lineitem"), view(spark, d, "supplier"), ("o_orderkey", "l_orderkey"), ("l_suppkey", "s_suppkey"))
+    return rows.select("o_orderkey", "l_linenumber", "s_name", "s_acctbal")
 
 
 @query("J9_has_future_dates", "SELECT k, k IN (SELECT event_id FROM v_occ WHERE date >= DATE '2026-08-20') AS ahead FROM v_raw")
 def _(spark, d):
-    ahead = view(spark, d, "v_occ").where("date >= '2026-08-20'").select(c("event_id").alias("k")).distinct().withColumn("a", F.lit(True))
-    return view(spark, d, "v_raw").select("k").join(ahead, "k", "left").select("k", c("a").isNotNull().alias("ahead"))
+    return J.has_future_dates(view(spark, d, "v_raw").select("k"), view(spark, d, "v_occ"), F.lit("2026-08-20").cast("date"), "k")
 
 
 Q_GEO = """a AS (SELECT street, postcode, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM v_raw WHERE street IS NOT NULL AND k % 2 = 0 GROUP BY 1, 2),
@@ -157,62 +154,55 @@ WITH {Q_GEO} SELECT k, CASE WHEN a.lat BETWEEN 544e-1 AND 579e-1 AND a.lng BETWE
 FROM n LEFT JOIN a ON a.street = n.street AND a.postcode = n.postcode LEFT JOIN p ON p.postcode = n.postcode""")
 def _(spark, d):
     rows = view(spark, d, "v_raw")
-    point = lambda x, q: x.select("*", F.when(geo.in_denmark(c("lat0"), c("lng0")), F.struct(c("lat0").alias("lat"), F.lit(q).alias("q"))).alias(q)).drop("lat0", "lng0")
-    mean = lambda x, *keys: x.groupBy(*keys).agg(F.round(F.avg("lat"), 6).alias("lat0"), F.round(F.avg("lng"), 6).alias("lng0"))
-    exact = point(mean(rows.where("street is not null and k % 2 = 0"), "street", "postcode"), "A")
-    centre = point(mean(rows.where("k % 3 = 0"), "postcode"), "P")
-    found = rows.select("k", "street", "postcode").join(exact, ["street", "postcode"], "left").join(centre, "postcode", "left").withColumn("g", F.coalesce("A", "P"))
-    return found.select("k", c("g.q").alias("quality"), c("g.lat").alias("lat"))
+    mean = lambda x, *keys: x.groupBy(*keys).agg(*[F.round(F.avg(n), 6).alias(n) for n in ("lat", "lng")])
+    addresses, centres = mean(rows.where("street is not null and k % 2 = 0"), "street", "postcode"), mean(rows.where("k % 3 = 0"), "postcode")
+    return J.geocode_lookup(rows.select("k", "street", "postcode"), addresses, centres).select("k", "quality", "lat")
 
 
 @query("J11_centroid_fallback", "SELECT postcode, CASE WHEN bool_and(lat BETWEEN 544e-1 AND 579e-1 AND lng BETWEEN 78e-1 AND 153e-1) THEN 'centre' ELSE 'mean' END AS kind, round(avg(CASE WHEN lng >= 78e-1 THEN lat END), 6) AS lat FROM v_raw GROUP BY postcode")
 def _(spark, d):
-    inside = geo.in_denmark(c("lat"), c("lng"))
-    return view(spark, d, "v_raw").groupBy("postcode").agg(F.when(F.bool_and(inside), "centre").otherwise("mean").alias("kind"), F.round(F.avg(F.when(c("lng") >= 7.8, c("lat"))), 6).alias("lat"))
+    return J.centroid_fallback(view(spark, d, "v_raw"), "postcode", c("lng") >= 7.8)
 
 
 @query("J12_reverse_lookup", "WITH g AS (SELECT round(lat, 2) AS y, round(lng, 2) AS x, min(city) AS town FROM v_venues WHERE lat IS NOT NULL GROUP BY 1, 2) SELECT k, town FROM v_raw LEFT JOIN g ON y = round(lat, 2) AND x = round(lng, 2)")
 def _(spark, d):
-    places = view(spark, d, "v_venues").where("lat is not null").groupBy(F.round("lat", 2).alias("y"), F.round("lng", 2).alias("x")).agg(F.min("city").alias("town"))
-    rows = view(spark, d, "v_raw").select("k", F.round("lat", 2).alias("y"), F.round("lng", 2).alias("x"))
-    return rows.join(places, ["y", "x"], "left").select("k", "town")
+    return J.reverse_lookup(view(spark, d, "v_raw").select("k", "lat", "lng"), view(spark, d, "v_venues")).select("k", "town")
 
 
 @query("J16_hours_fill", "SELECT source_id, coalesce(nullif(trim(opening_hours_text), ''), CASE WHEN source_id % 2 = 0 THEN 'Sa 10:00-14:00' END) AS hours, coalesce(source_id % 7, 0) AS confirms FROM v_venues")
 def _(spark, d):
     rows = view(spark, d, "v_venues")
     curated = rows.where("source_id % 2 = 0").select("source_id", F.lit("Sa 10:00-14:00").alias("own"))
-    counts = rows.select("source_id", (c("source_id") % 7).alias("confirms"))
-    filled = F.coalesce(F.nullif(F.trim("opening_hours_text"), F.lit("")), "own")
-    return rows.join(curated, "source_id", "left").join(counts, "source_id", "left").select("source_id", filled.alias("hours"), F.coalesce("confirms", F.lit(0)).alias("confirms"))
+    return J.fill_hours(rows, curated, rows.select("source_id", (c("source_id") % 7).alias("confirms")), "source_id")
 
 
 @query("J17_grid_weather_join", """
 WITH f AS (SELECT y, x, date, CAST((y + x + day(date)) % 10 AS INT) * 10 AS rain FROM (SELECT DISTINCT CAST(floor(lat / 5e-1) AS BIGINT) AS y, CAST(floor(lng / 5e-1) AS BIGINT) AS x, start_date AS date FROM v_raw WHERE k % 5 < 3) z)
 SELECT k, rain, rain >= 50 AS warn FROM v_raw JOIN f ON y = CAST(floor(lat / 5e-1) AS BIGINT) AND x = CAST(floor(lng / 5e-1) AS BIGINT) AND f.date = start_date WHERE indoor_outdoor IN ('outdoor', 'mixed')""")
 def _(spark, d):
-    rows = view(spark, d, "v_raw").withColumns({"y": geo.cell(c("lat"), 0.5), "x": geo.cell(c("lng"), 0.5)})
-    forecast = rows.where("k % 5 < 3").select("y", "x", "start_date").distinct().withColumn("rain", ((c("y") + c("x") + F.dayofmonth("start_date")) % 10).cast("int") * 10)
-    return rows.where(c("indoor_outdoor").isin("outdoor", "mixed")).join(forecast, ["y", "x", "start_date"]).select("k", "rain", (c("rain") >= 50).alias("warn"))
+    rows = view(spark, d, "v_raw")
+    cells = rows.where("k % 5 < 3").select(geo.cell(c("lat"), 0.5).alias("y"), geo.cell(c("lng"), 0.5).alias("x"), c("start_date").alias("date")).distinct()
+    forecast = cells.withColumn("rain", ((c("y") + c("x") + F.dayofmonth("date")) % 10).cast("int") * 10)
+    return J.grid_weather(rows, forecast, "start_date").select("k", "rain", "warn")
 
 
 @query("J18_added_domains", f"WITH d AS (SELECT DISTINCT {q_domain('url')} AS domain FROM pages) SELECT domain, domain LIKE 'm.%' AS added FROM d WHERE domain IS NOT NULL")
 def _(spark, d):
-    pages = view(spark, d, "pages").select(T.normalize_domain(c("url")).alias("domain")).where("domain is not null").distinct()
-    active = pages.where("domain like 'm.%'").withColumn("a", F.lit(True))
-    return pages.join(active, "domain", "left").select("domain", c("a").isNotNull().alias("added"))
+    domains = view(spark, d, "pages").select(T.normalize_domain(c("url")).alias("domain")).where("domain is not null").distinct()
+    return J.added_domains(domains, domains.where("domain like 'm.%'"))
 
 
 # --- windows ---
 @query("W5_best_candidate", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) x WHERE n = 1")
 def _(spark, d):
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
-    return view(spark, d, "lineitem").withColumn("n", F.row_number().over(order)).where("n = 1").select("l_orderkey", "l_linenumber")
+    rank = [c("l_extendedprice"), -c("l_linenumber"), -c("l_partkey"), -c("l_suppkey")]
+    rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    return U.best_candidate(rows, "l_orderkey", *rank).select("l_orderkey", "l_linenumber")
 
 
 @query("W6_freshest_per_source", "SELECT l_suppkey, max(l_shipdate) AS newest FROM lineitem GROUP BY l_suppkey")
 def _(spark, d):
-    return view(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("newest"))
+    return U.freshest_per_source(view(spark, d, "lineitem"), "l_suppkey", "l_shipdate")
 
 
 # --- sets ---
@@ -228,17 +218,16 @@ Q_DAYS = "SELECT event_id, list_sort(list_distinct(list(date))) AS days FROM v_o
 
 @query("U5_date_overlap", f"WITH d AS ({Q_DAYS}) SELECT a.event_id, list_has_any(a.days, b.days) AS overlap, len(a.days) = len(b.days) AND list_has_all(b.days, a.days) AS same FROM d a JOIN d b ON b.event_id = a.event_id + 1")
 def _(spark, d):
-    days = view(spark, d, "v_occ").groupBy("event_id").agg(F.array_sort(F.collect_set("date")).alias("days"))
+    days = J.date_sets(view(spark, d, "v_occ"))
     after = days.select((c("event_id") - 1).alias("event_id"), c("days").alias("other"))
-    same = (F.size("days") == F.size("other")) & (F.size(F.array_except("days", "other")) == 0)
-    return days.join(after, "event_id").select("event_id", F.arrays_overlap("days", "other").alias("overlap"), same.alias("same"))
+    same = J.identical_dates(c("days"), c("other"))
+    return days.join(after, "event_id").select("event_id", J.date_overlap(c("days"), c("other")).alias("overlap"), same.alias("same"))
 
 
 @query("U6_distinct_union", f"WITH d AS ({Q_DAYS}) SELECT event_id, len(list_distinct(list_concat(days, [DATE '2026-07-04', DATE '2026-07-11']))) AS n FROM d")
 def _(spark, d):
-    days = view(spark, d, "v_occ").groupBy("event_id").agg(F.collect_set("date").alias("days"))
     more = F.array(F.lit("2026-07-04").cast("date"), F.lit("2026-07-11").cast("date"))
-    return days.select("event_id", F.size(F.array_union("days", more)).cast("long").alias("n"))
+    return J.date_sets(view(spark, d, "v_occ")).select("event_id", F.size(J.distinct_union(c("days"), more)).cast("long").alias("n"))
 
 
 # --- lifecycle ---

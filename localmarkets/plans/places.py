@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from localmarkets.functions import scores
 from localmarkets.functions import text as T
 from localmarkets.operators import places as P
+from localmarkets.operators import rollups as U
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import q_phone, q_profile, q_street, q_title, q_tokens
 from localmarkets.functions.scores import STATUSES, VISIBILITIES
@@ -194,7 +195,7 @@ def _(spark, d):
 
 @query("A7_facet_options", "SELECT place_type, count(*) AS n FROM v_places GROUP BY place_type")
 def _(spark, d):
-    return view(spark, d, "v_places").groupBy("place_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "place_type")
+    return U.facet_options(view(spark, d, "v_places"), "place_type")
 
 
 @query("A15_duplicate_keys", f"SELECT phone, count(*) AS n, min(id) AS first FROM (SELECT id, {q_phone('phone')} AS phone FROM v_places) x WHERE phone IS NOT NULL GROUP BY phone HAVING count(*) > 1")
@@ -213,13 +214,12 @@ def _(spark, d):
 @query("A13_majority", """
 SELECT place_id, source_type FROM (SELECT place_id, source_type, row_number() OVER (PARTITION BY place_id ORDER BY count(*) DESC, min(event_id)) AS n FROM v_sources GROUP BY place_id, source_type) x WHERE n = 1""")
 def _(spark, d):
-    counts = view(spark, d, "v_sources").groupBy("place_id", "source_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    return counts.groupBy("place_id").agg(F.max_by("source_type", F.struct("n", -c("first"))).alias("source_type"))
+    return U.majority(view(spark, d, "v_sources"), "place_id", "source_type", "event_id")
 
 
 @query("W11_first_last_seen", "SELECT place_id, min(observed_at) AS first, max(observed_at) AS last, max(observed_at) FILTER (WHERE source_type IN ('user_visit', 'phone_verification', 'operator_review')) AS verified FROM v_sources GROUP BY place_id")
 def _(spark, d):
-    return view(spark, d, "v_sources").groupBy("place_id").agg(F.min("observed_at").alias("first"), F.max("observed_at").alias("last"), F.max(F.when(c("source_type").isin(P.HUMAN), c("observed_at"))).alias("verified"))
+    return U.first_last_seen(view(spark, d, "v_sources"), "place_id", "observed_at", c("source_type").isin(P.HUMAN))
 
 
 _rank = "CASE {} WHEN 'fuld' THEN 5 WHEN 'omraade' THEN 4 WHEN 'kun-aabningsdage' THEN 3 WHEN 'kontakt-kraeves' THEN 2 WHEN 'intern' THEN 1 ELSE 0 END"
