@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from localmarkets.functions import geo
 from localmarkets.functions import text as T
 
 
@@ -57,3 +58,33 @@ def candidate_funnel(existing: DataFrame, mined: DataFrame) -> DataFrame:
     both = existing.select("domain", "status", "note", F.col("mentions").alias("old")).join(mined.select("domain", F.col("mentions").alias("new")), "domain", "full")
     status = F.coalesce("status", F.lit("new"))
     return both.select("domain", F.coalesce("new", "old").alias("mentions"), status.alias("status"), "note", (~status.isin("promoted", "rejected")).alias("due"))
+
+
+def upsert_venues(existing: DataFrame, batch: DataFrame, key: list[str], slug: Column) -> DataFrame:
+    """Next snapshot (key, title, slug): titles of the batch win, slugs once given stay; ``slug`` is that of a new row.
+
+    Existing rows have key, title, slug; the batch has key, title. Rows that the batch lacks stay as they are.
+    """
+    old = existing.select(*key, F.col("title").alias("__title"), F.col("slug").alias("__slug"))
+    both = old.join(batch.select(*key, F.col("title").alias("__new")), key, "full")
+    return both.select(*key, F.coalesce("__new", "__title").alias("title"), F.coalesce("__slug", slug).alias("slug"))
+
+
+def backfill(rows: DataFrame) -> DataFrame:
+    """What stored listings lack, inferred from their prose: ``place``, ``stalls``, ``free``; and ``lat`` only inside the country.
+
+    All columns of ``rows`` stay but ``lat``, which is checked.
+    """
+    prose = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
+    place = F.when(F.col("indoor_outdoor") == "unknown", T.infer_indoor_outdoor(prose)).otherwise(F.col("indoor_outdoor"))
+    told = {"place": place, "stalls": F.coalesce("stall_count_text", T.extract_stall_count_text(prose)), "free": F.coalesce("is_free", T.infer_is_free(prose))}
+    return rows.withColumns(told | {"lat": F.when(geo.in_denmark(F.col("lat"), F.col("lng")), F.col("lat"))})
+
+
+def append_document_log(log: DataFrame, documents: DataFrame, fetched: Column) -> DataFrame:
+    """Rows to append (url, hash, fetched): one for each content of a page that the log does not hold yet.
+
+    ``documents``: url, html; a null page counts as empty. Repeated contents of one url are one row.
+    """
+    fresh = documents.where("url is not null").select("url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash")).distinct()
+    return fresh.join(log.select("url", "hash"), ["url", "hash"], "left_anti").withColumn("fetched", fetched)

@@ -201,3 +201,41 @@ def order_trips(trips: DataFrame, start: tuple[float, float]) -> DataFrame:
             F.filter(a["left"], lambda s: s["pos"] != n["pos"]).alias("left"), n["stop"]["lat"].alias("lat"), n["stop"]["lng"].alias("lng"), F.concat(a["done"], F.array(n["stop"]["event_id"])).alias("done")))
 
     return held.select("trip_id", F.aggregate("left", begin, step)["done"].alias("stops"))
+
+
+def date_page(listings: DataFrame, occurrences: DataFrame, first: str, last: str) -> DataFrame:
+    """Listings with a day in the window and their first one (``date``), in order of it."""
+    days = occurrences.where(F.col("date").between(day(first), day(last))).groupBy(F.col("event_id").alias("k")).agg(F.min("date").alias("date"))
+    return listings.join(days, "k").orderBy("date", "title", "k")
+
+
+def with_date_between(listings: DataFrame, occurrences: DataFrame, first: str, last: str, state: Column) -> DataFrame:
+    """Listings in a state (cancelled, vanished) that have a day in the window, once each."""
+    days = occurrences.where(F.col("date").between(day(first), day(last))).select(F.col("event_id").alias("k"))
+    return listings.where(state).join(days, "k", "left_semi")
+
+
+def event_detail(listings: DataFrame, occurrences: DataFrame, event: str = "m") -> DataFrame:
+    """(event, sources, days): each source with its latest sighting, and how many days; events without a day are left out."""
+    seen = listings.groupBy(event, "source_key").agg(F.max("last_seen").alias("seen"))
+    told = F.array_sort(F.collect_list(F.concat("source_key", F.lit("@"), F.col("seen").cast("string"))))
+    sources = seen.groupBy(event).agg(F.array_join(told, ",").alias("sources"))
+    days = occurrences.join(listings.select(F.col("k").alias("event_id"), event), "event_id").groupBy(event).agg(F.count_distinct("date").alias("days"))
+    return sources.join(days, event)
+
+
+def cap_per_group(rows: DataFrame, group: str, order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group by ``order``, and their number ``n`` (Spark drops later rows before the shuffle)."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("n") <= most)
+
+
+def venues_for_city(venues: DataFrame, most: int = 60) -> DataFrame:
+    """Of each city the first venues: flea shops, rental shelves, antiques, the rest; by title within."""
+    rank = F.when(F.col("category") == "loppebutik", 0).when(F.col("category") == "reolmarked", 1).when(F.col("category") == "antik", 2).otherwise(9)
+    return cap_per_group(venues, "city", [rank, "title", "source_id"], most).drop("n")
+
+
+def list_venues(venues: DataFrame, kind: str | None = None, category: str | None = None) -> DataFrame:
+    for column, value in (("source_type", kind), ("category", category)):
+        venues = venues if value is None else venues.where(F.col(column) == value)
+    return venues.orderBy("category", "title", "source_id")

@@ -204,3 +204,59 @@ def quality_report(places: DataFrame, today: Column) -> DataFrame:
         twice = rows if twice is None else twice.unionByName(rows)
     total = places.agg(F.count("*").alias("n")).select(F.lit("info").alias("severity"), c("n").cast("string").alias("slug"), F.lit("total").alias("check"))
     return found.unionByName(twice).unionByName(total)
+
+
+def with_layer(places: DataFrame) -> DataFrame:
+    return places.withColumn("layer", scores.trust_layer(F.col("status"), F.col("confidence"), F.col("call_first")))
+
+
+def filter_places(places: DataFrame, types: list[str] | None = None, layers: list[str] | None = None, least_score: int | None = None, hide_call_first: bool = False) -> DataFrame:
+    """Places that meet every filter that is set; all columns and ``layer``."""
+    rows = with_layer(places)
+    tests = [
+        None if types is None else F.col("place_type").isin(types),
+        None if layers is None else F.col("layer").isin(layers),
+        None if least_score is None else F.col("find_score") >= least_score,
+        ~F.col("call_first") if hide_call_first else None,
+    ]
+    for test in tests:
+        rows = rows if test is None else rows.where(test)
+    return rows
+
+
+def active_filter_count(*filters: Column) -> Column:
+    """How many filters of a saved state are set: neither null nor false."""
+    return sum((F.when(f.isNotNull() & (f.cast("string") != "false"), 1).otherwise(0) for f in filters), F.lit(0))
+
+
+def validate_photos(photos: DataFrame, file: str) -> DataFrame:
+    """Photos whose file is a plain name of an image: no folder, no upper case, no other kind."""
+    return photos.where(F.col(file).rlike(r"^[a-z0-9][a-z0-9_-]*\.(jpg|jpeg|png|webp)$"))
+
+
+def upsert_places(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """(slug, address_visibility) of each row of the batch: a stored place never comes to show more than before."""
+    old = stored.select("slug", F.col("address_visibility").alias("__stored"))
+    rows = batch.select("slug", "address_visibility").join(old, "slug", "left")
+    return rows.select("slug", tighten(F.col("__stored"), F.col("address_visibility")).alias("address_visibility"))
+
+
+def add_observations(observations: DataFrame, order: str = "event_id") -> DataFrame:
+    """One row for each place, kind of source, address and time: the latest by ``order``, as a struct maximum."""
+    key = ["place_id", "source_type", "url", "observed_at"]
+    rest = [c for c in observations.columns if c not in key]
+    same = observations.withColumn("__url", F.coalesce("url", F.lit("")))
+    best = same.groupBy("place_id", "source_type", "__url", "observed_at").agg(F.max_by(F.struct("url", *rest), order).alias("__row"))
+    return best.select("place_id", "source_type", "observed_at", "__row.*").select(*observations.columns)
+
+
+def ingest_places(vetted: DataFrame, observations: DataFrame) -> DataFrame:
+    """Vetted places with a point or a street, and the span of their observations (``first_seen``, ``newest``)."""
+    seen = observations.groupBy(F.col("place_id").alias("id")).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("newest"))
+    return vetted.where("lat is not null or street is not null").drop("first_seen", "newest").join(seen, "id", "left")
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """(check, severity, n) of a quality report, errors first."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    return report.groupBy("check", "severity").agg(F.count("*").alias("n")).orderBy(rank, F.desc("n"), "check")

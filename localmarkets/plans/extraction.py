@@ -16,7 +16,7 @@ from localmarkets.plans.dates import reading
 from localmarkets.plans.lifecycle import Q_MINED, mined
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import q_domain, q_fold, q_title
-from localmarkets.sources import adapters, tips
+from localmarkets.sources import adapters, exports, tips
 from localmarkets.views import SENTENCES, TODAY, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,12 +197,12 @@ def _(spark, d):
 
 @query("S21_export_listing_json", """SELECT source_id, '{"id":' || source_id || ',"title":"' || title || '"}' AS json FROM v_venues WHERE source_type = 'map'""")
 def _(spark, d):
-    return view(spark, d, "v_venues").where("source_type = 'map'").select("source_id", F.to_json(F.struct(c("source_id").alias("id"), "title")).alias("json"))
+    return exports.listing_json(view(spark, d, "v_venues").where("source_type = 'map'"), "source_id", id="source_id", title="title")
 
 
 @query("S24_run_log", "SELECT 'listings' AS run, count(*) AS n, count(*) FILTER (WHERE street IS NULL) AS without_street, max(last_seen) AS newest FROM v_raw")
 def _(spark, d):
-    return view(spark, d, "v_raw").agg(F.lit("listings").alias("run"), F.count("*").alias("n"), F.count_if(c("street").isNull()).alias("without_street"), F.max("last_seen").alias("newest"))
+    return exports.run_log(view(spark, d, "v_raw"), "listings")
 
 
 @query("Q19_structured_feed_domains", f"SELECT DISTINCT {q_domain('url')} AS domain FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0")

@@ -15,7 +15,7 @@ from localmarkets.operators import rollups as U
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import Q_INDOOR, Q_OUTDOOR, q_domain, q_free, q_has, q_in_out, q_stalls, q_title
 from localmarkets.shared import shared_path
-from localmarkets.sources import feeds
+from localmarkets.sources import exports, feeds
 from localmarkets.streaming import events as R
 from localmarkets.views import TODAY, view, with_views
 
@@ -264,21 +264,15 @@ SELECT k, CASE WHEN indoor_outdoor = 'unknown' THEN {q_in_out(q_has("(title || '
   coalesce(stall_count_text, {q_stalls("(title || ' ' || coalesce(description, ''))")}) AS stalls, coalesce(is_free, {q_free("(title || ' ' || coalesce(description, ''))")}) AS free,
   CASE WHEN lat BETWEEN 544e-1 AND 579e-1 AND lng BETWEEN 78e-1 AND 153e-1 THEN lat END AS lat FROM v_raw""")
 def _(spark, d):
-    prose = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
-    place = F.when(c("indoor_outdoor") == "unknown", T.infer_indoor_outdoor(prose)).otherwise(c("indoor_outdoor"))
-    return view(spark, d, "v_raw").select(
-        "k", place.alias("place"), F.coalesce("stall_count_text", T.extract_stall_count_text(prose)).alias("stalls"), F.coalesce("is_free", T.infer_is_free(prose)).alias("free"),
-        F.when(geo.in_denmark(c("lat"), c("lng")), c("lat")).alias("lat"),
-    )
+    return L.backfill(view(spark, d, "v_raw")).select("k", "place", "stalls", "free", "lat")
 
 
 @query("L9_upsert_venues", "SELECT source_type, source_id, CASE WHEN source_id % 3 = 0 THEN title || ' ny' ELSE title END AS title, 'slug-' || source_id AS slug FROM v_venues")
 def _(spark, d):
-    rows = view(spark, d, "v_venues")
-    old = rows.where("source_id % 5 <> 0").select("source_type", "source_id", c("title").alias("old"), F.concat(F.lit("slug-"), c("source_id").cast("string")).alias("old_slug"))
-    new = rows.select("source_type", "source_id", F.when(c("source_id") % 3 == 0, F.concat("title", F.lit(" ny"))).otherwise(c("title")).alias("new"))
-    both = old.join(new, ["source_type", "source_id"], "full")
-    return both.select("source_type", "source_id", F.coalesce("new", "old").alias("title"), F.coalesce("old_slug", F.concat(F.lit("slug-"), c("source_id").cast("string"))).alias("slug"))
+    slug = F.concat(F.lit("slug-"), c("source_id").cast("string"))
+    rows = view(spark, d, "v_venues").select("source_type", "source_id", "title", slug.alias("slug"))
+    batch = rows.withColumn("title", F.when(c("source_id") % 3 == 0, F.concat("title", F.lit(" ny"))).otherwise(c("title")))
+    return L.upsert_venues(rows.where("source_id % 5 <> 0"), batch, ["source_type", "source_id"], slug)
 
 
 @query("L10_retire_venues", "SELECT source_type, source_id, CASE WHEN source_type = 'chain' AND source_id % 4 = 0 THEN 'gone' ELSE 'active' END AS status FROM v_venues")
@@ -390,9 +384,11 @@ def _(spark, d):
     return feeds.osm_venues(objects).select("id", "title", "category")
 
 
-@query("S19_append_document_log", "SELECT DISTINCT url FROM pages")
+@query("S19_append_document_log", "SELECT url, sha256(coalesce(html, '')) AS hash FROM pages WHERE page_id % 3 <> 0 EXCEPT SELECT url, sha256(coalesce(html, '')) FROM pages WHERE page_id % 3 = 0")
 def _(spark, d):
-    return view(spark, d, "pages").select("url").dropDuplicates(["url"])
+    pages = view(spark, d, "pages")
+    log = L.append_document_log(spark.createDataFrame([], "url string, hash string"), pages.where("page_id % 3 = 0"), today())
+    return L.append_document_log(log, pages.where("page_id % 3 <> 0"), today()).select("url", "hash")
 
 
 @query("S20_export_ical", """
@@ -404,14 +400,13 @@ def _(spark, d):
 
 @query("S22_export_sitemap", "SELECT '/marked/' || k AS url, 8e-1 AS priority FROM v_raw UNION ALL SELECT '/sted/' || source_id, 6e-1 FROM v_venues")
 def _(spark, d):
-    events = view(spark, d, "v_raw").select(F.concat(F.lit("/marked/"), c("k").cast("string")).alias("url"), F.lit(0.8).alias("priority"))
-    return events.unionByName(view(spark, d, "v_venues").select(F.concat(F.lit("/sted/"), c("source_id").cast("string")).alias("url"), F.lit(0.6).alias("priority")))
+    at = lambda folder, k: F.concat(F.lit(f"/{folder}/"), c(k).cast("string"))
+    return exports.sitemap((view(spark, d, "v_raw"), at("marked", "k"), 0.8), (view(spark, d, "v_venues"), at("sted", "source_id"), 0.6))
 
 
 @query("S23_export_json_ld", """SELECT k, '{"@type":"Event","name":"' || title || '","startDate":"' || start_date || '"' || CASE WHEN is_free THEN ',"isAccessibleForFree":true' ELSE '' END || '}' AS json FROM v_raw""")
 def _(spark, d):
-    item = F.struct(F.lit("Event").alias("@type"), c("title").alias("name"), c("start_date").cast("string").alias("startDate"), F.when(c("is_free"), True).alias("isAccessibleForFree"))
-    return view(spark, d, "v_raw").select("k", F.to_json(item).alias("json"))
+    return exports.json_ld(view(spark, d, "v_raw"), "k")
 
 
 @query("Q18_list_candidates", f"WITH {Q_MINED} SELECT domain, mentions, CASE WHEN length(domain) % 4 > 0 THEN length(domain) % 4 END AS score FROM m WHERE mentions >= 2")

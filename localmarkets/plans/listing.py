@@ -196,8 +196,7 @@ def _(spark, d):
 
 @query("Q8_date_page", "SELECT k, title, min(date) AS date FROM v_raw JOIN v_occ ON event_id = k WHERE date BETWEEN DATE '2026-07-04' AND DATE '2026-07-05' GROUP BY k, title")
 def _(spark, d):
-    days = view(spark, d, "v_occ").where("date between '2026-07-04' and '2026-07-05'").groupBy("event_id").agg(F.min("date").alias("date"))
-    return listings(spark, d).join(days, c("k") == c("event_id")).select("k", "title", "date").orderBy("date", "title", "k")
+    return Q.date_page(listings(spark, d), view(spark, d, "v_occ"), "2026-07-04", "2026-07-05").select("k", "title", "date")
 
 
 _d21 = _next("DATE '2026-07-03'", "DATE '2026-07-24'")
@@ -226,8 +225,7 @@ def _(spark, d):
 
 @query("Q10_slugs_by_status", "SELECT DISTINCT k FROM v_raw JOIN v_occ ON event_id = k WHERE cancelled AND date BETWEEN DATE '2026-07-03' AND DATE '2026-12-30'")
 def _(spark, d):
-    dates = view(spark, d, "v_occ").where("date between '2026-07-03' and '2026-12-30'")
-    return listings(spark, d).where("cancelled").join(dates, c("k") == c("event_id"), "left_semi").select("k")
+    return Q.with_date_between(listings(spark, d), view(spark, d, "v_occ"), TODAY, "2026-12-30", c("cancelled")).select("k")
 
 
 @query("Q11_event_detail", """
@@ -235,11 +233,7 @@ WITH s AS (SELECT m, source_key, max(last_seen) AS seen FROM v_raw GROUP BY m, s
 o AS (SELECT m, count(DISTINCT date) AS days FROM v_occ JOIN v_raw ON v_raw.k = event_id GROUP BY m)
 SELECT a.m, sources, days FROM a JOIN o ON o.m = a.m""")
 def _(spark, d):
-    rows = view(spark, d, "v_raw")
-    sources = rows.groupBy("m", "source_key").agg(F.max("last_seen").alias("seen"))
-    sources = sources.groupBy("m").agg(F.array_join(F.array_sort(F.collect_list(F.concat("source_key", F.lit("@"), c("seen").cast("string")))), ",").alias("sources"))
-    days = view(spark, d, "v_occ").join(rows.select("k", "m"), c("event_id") == c("k")).groupBy("m").agg(F.count_distinct("date").alias("days"))
-    return sources.join(days, "m")
+    return Q.event_detail(view(spark, d, "v_raw"), view(spark, d, "v_occ"))
 
 
 @query("Q13_events_for_city", f"WITH {Q_UP} SELECT k, city FROM u WHERE substr(replace({q_title('city')}, ' ', '-'), 1, 60) = 'nation-3-c'")
@@ -249,14 +243,12 @@ def _(spark, d):
 
 @query("Q12_venues_for_city", "SELECT city, source_id, title FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY CASE category WHEN 'loppebutik' THEN 0 WHEN 'reolmarked' THEN 1 WHEN 'antik' THEN 2 ELSE 9 END, title, source_id) AS n FROM v_venues) x WHERE n <= 60")
 def _(spark, d):
-    rank = F.when(c("category") == "loppebutik", 0).when(c("category") == "reolmarked", 1).when(c("category") == "antik", 2).otherwise(9)
-    order = Window.partitionBy("city").orderBy(rank, "title", "source_id")
-    return view(spark, d, "v_venues").withColumn("n", F.row_number().over(order)).where("n <= 60").select("city", "source_id", "title")
+    return Q.venues_for_city(view(spark, d, "v_venues")).select("city", "source_id", "title")
 
 
 @query("Q14_list_venues", "SELECT source_type, source_id, category, title FROM v_venues WHERE source_type = 'map' AND category = 'antik'")
 def _(spark, d):
-    return view(spark, d, "v_venues").where("source_type = 'map' and category = 'antik'").select("source_type", "source_id", "category", "title").orderBy("category", "title", "source_id")
+    return Q.list_venues(view(spark, d, "v_venues"), "map", "antik").select("source_type", "source_id", "category", "title")
 
 
 @query("Q5_explore_venues", f"SELECT source_type, source_id, round({Q_DIST()}, 6) AS km FROM v_venues WHERE category IN ('antik', 'reolmarked') AND {Q_DIST()} <= 100 AND contains({q_fold('title')}, 'machinery')")
@@ -378,8 +370,7 @@ def _(spark, d):
 
 @query("W9_cap_per_group", "SELECT event_id, date, n FROM (SELECT event_id, date, row_number() OVER (PARTITION BY event_id ORDER BY date, start_time NULLS FIRST, end_time NULLS FIRST) AS n FROM v_occ) x WHERE n <= 3")
 def _(spark, d):
-    order = Window.partitionBy("event_id").orderBy("date", "start_time", "end_time")
-    return view(spark, d, "v_occ").withColumn("n", F.row_number().over(order)).where("n <= 3").select("event_id", "date", "n")
+    return Q.cap_per_group(view(spark, d, "v_occ"), "event_id", ["date", "start_time", "end_time"], 3).select("event_id", "date", "n")
 
 
 @query("W8_first_per_key", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) x WHERE n = 1")

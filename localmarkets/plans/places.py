@@ -82,13 +82,9 @@ Q_LAYER = """CASE WHEN status IN ('rejected', 'historical', 'unverified', 'possi
  WHEN status = 'confirmed_active' AND confidence >= 70 THEN 'bekraeftet' ELSE 'kontroller-foerst' END"""
 
 
-def layer():
-    return scores.trust_layer(c("status"), c("confidence"), c("call_first"))
-
-
 @query("K10_trust_layer", f"SELECT id, {Q_LAYER} AS layer FROM v_places")
 def _(spark, d):
-    return view(spark, d, "v_places").select("id", layer().alias("layer"))
+    return P.with_layer(view(spark, d, "v_places")).select("id", "layer")
 
 
 Q_KEYS = f"SELECT id, {q_phone('phone')} AS phone, {q_profile('profile_url')} AS profile, {q_street('street')} AS street, {q_title('city')} AS city, lat, lng, {q_tokens('name')} AS tokens, {q_title('contact_name')} AS contact, {q_title('pattern')} AS pattern, place_type FROM v_places"
@@ -169,19 +165,18 @@ def report(spark, d):
 
 @query("V2_report_summary", f"WITH {Q_REPORT} SELECT check_ AS rule, severity, count(*) AS n FROM i GROUP BY 1, 2")
 def _(spark, d):
-    rank = F.when(c("severity") == "error", 0).when(c("severity") == "warn", 1).otherwise(2)
-    return report(spark, d).groupBy("rule", "severity").agg(F.count("*").alias("n")).orderBy(rank, F.desc("n"), "rule")
+    return P.report_summary(P.quality_report(evidence(spark, d), today())).withColumnRenamed("check", "rule")
 
 
 @query("Q15_filter_places", f"SELECT id FROM v_places WHERE place_type IN ('lade', 'garage') AND {Q_LAYER} IN ('bekraeftet', 'kontroller-foerst') AND find_score >= 40 AND NOT call_first")
 def _(spark, d):
-    return view(spark, d, "v_places").where(c("place_type").isin("lade", "garage") & layer().isin("bekraeftet", "kontroller-foerst") & (c("find_score") >= 40) & ~c("call_first")).select("id")
+    return P.filter_places(view(spark, d, "v_places"), ["lade", "garage"], ["bekraeftet", "kontroller-foerst"], 40, hide_call_first=True).select("id")
 
 
 @query("Q16_sort_within_layers", f"""
 SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY find_score DESC, id) AS place FROM (SELECT id, find_score, {Q_LAYER} AS layer FROM v_places) x""")
 def _(spark, d):
-    rows = view(spark, d, "v_places").withColumn("layer", layer())
+    rows = P.with_layer(view(spark, d, "v_places"))
     own = Window.partitionBy("layer").orderBy(F.desc("find_score"), "id")
     return rows.withColumn("place", F.row_number().over(own)).orderBy(*P.sort_within_layers(rows, F.desc("find_score"))).select("id", "layer", "place")
 
@@ -189,8 +184,8 @@ def _(spark, d):
 @query("Q17_active_filter_count", """
 SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INT) + CAST(c_acctbal > 0 AS INT) + CAST(c_custkey % 3 = 0 AS INT) AS active FROM customer""")
 def _(spark, d):
-    states = view(spark, d, "customer").select("c_custkey", F.when(c("c_mktsegment") == "BUILDING", "x").alias("type"), F.when(c("c_acctbal") > 0, c("c_acctbal")).alias("least"), F.when(c("c_custkey") % 3 == 0, True).alias("hide"))
-    return states.select("c_custkey", sum(F.when(c(n).isNotNull(), 1).otherwise(0) for n in ("type", "least", "hide")).alias("active"))
+    states = [F.when(c("c_mktsegment") == "BUILDING", "x"), F.when(c("c_acctbal") > 0, c("c_acctbal")), c("c_custkey") % 3 == 0]
+    return view(spark, d, "customer").select("c_custkey", P.active_filter_count(*states).alias("active"))
 
 
 @query("A7_facet_options", "SELECT place_type, count(*) AS n FROM v_places GROUP BY place_type")
@@ -208,7 +203,7 @@ def _(spark, d):
 SELECT id, file FROM (SELECT id, CASE WHEN id % 5 = 0 THEN '../' || slug || '.jpg' WHEN id % 5 = 1 THEN slug || '.exe' ELSE slug || '-' || n_images || '.jpg' END AS file FROM v_places) x WHERE regexp_matches(file, '^[a-z0-9][a-z0-9_-]*\.(jpg|jpeg|png|webp)$')""")
 def _(spark, d):
     name = F.when(c("id") % 5 == 0, F.concat(F.lit("../"), c("slug"), F.lit(".jpg"))).when(c("id") % 5 == 1, F.concat("slug", F.lit(".exe"))).otherwise(F.concat("slug", F.lit("-"), c("n_images").cast("string"), F.lit(".jpg")))
-    return view(spark, d, "v_places").select("id", name.alias("file")).where(c("file").rlike(r"^[a-z0-9][a-z0-9_-]*\.(jpg|jpeg|png|webp)$"))
+    return P.validate_photos(view(spark, d, "v_places").select("id", name.alias("file")), "file")
 
 
 @query("A13_majority", """
@@ -229,22 +224,19 @@ _rank = "CASE {} WHEN 'fuld' THEN 5 WHEN 'omraade' THEN 4 WHEN 'kun-aabningsdage
 WITH n AS (SELECT id, slug, address_visibility AS incoming, CASE WHEN id % 2 = 0 THEN 'omraade' ELSE 'intern' END AS stored, id % 10 = 0 AS fresh FROM v_places)
 SELECT slug, CASE WHEN fresh OR {_rank.format('incoming')} <= {_rank.format('stored')} THEN incoming ELSE stored END AS address_visibility FROM n""")
 def _(spark, d):
-    rows = view(spark, d, "v_places")
-    stored = rows.where("id % 10 <> 0").select("slug", F.when(c("id") % 2 == 0, "omraade").otherwise("intern").alias("stored"))
-    return rows.select("slug", "address_visibility").join(stored, "slug", "left").select("slug", P.tighten(c("stored"), c("address_visibility")).alias("address_visibility"))
+    rows = view(spark, d, "v_places").select("id", "slug", "address_visibility")
+    stored = rows.where("id % 10 <> 0").withColumn("address_visibility", F.when(c("id") % 2 == 0, "omraade").otherwise("intern"))
+    return P.upsert_places(stored, rows)
 
 
 @query("L12_add_observations", """
 SELECT place_id, source_type, observed_at, event_id FROM (SELECT *, row_number() OVER (PARTITION BY place_id, source_type, coalesce(url, ''), observed_at ORDER BY event_id DESC) AS n FROM v_sources) x WHERE n = 1""")
 def _(spark, d):
-    order = Window.partitionBy("place_id", "source_type", F.coalesce("url", F.lit("")), "observed_at").orderBy(F.desc("event_id"))
-    return view(spark, d, "v_sources").withColumn("n", F.row_number().over(order)).where("n = 1").select("place_id", "source_type", "observed_at", "event_id")
+    return P.add_observations(view(spark, d, "v_sources")).select("place_id", "source_type", "observed_at", "event_id")
 
 
 @query("L13_ingest_places", f"""
 WITH {Q_EVIDENCE}, b AS (SELECT place_id, min(observed_at) AS first_seen, max(observed_at) AS newest FROM v_sources GROUP BY place_id)
 SELECT e.slug, b.first_seen, b.newest, sources FROM e LEFT JOIN b ON b.place_id = e.id WHERE lat IS NOT NULL OR street IS NOT NULL""")
 def _(spark, d):
-    seen = view(spark, d, "v_sources").groupBy("place_id").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("newest"))
-    rows = evidence(spark, d).where("lat is not null or street is not null")
-    return rows.join(seen, c("id") == c("place_id"), "left").select("slug", "first_seen", "newest", "sources")
+    return P.ingest_places(evidence(spark, d), view(spark, d, "v_sources")).select("slug", "first_seen", "newest", "sources")
