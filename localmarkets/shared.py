@@ -10,13 +10,19 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows and bytes of an Arrow batch while a table is written: Spark and the Python worker hold a batch of texts at once.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Rows and bytes of an Arrow batch, and rows that the Parquet reader decodes at a time, while a table is written:
+#: Spark and the Python worker hold a batch of texts at once, and the reader's column of texts is one array that
+#: doubles until a batch fits in (some MB of texts at the 4,096 rows that Spark takes otherwise).
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 500,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches within ``BATCH`` for the jobs that run inside."""
+    """Batches within ``BATCH`` for the jobs that run inside."""
     before = {key: spark.conf.get(key) for key in BATCH}
     for key, most in BATCH.items():
         spark.conf.set(key, most)
