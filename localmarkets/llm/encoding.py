@@ -89,7 +89,8 @@ class Encoder:
         self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
     def _alone(self, units: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        # A call's encodings hold many times the bytes of its text, so each goes before the next is made.
+        return [np.array(self.tokenizer.encode_batch_fast([u.decode()], add_special_tokens=False)[0].ids, np.uint32) for u in units]
 
     def _normal(self, unit: bytes) -> int:
         """Bytes that the tokens of a stretch cover."""
@@ -100,9 +101,8 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(units)
         join = [i for i, u in enumerate(units) if u[0] in b" \n" and not u.isspace()]
         groups = [join[i : i + JOINED] for i in range(0, len(join), JOINED)]
-        texts = [b"".join([units[i] for i in g]).decode() for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
+        for g in groups:
+            ids = self._alone([b"".join([units[i] for i in g])])[0]
             ends = np.cumsum(self.token_bytes[ids])
             want = np.cumsum([self._normal(units[i]) for i in g])
             at = np.searchsorted(ends, want)
