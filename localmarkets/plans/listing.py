@@ -181,10 +181,10 @@ def _(spark, d):
 
 
 @query("Q6_fallback_suggestions", f"""
-WITH {Q_UP}, s AS (SELECT k, confidence, {_next("DATE '2026-07-03'", "DATE '2026-08-17'")} AS next_date FROM u WHERE accessible)
+WITH {Q_UP}, s AS (SELECT k, confidence, {_next("DATE '2026-07-03'", "DATE '2026-08-17'")} AS next_date FROM u WHERE family_friendly)
 SELECT k, next_date FROM s WHERE next_date IS NOT NULL ORDER BY next_date, confidence DESC, k LIMIT 3""")
 def _(spark, d):
-    f = Q.Filters(accessible=True, position=(10.0, 10.0), radius_km=1)
+    f = Q.Filters(family=True, position=(10.0, 10.0), radius_km=1)
     return Q.fallback_suggestions(upcoming(spark, d), f, TODAY).select("k", "next_date")
 
 
@@ -236,9 +236,9 @@ def _(spark, d):
     return Q.event_detail(view(spark, d, "v_raw"), view(spark, d, "v_occ"))
 
 
-@query("Q13_events_for_city", f"WITH {Q_UP} SELECT k, city FROM u WHERE substr(replace({q_title('city')}, ' ', '-'), 1, 60) = 'nation-3-c'")
+@query("Q13_events_for_city", f"WITH {Q_UP} SELECT k, city FROM u WHERE substr(replace({q_title('city')}, ' ', '-'), 1, 60) = 'nation-1-c'")
 def _(spark, d):
-    return upcoming(spark, d).where(T.slugify_city(c("city")) == "nation-3-c").select("k", "city")
+    return upcoming(spark, d).where(T.slugify_city(c("city")) == "nation-1-c").select("k", "city")
 
 
 @query("Q12_venues_for_city", "SELECT city, source_id, title FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY CASE category WHEN 'loppebutik' THEN 0 WHEN 'reolmarked' THEN 1 WHEN 'antik' THEN 2 ELSE 9 END, title, source_id) AS n FROM v_venues) x WHERE n <= 60")
