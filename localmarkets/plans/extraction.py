@@ -16,7 +16,7 @@ from localmarkets.plans.dates import reading
 from localmarkets.plans.lifecycle import Q_MINED, mined
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import q_domain, q_fold, q_title
-from localmarkets.sources import adapters, exports, tips
+from localmarkets.sources import adapters, exports, feeds, tips
 from localmarkets.views import SENTENCES, TODAY, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,17 +158,11 @@ def _(spark, d):
     return rows.join(top, "domain").select("k", F.concat("domain", F.lit("-"), c("k").cast("string")).alias("source_event_id"), F.lit(0.3).alias("trust"))
 
 
-def embedded_objects(html: Column) -> Column:
-    """Every object of a page that begins with an id."""
-    parts = F.split(F.concat(F.lit(" "), html), r'(?=\{"id":)')  # a page may begin with an object
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.from_json(p, "struct<id:bigint,slug:string,title:string>"))
-
-
 @query("S8_embedded_objects", "SELECT page_id AS id, 'marked-' || page_id AS slug FROM pages")
 def _(spark, d):
     item = lambda i: F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"slug":"marked-'), i.cast("string"), F.lit('","title":"Loppemarked"} junk '))
     html = F.concat("html", item(c("page_id")), item(c("page_id")))
-    rows = view(spark, d, "pages").select(F.explode(embedded_objects(html)).alias("o")).where("o.id is not null")
+    rows = view(spark, d, "pages").select(F.explode(feeds.embedded_objects(html)).alias("o")).where("o.id is not null")
     return rows.where(T.looks_like_market(c("o.title"))).groupBy("o.id").agg(F.min("o.slug").alias("slug"))
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from localmarkets.functions import scores
 from localmarkets.functions import text as T
 from localmarkets.operators import places as P
 from localmarkets.operators import rollups as U
