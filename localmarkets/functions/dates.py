@@ -334,3 +334,13 @@ def parse_week_windows(c: Column, year: Column) -> Column:
         _date(year, _month(F.regexp_extract(m, p, 3)), F.regexp_extract(m, p, 1)).alias("a"), _date(year, _month(F.regexp_extract(m, p, 3)), F.regexp_extract(m, p, 2)).alias("z")))
     good = F.filter(spans, lambda s: F.datediff(s["z"], s["a"]).between(0, 6))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda s: F.sequence(s["a"], s["z"])))))
+
+
+def expand_span(start: Column, end: Column, most: int = 30) -> Column:
+    """The days of a span, the first ``most``; one day where the end is missing or before the start."""
+    return F.slice(F.sequence(start, F.greatest(start, F.coalesce(end, start))), 1, most)
+
+
+def plausible_dates(days: Column, ref: Column) -> Column:
+    """The days of an array from a year before to two years after the reference day."""
+    return F.filter(days, lambda x: x.between(F.date_sub(ref, 366), F.date_add(ref, 730)))

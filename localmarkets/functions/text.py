@@ -382,3 +382,43 @@ def sanitize_feed_location(street: Column, postcode: Column, city: Column) -> Co
     code = F.coalesce(~F.trim(postcode).rlike("^20(1[9]|2[0-9]|3[0-5])$"), F.lit(False))
     own = F.when(town & code, postcode)
     return F.struct(F.when(~street.rlike(STREET_NOISE), street).alias("street"), own.alias("postcode"), F.when(own.isNotNull(), city).alias("city"))
+
+
+# What feeds and their readings put between the words of a post.
+CHROME = [
+    rf"(?i){W0}q?\s*search facebook{W1}", rf"(?i){W0}gruppen{W1}", rf"(?i){W0}public group{W1}", rf"(?i){W0}[\d.,]+\s*k?\s*members{W1}",
+    rf"(?i){W0}(?:invite|ahout|about|discussion|people|media|files|joined){W1}", rf"(?i){W0}rising contributor{W1}", rf"(?iu){W0}[A-Za-zÆØÅæøå]+\s+\d{{1,2}}\s+at\s+\d{{1,2}}[:.]\d{{2}}\s*[ap]m{W1}",
+    rf"(?i){W0}\d{{1,2}}[:.]\d{{2}}\s*[ap]m{W1}", r"(?:^|\s)[·•*]\s*-?\s*\d+(?=\s|$)", r"(?i)(?:^|\s)\d{1,2}\s*[hdwm](?=\s*[·•\-o*])", r"(?i)(?:^|\s)e?book(?=\s|$)", r"(?i)(?:^|\s)ook(?=\s)", rf"(?i)[·•]\s*share{W1}",
+]
+
+
+def strip_feed_chrome(text: Column) -> Column:
+    """A post without the words and signs that a feed's page puts around it."""
+    out = F.concat(F.lit(" "), text, F.lit(" "))
+    for p in CHROME:
+        out = sub(out, p)
+    return F.trim(F.regexp_replace(squeeze(out), r"^[^\p{L}\p{N}]+", ""))
+
+
+def code_label(code: Column, labels: list[tuple[int, int, str]], other: str = "unknown") -> Column:
+    """The label of the range (first, last, label) that a code is in."""
+    out = F.lit(other)
+    for low, high, label in reversed(labels):
+        out = F.when(code.between(low, high), label).otherwise(out)
+    return out
+
+
+# Labels of weather codes by range.
+WEATHER = [(0, 0, "clear"), (1, 3, "clouds"), (45, 48, "fog"), (51, 67, "rain"), (71, 77, "snow"), (80, 82, "showers"), (95, 99, "thunder")]
+
+
+def extract_postal_town(c: Column, but: tuple[str, ...] = ()) -> Column:
+    """The first "1234 Town" of a page's text; years (20xx) and the given ones (an address in the footer) are passed over."""
+    found = F.regexp_extract_all(c, F.lit(rf"{W0}([1-9]\d{{3}} [A-ZÆØÅ][a-zæøå]+)"), F.lit(1))
+    return F.try_element_at(F.filter(found, lambda x: ~x.startswith("20") & ~x.isin(*but)), F.lit(1))
+
+
+def extract_phone(lines: Column) -> Column:
+    """The digits of the first line that names a telephone: eight in pairs, six or more as they are, else null."""
+    digits = F.regexp_replace(F.try_element_at(F.filter(lines, lambda x: x.rlike(r"(?i)tlf|tel")), F.lit(1)), "[^0-9]", "")
+    return F.when(F.length(digits) == 8, F.trim(F.regexp_replace(digits, "(..)", "$1 "))).when(F.length(digits) >= 6, digits)

@@ -88,3 +88,21 @@ def append_document_log(log: DataFrame, documents: DataFrame, fetched: Column) -
     """
     fresh = documents.where("url is not null").select("url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash")).distinct()
     return fresh.join(log.select("url", "hash"), ["url", "hash"], "left_anti").withColumn("fetched", fetched)
+
+
+def list_candidates(candidates: DataFrame, least: int = 2, status: str | None = None) -> DataFrame:
+    """Candidates (domain, mentions, score) with enough mentions: those not probed yet last, by score, mentions and name."""
+    rows = candidates if status is None else candidates.where(F.col("status") == status)
+    return rows.where(F.col("mentions") >= least).orderBy(F.col("score").desc_nulls_last(), F.desc("mentions"), "domain")
+
+
+def structured_feed_domains(candidates: DataFrame, url: str, probe: str) -> DataFrame:
+    """(domain): distinct domains whose probe (JSON text) found an interface; malformed probes say nothing."""
+    told = F.from_json(probe, "struct<api:boolean>")["api"]
+    return candidates.where(told).select(T.normalize_domain(F.col(url)).alias("domain")).distinct()
+
+
+def list_tips(tips: DataFrame, *newest: str, status: Column | None = None) -> DataFrame:
+    """Tips, those of one state only if it is given, the newest first by the named columns."""
+    rows = tips if status is None else tips.where(status)
+    return rows.orderBy(*[F.desc(n) for n in newest])

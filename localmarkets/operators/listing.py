@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,13 +165,43 @@ def recommend(rows: DataFrame, today: str, position: tuple[float, float], saved:
     return near.select("k", "next_date", F.round(score, 6).alias("score"), reasons.alias("reasons")).orderBy(F.desc("score"), "next_date", "k").limit(most)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, km: float, lat_step: float, lng_step: float) -> DataFrame:
-    """(id, other, km, rank): the k nearest rows of ``right`` inside the radius. Both have id, lat, lng; the steps are at least the radius in degrees."""
-    one = left.where("lat is not null and lng is not null").select("id", "lat", "lng", geo.cell(F.col("lat"), lat_step).alias("y"), geo.cell(F.col("lng"), lng_step).alias("x"))
-    two = right.where("lat is not null and lng is not null").select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.explode(geo.near_cells(F.col("lat"), lat_step)).alias("y"))
-    two = two.select("other", "lat2", "lng2", "y", F.explode(geo.near_cells(F.col("lng2"), lng_step)).alias("x"))
-    both = one.join(two, ["y", "x"]).where("id <> other").withColumn("km", F.round(geo.distance_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")), 6)).where(F.col("km") <= km)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("km", "other"))).where(F.col("rank") <= k).select("id", "other", "km", "rank")
+def nearest(left: DataFrame, right: DataFrame, k: int, km: float, north: float = 58.0, widen: float = 4.0, rounds: int = 4) -> DataFrame:
+    """(id, other, km, rank): the k nearest rows of ``right`` inside the radius, the smaller id first among equally near ones.
+
+    Both have id, lat, lng, and lie south of the latitude ``north``; rows without a place have no neighbours and are none.
+    Places are compared and not rows: a place stands for its k + 1 smallest ids, so many rows at one place cost no pairs.
+    The radius grows by ``widen`` up to ``km``, and only places that have fewer than k + 1 ids within one go on to the next.
+    """
+    held = k + 1
+    ids = right.where("lat is not null and lng is not null").select(F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("id").alias("other"))
+    ids = cap_per_group(ids.where("other is not null").distinct(), ["lat2", "lng2"], ["other"], held)
+    points = cut(ids.groupBy("lat2", "lng2").agg(F.array_sort(F.collect_list("other")).alias("others")), "points")
+    rows = left.where("lat is not null and lng is not null").select("id", "lat", "lng")
+    short, found = rows.select("lat", "lng").distinct(), []
+    for i in reversed(range(rounds)):
+        told = cut(_nearest_ids(short, points, held, km / widen**i, north), "near")
+        settled = told.where(F.size("near") >= held) if i else told
+        found.append(settled)
+        short = short.join(settled.select("lat", "lng"), ["lat", "lng"], "left_anti")
+    lists = found[0]
+    for more in found[1:]:
+        lists = lists.unionByName(more)
+    own = rows.join(lists, ["lat", "lng"])
+    others = F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)
+    return own.select("id", F.posexplode(others).alias("rank", "n")).select("id", "n.other", "n.km", (F.col("rank") + 1).alias("rank"))
+
+
+def _nearest_ids(short: DataFrame, points: DataFrame, held: int, km: float, north: float) -> DataFrame:
+    """(lat, lng, near): the ``held`` nearest (km, other) of each place within the radius, by cells as wide as the radius at ``north``."""
+    lat_step = km / 111.0  # a degree is 111.19 km
+    lng_step = lat_step / math.cos(math.radians(min(north + lat_step, 89.0)))
+    one = short.select("lat", "lng", geo.cell(F.col("lat"), lat_step).alias("y"), geo.cell(F.col("lng"), lng_step).alias("x"))
+    two = points.select("*", F.explode(geo.near_cells(F.col("lat2"), lat_step)).alias("y")).select("*", F.explode(geo.near_cells(F.col("lng2"), lng_step)).alias("x"))
+    both = one.join(two, ["y", "x"]).withColumn("km", F.round(geo.distance_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")), 6)).where(F.col("km") <= km)
+    # The first ``held`` ids are among those of the first ``held`` places by distance and smallest id.
+    near = cap_per_group(both, ["lat", "lng"], ["km", F.element_at("others", 1)], held)
+    listed = F.flatten(F.collect_list(F.transform("others", lambda o: F.struct(F.col("km").alias("km"), o.alias("other")))))
+    return near.groupBy("lat", "lng").agg(F.slice(F.array_sort(listed), 1, held).alias("near"))
 
 
 def city_centroids(rows: DataFrame) -> DataFrame:
@@ -224,7 +255,7 @@ def event_detail(listings: DataFrame, occurrences: DataFrame, event: str = "m")
     return sources.join(days, event)
 
 
-def cap_per_group(rows: DataFrame, group: str, order: list[Column | str], most: int) -> DataFrame:
+def cap_per_group(rows: DataFrame, group: str | list[str], order: list[Column | str], most: int) -> DataFrame:
     """The first ``most`` rows of each group by ``order``, and their number ``n`` (Spark drops later rows before the shuffle)."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("n") <= most)
 
@@ -239,3 +270,52 @@ def list_venues(venues: DataFrame, kind: str | None = None, category: str | None
     for column, value in (("source_type", kind), ("category", category)):
         venues = venues if value is None else venues.where(F.col(column) == value)
     return venues.orderBy("category", "title", "source_id")
+
+
+def first_date_in_window(occurrences: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(event_id, first): the first day of each listing in the window; those without one are left out."""
+    return occurrences.where(F.col("date").between(first, last)).groupBy("event_id").agg(F.min("date").alias("first"))
+
+
+def periods_to_occurrences(periods: DataFrame, key: str, start: Column, end: Column, today: Column, each: int = 30, most: int = 60) -> DataFrame:
+    """(key, date): distinct days from today on of each key's periods, ``each`` days of a period and ``most`` of a key.
+
+    The days are rows, not one array a key, so a key may have any number of periods.
+    """
+    days = periods.select(key, F.explode(dates.expand_span(start, end, each)).alias("date")).where(F.col("date") >= today).distinct()
+    return cap_per_group(days, key, ["date"], most).drop("n")
+
+
+def pick_trip_day(stops: DataFrame, occurrences: DataFrame, today: Column, least: int = 2) -> DataFrame:
+    """(trip_id, day): the earliest day from today on when at least ``least`` stops of a trip are open."""
+    days = stops.select("trip_id", "event_id").join(occurrences.where(F.col("date") >= today).select("event_id", "date"), "event_id")
+    many = days.groupBy("trip_id", "date").agg(F.count_distinct("event_id").alias("n")).where(F.col("n") >= least)
+    return many.groupBy("trip_id").agg(F.min("date").alias("day"))
+
+
+def auto_plan(occurrences: DataFrame, listings: DataFrame, position: tuple[float, float], most: int = 10) -> DataFrame:
+    """(date, event_id, n): of each day with two listings or more the nearest ones, in order of distance."""
+    days = occurrences.select("date", "event_id").distinct().join(listings.select(F.col("k").alias("event_id"), "lat", "lng"), "event_id")
+    many = days.groupBy("date").agg(F.count("*").alias("t")).where("t >= 2").select("date")
+    near = with_distance(days, position).withColumn("km", F.round("km", 6))
+    return cap_per_group(near, "date", ["km", "event_id"], most).join(many, "date", "left_semi").select("date", "event_id", "n")
+
+
+def trip_geometry(trips: DataFrame) -> DataFrame:
+    """(trip_id, points, line): the stops in order, ids joined by dashes; a trip of one stop has no line. Trips have ten stops at most."""
+    held = trips.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "event_id"))).alias("stops")).where(F.size("stops") >= 2)
+    return held.select("trip_id", F.size("stops").cast("long").alias("points"), F.array_join(F.transform("stops", lambda x: x["event_id"].cast("string")), "-").alias("line"))
+
+
+# The windows that a shared link may name.
+LINK_WINDOWS = ["all", "today", "tomorrow", "weekend", "next-weekend"]
+
+
+def saved_filter_parse(rows: DataFrame, key: str, link: Column) -> DataFrame:
+    """(key, dates, free, place, map, stops) of query strings; unknown values fall back to the defaults, stops are ten valid ids at most."""
+    parts = rows.select(key, F.str_to_map(link, F.lit("&"), F.lit("=")).alias("p"))
+    get = lambda n: F.try_element_at(F.col("p"), F.lit(n))
+    yes = lambda n, v: F.coalesce(get(n) == v, F.lit(False))
+    stops = F.slice(F.filter(F.split(F.coalesce(get("tur"), F.lit("")), ","), lambda t: t.rlike("^[ev]:[a-z0-9-]+$")), 1, 10)
+    place = F.when(get("inde") == "1", "indoor").when(get("ude") == "1", "outdoor")
+    return parts.select(key, F.when(get("dato").isin(LINK_WINDOWS), get("dato")).otherwise("weekend").alias("dates"), yes("gratis", "1").alias("free"), place.alias("place"), yes("visning", "kort").alias("map"), stops.alias("stops"))

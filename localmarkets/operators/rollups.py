@@ -78,3 +78,9 @@ def best_candidate(rows: DataFrame, group: str, *rank: Column) -> DataFrame:
 
 def freshest_per_source(rows: DataFrame, source: str, seen: str) -> DataFrame:
     return rows.groupBy(source).agg(F.max(seen).alias("newest"))
+
+
+def detect_recurrence(rows: DataFrame, place: str, date: Column, least: int = 3, span: int = 21) -> DataFrame:
+    """(place, recurring, n, span): at least ``least`` distinct days over at least ``span`` days."""
+    seen = rows.groupBy(place).agg(F.count_distinct(date).alias("n"), F.datediff(F.max(date), F.min(date)).cast("long").alias("span"))
+    return seen.select(place, ((F.col("n") >= least) & (F.col("span") >= span)).alias("recurring"), "n", "span")

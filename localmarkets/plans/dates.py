@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localmarkets.functions import dates as D
+from localmarkets.operators import listing as Q
 from localmarkets.views import HOURS, SCHEDULES, TODAY, WEEK_HOURS, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +140,7 @@ def _(spark, d):
 @query("D11_expand_span", """
 SELECT k, CAST(unnest(generate_series(start_date, least(start_date + CAST(k % 45 AS INT), start_date + 29), INTERVAL 1 DAY)) AS DATE) AS date FROM v_raw""")
 def _(spark, d):
-    return view(spark, d, "v_raw").select("k", F.explode(F.slice(F.sequence(c("start_date"), F.date_add("start_date", (c("k") % 45).cast("int"))), 1, 30)).alias("date"))
+    return view(spark, d, "v_raw").select("k", F.explode(D.expand_span(c("start_date"), F.date_add("start_date", (c("k") % 45).cast("int")))).alias("date"))
 
 
 @query("D14_periods_to_occurrences", """
@@ -147,11 +148,8 @@ WITH p AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS
 d AS (SELECT DISTINCT o_custkey, CAST(unnest(generate_series(a, least(z, a + 29), INTERVAL 1 DAY)) AS DATE) AS date FROM p)
 SELECT o_custkey, date FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY date) AS n FROM d WHERE date >= DATE '1997-01-01') x WHERE n <= 60""")
 def _(spark, d):
-    # The days are rows, not one array a customer: distinct and the first 60 by a window.
-    period = F.slice(F.sequence(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), (c("o_orderkey") % 40).cast("int"))), 1, 30)
-    days = view(spark, d, "orders").select("o_custkey", F.explode(period).alias("date")).where("date >= '1997-01-01'").distinct()
-    order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("date"))
-    return days.withColumn("n", order).where("n <= 60").drop("n")
+    first = F.to_date("o_orderdate")
+    return Q.periods_to_occurrences(view(spark, d, "orders"), "o_custkey", first, F.date_add(first, (c("o_orderkey") % 40).cast("int")), F.lit("1997-01-01").cast("date"))
 
 
 @query("D15_plausible_dates", """
@@ -160,8 +158,7 @@ WHERE date BETWEEN DATE '2026-07-03' - 366 AND DATE '2026-07-03' + 730""")
 def _(spark, d):
     n = c("k").cast("int")
     days = F.array("start_date", F.date_add("start_date", n % 900), F.date_sub("start_date", n % 700))
-    kept = F.filter(days, lambda x: x.between(F.date_sub(today(), 366), F.date_add(today(), 730)))
-    return view(spark, d, "v_raw").select("k", F.explode(kept).alias("date"))
+    return view(spark, d, "v_raw").select("k", F.explode(D.plausible_dates(days, today())).alias("date"))
 
 
 @query("D17_local_now", """
@@ -182,7 +179,7 @@ def _(spark, d):
 
 @query("D19_first_date_in_window", "SELECT event_id, min(date) AS first FROM v_occ WHERE date BETWEEN DATE '2026-07-03' AND DATE '2026-08-02' GROUP BY event_id")
 def _(spark, d):
-    return view(spark, d, "v_occ").where(c("date").between(today(), F.date_add(today(), 30))).groupBy("event_id").agg(F.min("date").alias("first"))
+    return Q.first_date_in_window(view(spark, d, "v_occ"), today(), F.date_add(today(), 30))
 
 
 @query("D20_is_open_at", """

@@ -11,7 +11,7 @@ from localmarkets.functions import dates as D
 from localmarkets.functions import facts, posts, sql_names
 from localmarkets.functions import text as T
 from localmarkets.operators import canonical, lifecycle
-from localmarkets.operators.listing import ALIASES
+from localmarkets.operators.listing import ALIASES, saved_filter_parse
 from localmarkets.plans.dates import reading
 from localmarkets.plans.lifecycle import Q_MINED, mined
 from localmarkets.plans.resolve import q_haversine
@@ -44,7 +44,19 @@ def by_sentence(values: dict[int, str], other: str = "NULL") -> str:
 
 
 # --- posts ---
-@query("X6_classify_post")
+# Read off the rules by hand, sentence by sentence: label, confidence, kind of place, evidence, to be reviewed.
+POSTS = {
+    0: ("kraever_review", "3e-1", None, "market words, unclear", True), 1: ("loppemarked", "7e-1", None, "stalls", False), 2: ("loppemarked", "7e-1", None, "public place", False),
+    7: ("kraever_review", "3e-1", None, "market words, unclear", True), 22: ("enkeltstaaende_privatsalg", "75e-2", None, "all must go", False), 23: ("kraever_review", "3e-1", None, "market words, unclear", True),
+    30: ("kraever_review", "3e-1", None, "market words, unclear", True), 31: ("kraever_review", "3e-1", None, "market words, unclear", True), 32: ("kraever_review", "3e-1", None, "market words, unclear", True),
+    34: ("doedsbosalg", "75e-2", None, "estate", False), 35: ("informal_place", "55e-2", "loppelade", "flea barn", True), 36: ("kraever_review", "3e-1", None, "market words, unclear", True),
+}
+_told = lambda at, show, other: by_sentence({i: show(v[at]) for i, v in POSTS.items()}, other)
+_quoted = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+@query("X6_classify_post", f"""
+SELECT k, {_told(0, _quoted, "'irrelevant'")} AS label, {_told(1, str, '9e-1')} AS confidence, {_told(2, _quoted, 'NULL')} AS place_type, {_told(3, _quoted, "'no market words'")} AS evidence, {_told(4, str, 'false')} AS needs_review FROM v_text""")
 def classified(spark, d):
     return view(spark, d, "v_text").select("k", posts.classify_post(c("text")).alias("p")).select("k", "p.label", "p.confidence", "p.place_type", F.array_join("p.evidence", ", ").alias("evidence"), "p.needs_review")
 
@@ -95,33 +107,10 @@ def _(spark, d):
     return view(spark, d, "v_raw").select("k", tips.extract_title(F.concat(title, F.lit(" "), c("postcode"), F.lit(" lørdag den 5. juli kl. 10. Kom og se"))).alias("title"))
 
 
-# What feeds and their readings put between the words of a post.
-CHROME = [
-    rf"(?i){T.W0}q?\s*search facebook{T.W1}", rf"(?i){T.W0}gruppen{T.W1}", rf"(?i){T.W0}public group{T.W1}", rf"(?i){T.W0}[\d.,]+\s*k?\s*members{T.W1}",
-    rf"(?i){T.W0}(?:invite|ahout|about|discussion|people|media|files|joined){T.W1}", rf"(?i){T.W0}rising contributor{T.W1}", rf"(?iu){T.W0}[A-Za-zÆØÅæøå]+\s+\d{{1,2}}\s+at\s+\d{{1,2}}[:.]\d{{2}}\s*[ap]m{T.W1}",
-    rf"(?i){T.W0}\d{{1,2}}[:.]\d{{2}}\s*[ap]m{T.W1}", r"(?:^|\s)[·•*]\s*-?\s*\d+(?=\s|$)", r"(?i)(?:^|\s)\d{1,2}\s*[hdwm](?=\s*[·•\-o*])", r"(?i)(?:^|\s)e?book(?=\s|$)", r"(?i)(?:^|\s)ook(?=\s)", rf"(?i)[·•]\s*share{T.W1}",
-]
-
-
-def strip_feed_chrome(text):
-    out = F.concat(F.lit(" "), text, F.lit(" "))
-    for p in CHROME:
-        out = T.sub(out, p)
-    return F.trim(F.regexp_replace(T.squeeze(out), r"^[^\p{L}\p{N}]+", ""))
-
-
 @query("T32_strip_feed_chrome", "SELECT k, 'Anna ' || regexp_replace(regexp_replace(text, '^[^a-zA-Z0-9æøåÆØÅ]+', ''), '^Book ', '') AS text FROM v_text")  # "Book" is a button's word
 def _(spark, d):
     noisy = F.concat(F.lit("• 3 Public group 1,2k members Anna July 2 at 8:11PM "), c("text"), F.lit(" • Share"))
-    return view(spark, d, "v_text").select("k", strip_feed_chrome(noisy).alias("text"))
-
-
-def code_label(code: Column, labels: list[tuple[int, int, str]], other: str = "unknown") -> Column:
-    """The label of the range (first, last, label) that a code is in."""
-    out = F.lit(other)
-    for low, high, label in reversed(labels):
-        out = F.when(code.between(low, high), label).otherwise(out)
-    return out
+    return view(spark, d, "v_text").select("k", T.strip_feed_chrome(noisy).alias("text"))
 
 
 # Labels of weather codes by range.
@@ -130,22 +119,19 @@ WEATHER = [(0, 0, "clear"), (1, 3, "clouds"), (45, 48, "fog"), (51, 67, "rain"),
 
 @query("T40_code_label", "SELECT event_id, CASE " + " ".join(f"WHEN event_id % 100 BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in WEATHER) + " ELSE 'unknown' END AS label FROM events")
 def _(spark, d):
-    return view(spark, d, "events").select("event_id", code_label(c("event_id") % 100, WEATHER).alias("label"))
+    return view(spark, d, "events").select("event_id", T.code_label(c("event_id") % 100, WEATHER).alias("label"))
 
 
 @query("T42_extract_postal_town", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '5000 Odense' END AS town FROM pages")
 def _(spark, d):
-    html = F.concat(F.lit("Kalender 2026 Program. "), F.when(c("page_id") % 2 == 0, "Torvet 1, 5000 Odense C").otherwise(""))
-    found = F.filter(F.regexp_extract_all(html, F.lit(rf"{T.W0}([1-9]\d{{3}} [A-ZÆØÅ][a-zæøå]+)"), F.lit(1)), lambda x: ~x.startswith("20"))
-    return view(spark, d, "pages").select("page_id", F.try_element_at(found, F.lit(1)).alias("town"))
+    html = F.concat("html", F.lit(" Kalender 2026 Program. "), F.when(c("page_id") % 2 == 0, "Torvet 1, 5000 Odense C").otherwise(""))
+    return view(spark, d, "pages").select("page_id", T.extract_postal_town(html).alias("town"))
 
 
 @query("T43_extract_phone", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '20 ' || substr(CAST(100000 + s_suppkey AS VARCHAR), 1, 2) || ' ' || substr(CAST(100000 + s_suppkey AS VARCHAR), 3, 2) || ' ' || substr(CAST(100000 + s_suppkey AS VARCHAR), 5, 2) END AS phone FROM supplier")
 def _(spark, d):
-    lines = F.array(F.lit("Gade 1"), F.when(c("s_suppkey") % 2 == 0, F.concat(F.lit("Tlf. 20"), (100000 + c("s_suppkey")).cast("string"))).otherwise("ingen telefon her"))
-    digits = F.regexp_replace(F.try_element_at(F.filter(lines, lambda x: x.rlike(r"(?i)tlf|tel")), F.lit(1)), "[^0-9]", "")
-    grouped = F.when(F.length(digits) == 8, F.trim(F.regexp_replace(digits, "(..)", "$1 "))).when(F.length(digits) >= 6, digits)
-    return view(spark, d, "supplier").select("s_suppkey", grouped.alias("phone"))
+    lines = F.array(c("s_name"), F.when(c("s_suppkey") % 2 == 0, F.concat(F.lit("Tlf. 20"), (100000 + c("s_suppkey")).cast("string"))).otherwise("ingen telefon her"))
+    return view(spark, d, "supplier").select("s_suppkey", T.extract_phone(lines).alias("phone"))
 
 
 # --- landed files ---
@@ -166,27 +152,25 @@ def _(spark, d):
     return rows.where(T.looks_like_market(c("o.title"))).groupBy("o.id").agg(F.min("o.slug").alias("slug"))
 
 
-@query("S12_store_locator", "SELECT source_id AS shop, 'Vej 1' AS street, postcode, 'By' AS city FROM v_venues WHERE source_type = 'chain' AND source_id % 3 <> 0")
+@query("S12_store_locator", "SELECT source_id AS shop, 'Vej ' || source_id AS street, postcode, 'By' AS city FROM v_venues WHERE source_type = 'chain' AND source_id % 3 <> 0")
 def _(spark, d):
-    shop = F.struct(c("source_id").alias("no"), F.concat(F.lit("Vej 1, "), c("postcode"), F.lit(" By")).alias("address"), F.when(c("source_id") % 3 == 0, "office").otherwise("shop").alias("kind"))
+    shop = F.struct(c("source_id").alias("no"), F.concat(F.lit("Vej "), c("source_id").cast("string"), F.lit(", "), c("postcode"), F.lit(" By")).alias("address"), F.when(c("source_id") % 3 == 0, "office").otherwise("shop").alias("kind"))
     lines = view(spark, d, "v_venues").where("source_type = 'chain'").select(F.to_json(F.struct(F.array(shop, shop).alias("stores"))).alias("line"))
-    stores = lines.select(F.explode(F.from_json("line", "struct<stores:array<struct<no:bigint,address:string,kind:string>>>")["stores"]).alias("s")).where("s.kind = 'shop'").dropDuplicates(["s"])
-    return stores.select("s.no", T.parse_address(c("s.address")).alias("a")).select(c("no").alias("shop"), "a.street", "a.postcode", "a.city")
+    return feeds.store_locator_to_venues(lines, "chain").select("shop", "street", "postcode", "city")
 
 
 @query("S17_curated_map", "SELECT 'sted-' || c_custkey AS slug, CAST(floor(c_custkey % 7 + 5e-1) AS BIGINT) AS n FROM customer WHERE c_custkey % 4 <> 0")
 def _(spark, d):
     value = F.when(c("c_custkey") % 4 == 0, F.lit("x")).otherwise((c("c_custkey") % 7 + 0.5).cast("string"))
     lines = view(spark, d, "customer").select(F.to_json(F.create_map(F.concat(F.lit("sted-"), c("c_custkey").cast("string")), value)).alias("line"))
-    rows = lines.select(F.explode(F.from_json("line", "map<string,string>")).alias("slug", "value"))
-    return rows.select("slug", F.floor(F.try_to_number("value", F.lit("999D9")).cast("double")).alias("n")).where("n is not null")
+    return feeds.curated_counts(lines)
 
 
 @query("S18_vetted_places", "SELECT slug, name FROM v_places WHERE id % 9 <> 0")
 def _(spark, d):
     row = F.struct(F.when(c("id") % 9 != 0, c("slug")).alias("slug"), "name")
     lines = view(spark, d, "v_places").select(F.to_json(F.array(row)).alias("line"))
-    return lines.select(F.inline(F.from_json("line", "array<struct<slug:string,name:string>>"))).where("slug is not null and trim(name) <> ''")
+    return feeds.vetted_places(lines).where("kept").select("slug", "name")
 
 
 @query("S21_export_listing_json", """SELECT source_id, '{"id":' || source_id || ',"title":"' || title || '"}' AS json FROM v_venues WHERE source_type = 'map'""")
@@ -202,8 +186,7 @@ def _(spark, d):
 @query("Q19_structured_feed_domains", f"SELECT DISTINCT {q_domain('url')} AS domain FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0")
 def _(spark, d):
     probe = F.when(c("page_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct((c("page_id") % 3 == 0).alias("api"))))
-    told = F.from_json(probe, "struct<api:boolean>")["api"]
-    return view(spark, d, "pages").where(told).select(T.normalize_domain(c("url")).alias("domain")).distinct()
+    return lifecycle.structured_feed_domains(view(spark, d, "pages").withColumn("probe", probe), "url", "probe")
 
 
 @query("Q21_saved_filter_parse", """
@@ -211,13 +194,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'today' ELSE 'weekend' END
 def _(spark, d):
     k = c("o_orderkey")
     link = F.concat_ws("&", F.when(k % 3 == 0, "dato=today").when(k % 3 == 1, "dato=nonsense"), F.when(k % 2 == 0, "gratis=1"), F.when(k % 5 == 0, "inde=1"), F.when(k % 7 == 0, "visning=kort"), F.when(k % 4 == 0, "tur=e:abc-1,x:no,E:bad"))
-    rows = view(spark, d, "orders").select("o_orderkey", F.str_to_map(link, F.lit("&"), F.lit("=")).alias("p"))
-    get = lambda n: F.try_element_at(c("p"), F.lit(n))
-    known = ["all", "today", "tomorrow", "weekend", "next-weekend"]
-    stops = F.slice(F.filter(F.split(F.coalesce(get("tur"), F.lit("")), ","), lambda t: t.rlike("^[ev]:[a-z0-9-]+$")), 1, 10)
-    place = F.when(get("inde") == "1", "indoor").when(get("ude") == "1", "outdoor")
-    yes = lambda n, v: F.coalesce(get(n) == v, F.lit(False))
-    return rows.select("o_orderkey", F.when(get("dato").isin(known), get("dato")).otherwise("weekend").alias("dates"), yes("gratis", "1").alias("free"), place.alias("place"), yes("visning", "kort").alias("map"), F.size(stops).alias("stops"))
+    return saved_filter_parse(view(spark, d, "orders"), "o_orderkey", link).withColumn("stops", F.size("stops"))
 
 
 @query("F3_expand_aliases", f"SELECT k, replace({q_fold('q')}, 'cph', 'kobenhavn') AS query FROM (SELECT k, 'CPH ' || category AS q FROM v_raw) x")

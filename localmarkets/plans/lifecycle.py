@@ -411,13 +411,13 @@ def _(spark, d):
 
 @query("Q18_list_candidates", f"WITH {Q_MINED} SELECT domain, mentions, CASE WHEN length(domain) % 4 > 0 THEN length(domain) % 4 END AS score FROM m WHERE mentions >= 2")
 def _(spark, d):
-    rows = mined(spark, d).withColumn("score", F.when(F.length("domain") % 4 > 0, F.length("domain") % 4)).where("mentions >= 2")
-    return rows.orderBy(c("score").desc_nulls_last(), F.desc("mentions"), "domain").select("domain", "mentions", "score")
+    rows = mined(spark, d).withColumn("score", F.when(F.length("domain") % 4 > 0, F.length("domain") % 4))
+    return L.list_candidates(rows).select("domain", "mentions", "score")
 
 
 @query("Q20_list_tips", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(text) > 40")
 def _(spark, d):
-    return view(spark, d, "conversations").where("role = 'user' and length(text) > 40").orderBy(F.desc("conv_id"), F.desc("turn")).select("conv_id", "turn")
+    return L.list_tips(view(spark, d, "conversations"), "conv_id", "turn", status=(c("role") == "user") & (F.length("text") > 40)).select("conv_id", "turn")
 
 
 # --- streams ---

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from localmarkets.functions import facts, geo
 from localmarkets.functions import text as T
 from localmarkets.operators import listing as Q
+from localmarkets.operators import rollups as U
 from localmarkets.operators import search as S
 from localmarkets.plans.dates import reading
 from localmarkets.plans.resolve import Q_CONF, Q_CONF_IN, Q_GEM, confidence, q_haversine
@@ -111,9 +112,7 @@ def _(spark, d):
 @query("X9_detect_recurrence", """
 SELECT user_id, n >= 3 AND span >= 21 AS recurring, n, span FROM (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) AS span FROM events WHERE event_type = 'purchase' GROUP BY user_id) x""")
 def _(spark, d):
-    date = F.to_date("ts")
-    seen = view(spark, d, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count_distinct(date).alias("n"), F.datediff(F.max(date), F.min(date)).cast("long").alias("span"))
-    return seen.select("user_id", ((c("n") >= 3) & (c("span") >= 21)).alias("recurring"), "n", "span")
+    return U.detect_recurrence(view(spark, d, "events").where("event_type = 'purchase'"), "user_id", F.to_date("ts"))
 
 
 # --- listings ---
@@ -261,19 +260,19 @@ def _(spark, d):
 @query("J6_nearest_events", f"""
 SELECT id, other, km, rank FROM (SELECT a.k AS id, b.k AS other, round({q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')}, 6) AS km,
   row_number() OVER (PARTITION BY a.k ORDER BY round({q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')}, 6), b.k) AS rank
-  FROM v_raw a JOIN v_raw b ON b.k <> a.k AND b.lat BETWEEN a.lat - 6e-2 AND a.lat + 6e-2 AND abs(b.lng - a.lng) < 2e-1 WHERE {q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')} <= 5) x WHERE rank <= 3""")
+  FROM v_raw a JOIN v_raw b ON b.k <> a.k AND b.lat BETWEEN a.lat - 4e-1 AND a.lat + 4e-1 WHERE {q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')} <= 40) x WHERE rank <= 3""")
 def _(spark, d):
     rows = view(spark, d, "v_raw").select(c("k").alias("id"), "lat", "lng")
-    return Q.nearest(rows, rows, 3, 5.0, 0.05, 0.1)
+    return Q.nearest(rows, rows, 3, 40.0)
 
 
 @query("J6_nearest_venues", f"""
 SELECT id, other, km, rank FROM (SELECT a.source_id AS id, b.source_id AS other, round({q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')}, 6) AS km,
   row_number() OVER (PARTITION BY a.source_id ORDER BY round({q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')}, 6), b.source_id) AS rank
-  FROM v_venues a JOIN v_venues b ON b.source_id <> a.source_id AND b.lat BETWEEN a.lat - 6e-2 AND a.lat + 6e-2 WHERE {q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')} <= 5) x WHERE rank <= 3""")
+  FROM v_venues a JOIN v_venues b ON b.source_id <> a.source_id AND b.lat BETWEEN a.lat - 4e-1 AND a.lat + 4e-1 WHERE {q_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng', '6371e0')} <= 40) x WHERE rank <= 3""")
 def _(spark, d):
     rows = view(spark, d, "v_venues").select(c("source_id").alias("id"), "lat", "lng")
-    return Q.nearest(rows, rows, 3, 5.0, 0.05, 0.1)
+    return Q.nearest(rows, rows, 3, 40.0)
 
 
 _slug = f"substr(replace({q_title('city')}, ' ', '-'), 1, 60)"
@@ -390,27 +389,25 @@ def _(spark, d):
 @query("G1_pick_trip_day", """
 SELECT trip_id, min(date) AS day FROM (SELECT trip_id, date, count(DISTINCT v_trips.event_id) AS n FROM v_trips JOIN v_occ ON v_occ.event_id = v_trips.event_id WHERE date >= DATE '2026-07-03' GROUP BY trip_id, date) x WHERE n >= 2 GROUP BY trip_id""")
 def _(spark, d):
-    open_ = view(spark, d, "v_trips").join(view(spark, d, "v_occ"), "event_id").where(c("date") >= TODAY)
-    return open_.groupBy("trip_id", "date").agg(F.count_distinct("event_id").alias("n")).where("n >= 2").groupBy("trip_id").agg(F.min("date").alias("day"))
+    return Q.pick_trip_day(view(spark, d, "v_trips"), view(spark, d, "v_occ"), Q.day(TODAY))
 
 
 @query("G2_auto_plan", f"""
 SELECT date, event_id, n FROM (SELECT date, event_id, row_number() OVER (PARTITION BY date ORDER BY km, event_id) AS n, count(*) OVER (PARTITION BY date) AS t FROM (
   SELECT DISTINCT date, event_id, round({Q_DIST()}, 6) AS km FROM v_occ JOIN v_raw ON v_raw.k = event_id) y) x WHERE n <= 10 AND t >= 2""")
 def _(spark, d):
-    rows = view(spark, d, "v_occ").select("date", "event_id").distinct().join(view(spark, d, "v_raw").select("k", "lat", "lng"), c("event_id") == c("k"))
-    rows = Q.with_distance(rows, HERE).withColumn("km", F.round("km", 6))
-    many = rows.groupBy("date").agg(F.count("*").alias("t")).where("t >= 2").select("date")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("date").orderBy("km", "event_id"))).where("n <= 10")
-    return rows.join(many, "date", "left_semi").select("date", "event_id", "n")
+    return Q.auto_plan(view(spark, d, "v_occ"), view(spark, d, "v_raw"), HERE)
 
 
-@query("G3_order_trips")
+@query("G3_order_trips", f"""
+WITH RECURSIVE g AS (SELECT DISTINCT trip_id, CAST([] AS BIGINT[]) AS stops, 557e-1 AS lat, 125e-1 AS lng FROM v_trips
+  UNION ALL SELECT trip_id, stops, lat, lng FROM (SELECT g.trip_id, list_append(g.stops, t.event_id) AS stops, t.lat, t.lng,
+    row_number() OVER (PARTITION BY g.trip_id ORDER BY {q_haversine('g.lat', 'g.lng', 't.lat', 't.lng', '6371e0')}, t.pos) AS n FROM g JOIN v_trips t ON t.trip_id = g.trip_id AND NOT list_contains(g.stops, t.event_id)) x WHERE n = 1)
+SELECT trip_id, array_to_string(arg_max(stops, len(stops)), ' ') AS stops FROM g GROUP BY trip_id""")
 def _(spark, d):
-    return Q.order_trips(view(spark, d, "v_trips"), HERE)
+    return Q.order_trips(view(spark, d, "v_trips"), HERE).select("trip_id", F.array_join(F.col("stops").cast("array<string>"), " ").alias("stops"))
 
 
 @query("G4_trip_geometry", "SELECT trip_id, count(*) AS points, string_agg(CAST(event_id AS VARCHAR), '-' ORDER BY pos) AS line FROM v_trips GROUP BY trip_id HAVING count(*) >= 2")
 def _(spark, d):
-    held = view(spark, d, "v_trips").groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "event_id"))).alias("p")).where(F.size("p") >= 2)
-    return held.select("trip_id", F.size("p").cast("long").alias("points"), F.array_join(F.transform("p", lambda x: x["event_id"].cast("string")), "-").alias("line"))
+    return Q.trip_geometry(view(spark, d, "v_trips"))

@@ -155,3 +155,40 @@ def embedded_objects(html: Column) -> Column:
     """Every object of a page that begins with an id."""
     parts = F.split(F.concat(F.lit(" "), html), r'(?=\{"id":)')  # a page may begin with an object
     return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.from_json(p, "struct<id:bigint,slug:string,title:string>"))
+
+
+STORE = "struct<stores:array<struct<no:bigint,name:string,address:string,kind:string>>>"
+
+
+def store_locator_to_venues(lines: DataFrame, chain: str) -> DataFrame:
+    """Shops of a chain's store lists (JSON text column ``line``): id of street and postcode, number, name, address parts; each id once.
+
+    What isn't a shop is dropped, as are malformed lines; of rows with one id the smallest number stays.
+    """
+    shops = lines.select(F.explode(F.from_json("line", STORE)["stores"]).alias("s")).where("s.kind = 'shop'")
+    rows = shops.select("s.no", "s.name", T.parse_address(F.col("s.address")).alias("a")).select("no", "name", "a.*")
+    own = T.stable_id(F.concat_ws("|", F.lit(chain), "street", "postcode"))
+    first = rows.groupBy(own.alias("source_id")).agg(F.min_by(F.struct("no", "name", "street", "postcode", "city"), "no").alias("r"))
+    return first.select(F.lit(chain).alias("chain"), "source_id", F.col("r.no").alias("shop"), "r.name", "r.street", "r.postcode", "r.city")
+
+
+def curated_counts(lines: DataFrame) -> DataFrame:
+    """(slug, n) of JSON maps (text column ``line``): numbers rounded down; values that are none are ignored."""
+    rows = lines.select(F.explode(F.from_json("line", "map<string,string>")).alias("slug", "value"))
+    return rows.select("slug", F.floor(F.expr("try_cast(value as double)")).alias("n")).where("n is not null and not isnan(double(n))")
+
+
+def read_curated_map(spark: SparkSession, path: str) -> DataFrame:
+    """``curated_counts`` of JSON files."""
+    return curated_counts(spark.read.text(path, wholetext=True).withColumnRenamed("value", "line"))
+
+
+def vetted_places(lines: DataFrame) -> DataFrame:
+    """(slug, name, kept) of JSON arrays (text column ``line``); a row without a slug or a name isn't kept, so rejected ones can be counted."""
+    rows = lines.select(F.inline(F.from_json("line", "array<struct<slug:string,name:string>>")))
+    return rows.withColumn("kept", F.coalesce((F.trim("slug") != "") & (F.trim("name") != ""), F.lit(False)))
+
+
+def read_vetted_places(spark: SparkSession, path: str) -> DataFrame:
+    """``vetted_places`` of JSON files."""
+    return vetted_places(spark.read.text(path, wholetext=True).withColumnRenamed("value", "line"))
