@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from localmarkets.functions import geo, scores
@@ -20,21 +20,51 @@ def clean(raws: DataFrame) -> DataFrame:
     })
 
 
-def canonicalize(raws: DataFrame, occurrences: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+def merge_status(members: DataFrame) -> DataFrame:
+    """(cluster, status) of listings with cluster, trust, called_off, changed and the status that they had before (null: new).
+
+    The fold of ``event_status`` over a cluster, free of order: it is called off if one that is trusted at 0.5, or as the best of the
+    cluster, says so; a cluster that was called off stays so until a best source takes it back with a change; an expired one is active.
+    """
+    best = F.max("trust").over(Window.partitionBy("cluster"))
+    told = members.withColumn("best", best)
+    off = F.bool_or(F.col("called_off") & (F.col("trust") >= F.least(F.lit(0.5), F.col("best"))))
+    back = F.bool_or(~F.col("called_off") & (F.col("trust") >= F.col("best")) & F.col("changed"))
+    was = F.bool_or(F.coalesce(F.col("status") == "cancelled", F.lit(False)))
+    return told.groupBy("cluster").agg(F.when(off | (was & ~back), "cancelled").otherwise("active").alias("status"))
+
+
+def kept_slugs(members: DataFrame) -> DataFrame:
+    """(cluster, hint): the slug that the most trusted member had, the smallest k among equals; null where none had one."""
+    had = F.col("slug").isNotNull()
+    return members.groupBy("cluster").agg(F.max(F.when(had, F.struct("trust", (-F.col("k")).alias("first"), F.col("slug").alias("slug"))))["slug"].alias("hint"))
+
+
+def canonicalize(raws: DataFrame, occurrences: DataFrame, today: Column, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, occurrences) by cluster; listings without a day from today on take no part.
 
     The key of an event is the smallest k of its cluster, so the result doesn't depend on the order in
-    which listings arrived.
+    which listings arrived. ``previous`` (k, slug, status) is what each listing's event was before: its slug
+    is kept whichever listing is the smallest now, and its status goes on. ``raws`` may have ``cancelled``
+    and ``changed`` (the payload differs from the run before); a title may call off too.
     """
     ahead = occurrences.where(F.col("date") >= today)
     dates = ahead.groupBy("event_id").agg(F.array_sort(F.collect_set("date")).alias("dates"))
-    rows = cut(clean(raws).join(dates, F.col("k") == F.col("event_id")).drop("event_id"), "cleaned")
+    flag = lambda n: F.coalesce(n, F.lit(False)) if n in raws.columns else F.lit(False)
+    flagged = raws.withColumns({"called_off": flag("cancelled") | F.coalesce(T.title_signals_cancelled(F.col("title")), F.lit(False)), "changed": flag("changed")})
+    rows = cut(clean(flagged).join(dates, F.col("k") == F.col("event_id")).drop("event_id"), "cleaned")
     clustered = cut(rows.join(R.same_market(rows), "k"), "clustered")
     events = R.merge_fields(clustered)
     days = R.merge_occurrences(ahead.join(clustered.select("k", "cluster", "trust"), F.col("event_id") == F.col("k")))
     first = days.groupBy("cluster").agg(F.min("date").alias("first_date"), F.count("*").alias("days"))
+    members = clustered.select("k", "cluster", "trust", "called_off", "changed")
+    if previous is None:
+        members = members.withColumns({"slug": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
+    else:
+        members = members.join(previous.select("k", "slug", "status"), "k", "left")
     located = F.col("lat").isNotNull() & T.is_precise(F.col("geocode_quality"))
     age = F.greatest(F.lit(0), F.datediff(today, F.col("last_seen")))
     scored = events.join(first, "cluster").withColumn("confidence", scores.event_confidence(F.col("trust"), F.col("sources"), age, located, F.col("days") > 0, F.lit(0)))
-    slug = T.slugify(F.concat_ws(" ", "title", "city"))
-    return R.unique_slugs(scored.withColumn("base", slug), "base", "cluster").drop("base"), days
+    scored = scored.join(merge_status(members), "cluster").join(kept_slugs(members), "cluster")
+    slug = F.coalesce("hint", T.slugify(F.concat_ws(" ", "title", "city")))
+    return R.unique_slugs(scored.withColumn("base", slug), "base", "cluster").drop("base", "hint"), days

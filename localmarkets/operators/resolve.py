@@ -44,6 +44,14 @@ def prepared(listings: DataFrame) -> DataFrame:
     })
 
 
+READ = ["k", "title", "street", "city", "postcode", "lat", "lng", "geocode_quality", "category", "dates"]
+
+
+def prepared_table(listings: DataFrame) -> DataFrame:
+    """``prepared`` as a table: all joins of pairs read it. Its work is by row and dear, so few large input files don't decide how many tasks share it."""
+    return cut(prepared(listings.select(*READ).repartition("k")), "listings")
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: listings of one postcode, or within the box of about a kilometre, or with one title where a location is unknown.
 
@@ -124,7 +132,7 @@ def match_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def same_market(listings: DataFrame) -> DataFrame:
     """(k, cluster): the smallest k of each listing's market."""
-    rows = cut(prepared(listings), "listings")
+    rows = prepared_table(listings)
     edges = match_pairs(rows, candidate_pairs(rows)).where("is_match").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = connected_components(edges)
     return rows.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("cluster"))

@@ -14,8 +14,8 @@ from localmarkets.operators import canonical, lifecycle
 from localmarkets.operators.listing import ALIASES, saved_filter_parse
 from localmarkets.plans.dates import reading
 from localmarkets.plans.lifecycle import Q_MINED, mined
-from localmarkets.plans.resolve import q_haversine
-from localmarkets.plans.text import q_domain, q_fold, q_title
+from localmarkets.plans.resolve import Q_CLUSTER, q_haversine
+from localmarkets.plans.text import q_clean_city, q_domain, q_fold, q_strip_dates, q_title
 from localmarkets.sources import adapters, exports, feeds, tips
 from localmarkets.views import SENTENCES, TODAY, view, with_views
 
@@ -205,18 +205,51 @@ def _(spark, d):
 
 
 # --- whole jobs ---
-@query("L2_canonicalize")
-def canonical_events(spark, d):
-    raws = view(spark, d, "v_raw")
-    events, _ = canonical.canonicalize(raws, view(spark, d, "v_occ"), today())
-    return events.select("cluster", "slug", "title", "category", "city", "lat", "lng", "sources", "size", "first_date", "days", "confidence")
+def canonical_events(spark, d, previous=None):
+    events, _ = canonical.canonicalize(view(spark, d, "v_raw"), view(spark, d, "v_occ"), today(), previous)
+    return events
+
+
+# The parts of a rebuild that SQL of moderate length can say: listings with a day ahead, cleaned, and their clusters by the rules of J1, J2.
+_inside = "coalesce(lat BETWEEN 544e-1 AND 579e-1 AND lng BETWEEN 78e-1 AND 153e-1, false)"
+Q_CLEANED = f"""
+ahead AS (SELECT event_id, list_sort(list_distinct(list(date))) AS dates FROM v_occ WHERE date >= DATE '2026-07-03' GROUP BY event_id),
+l AS (SELECT v.* EXCLUDE (title, street, city, lat, lng, geocode_quality), {q_strip_dates('v.title')} AS title, v.street, {q_clean_city('v.city', 'v.postcode')} AS city,
+  CASE WHEN {_inside} THEN v.lat END AS lat, CASE WHEN {_inside} THEN v.lng END AS lng, CASE WHEN {_inside} THEN v.geocode_quality END AS geocode_quality, ahead.dates
+  FROM v_raw v JOIN ahead ON ahead.event_id = v.k),"""
+Q_CANON = f"""WITH RECURSIVE {Q_CLEANED} {Q_CLUSTER[Q_CLUSTER.index('n AS (SELECT'):]},
+z AS (SELECT l.*, cl.cluster, max(trust) OVER (PARTITION BY cl.cluster) AS best FROM l JOIN cl ON cl.k = l.k),
+days AS (SELECT cluster, min(date) AS first_date, count(*) AS days FROM (SELECT cluster, date FROM v_occ JOIN z ON z.k = event_id WHERE date >= DATE '2026-07-03' GROUP BY cluster, date, best HAVING max(trust) >= least(best, 5e-1)) x GROUP BY cluster)"""
+
+
+_rank = "CASE geocode_quality WHEN 'source' THEN 3 WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END DESC, trust DESC, last_seen DESC, k DESC"
+_place = lambda n: f"first({n} ORDER BY {_rank}) FILTER (WHERE lat IS NOT NULL)"
+_title_city = "concat_ws(' ', title, city)"
+_base = f"substr(replace({q_title(_title_city)}, ' ', '-'), 1, 80)"
+
+
+@query("L2_canonicalize", rf"""{Q_CANON},
+ev AS (SELECT z.cluster, count(*) AS size, count(DISTINCT source_key) AS sources, any_value(first_date) AS first_date, any_value(days) AS days, CASE WHEN bool_or(cancelled AND trust >= least(5e-1, best)) THEN 'cancelled' ELSE 'active' END AS status,
+  first(title ORDER BY regexp_matches(title, '\b20\d{{2}}\b|d\.\s*\d'), trust DESC, last_seen DESC, k DESC) AS title, first(city ORDER BY trust DESC, last_seen DESC, k DESC) FILTER (WHERE city <> '') AS city,
+  coalesce(first(category ORDER BY trust DESC, last_seen DESC, k DESC) FILTER (WHERE category NOT IN ('', 'andet')), 'andet') AS category, {_place('lat')} AS lat, {_place('lng')} AS lng, {_place('geocode_quality')} AS quality,
+  max(trust) AS trust, max(last_seen) AS seen FROM z JOIN days ON days.cluster = z.cluster GROUP BY z.cluster),
+cf AS (SELECT *, least(1e0, greatest(0e0, floor((trust * 5e-1 + least(sources - 1, 2) * 1e-1 + greatest(0e0, 1e0 - greatest(0, greatest(0, DATE '2026-07-03' - seen) - 14) / 106) * 2e-1
+  + CASE WHEN lat IS NOT NULL AND quality NOT IN ('P', 'C') THEN 1e-1 ELSE 0 END + 1e-1) * 100 + 5e-1) / 100)) AS raw, {_base} AS base, row_number() OVER (PARTITION BY {_base} ORDER BY cluster) AS nth FROM ev)
+SELECT cluster, CASE WHEN nth = 1 THEN base ELSE base || '-' || nth END AS slug, title, category, city, lat, lng, sources, size, first_date, days, status, CASE WHEN sources <= 1 AND trust < 5e-1 THEN least(raw, 44e-2) ELSE raw END AS confidence FROM cf""")
+def _(spark, d):
+    return canonical_events(spark, d).select("cluster", "slug", "title", "category", "city", "lat", "lng", "sources", "size", "first_date", "days", "status", "confidence")
 
 
-@query("L7_rebuild")
+@query("L7_rebuild", f"""{Q_CANON},
+h AS (SELECT *, 'kept-' || CAST(floor(k / 2) AS BIGINT) AS had FROM z),
+ev AS (SELECT z.cluster, count(*) AS size, first(had ORDER BY trust DESC, k) FILTER (WHERE k % 2 = 0) AS slug,
+  CASE WHEN bool_or(cancelled AND trust >= least(5e-1, best)) OR bool_or(k % 8 = 0) THEN 'cancelled' ELSE 'active' END AS status FROM h z GROUP BY z.cluster)
+SELECT ev.cluster, slug, size, status FROM ev JOIN days ON days.cluster = ev.cluster WHERE slug IS NOT NULL""")
 def _(spark, d):
-    """Slugs that listings had before are kept: the hint of a cluster is the one of its smallest listing."""
-    hints = view(spark, d, "v_raw").where("k % 2 = 0").select(c("k").alias("cluster"), F.concat(F.lit("kept-"), c("k").cast("string")).alias("hint"))
-    return canonical_events(spark, d).join(hints, "cluster", "left").select("cluster", F.coalesce("hint", "slug").alias("slug"), "size")
+    """Slugs and states that listings' events had before go on; shown are the events that had one."""
+    k = c("k")
+    previous = view(spark, d, "v_raw").where("k % 2 = 0").select("k", F.concat(F.lit("kept-"), F.floor(k / 2).cast("string")).alias("slug"), F.when(k % 8 == 0, "cancelled").otherwise("active").alias("status"))
+    return canonical_events(spark, d, previous).where("slug like 'kept-%'").select("cluster", "slug", "size", "status")
 
 
 @query("L17_discovery_run", f"""

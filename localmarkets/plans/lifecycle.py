@@ -436,36 +436,23 @@ def _(spark, d):
 @query("R2_stream_last_seen", "SELECT user_id, event_type, max(ts) AS last_seen FROM events GROUP BY 1, 2")
 def _(spark, d):
     path = shared_path(spark, "stream-last-seen")
-    rows = R.last_seen(stream(spark, d))
-    rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(path)).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.max_by("last_seen", "batch").alias("last_seen"))
+    rows = stream(spark, d).withColumnRenamed("ts", "last_seen")
+    R.write_partials(rows, R.last_seen, path, path + "-checkpoint").awaitTermination()
+    return R.last_seen(spark.read.parquet(path))
 
 
 @query("R3_stream_recurrence", "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) AS span FROM events GROUP BY 1")
 def _(spark, d):
     path = shared_path(spark, "stream-recurrence")
-    rows = R.recurrence(stream(spark, d))
-    rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(path)).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    newest = spark.read.parquet(path).groupBy("user_id").agg(F.max_by(F.struct("days", "span"), "batch").alias("s"))
-    return newest.select("user_id", c("s.days").cast("long").alias("days"), c("s.span").cast("long").alias("span"))
+    R.write_partials(stream(spark, d), R.seen_days, path, path + "-checkpoint").awaitTermination()
+    return R.recurrence(spark.read.parquet(path))
 
 
 @query("R1_stream_upsert_raw", "SELECT user_id, event_type, max(CAST(ts AS DATE)) AS last_seen FROM events GROUP BY 1, 2")
 def _(spark, d):
     """Each batch makes the next snapshot of (source, id); the newest is read back."""
     path = shared_path(spark, "stream-snapshots")
-    made: list[int] = []
     key = ["user_id", "event_type"]
-    schema = "user_id long, event_type string, payload string, last_seen timestamp"
-
-    def read() -> DataFrame:
-        rows = spark.read.parquet(f"{path}/{made[-1]}") if made else spark.createDataFrame([], schema)
-        return rows.select(*key, "payload", "last_seen")
-
-    def write(rows: DataFrame, epoch: int) -> None:
-        rows.write.parquet(f"{path}/{epoch}")
-        made.append(epoch)
-
     rows = stream(spark, d).select(*key, c("props").alias("payload"), c("ts").alias("last_seen"))
-    R.upsert_stream(rows, read, write, key, path + "-checkpoint").awaitTermination()
-    return read().select(*key, F.to_date("last_seen").alias("last_seen"))
+    R.upsert_stream(rows, key, path, path + "-checkpoint").awaitTermination()
+    return R.snapshot(spark, path).select(*key, F.to_date("last_seen").alias("last_seen"))

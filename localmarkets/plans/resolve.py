@@ -98,12 +98,12 @@ cl AS (SELECT node AS k, min(seen) AS cluster FROM reach GROUP BY node)"""
 
 @query("J1_candidate_pairs", f"WITH {Q_ROWS} SELECT a, b FROM p")
 def _(spark, d):
-    return R.candidate_pairs(R.prepared(listings(spark, d)))
+    return R.candidate_pairs(R.prepared_table(listings(spark, d)))
 
 
 @query("J2_match_pairs", f"WITH {Q_MATCH} SELECT a, b, round(sim, 6) AS similarity, f LIKE '+%' AS forward, substr(f, 2) AS forward_reason, g LIKE '+%' AS backward, substr(g, 2) AS backward_reason FROM m")
 def _(spark, d):
-    rows = R.prepared(listings(spark, d))
+    rows = R.prepared_table(listings(spark, d))
     told = R.match_pairs(rows, R.candidate_pairs(rows))
     return told.select("a", "b", F.round("similarity", 6).alias("similarity"), c("forward.is_match").alias("forward"), c("forward.reason").alias("forward_reason"), c("backward.is_match").alias("backward"), c("backward.reason").alias("backward_reason"))
 

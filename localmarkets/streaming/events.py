@@ -1,4 +1,4 @@
-"""Structured Streaming forms: upserts, last sightings, recurrence, windowed counts. State is bounded by watermarks; a batch rebuild stays the truth."""
+"""Structured Streaming forms: upserts, last sightings, recurrence, windowed counts. State is bounded by watermarks or kept in tables; a batch rebuild stays the truth."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localmarkets.operators.lifecycle import upsert_raw
+from localmarkets.shared import remove
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -27,25 +28,64 @@ def session_counts(stream: DataFrame, gap: str = "6 hours", late: str = "1 day")
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def last_seen(stream: DataFrame) -> DataFrame:
-    """Newest sighting of each source and id, for update mode."""
-    return stream.groupBy("user_id", "event_type").agg(F.max("ts").alias("last_seen"))
+def write_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Writes each batch's own aggregate as ``path/batch=N``: no state is held between batches, a batch that runs again replaces itself, and late rows count."""
 
+    def batch(rows: DataFrame, epoch: int) -> None:
+        partial(rows).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-def recurrence(stream: DataFrame) -> DataFrame:
-    """Distinct days and span of each place; the days are a sketch-free set of dates, one a day at most."""
-    day = F.to_date("ts")
-    return stream.groupBy("user_id").agg(F.size(F.collect_set(day)).alias("days"), F.datediff(F.max(day), F.min(day)).alias("span"))
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: list[str], checkpoint: str):
-    """Writes a new snapshot for each batch of a deduplicated stream."""
+def last_seen(rows: DataFrame) -> DataFrame:
+    """Newest sighting of each source and id; of partial results too."""
+    return rows.groupBy("user_id", "event_type").agg(F.max("last_seen").alias("last_seen"))
 
-    def batch(rows: DataFrame, epoch: int) -> None:
-        newest = rows.groupBy(*key).agg(F.max_by("payload", "last_seen").alias("payload"), F.max("last_seen").alias("last_seen"))
-        write(upsert_raw(read(), newest, key), epoch)
 
-    deduped = stream.withWatermark("last_seen", "2 days").dropDuplicatesWithinWatermark([*key, "payload", "last_seen"])
+def seen_days(rows: DataFrame) -> DataFrame:
+    """The distinct days of each place in a batch."""
+    return rows.select("user_id", F.to_date("ts").alias("day")).distinct()
+
+
+def recurrence(days: DataFrame) -> DataFrame:
+    """Distinct days and span of each place, over the partial results of all batches."""
+    return days.groupBy("user_id").agg(F.count_distinct("day").alias("days"), F.datediff(F.max("day"), F.min("day")).cast("long").alias("span"))
+
+
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose snapshot below ``path`` is whole, told by its files, so a restarted query goes on from it."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.Path(f"{path}/snapshot-*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().removeprefix("snapshot-")) for f in files or [])
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest snapshot that ``upsert_stream`` finished, if there is one."""
+    done = _finished(spark, path)
+    return spark.read.parquet(f"{path}/snapshot-{done[-1]}") if done else None
+
+
+def upsert_stream(stream: DataFrame, key: list[str], path: str, checkpoint: str, late: str = "2 days"):
+    """Writes a new snapshot (key, payload, hash, last_seen, change) for each batch of a deduplicated stream; the last two are kept.
+
+    ``stream`` has key, payload, last_seen. State is what the watermark keeps of the deduplication; the snapshot is a table. A batch that
+    runs again reads the snapshot before its own and replaces its own; one without rows writes none. Rows older than a key's last sighting
+    change nothing.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        newest = rows.groupBy(*key).agg(F.max_by("payload", "last_seen").alias("payload"), F.max("last_seen").alias("last_seen")).persist()
+        if not newest.isEmpty():
+            before = [e for e in _finished(spark, path) if e < epoch]
+            old = (spark.read.parquet(f"{path}/snapshot-{before[-1]}") if before else newest.limit(0)).select(*key, "payload", "last_seen")
+            later = newest.join(old.select(*key, F.col("last_seen").alias("held")), key, "left").where("held is null or last_seen >= held").drop("held")
+            upsert_raw(old, later, key).write.mode("overwrite").parquet(f"{path}/snapshot-{epoch}")
+            for e in before[:-1]:
+                remove(spark, f"{path}/snapshot-{e}")
+        newest.unpersist()
+
+    deduped = stream.withWatermark("last_seen", late).dropDuplicatesWithinWatermark([*key, "payload", "last_seen"])
     return deduped.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

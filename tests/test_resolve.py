@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from localmarkets.operators import canonical as C
 from localmarkets.operators import lifecycle as L
 from localmarkets.operators import places as P
 from localmarkets.operators import resolve as R
@@ -55,3 +56,18 @@ def test_nothing_leaks(spark, sf):
     places = view(spark, sf, "v_places")
     assert P.visibility_leaks(places, P.public_view(places)).count() == 0
     assert P.publish(places).count() == P.public_view(places).count()
+
+
+def test_status_and_slugs_go_on(spark):
+    members = spark.createDataFrame(
+        [
+            (1, 10, 0.3, True, False, "active", None), (2, 10, 0.7, False, False, "active", "ten"),  # a weak source can't call off
+            (3, 11, 0.3, True, False, "active", "b"), (4, 11, 0.3, False, False, "active", "a"),  # it can what it dominates; the first of equals names it
+            (5, 12, 0.7, False, False, "cancelled", "c"), (6, 13, 0.7, False, True, "cancelled", "d"),  # taken back only with a change
+            (7, 14, 0.4, False, True, "cancelled", "e"), (8, 14, 0.7, False, False, "cancelled", None),  # and by a best source
+            (9, 15, 0.6, False, False, "expired", None), (20, 16, 0.5, True, False, None, None), (21, 16, 0.9, False, True, None, None),
+        ],
+        "k long, cluster long, trust double, called_off boolean, changed boolean, status string, slug string",
+    )
+    assert {r.cluster: r.status for r in C.merge_status(members).collect()} == {10: "active", 11: "cancelled", 12: "cancelled", 13: "active", 14: "cancelled", 15: "active", 16: "cancelled"}
+    assert {r.cluster: r.hint for r in C.kept_slugs(members).collect()} == {10: "ten", 11: "b", 12: "c", 13: "d", 14: "e", 15: None, 16: None}
