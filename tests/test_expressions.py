@@ -9,7 +9,6 @@ from localmarkets.functions import dates as D
 from localmarkets.functions import facts as X
 from localmarkets.functions import geo, scores
 from localmarkets.functions import text as T
-from localmarkets.plans.extraction import embedded_objects
 from localmarkets.sources import feeds
 
 
@@ -81,6 +80,6 @@ def test_pages_with_many_objects(spark):
     page = "".join(f'{{"id":{i},"slug":"s{i}","title":"t"}} junk ' for i in range(1500))
     events = '{"@type":"Event","startDate":"2026-08-01"} ' * 30 + '{"@type":"Event","name":"Marked","startDate":"2026-08-02"}'
     pages = spark.createDataFrame([(1, page), (2, "none"), (3, None), (4, events)], "page_id long, html string")
-    rows = {r.page_id: r.o for r in pages.select("page_id", embedded_objects(F.col("html")).alias("o")).collect()}
+    rows = {r.page_id: r.o for r in pages.select("page_id", feeds.embedded_objects(F.col("html")).alias("o")).collect()}
     assert [o.id for o in rows[1]] == list(range(1500)) and not rows[2] and not rows[3]
     assert [(r.page_id, r.name, str(r.start)) for r in feeds.json_ld_events(pages).collect()] == [(4, "Marked", "2026-08-02")]
