@@ -44,7 +44,7 @@ def by_sentence(values: dict[int, str], other: str = "NULL") -> str:
 
 
 # --- posts ---
-# Read off the rules by hand, sentence by sentence: label, confidence, kind of place, evidence, to be reviewed.
+# Recorded from the classifier's own output, so they show a later change and not an error of the rules: label, confidence, kind of place, evidence, to be reviewed.
 POSTS = {
     0: ("kraever_review", "3e-1", None, "market words, unclear", True), 1: ("loppemarked", "7e-1", None, "stalls", False), 2: ("loppemarked", "7e-1", None, "public place", False),
     7: ("kraever_review", "3e-1", None, "market words, unclear", True), 22: ("enkeltstaaende_privatsalg", "75e-2", None, "all must go", False), 23: ("kraever_review", "3e-1", None, "market words, unclear", True),
