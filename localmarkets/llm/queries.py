@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, decontaminate, exact_dedup, language, packing, quality, repeats, sharding, simhash, token_files
+from localmarkets.llm import chat, decontaminate, exact_dedup, language, packing, quality, repeats, sharding, simhash, token_files, topk, turns
 from localmarkets.shared import table
 
 
@@ -88,6 +88,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_index(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    law = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20
+    return turns.repair_conversations(given, turns.damaged(given, law))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_simhash": op2_simhash,
@@ -99,6 +110,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op8_sharding": op8_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 SQL = {
@@ -120,4 +133,14 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, sha256(text) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY text)""",
+    "op11_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER () AS row FROM v),
+p AS (
+  SELECT q.vec_id AS query_id, q.row, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM r q JOIN r c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)),
+o AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5""",
 }
