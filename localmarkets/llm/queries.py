@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localmarkets.llm import chat, decontaminate, exact_dedup, language, packing, quality, repeats, sharding, simhash, token_files, topk, turns
+from localmarkets.llm import chat, decontaminate, exact_dedup, language, lexical, packing, quality, repeats, sharding, simhash, token_files, topk, turns
 from localmarkets.shared import table
 
 
@@ -92,6 +92,10 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=50)
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -111,6 +115,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_exact_top_k": op11_exact_top_k,
+    "op12_ranked_search": op12_ranked_search,
     "op13_structure_repair": op13_structure_repair,
 }
 
@@ -143,4 +148,21 @@ p AS (
   FROM r q JOIN r c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)),
 o AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5""",
+    "op12_ranked_search": """
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+w AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+tf AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM w GROUP BY row, term),
+n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+b AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+q AS (
+  SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+p AS (
+  SELECT item, item_id, tf.row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN n ON n.row = tf.row, s GROUP BY item, item_id, tf.row, doc_id),
+o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
 }
