@@ -44,21 +44,22 @@ from localmarkets.shared import cut
 #: Least counts of the levels.
 COUNTS = np.array([1, 2, 3, 5, 9, 17, 33, 65, 129, 257, 513, 1025, 4097, 1 << 14, 1 << 18], np.int64)
 #: Slices of a term, bits of a signature for each entry (rounded up to a power of two), bits and documents of a block.
-HASHES, SPARSE, BLOCK_BITS, BLOCK_DOCS = 3, 8, 1 << 23, 4096
+HASHES, SPARSE, BLOCK_BITS, BLOCK_DOCS = 6, 8, 1 << 23, 4096
 #: Terms that a task counts before it tells them, bytes of text that are split at a time.
 COUNTED, SPLIT = 200_000, 1 << 20
-#: Bytes of index in a group of blocks, terms in a block of queries, numbers in a matrix of bounds.
-GROUP_BYTES, QUERY_TERMS, CELLS = 16 << 20, 1 << 13, 1 << 21
+#: Terms in a block of queries (an item with more is a block of its own), numbers in a matrix of bounds.
+QUERY_TERMS, CELLS = 1 << 14, 1 << 21
+#: Terms of queries that are counted alone; with more of them all terms are.
+ASKED_TERMS = 1 << 18
 #: Documents by bound that set the floor, for each one wanted.
 FIRST = 2
 #: Bytes of document marks that are sent to every task; above it they are joined by a shuffle.
-SENT_BYTES = 32 << 20
+SENT_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 
 #: Bytes of a term, A-Z in lower case; all others are blanks.
 _TERM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
+_STEP, _ONE, _TWO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
 def terms(data: bytes) -> Counter[bytes]:
@@ -74,10 +75,11 @@ def terms(data: bytes) -> Counter[bytes]:
 
 def places(hashes: np.ndarray, level: int, bits: int) -> np.ndarray:
     """The ``HASHES`` bits of each term at a level, one row each, of signatures of ``bits`` (a power of two)."""
-    x = hashes + np.uint64((level * int(_ODD[0])) % (1 << 64))
-    x = (x ^ (x >> np.uint64(33))) * _MIX
+    x = hashes + np.uint64((level * int(_STEP)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(33))) * _ONE
     x ^= x >> np.uint64(33)
-    return np.array([(x * odd) >> np.uint64(64 - (bits.bit_length() - 1)) for odd in _ODD[:HASHES]], np.int64)
+    more, shift = (x * _TWO) | np.uint64(1), np.uint64(64 - (bits.bit_length() - 1))
+    return np.array([((x + np.uint64(i) * more) * _STEP) >> shift for i in range(HASHES)], np.int64)
 
 
 def hashed(found: Counter[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +133,8 @@ class Index:
     terms: int
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Signatures and document frequencies of all texts: one pass."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: frozenset[bytes] | None = None) -> Index:
+    """Signatures and document frequencies (of all terms, or ``only`` of these) of all texts: one pass."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, told = TaskContext.get().partitionId(), 0
@@ -159,7 +161,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     continue
                 n, (hashes, tf) = found.total(), hashed(found)
                 n_docs, n_terms = n_docs + 1, n_terms + n
-                counts.update(found.keys())
+                counts.update(found.keys() if only is None else only & found.keys())
                 entries = int(np.searchsorted(COUNTS, tf, side="right").sum())
                 bits = 1 << max(6, (SPARSE * entries - 1).bit_length())
                 block = open_.setdefault(bits, Block(bits))
@@ -178,8 +180,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return Index(rows, whole["docs"] or 0, whole["terms"] or 0)
 
 
-def weighted_queries(index: Index, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """query (mark of its text), terms, weights: of each distinct text, its terms that documents have."""
+def query_terms(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query, term): of each distinct text (its mark) the distinct terms, as a table."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -187,30 +189,46 @@ def weighted_queries(index: Index, items: DataFrame, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["query", "term"])
 
     texts = items.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).distinct()
-    own = texts.select(mark(F.col("t")), F.col("t").cast("binary")).mapInArrow(split, "query binary, term string")
-    own = cut(own, "query-terms")
-    frequency = index.rows.where("term IS NOT NULL").select("term", "docs").join(own.select("term").distinct(), "term").groupBy("term").agg(F.sum("docs").alias("df"))
+    return cut(texts.select(mark(F.col("t")), F.col("t").cast("binary")).mapInArrow(split, "query binary, term string"), "query-terms")
+
+
+def weighted_queries(index: Index, own: DataFrame, block_terms: int) -> DataFrame:
+    """query, part (its block), terms, weights: of each query (``query_terms``) the terms that documents have."""
+    wanted = own.select("term").distinct()
+    frequency = index.rows.where("term IS NOT NULL").select("term", "docs").join(wanted, "term").groupBy("term").agg(F.sum("docs").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * index.docs + 2) / (2 * F.col("df") + 1)))
     known = own.join(frequency.select("term", weight.alias("w")).where("w > 0"), "term")
     lists = known.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t"))
-    return cut(lists.select("query", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")), "queries")
+    lists = cut(lists.select("query", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")), "queries")
+    parts = max(1, -(-(lists.agg(F.sum(F.size("terms"))).first()[0] or 0) // block_terms))
+    return lists.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
 
 
 class Asked:
-    """A block of queries: their distinct terms once, and which terms each query has."""
+    """A block of queries: their distinct terms once, which of them each query has, and the floors as far as they are known."""
 
-    def __init__(self, queries: pa.Table):
-        self.queries = queries.column("query").to_pylist()
+    def __init__(self, rows: list, floors: dict[bytes, tuple[int, int | None]] | None = None):
         number: dict[str, int] = {}
         weights: list[int] = []
-        self.of: list[np.ndarray] = []
-        for own, theirs in zip(queries.column("terms").to_pylist(), queries.column("weights").to_pylist(), strict=True):
-            for term, w in zip(own, theirs, strict=True):
+        self.queries, self.of = [bytes(r["query"]) for r in rows], []
+        for r in rows:
+            for term, w in zip(r["terms"], r["weights"], strict=True):
                 if number.setdefault(term, len(weights)) == len(weights):
                     weights.append(w)
-            self.of.append(np.array([number[t] for t in own], np.int64))
-        self.weights = np.array(weights, np.int64)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in number), np.uint64, len(number))
+            self.of.append(np.array([number[t] for t in r["terms"]], np.int64))
+        self.terms, self.weights = [t.encode() for t in number], np.array(weights, np.int64)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.terms), np.uint64, len(number))
+        self.floors = None if floors is None else [floors.get(q, (1, None)) for q in self.queries]
+
+    def scores(self, data: bytes, numbers: list[int], docs: int, all_terms: int) -> list[int]:
+        """Of the queries with these numbers, from the whole text."""
+        found = terms(data)
+        m = 50 + (50 * found.total() * docs) // all_terms
+        part = {}
+        for t in {t for k in numbers for t in self.of[k].tolist()}:
+            if tf := found.get(self.terms[t], 0):
+                part[t] = int(self.weights[t]) * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
+        return [sum(part.get(t, 0) for t in self.of[k].tolist()) for k in numbers]
 
     def bounds(self, data: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Upper bound of each query's score (row) in each document (column); ``data``: slices of these documents."""
@@ -233,14 +251,12 @@ class Asked:
         return np.array([sums[t].sum(axis=0) for t in self.of])
 
 
-def found_documents(blocks: pa.Table, queries: pa.Table, docs: int, terms_: int, most: int, by_floor: bool) -> pa.Table:
-    """Rows (query, doc_id, mark, bound). By floor: every document not provably behind its query's floor (columns ``score``,
-    ``id``); else the ``FIRST * most`` highest bounds. No more than ``most`` with one text are named."""
-    asked = Asked(queries)
-    count = len(asked.queries)
-    least = queries.column("score").fill_null(1).to_numpy() if by_floor else np.ones(count, np.int64)
-    last = queries.column("id").fill_null(LAST).to_numpy() if by_floor else np.full(count, LAST)
-    least = least.copy()
+def found_documents(batches: Iterator[pa.RecordBatch], asked: Asked, docs: int, all_terms: int, most: int) -> pa.RecordBatch:
+    """Rows (number of a query, doc_id, mark, bound) of a task's blocks. With floors: every document not provably behind its
+    query's floor; else the ``FIRST * most`` highest bounds. No more than ``most`` with one text are named."""
+    count, by_floor = len(asked.queries), asked.floors is not None
+    least = np.array([f[0] for f in asked.floors], np.int64) if by_floor else np.ones(count, np.int64)
+    last = np.array([LAST if f[1] is None else f[1] for f in asked.floors], np.int64) if by_floor else np.full(count, LAST)
     pools: list[list[tuple]] = [[] for _ in range(count)]  # (bounds, ids, null ids, marks)
 
     def shrink(q: int) -> None:
@@ -260,12 +276,12 @@ def found_documents(blocks: pa.Table, queries: pa.Table, docs: int, terms_: int,
         pools[q] = [(bounds[order], ids[order], null[order], marks[order])]
 
     wide = max(8, CELLS // max(1, len(asked.weights)) // 8 * 8)
-    for bits, ids, marks, lengths, data in zip(*[blocks.column(c) for c in ("bits", "ids", "marks", "lengths", "slices")], strict=True):
+    for ids, marks, lengths, data in (row for b in batches for row in zip(*b.columns, strict=True)):
         n = lengths.values.to_numpy()
         null = np.asarray(ids.values.is_null())
         ids, marks = ids.values.fill_null(LAST).to_numpy(zero_copy_only=False), np.array(marks.values.to_pylist(), dtype=object)
-        m = np.array([50 + (50 * x * docs) // terms_ for x in n.tolist()], np.int64)
-        table = np.frombuffer(data.as_buffer(), np.uint8).reshape(bits.as_py(), -1)
+        m = np.array([50 + (50 * x * docs) // all_terms for x in n.tolist()], np.int64)
+        table = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, -(-len(n) // 8))
         for a in range(0, len(n), wide):
             few = slice(a, min(a + wide, len(n)))
             bounds = asked.bounds(table[:, a // 8 : -(-few.stop // 8)], m[few], n[few])
@@ -282,80 +298,74 @@ def found_documents(blocks: pa.Table, queries: pa.Table, docs: int, terms_: int,
     for k in range(count):
         if pools[k]:
             shrink(k)
-    rows = [(asked.queries[k], *p[0]) for k, p in enumerate(pools) if p]
-    return pa.table({
-        "query": pa.array([x for x, b, *_ in rows for _ in range(len(b))], pa.binary()),
-        "doc_id": pa.array(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]]), mask=np.concatenate([np.zeros(0, bool), *[r[3] for r in rows]])),
-        "mark": pa.array([x for r in rows for x in r[4]], pa.binary()),
-        "bound": pa.array(np.concatenate([np.zeros(0, np.int64), *[r[1] for r in rows]])),
-    })
-
-
-FOUND = "query binary, doc_id long, mark binary, bound long"
+    rows = [(k, *p[0]) for k, p in enumerate(pools) if p]
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([none, *[np.full(len(r[1]), r[0]) for r in rows]])),
+        pa.array(np.concatenate([none, *[r[2] for r in rows]]), mask=np.concatenate([none.astype(bool), *[r[3] for r in rows]])),
+        pa.array([x for r in rows for x in r[4]], pa.binary()), pa.array(np.concatenate([none, *[r[1] for r in rows]])),
+    ], names=["number", "doc_id", "mark", "bound"])
 
 
-def _candidates(index: Index, queries: DataFrame, most: int, by_floor: bool, group_bytes: int, query_terms: int) -> DataFrame:
-    """``found_documents`` of each block of queries in each group of blocks, as a table."""
-    blocks = index.rows.where("block IS NOT NULL").select("block", "bits", "size", "ids", "marks", "lengths", "slices")
-    groups = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // group_bytes))
-    parts = max(1, -(-(queries.agg(F.sum(F.size("terms"))).first()[0] or 0) // query_terms))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    b = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("part", every(parts))
-    q = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("group", every(groups))
-    docs, terms_ = index.docs, index.terms
+def candidates(index: Index, asked: Asked, most: int) -> DataFrame:
+    """``found_documents`` of every block of the index, as a table; the blocks are read where they are."""
+    n_docs, n_terms = index.docs, index.terms
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return found_documents(left, right, docs, terms_, most, by_floor)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield found_documents(batches, asked, n_docs, n_terms, most)
 
-    return cut(b.groupBy("part", "group").cogroup(q.groupBy("part", "group")).applyInArrow(meet, FOUND), "found")
+    blocks = index.rows.where("block IS NOT NULL").select("ids", "marks", "lengths", "slices")
+    return cut(blocks.mapInArrow(found, "number long, doc_id long, mark binary, bound long"), "found")
 
 
-def _scores(index: Index, docs: DataFrame, queries: DataFrame, pairs: DataFrame, query_terms: int, id_col: str, text_col: str) -> DataFrame:
-    """query, mark, score: from the whole texts that ``pairs`` (query, mark) name."""
-    pairs = cut(pairs.distinct(), "pairs")
-    wanted = cut(pairs.select("mark").distinct(), "wanted")
-    if wanted.count() * 40 <= SENT_BYTES:
+def exact_scores(index: Index, docs: DataFrame, asked: Asked, found: DataFrame, text_col: str) -> DataFrame:
+    """``found`` with the exact score of each row, as a table: the texts that it names are read whole, and scored where they are read."""
+    wanted = cut(found.groupBy("mark").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "wanted")  # at most a block of queries
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("numbers")).alias("of")).first()
+    if size["n"] * 64 + (size["of"] or 0) * 8 <= SENT_BYTES:
         wanted = F.broadcast(wanted)
-    texts = docs.select(mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("whole")).join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("whole").alias("whole"))
-    parts = max(1, -(-(queries.agg(F.sum(F.size("terms"))).first()[0] or 0) // query_terms))
-    asked = pairs.join(queries.select("query", "terms", "weights"), "query").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
-    asked = asked.groupBy("mark", "part").agg(F.collect_list(F.struct("query", "terms", "weights")).alias("asked"))  # of one block of queries
     n_docs, n_terms = index.docs, index.terms
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                found = terms(b.column(1)[row].as_py().encode())
-                m = 50 + (50 * found.total() * n_docs) // n_terms
-                out = []
-                for q in b.column(2)[row].as_py():
-                    tf = [(w, found[t.encode()]) for t, w in zip(q["terms"], q["weights"], strict=True) if t.encode() in found]
-                    out.append((q["query"], sum(w * ((1_000_000_000 * f) // (1000 * f + 20 * m)) for w, f in tf)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.binary()), pa.array([b.column(0)[row].as_py()] * len(out), pa.binary()), pa.array([x[1] for x in out], pa.int64())],
-                    names=["query", "mark", "score"],
-                )
-
-    return cut(texts.join(asked, "mark").select("mark", "whole", "asked").mapInArrow(scored, "query binary, mark binary, score long"), "scores")
+        for b in slices(batches):
+            numbers, marks, scores = [], [], []
+            for m, data, own in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                numbers += own
+                marks += [m] * len(own)
+                scores += asked.scores(data, own, n_docs, n_terms)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(marks, pa.binary()), pa.array(scores, pa.int64())], names=["number", "mark", "score"])
+
+    texts = docs.select(mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("binary").alias("whole")).join(wanted, "mark").select("mark", "whole", "numbers")
+    scores = texts.mapInArrow(scored, "number long, mark binary, score long").distinct()  # copies are scored each
+    return cut(found.select("number", "doc_id", "mark").join(scores, ["number", "mark"]).where("score > 0"), "scores")
 
 
 def ranked_search(
     docs: DataFrame, items: DataFrame, most: int = 50, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    group_bytes: int = GROUP_BYTES, query_terms: int = QUERY_TERMS,
+    block_terms: int = QUERY_TERMS,
 ) -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the ``most`` best documents of each item. ``index``: of ``docs``, if it was built before."""
-    index = index or build_index(docs, id_col, text_col)
-    queries = weighted_queries(index, items, item_text)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "mark")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        scores = _scores(index, docs, queries, found.select("query", "mark"), query_terms, id_col, text_col)
-        return found.join(scores.where("score > 0"), ["query", "mark"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-
-    by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), F.asc_nulls_last("doc_id"))
-    first = _candidates(index, queries, most, False, group_bytes, query_terms).withColumn("k", F.row_number().over(by_bound)).where(F.col("k") <= FIRST * most)
-    floor = ranked(first).where(F.col("rank") == most).select("query", "score", F.col("doc_id").alias("id"))
-    held = cut(queries.join(floor, "query", "left"), "floors")
-    best = ranked(_candidates(index, held, most, True, group_bytes, query_terms)).select("query", "rank", "doc_id", "score")
-    asked = items.select(F.col(item_id).alias("item_id"), mark(F.col(item_text)).alias("query"))
-    return asked.join(best, "query").select("item_id", "rank", "doc_id", "score")
+    own = query_terms(items, item_text)
+    if index is None:
+        distinct = own.select("term").distinct()
+        few = distinct.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+        index = build_index(docs, id_col, text_col, frozenset(r.term.encode() for r in distinct.collect()) if few else None)
+    queries = cut(weighted_queries(index, own, block_terms), "weighted")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "mark")
+    by_bound = Window.partitionBy("number").orderBy(F.desc("bound"), F.asc_nulls_last("doc_id"))
+    best = None
+    for part in sorted(r.part for r in queries.select("part").distinct().collect()):  # one number a block of queries
+        rows = queries.where(F.col("part") == part).collect()  # within ``block_terms``, or one item
+        asked = Asked(rows)
+        first = candidates(index, asked, most).withColumn("k", F.row_number().over(by_bound)).where(F.col("k") <= FIRST * most)
+        ranked = exact_scores(index, docs, asked, first, text_col).withColumn("rank", F.row_number().over(order))
+        floors = {asked.queries[r.number]: (r.score, r.doc_id) for r in ranked.where(F.col("rank") == most).collect()}  # a row a query
+        asked = Asked(rows, floors)
+        found = exact_scores(index, docs, asked, candidates(index, asked, most), text_col)
+        names = docs.sparkSession.createDataFrame([(k, bytearray(q)) for k, q in enumerate(asked.queries)], "number long, query binary")
+        mine = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).join(F.broadcast(names), "number").select("query", "rank", "doc_id", "score")
+        best = mine if best is None else best.unionByName(mine)
+    asked_items = items.select(F.col(item_id).alias("item_id"), mark(F.col(item_text)).alias("query"))
+    if best is None:
+        best = asked_items.limit(0).select("query", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
+    return asked_items.join(best, "query").select("item_id", "rank", "doc_id", "score")
