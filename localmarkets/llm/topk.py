@@ -3,7 +3,7 @@
 Vectors are whole numbers. A tile of candidates is laid out vertically: a block of dimensions is one
 matrix with a candidate in each column. A query adds up its products block by block; by Cauchy and
 Schwarz what the remaining blocks can add is at most the product of the remaining lengths of both
-vectors. The candidates with the highest bounds after the first block are finished at once; their
+vectors. The candidates with the highest sums after the first block are finished at once; their
 k-th best score is a floor, and after each block only the candidates whose bound reaches the floor are
 compacted into the next one. What is left at the end has exact scores, so nothing is approximate.
 
@@ -72,7 +72,7 @@ def reaching(query: np.ndarray, rest: np.ndarray, begun: np.ndarray, columns: Co
     few = max(FIRST, k)
     alive, floor = np.arange(columns.n), -np.inf
     if columns.n > few:
-        first = np.argpartition(bound, -few)[-few:]
+        first = np.argpartition(begun, -few)[-few:]
         exact = begun[first] + sum(query[b * DIMS : (b + 1) * DIMS] @ columns.blocks[b][:, first] for b in range(1, len(columns.blocks)))
         floor = np.partition(exact, -k)[-k]
         alive = np.flatnonzero(bound >= floor)
