@@ -41,9 +41,10 @@ def reconcile(events: DataFrame, links: DataFrame, gone: DataFrame) -> DataFrame
 
 
 def retire(venues: DataFrame, seen: DataFrame, types: list[str]) -> DataFrame:
-    """Status gone for rows of the given kinds that the run has not seen; other kinds are left alone."""
-    found = seen.select("source_type", "source_id").withColumn("seen", F.lit(True))
-    return venues.join(found, ["source_type", "source_id"], "left").withColumn("status", F.when(F.col("source_type").isin(types) & F.col("seen").isNull(), "gone").otherwise("active")).drop("seen")
+    """Active rows of the given kinds that the run has not seen are gone; every other row keeps the status that it has."""
+    found = seen.select("source_type", "source_id").distinct().withColumn("seen", F.lit(True))
+    lost = F.col("source_type").isin(types) & F.col("seen").isNull() & (F.col("status") == "active")
+    return venues.join(found, ["source_type", "source_id"], "left").withColumn("status", F.when(lost, "gone").otherwise(F.col("status"))).drop("seen")
 
 
 def accumulate(existing: DataFrame, fresh: DataFrame, key: str, today: Column, keep_days: int = 400) -> DataFrame:
@@ -61,13 +62,16 @@ def candidate_funnel(existing: DataFrame, mined: DataFrame) -> DataFrame:
 
 
 def upsert_venues(existing: DataFrame, batch: DataFrame, key: list[str], slug: Column) -> DataFrame:
-    """Next snapshot (key, title, slug): titles of the batch win, slugs once given stay; ``slug`` is that of a new row.
+    """Next snapshot (key, all other columns of the batch, slug, status): rows of the batch win whole and are active, slugs once given stay; ``slug`` is that of a new row.
 
-    Existing rows have key, title, slug; the batch has key, title. Rows that the batch lacks stay as they are.
+    Existing rows have the columns of the batch, slug and status. Rows that the batch lacks stay as they are.
     """
-    old = existing.select(*key, F.col("title").alias("__title"), F.col("slug").alias("__slug"))
-    both = old.join(batch.select(*key, F.col("title").alias("__new")), key, "full")
-    return both.select(*key, F.coalesce("__new", "__title").alias("title"), F.coalesce("__slug", slug).alias("slug"))
+    told = [c for c in batch.columns if c not in key]
+    old = existing.select(*key, F.struct(*told).alias("old"), F.col("slug").alias("old_slug"), F.col("status").alias("old_status"))
+    both = old.join(batch.select(*key, F.struct(*told).alias("new")), key, "full")
+    row = F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old"))
+    chosen = both.select(*key, row.alias("row"), "old_slug", F.when(F.col("new").isNotNull(), "active").otherwise(F.col("old_status")).alias("status"))
+    return chosen.select(*key, *[F.col("row")[c].alias(c) for c in told], "old_slug", "status").withColumn("slug", F.coalesce("old_slug", slug)).drop("old_slug")
 
 
 def backfill(rows: DataFrame) -> DataFrame:

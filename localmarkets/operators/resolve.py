@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from localmarkets.functions import geo, similarity
 from localmarkets.functions import text as T
 from localmarkets.operators.components import connected_components
+from localmarkets.operators.postings import event_words, posting_rows, search_all
 from localmarkets.shared import cut
 
 LAT_STEP, LNG_STEP = 0.01, 0.02
+#: Rows of a tile of a large block, and listings that a search for a title finds.
+TILE, HITS = 2048, 20
 STRONG, WEAK, DISTRICT, NEAR = 0.85, 0.45, 0.65, 500
 
 # Words of titles that identify no market.
@@ -29,13 +32,14 @@ GENERIC_WORDS = [
 
 
 def prepared(listings: DataFrame) -> DataFrame:
-    """What the pair rules read of a listing, computed once a listing and not once a pair."""
+    """What the pair rules read of a listing, computed once a listing and not once a pair; ``words``: what a search finds it by."""
     name = T.normalize_title_for_match(F.col("title"))
     street = F.when(F.col("city").isNotNull() & ~F.col("street").rlike(r"\d") & (T.normalize_title(F.col("street")) == T.normalize_title(F.col("city"))), None).otherwise(F.col("street"))
     located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    told = [c for c in ("title", "venue_name", "city", "description") if c in listings.columns]
     rows = listings.select(
         "k", name.alias("name"), F.lower("title").alias("title_key"), T.normalize_title(F.when(street != "", street)).alias("street"), "postcode", "lat", "lng",
-        (located & T.is_precise(F.col("geocode_quality"))).alias("precise"), (F.col("category") == "julemarked").alias("christmas"), "dates",
+        (located & T.is_precise(F.col("geocode_quality"))).alias("precise"), (F.col("category") == "julemarked").alias("christmas"), "dates", event_words(*told).alias("words"),
     )
     proper = F.filter(F.split("name", " "), lambda w: (F.length(w) > 1) & ~w.isin(GENERIC_WORDS))
     return rows.withColumns({
@@ -49,93 +53,217 @@ READ = ["k", "title", "street", "city", "postcode", "lat", "lng", "geocode_quali
 
 def prepared_table(listings: DataFrame) -> DataFrame:
     """``prepared`` as a table: all joins of pairs read it. Its work is by row and dear, so few large input files don't decide how many tasks share it."""
-    return cut(prepared(listings.select(*READ).repartition("k")), "listings")
+    more = [c for c in ("venue_name", "description") if c in listings.columns]
+    return cut(prepared(listings.select(*READ, *more).repartition("k")), "listings")
 
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: listings of one postcode, or within the box of about a kilometre, or with one title where a location is unknown.
+def tiled_join(left: DataFrame, right: DataFrame, key: list[str], on: Column, tile: int = TILE) -> DataFrame:
+    """Inner join on ``key`` (columns of both, found as ``key`` in the result) and ``on``; large blocks are cut into tiles.
+
+    A key with more rows on a side than ``tile`` is dealt to tiles by hash, and each tile of one side meets
+    each of the other, so no task holds more of a key than two tiles. Keys below that are one tile. The
+    sides are columns a_k.. and b_k.., besides the key.
+    """
+    def parts(side: DataFrame, n: str) -> DataFrame:
+        return side.groupBy(*key).agg(F.count("*").alias(n))
+
+    sizes = parts(left, "l").join(parts(right, "r"), key).where((F.col("l") > tile) | (F.col("r") > tile))
+    sizes = sizes.select(*key, F.ceil(F.col("l") / tile).cast("int").alias("tl"), F.ceil(F.col("r") / tile).cast("int").alias("tr"))
+    whole = lambda c: F.coalesce(c, F.lit(1))
+
+    def dealt(side: DataFrame, k: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        rows = side.join(sizes, key, "left")
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64(k), whole(F.col(own))).cast("int"))
+        return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), whole(F.col(other)) - 1))).drop("tl", "tr")
+
+    one, two = dealt(left, "a_k", "tl", "tr", "i", "j"), dealt(right, "b_k", "tr", "tl", "j", "i")
+    return one.join(two, [*key, "i", "j"]).where(on).drop("i", "j")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    left, right = (rows.select([F.col(n).alias(f"{p}_{n}") for n in rows.columns]) for p in "ab")
+    return left, right
+
+
+def _same_code() -> Column:
+    return F.coalesce(F.col("a_postcode") == F.col("b_postcode"), F.lit(False))
+
+
+def _in_box() -> Column:
+    return F.coalesce((F.abs(F.col("a_lat") - F.col("b_lat")) <= LAT_STEP) & (F.abs(F.col("a_lng") - F.col("b_lng")) <= LNG_STEP), F.lit(False))
+
+
+def title_pairs(left: DataFrame, right: DataFrame, on: Column, tile: int = TILE) -> DataFrame:
+    """Pairs of one title, the left side without a postcode, that are not in the box; ``on``: which of them, if neither has one."""
+    return tiled_join(
+        left.where("a_postcode is null").withColumn("key", F.col("a_title_key")), right.where("b_title_key is not null").withColumn("key", F.col("b_title_key")), ["key"],
+        (F.col("a_k") != F.col("b_k")) & (F.col("b_postcode").isNotNull() | on) & ~_in_box(), tile,
+    ).drop("key")
+
+
+def located_pairs(left: DataFrame, right: DataFrame, on: Column, tile: int = TILE) -> DataFrame:
+    """Pairs (columns a_.., b_..) of one postcode, in the box of about a kilometre, or with one title where the left side's postcode is unknown.
+
+    A pair stands in the first of these blocks that it is in and in no other, so nothing is told apart afterwards.
+    """
+    code = tiled_join(left.where("a_postcode is not null").withColumn("code", F.col("a_postcode")), right.where("b_postcode is not null").withColumn("code", F.col("b_postcode")), ["code"], on, tile).drop("code")
+    # Cells are twice the box's half, so a box meets two of them on an axis, three at the most; a little wider for the sake of rounding.
+    cells = lambda c, step: F.explode(F.sequence(geo.cell(F.col(c) - 1.0001 * step, 2 * step), geo.cell(F.col(c) + 1.0001 * step, 2 * step)))
+    one = left.where("a_lat is not null and a_lng is not null").withColumns({"y": geo.cell(F.col("a_lat"), 2 * LAT_STEP), "x": geo.cell(F.col("a_lng"), 2 * LNG_STEP)})
+    two = right.where("b_lat is not null and b_lng is not null").withColumn("y", cells("b_lat", LAT_STEP)).withColumn("x", cells("b_lng", LNG_STEP))
+    box = tiled_join(one, two, ["y", "x"], on & _in_box() & ~_same_code(), tile).drop("y", "x")
+    return code.unionByName(box).unionByName(title_pairs(left, right, on, tile))
+
+
+def found_pairs(rows: DataFrame, most: int = HITS) -> DataFrame:
+    """(a, b), a < b: a listing and one of the ``most`` best that a search for its title finds, if no other block holds the pair.
+
+    Listings with two known postcodes are in the other blocks or contradict each other by every rule, so
+    one of the postcodes has to be unknown.
+    """
+    postings = cut(posting_rows(rows, "k", F.col("words")), "postings")
+    totals = rows.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean"))
+    titles = rows.where("title_key is not null").select(F.col("title_key").alias("q")).distinct()
+    hits = search_all(titles, postings, totals, most).select("q", F.col("id").alias("b_k"))
+    left, right = _sides(rows.select("k", "title_key", "postcode", "lat", "lng"))
+    met = hits.join(right, "b_k").join(left, F.col("a_title_key") == F.col("q"))
+    met = met.where((F.col("a_k") != F.col("b_k")) & (F.col("a_postcode").isNull() | F.col("b_postcode").isNull()) & ~_in_box() & ~F.col("a_title_key").eqNullSafe(F.col("b_title_key")))
+    return met.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b")).distinct()
+
+
+def candidate_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: listings of one postcode, or within the box of about a kilometre, or with one title where a postcode is unknown, or found by a title.
 
     Listings with one title and two known locations that neither agree in postcode nor lie in the
     box contradict each other by every rule, so that block holds only pairs with an unknown side.
     """
-    keys = rows.select("k", "postcode", "lat", "lng", "title_key", (F.col("postcode").isNull()).alias("unknown"))
-    left, right = (keys.select([F.col(n).alias(f"{p}_{n}") for n in keys.columns]) for p in "ab")
-    ordered = F.col("a_k") < F.col("b_k")
-    postcode = left.join(right, (F.col("a_postcode") == F.col("b_postcode")) & ordered)
-    placed = keys.where("lat is not null and lng is not null")
-    one = placed.select(F.col("k").alias("a_k"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), geo.cell(F.col("lat"), LAT_STEP).alias("y"), geo.cell(F.col("lng"), LNG_STEP).alias("x"))
-    two = placed.select(F.col("k").alias("b_k"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.explode(geo.near_cells(F.col("lat"), LAT_STEP)).alias("y"), "lng")
-    two = two.select("b_k", "b_lat", "b_lng", "y", F.explode(geo.near_cells(F.col("lng"), LNG_STEP)).alias("x"))
-    inside = (F.abs(F.col("a_lat") - F.col("b_lat")) <= LAT_STEP) & (F.abs(F.col("a_lng") - F.col("b_lng")) <= LNG_STEP)
-    box = one.join(two, ["y", "x"]).where(inside & ordered)
-    unknown = left.where("a_unknown").join(right, F.col("a_title_key") == F.col("b_title_key")).where("a_k <> b_k")
-    unknown = unknown.select(F.least("a_k", "b_k").alias("a_k"), F.greatest("a_k", "b_k").alias("b_k"))
-    pairs = postcode.select("a_k", "b_k").unionByName(box.select("a_k", "b_k")).unionByName(unknown)
-    return pairs.distinct().select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
-
-
-def _facts(a: str, b: str) -> dict[str, Column]:
-    """What two sides (column prefixes) show together."""
-    x, y = (lambda n: F.col(f"{a}_{n}")), (lambda n: F.col(f"{b}_{n}"))
+    left, right = _sides(rows.select("k", "postcode", "lat", "lng", "title_key"))
+    pairs = located_pairs(left, right, F.col("a_k") < F.col("b_k"), tile).select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b"))
+    return pairs.unionByName(found_pairs(rows))
+
+
+def _facts() -> dict[str, Column]:
+    """What the two sides (a_.., b_..) show together, whichever is asked."""
+    x, y = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
     both = x("street").isNotNull() & y("street").isNotNull()
-    differ = F.coalesce(both & ~F.contains(x("street"), y("street")) & ~F.contains(y("street"), x("street")), F.lit(False))
-    precise = x("precise") & y("precise")
-    same_code = x("postcode") == y("postcode")
-    near = geo.haversine(x("lat"), x("lng"), y("lat"), y("lng")) <= NEAR
-    rescued = F.coalesce(same_code, F.lit(False)) & both & ~differ
     return {
-        "sim": F.col("similarity"),
-        "differ": differ,
-        "precise": precise,
-        "same_code": F.coalesce(same_code, F.lit(False)),
-        "colocated": F.when(precise, near | rescued).otherwise(same_code),
-        "same_spot": F.coalesce(F.when(precise, near | rescued).otherwise(same_code & both & ~differ), F.lit(False)),
+        "streets": both,
+        "differ": F.coalesce(both & ~F.contains(x("street"), y("street")) & ~F.contains(y("street"), x("street")), F.lit(False)),
+        "precise": x("precise") & y("precise"),
+        "code": x("postcode") == y("postcode"),
+        "near": geo.haversine(x("lat"), x("lng"), y("lat"), y("lng")) <= NEAR,
         "overlap": F.coalesce(F.arrays_overlap(x("dates"), y("dates")), F.lit(False)),
         "identical": F.coalesce((F.size(x("dates")) > 0) & (F.size(x("dates")) == F.size(y("dates"))) & (F.size(F.array_except(x("dates"), y("dates"))) == 0), F.lit(False)),
-        "several": F.coalesce(F.size(x("dates")) >= 2, F.lit(False)),
+        "several": F.coalesce(F.size(x("dates")) >= 2, F.lit(False)),  # read of identical dates only
         "christmas": x("christmas") != y("christmas"),
     }
 
 
-def verdict(a: str = "a", b: str = "b") -> Column:
-    """struct(is_match, reason) by the ordered rules; ``a`` is the side whose title has to identify the market."""
-    f = _facts(a, b)
+#: Reasons by rule: those of a match from 1 up, of none from -1 down, 0 if no rule holds.
+MATCH = ["same title, postcode and dates", "strong title, same spot", "strong title, same dates", "title, spot and dates", "title, district and dates", "same distinctive title"]
+APART = ["christmas market and another", "titles differ", "different streets", "different locations"]
+UNDECIDED = "not enough evidence"
+
+
+def rule(a: str) -> Column:
+    """The number of the first rule that holds over ``_facts``; ``a`` is the side whose title has to identify the market."""
+    f = {n: F.col(n) for n in ["sim", "colocated", "same_spot", *_facts()]}
     distinctive, proper = F.col(f"{a}_distinctive"), F.col(f"{a}_proper")
-    series = (f["sim"] >= 0.95) & ~f["differ"] & f["same_code"] & f["identical"] & (distinctive | (proper & f["several"] & ~f["precise"]))
+    same_code = F.coalesce(f["code"], F.lit(False))
+    series = (f["sim"] >= 0.95) & ~f["differ"] & same_code & f["identical"] & (distinctive | (proper & f["several"] & ~f["precise"]))
     together = F.coalesce(f["colocated"], F.lit(False)) & f["overlap"]
     rules = [
-        (f["christmas"], False, "christmas market and another"),
-        (f["sim"] < WEAK, False, "titles differ"),
-        (f["differ"] & (f["sim"] < STRONG), False, "different streets"),
-        (series, True, "same title, postcode and dates"),
-        (f["colocated"].eqNullSafe(F.lit(False)), False, "different locations"),
-        ((f["sim"] >= STRONG) & f["same_spot"], True, "strong title, same spot"),
-        ((f["sim"] >= STRONG) & f["colocated"].isNull() & f["overlap"], True, "strong title, same dates"),
-        (together & f["same_spot"], True, "title, spot and dates"),
-        (together & ~f["same_spot"] & distinctive & (f["sim"] >= DISTRICT), True, "title, district and dates"),
-        ((f["sim"] >= 0.95) & distinctive & ~f["differ"], True, "same distinctive title"),
+        (f["christmas"], "christmas market and another"),
+        (f["sim"] < WEAK, "titles differ"),
+        (f["differ"] & (f["sim"] < STRONG), "different streets"),
+        (series, "same title, postcode and dates"),
+        (f["colocated"].eqNullSafe(F.lit(False)), "different locations"),
+        ((f["sim"] >= STRONG) & f["same_spot"], "strong title, same spot"),
+        ((f["sim"] >= STRONG) & f["colocated"].isNull() & f["overlap"], "strong title, same dates"),
+        (together & f["same_spot"], "title, spot and dates"),
+        (together & ~f["same_spot"] & distinctive & (f["sim"] >= DISTRICT), "title, district and dates"),
+        ((f["sim"] >= 0.95) & distinctive & ~f["differ"], "same distinctive title"),
     ]
-    out = F.struct(F.lit(False).alias("is_match"), F.lit("not enough evidence").alias("reason"))
-    for when, match, reason in reversed(rules):
-        out = F.when(when, F.struct(F.lit(match).alias("is_match"), F.lit(reason).alias("reason"))).otherwise(out)
+    out = F.lit(0)
+    for when, reason in reversed(rules):
+        out = F.when(when, MATCH.index(reason) + 1 if reason in MATCH else -1 - APART.index(reason)).otherwise(out)
     return out
 
 
+def verdict(number: Column) -> Column:
+    """struct(is_match, reason) of a rule's number."""
+    reasons = F.array(*[F.lit(r) for r in [*reversed(APART), UNDECIDED, *MATCH]])
+    return F.struct((number > 0).alias("is_match"), F.element_at(reasons, number + (len(APART) + 1)).alias("reason"))
+
+
+def _step(rows: DataFrame, keep: list[str], **told: Column) -> DataFrame:
+    """Columns that are generated: a filter on what follows reads them and doesn't compute them anew, and each step is code of its own that stays small enough to be compiled."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for n, v in told.items()]))))
+
+
+def judged(both: DataFrame) -> DataFrame:
+    """a, b, similarity, forward and backward rules (numbers), is_match (either way), of pairs with both sides (a_.., b_..); ``a`` is the smaller k."""
+    sides = ["a_k", "b_k", "a_distinctive", "a_proper", "b_distinctive", "b_proper"]
+    sim = similarity.similarity(F.col("a_name"), F.col("b_name"), F.col("a_pairs"), F.col("b_pairs"))
+    rows = _step(both, [c for c in both.columns if c[2:] not in ("name", "pairs")], sim=sim)
+    facts = _step(rows, [*sides, "sim"], **_facts())
+    rescued = F.coalesce(F.col("code"), F.lit(False)) & F.col("streets") & ~F.col("differ")
+    place = {"colocated": F.when(F.col("precise"), F.col("near") | rescued).otherwise(F.col("code")), "same_spot": F.coalesce(F.when(F.col("precise"), F.col("near") | rescued).otherwise(rescued), F.lit(False))}
+    placed = _step(facts, [*sides, "sim", *_facts()], **place)
+    told = _step(placed, ["a_k", "b_k", "sim"], x=rule("a"), y=rule("b"))
+    pick = lambda one, two: F.when(F.col("a_k") > F.col("b_k"), F.col(two)).otherwise(F.col(one))
+    told = told.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b"), F.col("sim").alias("similarity"), pick("x", "y").alias("forward"), pick("y", "x").alias("backward"))
+    return told.withColumn("is_match", (F.col("forward") > 0) | (F.col("backward") > 0))
+
+
+RULED = ["k", "name", "title_key", "street", "postcode", "lat", "lng", "precise", "christmas", "dates", "pairs", "proper", "distinctive"]
+
+
 def match_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, similarity, forward and backward verdicts, is_match (either way)."""
-    side = lambda p: rows.select([F.col(n).alias(f"{p}_{n}") for n in rows.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_k")).join(side("b"), F.col("b") == F.col("b_k"))
-    both = both.withColumn("similarity", similarity.similarity(F.col("a_name"), F.col("b_name"), F.col("a_pairs"), F.col("b_pairs")))
-    told = both.select("a", "b", "similarity", verdict("a", "b").alias("forward"), verdict("b", "a").alias("backward"))
-    return told.withColumn("is_match", F.col("forward.is_match") | F.col("backward.is_match"))
+    """``judged`` of given pairs (a, b)."""
+    left, right = _sides(rows.select(RULED))
+    return judged(pairs.join(left, F.col("a") == F.col("a_k")).join(right, F.col("b") == F.col("b_k")))
+
+
+def matches(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """``judged`` of all candidate pairs.
+
+    A listing is sent to its blocks with all that the rules read, so pairs are judged where they meet and
+    only what is told of them moves; pairs found by a title are few and fetch their sides.
+    """
+    left, right = _sides(rows.select(RULED))
+    return judged(located_pairs(left, right, F.col("a_k") < F.col("b_k"), tile)).unionByName(match_pairs(rows, found_pairs(rows)))
+
+
+def located_matches(rows: DataFrame, held: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """(a, b) of the matches among ``rows``, and between them and the listings ``held``, by place or equal title."""
+    left, right = _sides(rows.select(RULED))
+    if held is None:
+        both = judged(located_pairs(left, right, F.col("a_k") < F.col("b_k"), tile))
+    else:
+        there_left, there_right = _sides(held.select(RULED))
+        all_right = right.withColumn("b_fresh", F.lit(True)).unionByName(there_right.withColumn("b_fresh", F.lit(False)))
+        met = located_pairs(left, all_right, ~F.col("b_fresh") | (F.col("a_k") < F.col("b_k")), tile)
+        # Equal titles whose side without a postcode is a held one: those with a fresh one without are among the others.
+        both = judged(met).unionByName(judged(title_pairs(there_left, right.where("b_postcode is not null"), F.lit(True), tile)))
+    return both.where("is_match").select("a", "b")
+
+
+def accepted_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b) of all matches."""
+    return matches(rows, tile).where("is_match").select("a", "b")
+
+
+def clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(k, cluster): the smallest k that accepted pairs lead to."""
+    found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return rows.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("cluster"))
 
 
 def same_market(listings: DataFrame) -> DataFrame:
     """(k, cluster): the smallest k of each listing's market."""
     rows = prepared_table(listings)
-    edges = match_pairs(rows, candidate_pairs(rows)).where("is_match").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = connected_components(edges)
-    return rows.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("cluster"))
+    return clusters(rows, accepted_pairs(rows))
 
 
 def pick_survivor(clustered: DataFrame, score: Column) -> DataFrame:

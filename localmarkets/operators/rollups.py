@@ -47,11 +47,21 @@ def newly_added(rows: DataFrame, first_seen: str, today: Column, days: int = 10,
     return new_share_guard(rows.withColumn("fresh", F.datediff(today, first_seen) < days), "fresh", most)
 
 
-def contributions_by_source(rows: DataFrame, event: str, source: str, fields: list[str]) -> DataFrame:
-    """(event, source, fields): the names of the fields that a source tells of an event, sorted."""
-    told = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
-    named = rows.select(event, source, F.explode(told).alias("field"))
-    return named.groupBy(event, source).agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+#: The fields whose source is shown, in this order, and what they are called.
+FIELD_LABELS = [
+    ("schedule_text", "datoer"), ("street", "adresse"), ("price_text", "pris"), ("is_free", "entré"), ("stall_count_text", "antal stande"), ("organizer", "arrangør"),
+    ("contact_website", "website"), ("opening_hours_text", "åbningstider"), ("indoor_outdoor", "inde/ude"), ("venue_name", "sted"),
+]
+
+
+def contributions_by_source(events: DataFrame, event: str, provenance: str = "provenance") -> DataFrame:
+    """(event, source, fields): which of the shown fields each source won, from an event's map of field to source; fields in their fixed order."""
+    won = F.array_compact(F.array(*[
+        F.when(F.try_element_at(provenance, F.lit(f)).isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.try_element_at(provenance, F.lit(f)).alias("source")))
+        for i, (f, label) in enumerate(FIELD_LABELS)
+    ]))
+    named = events.select(event, F.inline(won))
+    return named.groupBy(event, "source").agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("f")).select(event, "source", F.col("f.label").alias("fields"))
 
 
 def facet_options(rows: DataFrame, column: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text search: an inverted index with ranking, suggestions."""
+"""Suggestions; text search itself is in ``postings``."""
 
 from __future__ import annotations
 
@@ -7,35 +7,6 @@ from pyspark.sql import functions as F
 
 from localmarkets.functions import text as T
 
-K1, B = 1.2, 0.75
-
-
-def token_index(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(token, id, tf, length) of the folded text."""
-    words = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("token"))
-    return rows.groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def search(docs: DataFrame, id_col: str, text: Column, query: list[str], most: int = 50) -> DataFrame:
-    """(id, score): texts in which every query token begins a word, by BM25 over the tokens; at most ``most``.
-
-    Only words that begin with a query token are kept, so the aggregation is small.
-    """
-    index = token_index(docs, id_col, text)
-    size = docs.select(F.size(F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    hits = None
-    for i, q in enumerate(query):
-        one = index.where(F.col("token").startswith(q)).groupBy("id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")).withColumn("q", F.lit(i))
-        hits = one if hits is None else hits.unionByName(one)
-    df = hits.groupBy("q").agg(F.count("*").alias("df"))  # a row a query token
-    scored = hits.join(F.broadcast(df), "q").join(F.broadcast(size), F.lit(True))
-    idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    found = scored.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(part), 6).alias("score")).where(F.col("n") == len(query))
-    return found.select("id", "score").orderBy(F.desc("score"), "id").limit(most)
-
-
 def first_per_key(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 

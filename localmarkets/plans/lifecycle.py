@@ -12,6 +12,7 @@ from localmarkets.functions import text as T
 from localmarkets.operators import joins as J
 from localmarkets.operators import lifecycle as L
 from localmarkets.operators import rollups as U
+from localmarkets.operators.resolve import merge_fields
 from localmarkets.plans.resolve import q_haversine
 from localmarkets.plans.text import Q_INDOOR, Q_OUTDOOR, q_domain, q_free, q_has, q_in_out, q_stalls, q_title
 from localmarkets.shared import shared_path
@@ -109,12 +110,17 @@ def _(spark, d):
     return U.newly_added(view(spark, d, "v_raw").select("k", "last_seen"), "last_seen", today()).select("k", "fresh")
 
 
-@query("A16_contributions_by_source", """
-WITH p AS (SELECT m, source_key, list(DISTINCT f ORDER BY f) AS fields FROM (SELECT m, source_key, unnest(list_filter([CASE WHEN street IS NOT NULL THEN 'street' END, CASE WHEN description IS NOT NULL THEN 'description' END, 'title'], lambda x: x IS NOT NULL)) AS f FROM v_raw) x GROUP BY 1, 2)
-SELECT m, source_key, array_to_string(fields, ',') AS fields FROM p""")
+_won = "first(source_key ORDER BY trust DESC, last_seen DESC, k DESC) FILTER (WHERE {0} IS NOT NULL AND CAST({0} AS VARCHAR) NOT IN ('', '{1}'))"
+
+
+@query("A16_contributions_by_source", f"""
+WITH w AS (SELECT m, {", ".join(_won.format(f, none) + f" AS {f}" for f, none in [("street", ""), ("is_free", ""), ("stall_count_text", ""), ("contact_website", ""), ("indoor_outdoor", "unknown"), ("venue_name", "")])} FROM v_raw GROUP BY m),
+p AS (SELECT m, 1 AS i, 'adresse' AS label, street AS source FROM w UNION ALL SELECT m, 3, 'entré', is_free FROM w UNION ALL SELECT m, 4, 'antal stande', stall_count_text FROM w
+  UNION ALL SELECT m, 6, 'website', contact_website FROM w UNION ALL SELECT m, 8, 'inde/ude', indoor_outdoor FROM w UNION ALL SELECT m, 9, 'sted', venue_name FROM w)
+SELECT m, source, string_agg(label, ',' ORDER BY i) AS fields FROM p WHERE source IS NOT NULL GROUP BY m, source""")
 def _(spark, d):
-    rows = view(spark, d, "v_raw")
-    return U.contributions_by_source(rows, "m", "source_key", ["street", "description", "title"])
+    events = merge_fields(view(spark, d, "v_raw").withColumn("cluster", c("m"))).select(c("cluster").alias("m"), "provenance")
+    return U.contributions_by_source(events, "m").withColumn("fields", F.array_join("fields", ","))
 
 
 @query("A17_map_clusters", "SELECT CAST(floor(lat / 5e-1) AS BIGINT) AS y, CAST(floor(lng / 5e-1) AS BIGINT) AS x, count(*) AS n FROM v_raw GROUP BY 1, 2")
@@ -267,17 +273,22 @@ def _(spark, d):
     return L.backfill(view(spark, d, "v_raw")).select("k", "place", "stalls", "free", "lat")
 
 
-@query("L9_upsert_venues", "SELECT source_type, source_id, CASE WHEN source_id % 3 = 0 THEN title || ' ny' ELSE title END AS title, 'slug-' || source_id AS slug FROM v_venues")
+Q_STATE = "CASE WHEN source_id % 9 = 0 THEN 'gone' ELSE 'active' END"
+
+
+@query("L9_upsert_venues", f"""
+SELECT source_type, source_id, CASE WHEN source_id % 2 = 0 AND source_id % 3 = 0 THEN title || ' ny' ELSE title END AS title, category, CASE WHEN source_id % 2 = 0 THEN NULL ELSE city END AS city,
+  CASE WHEN source_id % 5 = 0 THEN 'ny-' ELSE 'slug-' END || source_id AS slug, CASE WHEN source_id % 2 = 0 THEN 'active' ELSE {Q_STATE} END AS status FROM v_venues WHERE source_id % 2 = 0 OR source_id % 5 <> 0""")
 def _(spark, d):
-    slug = F.concat(F.lit("slug-"), c("source_id").cast("string"))
-    rows = view(spark, d, "v_venues").select("source_type", "source_id", "title", slug.alias("slug"))
-    batch = rows.withColumn("title", F.when(c("source_id") % 3 == 0, F.concat("title", F.lit(" ny"))).otherwise(c("title")))
-    return L.upsert_venues(rows.where("source_id % 5 <> 0"), batch, ["source_type", "source_id"], slug)
+    rows = view(spark, d, "v_venues").select("source_type", "source_id", "title", "category", "city", F.concat(F.lit("slug-"), c("source_id").cast("string")).alias("slug"), F.expr(Q_STATE).alias("status"))
+    title = F.when(c("source_id") % 3 == 0, F.concat("title", F.lit(" ny"))).otherwise(c("title"))
+    batch = rows.where("source_id % 2 = 0").select("source_type", "source_id", title.alias("title"), "category", F.lit(None).cast("string").alias("city"))
+    return L.upsert_venues(rows.where("source_id % 5 <> 0"), batch, ["source_type", "source_id"], F.concat(F.lit("ny-"), c("source_id").cast("string")))
 
 
-@query("L10_retire_venues", "SELECT source_type, source_id, CASE WHEN source_type = 'chain' AND source_id % 4 = 0 THEN 'gone' ELSE 'active' END AS status FROM v_venues")
+@query("L10_retire_venues", f"SELECT source_type, source_id, CASE WHEN source_type = 'chain' AND source_id % 4 = 0 AND {Q_STATE} = 'active' THEN 'gone' ELSE {Q_STATE} END AS status FROM v_venues")
 def _(spark, d):
-    rows = view(spark, d, "v_venues").select("source_type", "source_id")
+    rows = view(spark, d, "v_venues").select("source_type", "source_id", F.expr(Q_STATE).alias("status"))
     return L.retire(rows, rows.where("source_id % 4 <> 0"), ["chain"])
 
 
@@ -391,24 +402,6 @@ def _(spark, d):
     return L.append_document_log(log, pages.where("page_id % 3 <> 0"), today()).select("url", "hash")
 
 
-@query("S20_export_ical", """
-SELECT event_id, least(count(*), 30) AS days FROM v_occ WHERE date >= DATE '2026-07-03' GROUP BY event_id""")
-def _(spark, d):
-    text = feeds.export_ical(view(spark, d, "v_raw"), view(spark, d, "v_occ"), today())
-    return text.select("event_id", (F.size(F.split("text", "BEGIN:VEVENT")) - 1).cast("long").alias("days"))
-
-
-@query("S22_export_sitemap", "SELECT '/marked/' || k AS url, 8e-1 AS priority FROM v_raw UNION ALL SELECT '/sted/' || source_id, 6e-1 FROM v_venues")
-def _(spark, d):
-    at = lambda folder, k: F.concat(F.lit(f"/{folder}/"), c(k).cast("string"))
-    return exports.sitemap((view(spark, d, "v_raw"), at("marked", "k"), 0.8), (view(spark, d, "v_venues"), at("sted", "source_id"), 0.6))
-
-
-@query("S23_export_json_ld", """SELECT k, '{"@type":"Event","name":"' || title || '","startDate":"' || start_date || '"' || CASE WHEN is_free THEN ',"isAccessibleForFree":true' ELSE '' END || '}' AS json FROM v_raw""")
-def _(spark, d):
-    return exports.json_ld(view(spark, d, "v_raw"), "k")
-
-
 @query("Q18_list_candidates", f"WITH {Q_MINED} SELECT domain, mentions, CASE WHEN length(domain) % 4 > 0 THEN length(domain) % 4 END AS score FROM m WHERE mentions >= 2")
 def _(spark, d):
     rows = mined(spark, d).withColumn("score", F.when(F.length("domain") % 4 > 0, F.length("domain") % 4))

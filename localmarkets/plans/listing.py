@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from localmarkets.functions import facts, geo
 from localmarkets.functions import text as T
 from localmarkets.operators import listing as Q
+from localmarkets.operators import postings as X
 from localmarkets.operators import rollups as U
 from localmarkets.operators import search as S
 from localmarkets.plans.dates import reading
-from localmarkets.plans.resolve import Q_CONF, Q_CONF_IN, Q_GEM, confidence, q_haversine
+from localmarkets.plans.resolve import Q_CONF, Q_CONF_IN, Q_GEM, Q_HITS, confidence, q_haversine
 from localmarkets.plans.text import q_base, q_clean_city, q_fold, q_folds, q_has, q_squeeze, q_title
 from localmarkets.views import SENTENCES, TODAY, view, with_views
 
@@ -329,7 +330,24 @@ f AS (SELECT q, count(*) AS df FROM h WHERE tf > 0 GROUP BY q)
 SELECT id, round(sum(ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 6) AS score FROM h JOIN f ON f.q = h.q, z WHERE tf > 0 GROUP BY id HAVING count(*) = 2
 ORDER BY score DESC, id LIMIT 50""")
 def _(spark, d):
-    return S.search(view(spark, d, "documents"), "doc_id", F.lower("text"), ["thea", "onen"])
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    index = X.build_index(view(spark, d, "documents"), "doc_id", words)
+    return X.search(index.postings(), index.totals(), [["thea"], ["onen"]])
+
+
+Q_FOUND = f"""WITH l AS (SELECT * FROM v_raw), {Q_HITS.split("qt AS")[0]}qw(t, v) AS (VALUES ('lørdag', 'lørdag'), ('lørdag', 'loerdag'), ('lørdag', 'lordag'), ('mark', 'mark')),
+sh AS (SELECT t, k, length, count(*) AS tf FROM sp JOIN qw ON starts_with(token, v) GROUP BY t, k, length), sd AS (SELECT t, count(*) AS df FROM sh GROUP BY t)
+SELECT k AS id, round(sum(ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 6) AS score
+FROM sh JOIN sd ON sd.t = sh.t, sz GROUP BY k HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 50"""
+
+
+@query("F1_search_listings", Q_FOUND)
+def _(spark, d):
+    """Words as typed or in either fold, over title, venue, city and description; the index is built over half of the listings and updated with the rest."""
+    rows = view(spark, d, "v_raw").select("k", X.event_words("title", "venue_name", "city", "description").alias("words"))
+    index = X.build_index(rows.where("k % 2 = 0"), "k", c("words"))
+    index.update(rows.where("k % 2 = 1"), "k", c("words"))
+    return X.search(index.postings(), index.totals(), [["lørdag", "loerdag", "lordag"], ["mark"]])
 
 
 @query("F2_matches_query", """

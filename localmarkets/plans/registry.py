@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from localmarkets.plans import dates, extraction, lifecycle, listing, places, resolve, text
+from localmarkets.plans import dates, extraction, lifecycle, listing, places, publishing, resolve, text
 
-PLANS = [text, dates, resolve, listing, places, lifecycle, extraction]
+PLANS = [text, dates, resolve, listing, places, lifecycle, extraction, publishing]
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 

@@ -54,6 +54,30 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"postcode": F.when(c("k") % 50 != 7, c("postcode")), "dates": F.array_compact(F.array("start_date", "second_date"))})
 
 
+def q_plain(x: str) -> str:
+    return f"translate(lower({x}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+
+
+def q_words(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def q_spelled(x: str, oe: str, aa: str) -> str:
+    return f"replace(replace(replace(lower({x}), 'æ', 'ae'), 'ø', '{oe}'), 'å', '{aa}')"
+
+
+_blob = "concat_ws(' ', title, venue_name, city, description)"
+#: The 20 best listings that a search for each title finds: a word may be spelled as typed, or with oe and aa, or with o and a.
+Q_HITS = f"""sw AS (SELECT k, list_concat({q_words(q_plain(_blob))}, {q_words(q_plain(q_spelled(_blob, 'oe', 'aa') + " || ' ' || " + q_spelled(_blob, 'o', 'a')))}) AS words FROM l),
+sz AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM sw), sp AS (SELECT k, len(words) AS length, unnest(words) AS token FROM sw),
+post AS (SELECT token, k, length, count(*) AS tf FROM sp GROUP BY ALL), qt AS (SELECT DISTINCT lower(title) AS q FROM l), qw AS (SELECT DISTINCT q, unnest({q_words('q')}) AS t FROM qt),
+sv AS (SELECT DISTINCT t, unnest([{q_plain('t')}, {q_plain(q_spelled('t', 'oe', 'aa'))}, {q_plain(q_spelled('t', 'o', 'a'))}]) AS v FROM qw),
+mp AS (SELECT DISTINCT token, t FROM (SELECT DISTINCT token FROM post) z JOIN sv ON starts_with(token, v)),
+sh AS (SELECT t, k, length, sum(tf) AS tf FROM post JOIN mp USING (token) GROUP BY t, k, length), sd AS (SELECT t, count(*) AS df FROM sh GROUP BY t),
+sn AS (SELECT q, count(*) AS n FROM qw GROUP BY q),
+sc AS (SELECT qw.q, k, round(sum(ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 6) AS score
+  FROM qw JOIN sh ON sh.t = qw.t JOIN sd ON sd.t = qw.t JOIN sn ON sn.q = qw.q, sz GROUP BY qw.q, k, n HAVING count(*) = n),
+top AS (SELECT q, k FROM (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY score DESC, k) AS i FROM sc) z WHERE i <= 20)"""
 Q_ROWS = f"""
 l AS (SELECT * EXCLUDE (postcode), CASE WHEN k % 50 <> 7 THEN postcode END AS postcode,
   CASE WHEN second_date IS NULL THEN [start_date] ELSE [start_date, second_date] END AS dates FROM v_raw),
@@ -61,10 +85,13 @@ n AS (SELECT *, {q_title(q_strip_dates('title'))} AS name, {q_title("CASE WHEN N
 w AS (SELECT *, len(list_filter(string_split(name, ' '), lambda x: length(x) > 1 AND x NOT IN ({', '.join(repr(v) for v in R.GENERIC_WORDS)}))) >= 1 AS proper FROM n),
 r AS (SELECT *, {q_bigrams('name')} AS grams, proper AND (length(name) >= 15 OR len(string_split(name, ' ')) >= 3) AS distinctive,
   lat IS NOT NULL AND lng IS NOT NULL AND geocode_quality NOT IN ('P', 'C') AS precise FROM w),
+{Q_HITS},
 p AS (SELECT DISTINCT a, b FROM (
   SELECT x.k AS a, y.k AS b FROM r x JOIN r y ON x.postcode = y.postcode AND x.k < y.k
   UNION ALL SELECT x.k, y.k FROM r x JOIN r y ON x.lat BETWEEN y.lat - 1e-2 AND y.lat + 1e-2 AND abs(x.lat - y.lat) <= 1e-2 AND abs(x.lng - y.lng) <= 2e-2 AND x.k < y.k
-  UNION ALL SELECT least(x.k, y.k), greatest(x.k, y.k) FROM r x JOIN r y ON lower(x.title) = lower(y.title) AND x.k <> y.k WHERE x.postcode IS NULL) u)"""
+  UNION ALL SELECT least(x.k, y.k), greatest(x.k, y.k) FROM r x JOIN r y ON lower(x.title) = lower(y.title) AND x.k <> y.k WHERE x.postcode IS NULL
+  UNION ALL SELECT least(x.k, y.k), greatest(x.k, y.k) FROM r x JOIN top ON top.q = lower(x.title) JOIN r y ON y.k = top.k
+    WHERE x.k <> y.k AND (x.postcode IS NULL OR y.postcode IS NULL)) u)"""
 
 
 def q_verdict(x: str, y: str) -> str:
@@ -104,8 +131,8 @@ def _(spark, d):
 @query("J2_match_pairs", f"WITH {Q_MATCH} SELECT a, b, round(sim, 6) AS similarity, f LIKE '+%' AS forward, substr(f, 2) AS forward_reason, g LIKE '+%' AS backward, substr(g, 2) AS backward_reason FROM m")
 def _(spark, d):
     rows = R.prepared_table(listings(spark, d))
-    told = R.match_pairs(rows, R.candidate_pairs(rows))
-    return told.select("a", "b", F.round("similarity", 6).alias("similarity"), c("forward.is_match").alias("forward"), c("forward.reason").alias("forward_reason"), c("backward.is_match").alias("backward"), c("backward.reason").alias("backward_reason"))
+    told = R.matches(rows).withColumns({"f": R.verdict(c("forward")), "g": R.verdict(c("backward"))})
+    return told.select("a", "b", F.round("similarity", 6).alias("similarity"), "f.is_match", "f.reason", "g.is_match", "g.reason").toDF("a", "b", "similarity", "forward", "forward_reason", "backward", "backward_reason")
 
 
 @query("J3_title_similarity", f"""

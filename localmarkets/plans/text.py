@@ -189,10 +189,16 @@ register("T16_extract_postcode", "documents", "doc_id", {"postcode": lambda: T.e
 register("T17_search_fold", "documents", "doc_id", {"value": lambda: F.md5(T.search_fold(c("text")))}, {"value": f"md5({q_folds('text')})"})
 register("T18_fold_for_search", "documents", "doc_id", {"value": lambda: F.md5(T.fold_for_search(c("text")))}, {"value": f"md5({q_fold('text')})"})
 register("T19_strip_promo_cruft", "v_text", "k", {"title": lambda: T.strip_promo_cruft(c("text"))}, {"title": q_promo("text")})
-_p = q_promo("text")
-_l = q_sub(f"({_p})", "[^a-zA-ZæøåÆØÅ]", "")
-_t = f"CASE WHEN length({_l}) >= 4 AND length({q_sub(_l, '[^A-ZÆØÅ]', '')}) / length({_l}) > 0.7 THEN lower({_p}) ELSE {_p} END"
-register("T20_display_title", "v_text", "k", {"title": lambda: T.display_title(c("text")), "place": lambda: T.display_place(c("text"))}, {"title": f"CASE WHEN {q_has(f'({_t})', '^[a-zæøå]', '')} THEN upper(substr({_t}, 1, 1)) || substr({_t}, 2) ELSE {_t} END", "place": r"array_to_string(list_transform(string_split_regex(text, '\s+'), lambda w: CASE WHEN w <> '' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ' ')"})
+
+
+def q_display(x: str) -> str:
+    short = q_promo(x)
+    letters = q_sub(f"({short})", "[^a-zA-ZæøåÆØÅ]", "")
+    told = f"CASE WHEN length({letters}) >= 4 AND length({q_sub(letters, '[^A-ZÆØÅ]', '')}) / length({letters}) > 0.7 THEN lower({short}) ELSE {short} END"
+    return f"CASE WHEN {q_has(f'({told})', '^[a-zæøå]', '')} THEN upper(substr({told}, 1, 1)) || substr({told}, 2) ELSE {told} END"
+
+
+register("T20_display_title", "v_text", "k", {"title": lambda: T.display_title(c("text")), "place": lambda: T.display_place(c("text"))}, {"title": q_display("text"), "place": r"array_to_string(list_transform(string_split_regex(text, '\s+'), lambda w: CASE WHEN w <> '' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ' ')"})
 _s = f"substr({_n}, 1, 154)"
 _e = f"(length({_s}) - instr(reverse({_s}), ' '))"
 register("T21_truncate_at_word", "documents", "doc_id", {"snippet": lambda: T.truncate_at_word(c("text"))}, {"snippet": f"CASE WHEN length({_n}) <= 155 THEN {_n} ELSE " + q_sub(f"CASE WHEN instr({_s}, ' ') > 0 AND {_e} > 93 THEN substr({_s}, 1, {_e}) ELSE {_s} END", "[.,;:!?–-]+$", "", "") + " || '…' END"})

@@ -1,4 +1,4 @@
-"""What listings and venues are published as: page addresses, JSON objects, a run's figures."""
+"""What listings and venues are published as: JSON objects, a run's figures."""
 
 from __future__ import annotations
 
@@ -6,21 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sitemap(*parts: tuple[DataFrame, Column, float]) -> DataFrame:
-    """(url, priority) of every row of each part: its rows, their address, their priority."""
-    rows = [df.select(url.alias("url"), F.lit(priority).alias("priority")) for df, url, priority in parts]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def json_ld(events: DataFrame, key: str) -> DataFrame:
-    """(key, json): an event object; whether it is free is told only where it is."""
-    item = F.struct(F.lit("Event").alias("@type"), F.col("title").alias("name"), F.col("start_date").cast("string").alias("startDate"), F.when(F.col("is_free"), True).alias("isAccessibleForFree"))
-    return events.select(key, F.to_json(item).alias("json"))
-
-
 def listing_json(rows: DataFrame, key: str, **fields: str) -> DataFrame:
     """(key, json): an object of the named fields; nulls are left out."""
     return rows.select(key, F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()])).alias("json"))

@@ -135,22 +135,6 @@ def mine_domains(raws: DataFrame, own: list[str], titles: DataFrame) -> DataFram
     )
 
 
-def export_ical(events: DataFrame, occurrences: DataFrame, today: Column, most: int = 30) -> DataFrame:
-    """One calendar text per event with a day from today on: at most ``most`` days; all-day without a start; an end only after the start."""
-    from pyspark.sql import Window
-
-    esc = lambda c: F.regexp_replace(F.regexp_replace(c, r"([\;,])", r"\\$1"), "\n", r"\\n")
-    order = F.row_number().over(Window.partitionBy("event_id").orderBy("date", "start_time", "end_time"))
-    days = occurrences.where(F.col("date") >= today).withColumn("n", order).where(F.col("n") <= most).join(events.select("k", "title"), F.col("event_id") == F.col("k"))
-    stamp = F.date_format("date", "yyyyMMdd")
-    at = lambda c: F.concat(stamp, F.lit("T"), F.replace(c, F.lit(":"), F.lit("")), F.lit("00"))
-    start = F.when(F.col("start_time").isNull(), F.concat(F.lit("DTSTART;VALUE=DATE:"), stamp)).otherwise(F.concat(F.lit("DTSTART:"), at(F.col("start_time"))))
-    end = F.when(F.col("end_time") >= F.col("start_time"), F.concat(F.lit("\nDTEND:"), at(F.col("end_time")))).otherwise("")
-    body = F.concat(F.lit("BEGIN:VEVENT\n"), start, end, F.lit("\nSUMMARY:"), esc(F.col("title")), F.lit("\nEND:VEVENT"))
-    held = days.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))).alias("b"))
-    return held.select("event_id", F.concat(F.lit("BEGIN:VCALENDAR\n"), F.array_join(F.transform("b", lambda x: x["body"]), "\n"), F.lit("\nEND:VCALENDAR")).alias("text"))
-
-
 def embedded_objects(html: Column) -> Column:
     """Every object of a page that begins with an id."""
     parts = F.split(F.concat(F.lit(" "), html), r'(?=\{"id":)')  # a page may begin with an object
