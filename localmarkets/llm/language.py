@@ -7,8 +7,9 @@ its places have seen what is around them. A document's probabilities are the mea
 over all its places, so every byte of the whole text counts once. Training is backpropagation through
 time with Adam over stretches of labelled texts.
 
-Bounds: at most ``rows`` labelled rows, chosen by a hash of the id, are used for training, their texts
-whole; each step draws stretches of ``SPAN`` bytes from anywhere in them. Labelling covers whole texts.
+Bounds: at most ``rows`` labelled rows that have a letter, chosen by a hash and as many of each label, are
+used for training, their texts whole and of at most ``SAMPLE_BYTES``; each step draws stretches of ``SPAN``
+bytes from anywhere in them. Labelling covers whole texts.
 
 Defined results: texts that are null or have no letter give ``und`` with score 0; rows without a
 label are not learned from; without any labelled row every text gives ``und``; repeated rows are
@@ -23,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from localmarkets.llm.encoding import slices
-from localmarkets.llm.sampling import least_hashes
 
 HIDDEN, SPAN, WINDOW, WARM, ROWS, STEPS, BATCH = 12, 64, 256, 8, 3000, 150, 192
+#: Bytes of the texts that are learned from.
+SAMPLE_BYTES = 48 << 20
 #: Windows that are read side by side.
 SIDE = 1024
 
@@ -146,11 +148,24 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
     return Model(names, w)
 
 
-def sample(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
-    """Whole texts and labels of at most ``rows`` labelled rows by the order of their hash."""
-    labelled = docs.where(F.col(label_col).isNotNull())
-    known = labelled.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    found = least_hashes(known, labelled.count(), rows, F.xxhash64("id", F.lit(11)), "o").select("text", "label").collect()
+def sample(docs: DataFrame, rows: int = ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
+    """Whole texts and labels of at most ``rows`` labelled rows that have a letter and ``most_bytes`` of their texts, dealt evenly to the labels, by the order of their hash.
+
+    Every label is drawn from, whatever its share of all; but a text that alone is larger than its label's bytes is not.
+    """
+    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col, text_col, F.lit(11)).alias("o"))
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label
+    if not counts:
+        return [], []
+    each, room = max(1, rows // len(counts)), most_bytes // len(counts)
+    # A bound on the hash lets about a quarter more than ``each`` through before they are put in order.
+    share = {label: min(1.0, (1.25 * each + 100) / n) for label, n in counts.items()}
+    bounds = F.create_map(*[F.lit(x) for label, part in share.items() for x in (label, min((1 << 63) - 1, int((2 * part - 1) * (1 << 63))))])
+    size = F.octet_length("text")
+    order = Window.partitionBy("label").orderBy("o", "text")
+    so_far = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = known.where((F.col("o") <= bounds[F.col("label")]) & (size <= room)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    found = few.withColumn("sum", so_far).where(F.col("sum") <= room).orderBy("o", "text").select("text", "label").collect()
     return [r.text.encode() for r in found], [r.label for r in found]
 
 
