@@ -6,7 +6,9 @@ sequence's, is all that the plan needs. Patterns of a few lengths that fill a se
 enumerated (of three, for each longest length those with the most frequent partners, none, one or
 some, whichever plans best), their repeat counts are
 fitted to the histogram by non-negative least squares and rounded as far as the pieces reach, and
-what is left is packed by best fit, many like sequences at a time. Lengths are never rounded. The
+of what is left, patterns of more lengths that fill a sequence exactly are drawn by chance (seeded; lengths
+as often as they are left) and used, and the rest is packed by best fit, many like sequences at a time.
+Patterns that are drawn beforehand are fitted too, in one of the plans. Lengths are never rounded. The
 plan has as many rows as patterns with different contents, however many pieces there are; pieces
 take their places in it by their rank among those of their length.
 
@@ -32,6 +34,8 @@ from localmarkets.shared import cut
 LENGTH = 4096
 #: Patterns of three that are enumerated for one longest length: a plan is made with each, the shortest stays.
 PARTNERS = (0, 1, 4)
+#: Pieces of a drawn pattern at most, draws of each number of pieces in a round, rounds without a find that end the drawing.
+DRAWN_PIECES, DRAWS, IDLE = 24, 1024, 3
 #: Steps of the fit.
 ROUNDS = 400
 #: Pieces of one length that a task ranks, so that a length that many pieces share is ranked by many tasks.
@@ -84,6 +88,45 @@ def patterns(histogram: np.ndarray, room: int, partners: int) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 3)
 
 
+def drawn(left: np.ndarray, room: int, rng: np.random.Generator) -> np.ndarray:
+    """Patterns of three to ``DRAWN_PIECES`` lengths that fill ``room`` exactly, as many columns (0: no further piece): all but the last
+    length are drawn as often as they are left, the last is what fills the sequence, if there is such a piece."""
+    lengths = np.flatnonzero(left[: room + 1])
+    out = []
+    if len(lengths):
+        share = np.cumsum(left[lengths]) / left[lengths].sum()
+        for k in range(max(3, -(-room // int(lengths[-1]))), min(DRAWN_PIECES, room // int(lengths[0])) + 1):
+            some = lengths[np.minimum(np.searchsorted(share, rng.random((DRAWS, k - 1)), side="right"), len(lengths) - 1)]
+            rest = room - some.sum(axis=1)
+            good = (rest > 0) & (left[np.clip(rest, 0, room)] > 0)
+            rows = np.zeros((int(good.sum()), DRAWN_PIECES), np.int64)
+            rows[:, :k] = -np.sort(-np.column_stack([some[good], rest[good]]), axis=1)
+            out.append(rows)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, DRAWN_PIECES), np.int64)
+
+
+def take(left: np.ndarray, row: np.ndarray, times: int | None) -> tuple[list[Part], int] | None:
+    """Takes a pattern out of ``left`` as often as it is there, at most ``times`` (None: an eighth of that, once at least)."""
+    kinds, n = np.unique(row[row > 0], return_counts=True)
+    most = int((left[kinds] // n).min())
+    most = min(times, most) if times is not None else max(1, most // 8) if most else 0
+    if most <= 0:
+        return None
+    left[kinds] -= n * most
+    return [(int(c), int(k)) for c, k in zip(kinds[::-1], n[::-1], strict=True)], most
+
+
+def draw_out(left: np.ndarray, room: int, rng: np.random.Generator) -> list[tuple[list[Part], int]]:
+    """Patterns drawn from ``left`` and taken, round after round, as long as some are found."""
+    out, idle = [], 0
+    while idle < IDLE and left.sum() > 2:
+        rows = drawn(left, room, rng)
+        found = [made for row in rows[rng.permutation(len(rows))] if (made := take(left, row, None))]
+        out += found
+        idle = 0 if found else idle + 1
+    return out
+
+
 def nnls(rows: np.ndarray, goal: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """x >= 0 that minimises the squares of (uses of each length - goal), by accelerated projected gradients.
 
@@ -154,22 +197,29 @@ def plan(histogram: np.ndarray, room: int) -> list[tuple[list[Part], int]]:
     """Patterns and how often each is used; they take each length exactly as often as ``histogram`` says."""
     left = np.zeros(room + 1, np.int64)
     left[: len(histogram)] = histogram
-    return min((_plan(left.copy(), room, partners) for partners in PARTNERS), key=lambda made: sum(times for _, times in made))
+    made = [_plan(left.copy(), room, partners, more) for partners, more in [*((p, False) for p in PARTNERS), (1, True)]]
+    rng = np.random.default_rng(0)
+    alone = left.copy()
+    made.append(draw_out(alone, room, rng) + best_fit(alone, room))
+    return min(made, key=lambda one: sum(times for _, times in one))
 
 
-def _plan(left: np.ndarray, room: int, partners: int) -> list[tuple[list[Part], int]]:
+def _plan(left: np.ndarray, room: int, partners: int, more: bool) -> list[tuple[list[Part], int]]:
+    """``more``: drawn patterns are fitted beside the enumerated ones, and drawn again from what is left."""
+    rng = np.random.default_rng(0)
     rows, out = patterns(left, room, partners), []
+    if more:
+        rows = np.concatenate([np.pad(rows, ((0, 0), (0, DRAWN_PIECES - rows.shape[1]))), drawn(left, room, rng)])
     if len(rows):
         x = nnls(rows, left)
         for j in np.argsort(-x, kind="stable"):
             times = int(np.rint(x[j]))
             if times <= 0:
                 break
-            kinds, n = np.unique(rows[j][rows[j] > 0], return_counts=True)
-            times = int(min(times, (left[kinds] // n).min()))
-            if times > 0:
-                out.append(([(int(c), int(k)) for c, k in zip(kinds[::-1], n[::-1], strict=True)], times))
-                left[kinds] -= n * times
+            if one := take(left, rows[j], times):
+                out.append(one)
+    if more:
+        out += draw_out(left, room, rng)
     return out + best_fit(left, room)
 
 

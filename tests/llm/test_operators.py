@@ -338,6 +338,17 @@ def test_language_edges(docs):
     assert language.train([], []) is None and language.predict(docs.limit(0), model).count() == 0
 
 
+def test_sample_counts_what_it_draws_from_and_deals_by_label(spark):
+    few = F.when(F.col("id") % 10_000 == 0, F.lit("abc def")).otherwise(F.lit("123 456"))
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), few.alias("text"), F.lit("da").alias("lang"))
+    assert len(language.sample(rows)[0]) == 20
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 10, "xx").when(F.col("id") % 2 == 0, "da").otherwise("en").alias("lang"))
+    texts, labels = language.sample(rows, rows=300)
+    assert labels.count("xx") == 10 and labels.count("da") == labels.count("en") == 100
+    assert sum(map(len, language.sample(rows, rows=300, most_bytes=600)[0])) <= 600
+    assert language.sample(rows.limit(0)) == ([], [])
+
+
 def test_language_gradients():
     w = {k: v.astype(float) for k, v in language._start(np.random.default_rng(0), 4, 3).items()}
     data, own = np.random.default_rng(1).integers(97, 110, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
@@ -560,6 +571,15 @@ def test_packing_plan_is_exact_and_tight():
     assert packing.plan(np.zeros(257, int), 256) == []
 
 
+def test_packing_of_four_and_more():
+    rng = np.random.default_rng(1)
+    sequences = lambda lengths: sum(times for _, times in packing.plan(np.bincount(lengths, minlength=4097), 4096))
+    assert sequences(np.repeat([601, 799, 1203, 1493], 1000)) == 1000
+    for low, high, most in ((500, 900, 1.005), (700, 1100, 1.02)):
+        lengths = rng.integers(low, high, 20_000)
+        assert sequences(lengths) <= most * lengths.sum() / 4096 + 1
+
+
 def test_packing_of_few_is_the_least_or_one_more():
     rng = np.random.default_rng(4)
 
