@@ -6,7 +6,8 @@ with at most e edits, one piece at least occurs unchanged. One pass of an Aho-Co
 finds the pieces in a text; around each hit the item is verified with Myers' bit-parallel distance.
 
 The items are a stated query set. They are taken in blocks of at most ``BLOCK_BYTES`` characters;
-each block is one pass over all texts, so what a task holds does not grow with the benchmark.
+each block is one pass over all texts. What one block finds or leaves is a table before the next one
+begins, so a plan, a stage and a Python worker hold one block each, however large the benchmark is.
 
 Items of fewer than ``LEAST`` characters may differ in nothing and must stand as words of their own:
 neither end may cut a word, where each character of a script without spaces is a word.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from localmarkets.llm.encoding import slices
+from localmarkets.shared import cut
 
 RATE = 0.08
 LEAST = 40
@@ -143,8 +145,11 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, distance, end: each document and item that occurs in it within the item's edits."""
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, match_end long")
+    schema = "doc_id long, item_id long, distance int, match_end long"
+    out, last = docs.sparkSession.createDataFrame([], schema), None
     for block in blocks(items, item_col, "text"):
+        if last is not None:
+            out = out.unionByName(cut(last, "matches"))
 
         def matched(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
@@ -154,14 +159,16 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col:
                     d, i, n, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "match_end"])
 
-        out = out.unionByName(docs.select(id_col, text_col).mapInArrow(matched, out.schema))
-    return out
+        last = docs.select(id_col, text_col).mapInArrow(matched, schema)
+    return out if last is None else out.unionByName(last)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they were, in which no item occurs."""
-    place = docs.columns.index(text_col)
+    place, given = docs.columns.index(text_col), docs
     for block in blocks(items, "item_id", "text"):
+        if docs is not given:
+            docs = cut(docs, "clean")
 
         def chosen(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)

@@ -408,6 +408,17 @@ def test_language_of_short_texts(spark):
 
 
 # --- 5 ---
+def test_decontamination_holds_one_block_at_a_time(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(k, A + f"variant {k} of the text") for k in range(6)] + [(9, "short")], "item_id long, text string")
+    texts = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit("so " + A + "variant 3 of the text it is")}))
+    told = lambda: (sorted(map(tuple, decontaminate.contaminated(texts, items).collect())), sorted(map(repr, decontaminate.keep_clean(texts, items).collect())))
+    one = told()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    assert len(list(decontaminate.blocks(items, "item_id", "text"))) > 2 and told() == one and len(one[0]) > 3
+    plan = decontaminate.keep_clean(texts, items)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
 def edit(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
