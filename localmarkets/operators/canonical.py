@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from localmarkets.functions import geo, scores
 from localmarkets.functions import text as T
 from localmarkets.operators import resolve as R
-from localmarkets.shared import cut
+from localmarkets.shared import cut, observed_cut
 
 
 def clean(raws: DataFrame) -> DataFrame:
@@ -40,19 +40,39 @@ def kept_slugs(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.max(F.when(had, F.struct("trust", (-F.col("k")).alias("first"), F.col("slug").alias("slug"))))["slug"].alias("hint"))
 
 
+def figures_of(members: DataFrame) -> DataFrame:
+    """(cluster, created, merged, unchanged) of listings with cluster, changed, and the slug that their event had before (null: none).
+
+    An event that none of its listings had before is created by one of them; a listing whose event goes on is unchanged if its payload
+    is; every other listing is merged. The three add up to the listings.
+    """
+    had = F.col("slug").isNotNull()
+    own = members.groupBy("cluster").agg(F.count("*").alias("n"), F.bool_or(had).alias("had"), F.count_if(had & ~F.col("changed")).alias("unchanged"))
+    created = F.when(F.col("had"), 0).otherwise(1)
+    return own.select("cluster", created.alias("created"), (F.col("n") - created - F.col("unchanged")).alias("merged"), "unchanged")
+
+
 def canonicalize(raws: DataFrame, occurrences: DataFrame, today: Column, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, occurrences) by cluster; listings without a day from today on take no part.
+    """(events, occurrences) of ``canonicalize_run``."""
+    return canonicalize_run(raws, occurrences, today, previous)[:2]
+
+
+def canonicalize_run(raws: DataFrame, occurrences: DataFrame, today: Column, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(events, occurrences, figures) by cluster; listings without a day from today on take no part and are skipped.
 
     The key of an event is the smallest k of its cluster, so the result doesn't depend on the order in
     which listings arrived. ``previous`` (k, slug, status) is what each listing's event was before: its slug
     is kept whichever listing is the smallest now, and its status goes on. ``raws`` may have ``cancelled``
-    and ``changed`` (the payload differs from the run before); a title may call off too.
+    and ``changed`` (the payload differs from the run before); a title may call off too. Figures: ``created``,
+    ``merged``, ``unchanged`` and ``skipped`` listings, observed while the tables of the run are written.
     """
     ahead = occurrences.where(F.col("date") >= today)
     dates = ahead.groupBy("event_id").agg(F.array_sort(F.collect_set("date")).alias("dates"))
     flag = lambda n: F.coalesce(n, F.lit(False)) if n in raws.columns else F.lit(False)
     flagged = raws.withColumns({"called_off": flag("cancelled") | F.coalesce(T.title_signals_cancelled(F.col("title")), F.lit(False)), "changed": flag("changed")})
-    rows = cut(clean(flagged).join(dates, F.col("k") == F.col("event_id")).drop("event_id"), "cleaned")
+    dated = flagged.join(dates, F.col("k") == F.col("event_id"), "left").drop("event_id")
+    rows, skipped = observed_cut(clean(dated), "cleaned", skipped=F.count_if(F.col("dates").isNull()))
+    rows = rows.where("dates is not null")
     clustered = cut(rows.join(R.same_market(rows), "k"), "clustered")
     events = R.merge_fields(clustered)
     days = R.merge_occurrences(ahead.join(clustered.select("k", "cluster", "trust"), F.col("event_id") == F.col("k")))
@@ -62,9 +82,11 @@ def canonicalize(raws: DataFrame, occurrences: DataFrame, today: Column, previou
         members = members.withColumns({"slug": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
     else:
         members = members.join(previous.select("k", "slug", "status"), "k", "left")
+    told = merge_status(members).join(kept_slugs(members), "cluster").join(figures_of(members), "cluster")
+    told, figures = observed_cut(told, "states", created=F.sum("created"), merged=F.sum("merged"), unchanged=F.sum("unchanged"))
     located = F.col("lat").isNotNull() & T.is_precise(F.col("geocode_quality"))
     age = F.greatest(F.lit(0), F.datediff(today, F.col("last_seen")))
     scored = events.join(first, "cluster").withColumn("confidence", scores.event_confidence(F.col("trust"), F.col("sources"), age, located, F.col("days") > 0, F.lit(0)))
-    scored = scored.join(merge_status(members), "cluster").join(kept_slugs(members), "cluster")
+    scored = scored.join(told.select("cluster", "status", "hint"), "cluster")
     slug = F.coalesce("hint", T.slugify(F.concat_ws(" ", "title", "city")))
-    return R.unique_slugs(scored.withColumn("base", slug), "base", "cluster").drop("base", "hint"), days
+    return R.unique_slugs(scored.withColumn("base", slug), "base", "cluster").drop("base", "hint"), days, figures | skipped

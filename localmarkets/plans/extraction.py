@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from localmarkets.functions import dates as D
 from localmarkets.functions import facts, posts, sql_names
 from localmarkets.functions import text as T
-from localmarkets.operators import canonical, lifecycle
+from localmarkets.operators import canonical, lifecycle, runs
 from localmarkets.operators.listing import ALIASES, saved_filter_parse
 from localmarkets.plans.dates import reading
 from localmarkets.plans.lifecycle import Q_MINED, mined
 from localmarkets.plans.resolve import Q_CLUSTER, q_haversine
 from localmarkets.plans.text import q_clean_city, q_domain, q_fold, q_strip_dates, q_title
+from localmarkets.shared import shared_path
 from localmarkets.sources import adapters, exports, feeds, tips
 from localmarkets.views import SENTENCES, TODAY, view, with_views
 
@@ -97,8 +98,20 @@ def parsed(spark, d):
 
 @query("L16_process_tips", f"SELECT k, CASE WHEN {by_sentence({0: '1', 39: '1'})} = 1 THEN 'processed' ELSE 'new' END AS status FROM v_text")
 def _(spark, d):
-    done = parsed(spark, d).select("k", F.lit("processed").alias("done"))
-    return view(spark, d, "v_text").select("k").join(done, "k", "left").select("k", F.coalesce("done", F.lit("new")).alias("status"))
+    return runs.process_tips(view(spark, d, "v_text"), today())[0]
+
+
+_tip = f"({by_sentence({0: '1', 39: '2'})})"
+
+
+@query("L16_tip_figures", f"""
+WITH t AS (SELECT {_tip} AS kind FROM v_text), n AS (SELECT count(*) AS tips, count(kind) AS parsed, count(DISTINCT kind) AS created FROM t)
+SELECT figure, value FROM (SELECT unnest(['tips', 'unparsed', 'created', 'merged', 'unchanged', 'skipped']) AS figure, unnest([tips, tips - parsed, created, parsed - created, 0, 0]) AS value FROM n) x""")
+def _(spark, d):
+    """Tips of one market, however many, make one event; its figures go to the log and are read back."""
+    log = runs.RunLog(spark, shared_path(spark, "runs"))
+    log.append("tips", "tips", runs.process_tips(view(spark, d, "v_text"), today())[3])
+    return log.read().select(F.explode("figures").alias("figure", "value"))
 
 
 @query("T35_extract_title", "SELECT k, title || ' ' || postcode AS title FROM (SELECT k, trim(regexp_replace(title, 'lørdag.*$', '')) AS title, postcode FROM v_raw) x")
@@ -178,9 +191,15 @@ def _(spark, d):
     return exports.listing_json(view(spark, d, "v_venues").where("source_type = 'map'"), "source_id", id="source_id", title="title")
 
 
-@query("S24_run_log", "SELECT 'listings' AS run, count(*) AS n, count(*) FILTER (WHERE street IS NULL) AS without_street, max(last_seen) AS newest FROM v_raw")
+@query("S24_run_log", """
+SELECT 'listings' AS run, 'n' AS figure, count(*) AS value FROM v_raw UNION ALL SELECT 'listings', 'without_street', count(*) FILTER (WHERE street IS NULL) FROM v_raw
+UNION ALL SELECT 'venues', 'n', count(*) FROM v_venues""")
 def _(spark, d):
-    return exports.run_log(view(spark, d, "v_raw"), "listings")
+    """The figures are observed while the rows are written; each run appends a row."""
+    log = runs.RunLog(spark, shared_path(spark, "runs"))
+    for run, rows, figures in (("listings", view(spark, d, "v_raw"), {"without_street": F.count_if(c("street").isNull())}), ("venues", view(spark, d, "v_venues"), {})):
+        log.append(run, "load", runs.observed_cut(rows, run, n=F.count("*"), **figures)[1])
+    return log.read().select("run", F.explode("figures").alias("figure", "value"))
 
 
 @query("Q19_structured_feed_domains", f"SELECT DISTINCT {q_domain('url')} AS domain FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0")
@@ -240,27 +259,62 @@ def _(spark, d):
     return canonical_events(spark, d).select("cluster", "slug", "title", "category", "city", "lat", "lng", "sources", "size", "first_date", "days", "status", "confidence")
 
 
-@query("L7_rebuild", f"""{Q_CANON},
+@query("L7_rebuild", rf"""{Q_CANON},
 h AS (SELECT *, 'kept-' || CAST(floor(k / 2) AS BIGINT) AS had FROM z),
-ev AS (SELECT z.cluster, count(*) AS size, first(had ORDER BY trust DESC, k) FILTER (WHERE k % 2 = 0) AS slug,
-  CASE WHEN bool_or(cancelled AND trust >= least(5e-1, best)) OR bool_or(k % 8 = 0) THEN 'cancelled' ELSE 'active' END AS status FROM h z GROUP BY z.cluster)
-SELECT ev.cluster, slug, size, status FROM ev JOIN days ON days.cluster = ev.cluster WHERE slug IS NOT NULL""")
+ev AS (SELECT z.cluster, count(*) AS size, first(had ORDER BY trust DESC, k) FILTER (WHERE k % 2 = 0) AS kept,
+  first(title ORDER BY regexp_matches(title, '\b20\d{{2}}\b|d\.\s*\d'), trust DESC, last_seen DESC, k DESC) AS title, first(city ORDER BY trust DESC, last_seen DESC, k DESC) FILTER (WHERE city <> '') AS city,
+  CASE WHEN bool_or(cancelled AND trust >= least(5e-1, best)) OR bool_or(k % 8 = 0) THEN 'cancelled' ELSE 'active' END AS status FROM h z JOIN days ON days.cluster = z.cluster GROUP BY z.cluster),
+nb AS (SELECT *, coalesce(kept, {_base}) AS base FROM ev), nt AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster) AS nth FROM nb)
+SELECT cluster, CASE WHEN nth = 1 THEN base ELSE base || '-' || nth END AS slug, size, status FROM nt""")
 def _(spark, d):
-    """Slugs and states that listings' events had before go on; shown are the events that had one."""
+    """Slugs and states that listings' events had before go on; the others are named anew."""
     k = c("k")
     previous = view(spark, d, "v_raw").where("k % 2 = 0").select("k", F.concat(F.lit("kept-"), F.floor(k / 2).cast("string")).alias("slug"), F.when(k % 8 == 0, "cancelled").otherwise("active").alias("status"))
-    return canonical_events(spark, d, previous).where("slug like 'kept-%'").select("cluster", "slug", "size", "status")
+    return canonical_events(spark, d, previous).select("cluster", "slug", "size", "status")
+
+
+@query("L2_run_figures", f"""{Q_CANON},
+b AS (SELECT cluster, count(*) AS n, bool_or(k % 2 = 0) AS had, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 <> 0) AS same FROM z GROUP BY cluster)
+SELECT figure, value FROM (SELECT unnest(['created', 'merged', 'unchanged', 'skipped']) AS figure,
+  unnest([count(*) FILTER (WHERE NOT had), CAST(sum(n - same) AS BIGINT) - count(*) FILTER (WHERE NOT had), CAST(sum(same) AS BIGINT), (SELECT count(*) FROM v_raw) - (SELECT count(*) FROM l)]) AS value FROM b) x""")
+def _(spark, d):
+    """A run in which half of the listings' events were known and a third of the payloads changed."""
+    raws = view(spark, d, "v_raw").withColumn("changed", c("k") % 3 == 0)
+    previous = view(spark, d, "v_raw").where("k % 2 = 0").select("k", F.concat(F.lit("kept-"), F.floor(c("k") / 2).cast("string")).alias("slug"), F.lit("active").alias("status"))
+    figures = canonical.canonicalize_run(raws, view(spark, d, "v_occ"), today(), previous)[2]
+    return spark.createDataFrame(list(figures.items()), "figure string, value long")
+
+
+Q_FUNNEL = f"""{Q_MINED}, old AS (SELECT domain, CASE WHEN length(domain) % 5 = 0 THEN 'rejected' ELSE 'candidate' END AS status, CASE WHEN length(domain) % 4 = 0 THEN 7 END AS score FROM m WHERE length(domain) % 2 = 0),
+f AS (SELECT m.domain, mentions, coalesce(status, 'new') AS status, score FROM m LEFT JOIN old ON old.domain = m.domain),
+due AS (SELECT domain FROM f WHERE status <> 'rejected' AND mentions >= 2 ORDER BY score DESC NULLS LAST, mentions DESC, domain LIMIT 10),
+pw AS (SELECT {q_domain('url')} AS domain, html, list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(html), '{w}') THEN 1 END" for w in ["loppemarked", "kræmmermarked|kraemmermarked", "bagagerumsmarked", "genbrugsmarked", "antikmarked", "stadeplads", "stadeleje", "markedskalender", "kræmmere|kraemmere"])}], lambda x: x IS NOT NULL) AS words FROM pages),
+ps AS (SELECT domain, max(CAST(regexp_matches(html, '"@type"[ ]*:[ ]*"Event"') AS INT) * 3 + CAST(regexp_matches(html, '\\.ics|text/calendar', 'i') AS INT) * 2 + CAST(regexp_matches(html, 'application/(rss|atom)\\+xml', 'i') AS INT) * 2
+  + least(len(words), 3) + CAST(regexp_matches(html, 'lang="da"|æ|ø|å', 'i') AS INT) + CAST(regexp_matches(html, 'wp-content|wp-json') AS INT)) AS score FROM pw WHERE domain IN (SELECT domain FROM due) GROUP BY domain),
+cand AS (SELECT f.domain, mentions, status, CASE WHEN f.domain IN (SELECT domain FROM due) THEN coalesce(ps.score, 0) ELSE f.score END AS score FROM f LEFT JOIN ps ON ps.domain = f.domain)"""
+
+
+def discovered(spark, d):
+    found = mined(spark, d)
+    status = F.when(F.length("domain") % 5 == 0, "rejected").otherwise("candidate")
+    existing = found.where(F.length("domain") % 2 == 0).select("domain", status.alias("status"), F.lit("seen").alias("note"), F.lit(1).cast("long").alias("mentions"), F.when(F.length("domain") % 4 == 0, 7).alias("score"))
+    return runs.discovery_run(found, existing, view(spark, d, "pages"))
+
+
+@query("L17_discovery_run", f"WITH {Q_FUNNEL} SELECT domain, mentions, status, CAST(score AS INT) AS score FROM cand")
+def _(spark, d):
+    return discovered(spark, d)[0].select("domain", "mentions", "status", "score")
+
+
+@query("L17_shortlist", f"WITH {Q_MINED} SELECT domain, mentions, titles - covered AS fresh FROM m WHERE titles - covered >= 1 ORDER BY fresh DESC, mentions DESC, domain LIMIT 20")
+def _(spark, d):
+    return discovered(spark, d)[1].select("domain", "mentions", "fresh")
 
 
-@query("L17_discovery_run", f"""
-WITH {Q_MINED}, p AS (SELECT {q_domain('url')} AS domain, max(CASE WHEN regexp_matches(html, 'lang="da"|æ|ø|å', 'i') THEN 1 ELSE 0 END) AS score FROM pages GROUP BY 1)
-SELECT m.domain, m.mentions, m.titles - m.covered AS fresh, p.score FROM m LEFT JOIN p ON p.domain = m.domain ORDER BY m.mentions DESC, m.domain LIMIT 20""")
+@query("L17_run_figures", f"WITH {Q_FUNNEL} SELECT (SELECT count(*) FROM m) AS domains, (SELECT count(*) FROM due) AS probed, count(*) FILTER (WHERE score >= 6) AS strong FROM cand")
 def _(spark, d):
-    danish = facts.page_signals(c("html"))["danish"]
-    probed = view(spark, d, "pages").groupBy(T.normalize_domain(c("url")).alias("domain")).agg(F.max(F.when(danish, 1).otherwise(0)).alias("score"))
-    funnel = lifecycle.candidate_funnel(spark.createDataFrame([], "domain string, status string, note string, mentions long"), mined(spark, d)).where("due").select("domain")
-    rows = mined(spark, d).join(funnel, "domain", "left_semi").join(probed, "domain", "left")
-    return rows.select("domain", "mentions", (c("titles") - c("covered")).alias("fresh"), "score").orderBy(F.desc("mentions"), "domain").limit(20)
+    figures = discovered(spark, d)[2]
+    return spark.createDataFrame([(figures["domains"], figures["probed"], figures["strong"])], "domains long, probed long, strong long")
 
 
 # --- extension surface ---

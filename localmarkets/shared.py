@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 #: Rows and bytes of an Arrow batch, and rows that the Parquet reader decodes at a time, while a table is written:
@@ -69,6 +69,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_at(df, name)[0]
 
 
+def observed_cut(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, and aggregates over the rows, taken while they are written."""
+    seen = Observation(name)
+    out = cut(df.observe(seen, *[v.alias(n) for n, v in figures.items()]), name)
+    return out, {n: v or 0 for n, v in seen.get.items()}
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that ``cut_at`` wrote and that no plan reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,4 @@
-"""What listings and venues are published as: JSON objects, a run's figures."""
+"""What listings and venues are published as: JSON objects."""
 
 from __future__ import annotations
 
@@ -9,8 +9,3 @@ from pyspark.sql import functions as F
 def listing_json(rows: DataFrame, key: str, **fields: str) -> DataFrame:
     """(key, json): an object of the named fields; nulls are left out."""
     return rows.select(key, F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()])).alias("json"))
-
-
-def run_log(rows: DataFrame, run: str) -> DataFrame:
-    """One row of a run's figures, to append to the log."""
-    return rows.agg(F.lit(run).alias("run"), F.count("*").alias("n"), F.count_if(F.col("street").isNull()).alias("without_street"), F.max("last_seen").alias("newest"))
