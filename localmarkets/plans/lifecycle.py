@@ -430,15 +430,15 @@ def _(spark, d):
 def _(spark, d):
     path = shared_path(spark, "stream-last-seen")
     rows = stream(spark, d).withColumnRenamed("ts", "last_seen")
-    R.write_partials(rows, R.last_seen, path, path + "-checkpoint").awaitTermination()
-    return R.last_seen(spark.read.parquet(path))
+    R.write_partials(rows, R.last_seen, path, path + "-checkpoint", R.last_seen).awaitTermination()
+    return R.last_seen(R.read_partials(spark, path))
 
 
 @query("R3_stream_recurrence", "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) AS span FROM events GROUP BY 1")
 def _(spark, d):
     path = shared_path(spark, "stream-recurrence")
-    R.write_partials(stream(spark, d), R.seen_days, path, path + "-checkpoint").awaitTermination()
-    return R.recurrence(spark.read.parquet(path))
+    R.write_partials(stream(spark, d), R.seen_days, path, path + "-checkpoint", lambda rows: rows.distinct()).awaitTermination()
+    return R.recurrence(R.read_partials(spark, path))
 
 
 @query("R1_stream_upsert_raw", "SELECT user_id, event_type, max(CAST(ts AS DATE)) AS last_seen FROM events GROUP BY 1, 2")
