@@ -51,7 +51,7 @@ def title_has_date_tokens(c: Column) -> Column:
     return c.rlike(rf"(?iu){W0}(?:{WEEKDAYS}|{MONTHS}){W1}|{W0}d\.\s*\d|\d{{1,2}}[./-]\d{{1,2}}|{W0}(?:19|20)\d{{2}}{W1}")
 
 
-#: What is taken out of a dated title, in this order.
+# What is taken out of a dated title, in this order.
 DATE_PARTS = [
     rf"(?iu){W0}kl\.?\s*\d{{1,2}}(?:[.:]\d{{2}})?\s*[-–]\s*\d{{1,2}}(?:[.:]\d{{2}})?",
     rf"(?iu){W0}(?:den|d)\.?\s*\d{{1,2}}\.?\s*(?:{MONTHS})(?:\s*\d{{4}})?",
