@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from localmarkets.functions import geo
+from localmarkets.functions import text as T
 
 
 def attach_source_links(events: DataFrame, links: DataFrame, sources: DataFrame, event: tuple[str, str], source: tuple[str, str]) -> DataFrame:
@@ -21,20 +22,29 @@ def has_future_dates(events: DataFrame, occurrences: DataFrame, first: Column, k
 
 
 def geocode_lookup(rows: DataFrame, addresses: DataFrame, centres: DataFrame) -> DataFrame:
-    """``quality``, ``lat``, ``lng`` of each row: its address (A), else its postcode's centre (P), else null.
+    """``quality``, ``lat``, ``lng``, ``resolved_postcode``, ``resolved_city`` of each row (street, postcode, city), by the first stage that answers: its
+    address (A or B), its postcode's centre (P), or that of its town, if only one postcode has the town's name (P).
 
-    ``addresses``: street, postcode, lat, lng, one row an address; ``centres``: postcode, lat, lng.
-    Points outside the country are no answer.
+    ``addresses``: street, postcode, quality, city, lat, lng, one row a street and postcode; other qualities than A and B are no answer.
+    ``centres``: postcode, city, lat, lng, one row a postcode. Points outside the country are no answer, nor is anything for less than
+    four characters of address. A row without a city and a postcode may name its town as the street.
     """
-
-    def points(table: DataFrame, keys: list[str], quality: str) -> DataFrame:
-        inside = table.where(geo.in_denmark(F.col("lat"), F.col("lng")))
-        return inside.select(*keys, F.struct(F.lit(quality).alias("quality"), "lat", "lng").alias(f"__{quality}"))
-
-    bare = rows.drop("quality", "lat", "lng")
-    found = bare.join(points(addresses, ["street", "postcode"], "A"), ["street", "postcode"], "left")
-    found = found.join(points(centres, ["postcode"], "P"), "postcode", "left").withColumn("__g", F.coalesce("__A", "__P"))
-    return found.select(*bare.columns, *[F.col(f"__g.{n}").alias(n) for n in ("quality", "lat", "lng")])
+    inside = geo.in_denmark(F.col("lat"), F.col("lng"))
+    answer = lambda quality: F.struct(quality.alias("quality"), "lat", "lng", F.col("postcode").alias("resolved_postcode"), F.col("city").alias("resolved_city"))
+    exact = addresses.where(inside & F.col("quality").isin("A", "B")).select(F.col("street").alias("__street"), F.col("postcode").alias("__code"), answer(F.col("quality")).alias("__address"))
+    by_code = centres.where(inside).select(F.col("postcode").alias("__code"), answer(F.lit("P")).alias("__centre"))
+    # A name that several postcodes have is no answer, even if some of their centres are none.
+    named = centres.groupBy(F.col("city").alias("__town")).agg(F.count("*").alias("n"), F.max(F.when(inside, answer(F.lit("P")))).alias("__only")).where("n = 1").drop("n")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    given = [c for c in rows.columns if c not in ("quality", "lat", "lng", "resolved_postcode", "resolved_city")]
+    bare = rows.select(*given).withColumns({
+        "__street": T.normalize_exonym(some(F.col("street"))), "__code": some(F.col("postcode")), "__city": T.normalize_exonym(some(F.col("city"))),
+    })
+    bare = bare.withColumn("__town", F.coalesce("__city", F.when(F.col("__code").isNull(), F.col("__street"))))
+    found = bare.join(exact, ["__street", "__code"], "left").join(by_code, "__code", "left").join(named, "__town", "left")
+    asked = F.length(F.concat_ws(", ", "__street", "__code", "__city")) >= 4
+    found = found.withColumn("__g", F.when(asked, F.coalesce("__address", "__centre", "__only")))
+    return found.select(*given, *[F.col(f"__g.{n}").alias(n) for n in ("quality", "lat", "lng", "resolved_postcode", "resolved_city")])
 
 
 def centroid_fallback(points: DataFrame, key: str, usable: Column) -> DataFrame:
@@ -44,11 +54,12 @@ def centroid_fallback(points: DataFrame, key: str, usable: Column) -> DataFrame:
     return points.groupBy(key).agg(kind.alias("kind"), F.round(F.avg(F.when(usable, F.col("lat"))), 6).alias("lat"))
 
 
-def reverse_lookup(rows: DataFrame, places: DataFrame, town: str = "city", digits: int = 2) -> DataFrame:
-    """``town`` of each row: the least name among the places of its coordinate cell; null where there is none."""
+def reverse_lookup(rows: DataFrame, places: DataFrame, digits: int = 5) -> DataFrame:
+    """``town`` and ``town_postcode`` of each row: those of the places at its coordinates, rounded; the least where there are several, null where there is none."""
     at = {"__y": F.round("lat", digits), "__x": F.round("lng", digits)}
-    named = places.where("lat is not null").withColumns(at).groupBy(*at).agg(F.min(town).alias("town"))
-    return rows.withColumns(at).join(named, list(at), "left").drop(*at)
+    named = places.where("lat is not null and lng is not null").withColumns(at).groupBy(*at).agg(F.min(F.struct("city", "postcode")).alias("__p"))
+    found = rows.withColumns(at).join(named, list(at), "left")
+    return found.select(*rows.columns, F.col("__p.city").alias("town"), F.col("__p.postcode").alias("town_postcode"))
 
 
 def fill_hours(venues: DataFrame, curated: DataFrame, confirmations: DataFrame, key: str) -> DataFrame:

@@ -94,3 +94,20 @@ def detect_recurrence(rows: DataFrame, place: str, date: Column, least: int = 3,
     """(place, recurring, n, span): at least ``least`` distinct days over at least ``span`` days."""
     seen = rows.groupBy(place).agg(F.count_distinct(date).alias("n"), F.datediff(F.max(date), F.min(date)).cast("long").alias("span"))
     return seen.select(place, ((F.col("n") >= least) & (F.col("span") >= span)).alias("recurring"), "n", "span")
+
+
+def map_pyramid(points: DataFrame, finest: int = 12, width: float = 32.0) -> DataFrame:
+    """(zoom, y, x, n): points of each cell at every zoom from 0 (cells of ``width`` degrees) to ``finest``, each zoom halving the cells.
+
+    A cell's number is half of that of the cells in it, so the finest cells are counted before they are dealt to all zooms: one
+    aggregate by grouping sets, whose shuffle carries counts of cells and not points.
+    """
+    size = width / 2**finest
+    own = points.where("lat is not null and lng is not null").groupBy(F.floor(F.col("lat") / size).alias("y0"), F.floor(F.col("lng") / size).alias("x0")).agg(F.count("*").alias("n"))
+    steps = range(finest + 1)
+    rows = own.select("n", *[F.shiftright(f"{a}0", z).alias(f"{a}_{z}") for a in "yx" for z in steps])
+    sets = [[F.col(f"y_{z}"), F.col(f"x_{z}")] for z in steps]
+    told = rows.groupingSets(sets, *[F.col(f"{a}_{z}") for z in steps for a in "yx"]).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    pick = lambda a: F.coalesce(*[F.col(f"{a}_{z}") for z in steps])
+    zoom = F.coalesce(*[F.when(F.col(f"y_{z}").isNotNull(), finest - z) for z in steps])
+    return told.select(zoom.alias("zoom"), pick("y").alias("y"), pick("x").alias("x"), "n")

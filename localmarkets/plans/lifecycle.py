@@ -128,6 +128,11 @@ def _(spark, d):
     return view(spark, d, "v_raw").groupBy(geo.cell(c("lat"), 0.5).alias("y"), geo.cell(c("lng"), 0.5).alias("x")).agg(F.count("*").alias("n"))
 
 
+@query("A17_map_pyramid", "SELECT CAST(z AS INT) AS zoom, CAST(floor(lat * pow(2, z) / 32) AS BIGINT) AS y, CAST(floor(lng * pow(2, z) / 32) AS BIGINT) AS x, count(*) AS n FROM v_raw, range(0, 13) t(z) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return U.map_pyramid(view(spark, d, "v_raw"))
+
+
 # --- joins ---
 @query("J5_enrich_venues", f"""
 WITH k AS (SELECT * FROM v_venues WHERE source_type = 'map' AND contains({q_title('title')}, 'genbrug')), h AS (SELECT * FROM v_venues WHERE source_type = 'chain'),
@@ -150,19 +155,29 @@ def _(spark, d):
     return J.has_future_dates(view(spark, d, "v_raw").select("k"), view(spark, d, "v_occ"), F.lit("2026-08-20").cast("date"), "k")
 
 
-Q_GEO = """a AS (SELECT street, postcode, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM v_raw WHERE street IS NOT NULL AND k % 2 = 0 GROUP BY 1, 2),
-p AS (SELECT postcode, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM v_raw WHERE k % 3 = 0 GROUP BY 1), n AS (SELECT k, street, postcode FROM v_raw)"""
+_home = lambda t: f"coalesce({t}.lat BETWEEN 544e-1 AND 579e-1 AND {t}.lng BETWEEN 78e-1 AND 153e-1, false)"
+Q_ASKED = "CASE WHEN k % 11 = 0 THEN NULL ELSE street END AS street, CASE WHEN k % 4 = 2 THEN NULL ELSE postcode END AS postcode, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 0 THEN 'By ' || postcode ELSE city END AS city"
 
 
 @query("J10_geocode_lookup", f"""
-WITH {Q_GEO} SELECT k, CASE WHEN a.lat BETWEEN 544e-1 AND 579e-1 AND a.lng BETWEEN 78e-1 AND 153e-1 THEN 'A' WHEN p.lat BETWEEN 544e-1 AND 579e-1 AND p.lng BETWEEN 78e-1 AND 153e-1 THEN 'P' END AS quality,
-  CASE WHEN a.lat BETWEEN 544e-1 AND 579e-1 AND a.lng BETWEEN 78e-1 AND 153e-1 THEN a.lat WHEN p.lat BETWEEN 544e-1 AND 579e-1 AND p.lng BETWEEN 78e-1 AND 153e-1 THEN p.lat END AS lat
-FROM n LEFT JOIN a ON a.street = n.street AND a.postcode = n.postcode LEFT JOIN p ON p.postcode = n.postcode""")
+WITH n AS (SELECT k, {Q_ASKED} FROM v_raw),
+a AS (SELECT street, postcode, min(city) AS city, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, CASE CAST(min(k) % 3 AS INT) WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS quality FROM v_raw WHERE street IS NOT NULL AND k % 2 = 0 GROUP BY street, postcode),
+p AS (SELECT postcode, CASE WHEN min(k) % 2 = 0 THEN 'By ' || postcode ELSE min(city) END AS city, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM v_raw WHERE k % 3 <> 1 GROUP BY postcode),
+o AS (SELECT city AS town, count(*) AS n, any_value(postcode) AS code FROM p GROUP BY city), t AS (SELECT o.town, p.* FROM o JOIN p ON p.postcode = o.code WHERE n = 1),
+s AS (SELECT n.k, CASE WHEN a.quality IN ('A', 'B') AND {_home('a')} THEN 1 WHEN {_home('p')} THEN 2 WHEN {_home('t')} THEN 3 END AS stage, a.quality AS aq, a.lat AS alat, a.postcode AS ac, a.city AS an, p.lat AS plat, p.postcode AS pc, p.city AS pn, t.lat AS tlat, t.postcode AS tc, t.city AS tn
+  FROM n LEFT JOIN a ON a.street = n.street AND a.postcode = n.postcode LEFT JOIN p ON p.postcode = n.postcode
+  LEFT JOIN t ON t.town = coalesce(n.city, CASE WHEN n.postcode IS NULL THEN n.street END))
+SELECT k, CASE stage WHEN 1 THEN aq WHEN 2 THEN 'P' WHEN 3 THEN 'P' END AS quality, CASE stage WHEN 1 THEN alat WHEN 2 THEN plat WHEN 3 THEN tlat END AS lat,
+  CASE stage WHEN 1 THEN ac WHEN 2 THEN pc WHEN 3 THEN tc END AS resolved_postcode, CASE stage WHEN 1 THEN an WHEN 2 THEN pn WHEN 3 THEN tn END AS resolved_city FROM s""")
 def _(spark, d):
     rows = view(spark, d, "v_raw")
-    mean = lambda x, *keys: x.groupBy(*keys).agg(*[F.round(F.avg(n), 6).alias(n) for n in ("lat", "lng")])
-    addresses, centres = mean(rows.where("street is not null and k % 2 = 0"), "street", "postcode"), mean(rows.where("k % 3 = 0"), "postcode")
-    return J.geocode_lookup(rows.select("k", "street", "postcode"), addresses, centres).select("k", "quality", "lat")
+    asked = rows.selectExpr("k", *[x.strip() for x in Q_ASKED.replace("END AS street,", "END AS street;").replace("END AS postcode,", "END AS postcode;").split(";")])
+    point = [F.round(F.avg(n), 6).alias(n) for n in ("lat", "lng")]
+    quality = F.when(F.min("k") % 3 == 0, "A").when(F.min("k") % 3 == 1, "B").otherwise("C")
+    addresses = rows.where("street is not null and k % 2 = 0").groupBy("street", "postcode").agg(F.min("city").alias("city"), quality.alias("quality"), *point)
+    name = F.when(F.min("k") % 2 == 0, F.concat(F.lit("By "), "postcode")).otherwise(F.min("city"))
+    centres = rows.where("k % 3 <> 1").groupBy("postcode").agg(name.alias("city"), *point)
+    return J.geocode_lookup(asked, addresses, centres).select("k", "quality", "lat", "resolved_postcode", "resolved_city")
 
 
 @query("J11_centroid_fallback", "SELECT postcode, CASE WHEN bool_and(lat BETWEEN 544e-1 AND 579e-1 AND lng BETWEEN 78e-1 AND 153e-1) THEN 'centre' ELSE 'mean' END AS kind, round(avg(CASE WHEN lng >= 78e-1 THEN lat END), 6) AS lat FROM v_raw GROUP BY postcode")
@@ -170,9 +185,13 @@ def _(spark, d):
     return J.centroid_fallback(view(spark, d, "v_raw"), "postcode", c("lng") >= 7.8)
 
 
-@query("J12_reverse_lookup", "WITH g AS (SELECT round(lat, 2) AS y, round(lng, 2) AS x, min(city) AS town FROM v_venues WHERE lat IS NOT NULL GROUP BY 1, 2) SELECT k, town FROM v_raw LEFT JOIN g ON y = round(lat, 2) AND x = round(lng, 2)")
+@query("J12_reverse_lookup", """
+WITH g AS (SELECT round(lat, 5) AS y, round(lng, 5) AS x, min(city) AS town FROM v_venues WHERE lat IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT g.*, min(v.postcode) AS code FROM g JOIN v_venues v ON round(v.lat, 5) = y AND round(v.lng, 5) = x AND v.city = town GROUP BY y, x, town)
+SELECT k, town, code AS town_postcode FROM (SELECT k, floor(lat * 100) / 100 AS lat, floor(lng * 100) / 100 AS lng FROM v_raw) r LEFT JOIN p ON y = round(lat, 5) AND x = round(lng, 5)""")
 def _(spark, d):
-    return J.reverse_lookup(view(spark, d, "v_raw").select("k", "lat", "lng"), view(spark, d, "v_venues")).select("k", "town")
+    rows = view(spark, d, "v_raw").select("k", *[(F.floor(c(n) * 100) / 100).alias(n) for n in ("lat", "lng")])
+    return J.reverse_lookup(rows, view(spark, d, "v_venues")).select("k", "town", "town_postcode")
 
 
 @query("J16_hours_fill", "SELECT source_id, coalesce(nullif(trim(opening_hours_text), ''), CASE WHEN source_id % 2 = 0 THEN 'Sa 10:00-14:00' END) AS hours, coalesce(source_id % 7, 0) AS confirms FROM v_venues")
