@@ -72,16 +72,18 @@ def fill_hours(venues: DataFrame, curated: DataFrame, confirmations: DataFrame,
     return rows.select(key, hours.alias("hours"), F.coalesce("confirms", F.lit(0)).alias("confirms"))
 
 
-def grid_weather(events: DataFrame, forecast: DataFrame, date: str, size: float = 0.5, warn: int = 50) -> DataFrame:
-    """Outdoor and mixed events with the ``rain`` of their grid cell and day, and ``warn`` from a bound on.
+def grid_weather(events: DataFrame, forecast: DataFrame, date: str, rain_dependent: Column | None = None, size: float = 0.5, warn: int = 50) -> DataFrame:
+    """Outdoor and mixed events, and those that depend on the weather, with the ``rain`` of their grid cell and day; ``warn`` where such a one has rain from a bound on.
 
-    ``forecast``: y, x, date, rain, one row a cell and day. Events without a forecast are left out.
+    ``forecast``: y, x, date, rain, one row a cell and day. Events without a forecast are left out. Without ``rain_dependent`` an event
+    depends on the weather if it is in the open air.
     """
-    open_air = events.where(F.col("indoor_outdoor").isin("outdoor", "mixed"))
-    placed = open_air.withColumns({"__y": geo.cell(F.col("lat"), size), "__x": geo.cell(F.col("lng"), size)})
+    open_air = F.coalesce(F.col("indoor_outdoor").isin("outdoor", "mixed"), F.lit(False))
+    depends = open_air if rain_dependent is None else F.coalesce(rain_dependent, F.lit(False))
+    placed = events.withColumn("__depends", depends).where(open_air | F.col("__depends")).withColumns({"__y": geo.cell(F.col("lat"), size), "__x": geo.cell(F.col("lng"), size)})
     told = forecast.select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("date").alias("__date"), "rain")
     rows = placed.join(told, [placed[c] == told[c] for c in ("__y", "__x")] + [placed[date] == told["__date"]])
-    return rows.select(*events.columns, "rain", (F.col("rain") >= warn).alias("warn"))
+    return rows.select(*events.columns, "rain", (F.col("__depends") & (F.col("rain") >= warn)).alias("warn"))
 
 
 def added_domains(domains: DataFrame, active: DataFrame) -> DataFrame:

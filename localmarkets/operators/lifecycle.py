@@ -100,10 +100,11 @@ def list_candidates(candidates: DataFrame, least: int = 2, status: str | None =
     return rows.where(F.col("mentions") >= least).orderBy(F.col("score").desc_nulls_last(), F.desc("mentions"), "domain")
 
 
-def structured_feed_domains(candidates: DataFrame, url: str, probe: str) -> DataFrame:
-    """(domain): distinct domains whose probe (JSON text) found an interface; malformed probes say nothing."""
+def structured_feed_domains(candidates: DataFrame, url: str, probe: str, status: str | None = None) -> DataFrame:
+    """(domain): distinct domains whose probe (JSON text) found an interface and that are not rejected (column ``status``); malformed probes say nothing."""
     told = F.from_json(probe, "struct<api:boolean>")["api"]
-    return candidates.where(told).select(T.normalize_domain(F.col(url)).alias("domain")).distinct()
+    rows = candidates if status is None else candidates.where(~F.col(status).eqNullSafe("rejected"))
+    return rows.where(told).select(T.normalize_domain(F.col(url)).alias("domain")).distinct()
 
 
 def list_tips(tips: DataFrame, *newest: str, status: Column | None = None) -> DataFrame:

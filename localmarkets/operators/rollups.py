@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def source_rollup(links: DataFrame, event: str, source: str, seen: str) -> DataFrame:
-    """(event, sources, newest): distinct sources of each event and its latest sighting."""
-    return links.groupBy(event).agg(F.count_distinct(source).alias("sources"), F.max(seen).alias("newest"))
+    """(event, sources, newest, listed): distinct sources of each event, its latest sighting, and the sources in order."""
+    own = links.where(F.col(source).isNotNull()).groupBy(event, source).agg(F.max(seen).alias("newest"))  # a row a source: the list is as long as there are sources
+    told = own.groupBy(event).agg(F.count("*").alias("sources"), F.max("newest").alias("newest"), F.array_sort(F.collect_list(source)).alias("listed"))
+    bare = links.where(F.col(source).isNull()).groupBy(event).agg(F.max(seen).alias("bare"))
+    none = F.array().cast(told.schema["listed"].dataType)
+    return told.join(bare, event, "full").select(event, F.coalesce("sources", F.lit(0).cast("long")).alias("sources"), F.greatest("newest", "bare").alias("newest"), F.coalesce("listed", none).alias("listed"))
 
 
 def active_sources(sources: DataFrame, links: DataFrame, key: str, name: str, event: str) -> DataFrame:
@@ -24,6 +28,12 @@ def summarize_reviews(reviews: DataFrame, place: str, rating: str) -> DataFrame:
     return valid.groupBy(place).agg(F.count("*").alias("n"), (F.floor(F.avg(rating) * 10 + 0.5) / 10).alias("mean"))
 
 
+def newest_reviews(reviews: DataFrame, place: str, rating: str, at: str, key: str) -> DataFrame:
+    """The valid reviews with ``place_in_list``: from 1 for the newest of each place, by key among those of one time. Rows, so a place may have any number."""
+    order = Window.partitionBy(place).orderBy(F.desc(at), key)
+    return reviews.where(F.col(rating).between(1, 5)).withColumn("place_in_list", F.row_number().over(order))
+
+
 def pipeline_stats(rows: DataFrame, status: str, **conditions: Column) -> DataFrame:
     """(status, n, and under each name how many rows meet its condition)."""
     return rows.groupBy(status).agg(F.count("*").alias("n"), *[F.count_if(told).alias(name) for name, told in conditions.items()])
@@ -86,8 +96,12 @@ def best_candidate(rows: DataFrame, group: str, *rank: Column) -> DataFrame:
     return best.select(group, "__row.*")
 
 
-def freshest_per_source(rows: DataFrame, source: str, seen: str) -> DataFrame:
-    return rows.groupBy(source).agg(F.max(seen).alias("newest"))
+def freshest_per_source(rows: DataFrame, source: str, seen: str, url: str, event: str | None = None) -> DataFrame:
+    """(event, source, newest, url): the newest confirmation of each source, of each event if there is one, and its address; of equally new ones the least."""
+    key = [c for c in (event, source) if c]
+    newest = rows.groupBy(*key).agg(F.max(seen).alias("newest"))
+    at = rows.groupBy(*key, F.col(seen).alias("newest")).agg(F.min(url).alias("url"))
+    return newest.join(at, [*key, "newest"]).select(*key, "newest", "url")
 
 
 def detect_recurrence(rows: DataFrame, place: str, date: Column, least: int = 3, span: int = 21) -> DataFrame:

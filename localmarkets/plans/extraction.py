@@ -202,10 +202,10 @@ def _(spark, d):
     return log.read().select("run", F.explode("figures").alias("figure", "value"))
 
 
-@query("Q19_structured_feed_domains", f"SELECT DISTINCT {q_domain('url')} AS domain FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0")
+@query("Q19_structured_feed_domains", f"SELECT DISTINCT {q_domain('url')} AS domain FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 4 <> 0")
 def _(spark, d):
     probe = F.when(c("page_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct((c("page_id") % 3 == 0).alias("api"))))
-    return lifecycle.structured_feed_domains(view(spark, d, "pages").withColumn("probe", probe), "url", "probe")
+    return lifecycle.structured_feed_domains(view(spark, d, "pages").withColumns({"probe": probe, "status": F.when(c("page_id") % 4 == 0, "rejected").when(c("page_id") % 7 != 0, "candidate")}), "url", "probe", "status")
 
 
 @query("Q21_saved_filter_parse", """

@@ -40,9 +40,10 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 # --- aggregations ---
-@query("A1_source_rollup", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, max(l_shipdate) AS newest FROM lineitem GROUP BY l_orderkey")
+@query("A1_source_rollup", "SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, max(l_shipdate) AS newest, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS listed FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
-    return U.source_rollup(view(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_shipdate")
+    told = U.source_rollup(view(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_shipdate")
+    return told.withColumn("listed", F.array_join(F.transform("listed", lambda s: s.cast("string")), ","))
 
 
 @query("A2_active_sources", "SELECT s_suppkey, s_name, count(DISTINCT l_orderkey) AS events FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linestatus = 'O' GROUP BY ALL")
@@ -88,6 +89,12 @@ def _(spark, d):
     return U.summarize_reviews(rows, "place", "rating")
 
 
+@query("A8_newest_reviews", "SELECT user_id % 50 AS place, event_id, CAST(row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id) AS INT) AS place_in_list FROM events WHERE event_id % 7 BETWEEN 1 AND 5")
+def _(spark, d):
+    rows = view(spark, d, "events").select("event_id", "ts", (c("user_id") % 50).alias("place"), (c("event_id") % 7).cast("int").alias("rating"))
+    return U.newest_reviews(rows, "place", "rating", "ts", "event_id").select("place", "event_id", "place_in_list")
+
+
 @query("A10_pipeline_stats", "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 250000) AS large FROM orders GROUP BY 1")
 def _(spark, d):
     return U.pipeline_stats(view(spark, d, "orders"), "o_orderstatus", large=c("o_totalprice") > 250000)
@@ -203,12 +210,12 @@ def _(spark, d):
 
 @query("J17_grid_weather_join", """
 WITH f AS (SELECT y, x, date, CAST((y + x + day(date)) % 10 AS INT) * 10 AS rain FROM (SELECT DISTINCT CAST(floor(lat / 5e-1) AS BIGINT) AS y, CAST(floor(lng / 5e-1) AS BIGINT) AS x, start_date AS date FROM v_raw WHERE k % 5 < 3) z)
-SELECT k, rain, rain >= 50 AS warn FROM v_raw JOIN f ON y = CAST(floor(lat / 5e-1) AS BIGINT) AND x = CAST(floor(lng / 5e-1) AS BIGINT) AND f.date = start_date WHERE indoor_outdoor IN ('outdoor', 'mixed')""")
+SELECT k, rain, k % 6 < 3 AND rain >= 50 AS warn FROM v_raw JOIN f ON y = CAST(floor(lat / 5e-1) AS BIGINT) AND x = CAST(floor(lng / 5e-1) AS BIGINT) AND f.date = start_date WHERE indoor_outdoor IN ('outdoor', 'mixed') OR k % 6 < 3""")
 def _(spark, d):
     rows = view(spark, d, "v_raw")
     cells = rows.where("k % 5 < 3").select(geo.cell(c("lat"), 0.5).alias("y"), geo.cell(c("lng"), 0.5).alias("x"), c("start_date").alias("date")).distinct()
     forecast = cells.withColumn("rain", ((c("y") + c("x") + F.dayofmonth("date")) % 10).cast("int") * 10)
-    return J.grid_weather(rows, forecast, "start_date").select("k", "rain", "warn")
+    return J.grid_weather(rows, forecast, "start_date", c("k") % 6 < 3).select("k", "rain", "warn")
 
 
 @query("J18_added_domains", f"WITH d AS (SELECT DISTINCT {q_domain('url')} AS domain FROM pages) SELECT domain, domain LIKE 'm.%' AS added FROM d WHERE domain IS NOT NULL")
@@ -225,9 +232,11 @@ def _(spark, d):
     return U.best_candidate(rows, "l_orderkey", *rank).select("l_orderkey", "l_linenumber")
 
 
-@query("W6_freshest_per_source", "SELECT l_suppkey, max(l_shipdate) AS newest FROM lineitem GROUP BY l_suppkey")
+@query("W6_freshest_per_source", """
+SELECT l_orderkey, l_suppkey, newest, min('/' || l_orderkey || '/' || l_linenumber) AS url FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_orderkey, l_suppkey) AS newest FROM lineitem) x WHERE l_shipdate = newest GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return U.freshest_per_source(view(spark, d, "lineitem"), "l_suppkey", "l_shipdate")
+    rows = view(spark, d, "lineitem").withColumn("url", F.concat(F.lit("/"), c("l_orderkey").cast("string"), F.lit("/"), c("l_linenumber").cast("string")))
+    return U.freshest_per_source(rows, "l_suppkey", "l_shipdate", "url", "l_orderkey")
 
 
 # --- sets ---
