@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a worker's remembered stretches may take; beyond that, new ones are encoded for their batch only.
-REMEMBERED_BYTES = 16 << 20
+REMEMBERED_BYTES = 32 << 20
 #: Bytes that a remembered stretch takes besides its own: its object, its number, its place in the table and its ids.
 ENTRY_BYTES = 180
 #: Bytes of text that are looked at, and that are encoded, at a time.
@@ -96,38 +96,42 @@ class Encoder:
         """Bytes that the tokens of a stretch cover."""
         return len(unicodedata.normalize("NFC", unit.decode()).strip().lower().encode()) if self.ends else len(unit)
 
-    def _encode_units(self, units: list[bytes]) -> list[np.ndarray]:
-        """Ids of each stretch. Those that begin with white space are joined to longer texts for fewer calls."""
-        out: list[np.ndarray | None] = [None] * len(units)
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, ids of each stretch). Those that begin with white space are joined to longer texts for fewer calls."""
         join = [i for i, u in enumerate(units) if u[0] in b" \n" and not u.isspace()]
-        groups = [join[i : i + JOINED] for i in range(0, len(join), JOINED)]
-        for g in groups:
+        rest = sorted(set(range(len(units))) - set(join))
+        made: list[tuple[list[int], np.ndarray, np.ndarray]] = []  # stretches, their ids, ids of each
+        for g in (join[i : i + JOINED] for i in range(0, len(join), JOINED)):
             ids = self._alone([b"".join([units[i] for i in g])])[0]
             ends = np.cumsum(self.token_bytes[ids])
             want = np.cumsum([self._normal(units[i]) for i in g])
             at = np.searchsorted(ends, want)
             if len(ids) and ends[-1] == want[-1] and (ends[np.minimum(at, len(ends) - 1)] == want).all():
-                for i, part in zip(g, np.split(ids, at[:-1] + 1), strict=True):
-                    out[i] = part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._alone([units[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-    def _remember(self, units: list[bytes], made: list[np.ndarray]) -> None:
+                made.append((g, ids, np.diff(np.concatenate([[0], at[:-1] + 1, [len(ids)]]))))
+            else:
+                rest += g
+        alone = self._alone([units[i] for i in rest])
+        made.append((rest, np.concatenate([np.zeros(0, np.uint32), *alone]), np.array([len(x) for x in alone], np.int64)))
+        order, raw, own = (np.concatenate([np.asarray(m[k], np.int64 if k != 1 else np.uint32) for m in made]) for k in range(3))
+        counts, first = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        counts[order], first[order] = own, np.cumsum(own) - own
+        ends = np.cumsum(counts)
+        return raw[np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+    def _remember(self, units: list[bytes], made: np.ndarray, counts: np.ndarray) -> None:
         """Keeps the first of the stretches for which there is room."""
         held = self.held + np.cumsum([ENTRY_BYTES + len(u) for u in units])
         room = int(np.searchsorted(held, REMEMBERED_BYTES, side="right"))
         if not room:
             return
         self.held = int(held[room - 1])
-        n, sizes = len(self.known), np.array([len(x) for x in made[:room]])
+        n, sizes = len(self.known), counts[:room]
         used, bounds = int(self.first[n]), self.first[n] + np.cumsum(sizes)
         if bounds[-1] > len(self.flat):
             self.flat = np.append(self.flat[:used], np.zeros(int(bounds[-1]) * 5 // 4 - used, np.uint32))
         if n + room >= len(self.first):
             self.first = np.append(self.first[: n + 1], np.zeros((n + room) * 5 // 4 - n, np.int64))
-        self.flat[used : bounds[-1]] = np.concatenate(made[:room])
+        self.flat[used : bounds[-1]] = made[: int(sizes.sum())]
         self.first[n + 1 : n + room + 1] = bounds
         self.known.update(zip(units[:room], range(n, n + room), strict=True))
 
@@ -142,11 +146,11 @@ class Encoder:
         flat = self.flat[: self.first[n]]
         if len(new):
             own = [units[i] for i in new]
-            made = self._encode_units(own)
-            count[new] = [len(x) for x in made]
-            first[new] = len(flat) + np.cumsum(count[new]) - count[new]
-            flat = np.concatenate([flat, *made])
-            self._remember(own, made)
+            made, counts = self._encode_units(own)
+            count[new] = counts
+            first[new] = len(flat) + np.cumsum(counts) - counts
+            flat = np.concatenate([flat, made])
+            self._remember(own, made, counts)
         return flat, first, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
