@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a worker's remembered stretches may take; beyond that, new ones are encoded for their batch only.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 24 << 20
 #: Bytes that a remembered stretch takes besides its own: its object, its number, its place in the table and its ids.
 ENTRY_BYTES = 180
 #: Bytes of text that are looked at, and that are encoded, at a time.
