@@ -83,3 +83,9 @@ def test_pages_with_many_objects(spark):
     rows = {r.page_id: r.o for r in pages.select("page_id", feeds.embedded_objects(F.col("html")).alias("o")).collect()}
     assert [o.id for o in rows[1]] == list(range(1500)) and not rows[2] and not rows[3]
     assert [(r.page_id, r.name, str(r.start)) for r in feeds.json_ld_events(pages).collect()] == [(4, "Marked", "2026-08-02")]
+
+
+def test_house_numbers_of_four_figures(spark):
+    cases = {"Vej 1001, 2001 By, Danmark": "2001", "Vej 1001, By": None, "Torvet 1 5000 Odense": "5000", "Hal 2, 5000 Odense C, Fyn": "5000", "Torvet 1 5000 Odense, Fyn": "5000"}
+    rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", T.parse_address(F.col("a")).alias("p")).collect()
+    assert {r.a: r.p.postcode for r in rows} == cases and rows[0].p.street == "Vej 1001" and rows[0].p.city == "By"
