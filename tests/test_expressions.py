@@ -89,3 +89,9 @@ def test_house_numbers_of_four_figures(spark):
     cases = {"Vej 1001, 2001 By, Danmark": "2001", "Vej 1001, By": None, "Torvet 1 5000 Odense": "5000", "Hal 2, 5000 Odense C, Fyn": "5000", "Torvet 1 5000 Odense, Fyn": "5000"}
     rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", T.parse_address(F.col("a")).alias("p")).collect()
     assert {r.a: r.p.postcode for r in rows} == cases and rows[0].p.street == "Vej 1001" and rows[0].p.city == "By"
+
+
+def test_telephones_are_no_towns(spark):
+    cases = {"Ring +1 (848) 555-1373 Un. Torvet 1, 5000 Odense C": "5000 Odense", "20.30.4050 Anna": None, "DK-5000 Odense": "5000 Odense", "1-5000 Odense": None}
+    rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", T.extract_postal_town(F.col("a")).alias("t")).collect()
+    assert {r.a: r.t for r in rows} == cases
