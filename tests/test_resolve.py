@@ -1,6 +1,7 @@
 """Resolution: what may merge and what may not; running again changes nothing."""
 
 import datetime
+import random
 
 import pytest
 
@@ -71,3 +72,28 @@ def test_status_and_slugs_go_on(spark):
     )
     assert {r.cluster: r.status for r in C.merge_status(members).collect()} == {10: "active", 11: "cancelled", 12: "cancelled", 13: "active", 14: "cancelled", 15: "active", 16: "cancelled"}
     assert {r.cluster: r.hint for r in C.kept_slugs(members).collect()} == {10: "ten", 11: "b", 12: "c", 13: "d", 14: "e", 15: None, 16: None}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_links_lead_where_all_matches_do(spark, seed):
+    draw = random.Random(seed)
+    titles = ["Broens Lopper", "Broens lopper i Odense", "Havnens marked Faaborg", "Faaborg havnens marked", "Loppemarked", "LOPPEMARKED", "Byens store loppemarked", "Julemarked i byen", "!", None]
+    days = [None, [], [D1], [D2], [D1, D2], [D1, D2], [None, D1]]
+    one = lambda k: {
+        "k": k, "title": draw.choice(titles), "street": draw.choice([None, "", "Vej 1", "Vej 12", "Gade 9"]), "city": draw.choice([None, "Odense"]), "postcode": draw.choice([None, "5000", "5000", "5600", "8000"]),
+        "lat": draw.choice([None, 55.0, 55.001, 55.004, 55.02]) if k % 3 else 55.0 + draw.randrange(8) * 0.004, "lng": draw.choice([None, 10.0, 10.001, 10.019]), "geocode_quality": draw.choice(["A", "P", "source", None]),
+        "category": draw.choice([None, "loppemarked", "loppemarked", "julemarked"]), "dates": draw.choice(days),
+    }
+    for n in (15, 60):
+        rows = [one(k) for k in range(n)]
+        rows += [r | {"k": n + i} for i, r in enumerate(draw.choices(rows, k=n // 3))]
+        table = R.prepared_table(spark.createDataFrame(rows, SCHEMA))
+        whole, brief = (dict(R.clusters(table, f(table)).collect()) for f in (R.accepted_pairs, R.linked))
+        assert whole == brief and 1 < len(set(whole.values()))
+
+
+def test_copies_are_not_paired(spark):
+    row = {"title": "Loppemarked", "street": None, "city": None, "postcode": None, "lat": None, "lng": None, "geocode_quality": None, "category": "loppemarked", "dates": [D1]}
+    table = R.prepared_table(spark.createDataFrame([row | {"k": k, "title": row["title"] if k % 2 else "Broens Lopper"} for k in range(400)], SCHEMA))
+    assert R.linked(table).count() <= 3 * 400
+    assert {r.cluster for r in R.clusters(table, R.linked(table)).collect()} == {0, 1}
