@@ -9,6 +9,7 @@ from localmarkets.functions import dates as D
 from localmarkets.functions import facts as X
 from localmarkets.functions import geo, scores
 from localmarkets.functions import text as T
+from localmarkets.operators.joins import read_once
 from localmarkets.sources import feeds
 
 
@@ -95,3 +96,12 @@ def test_telephones_are_no_towns(spark):
     cases = {"Ring +1 (848) 555-1373 Un. Torvet 1, 5000 Odense C": "5000 Odense", "20.30.4050 Anna": None, "DK-5000 Odense": "5000 Odense", "1-5000 Odense": None}
     rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", T.extract_postal_town(F.col("a")).alias("t")).collect()
     assert {r.a: r.t for r in rows} == cases
+
+
+def test_texts_are_read_once(spark):
+    texts = ["Mo-Fr 10:00-17:30", "nonsense", "", None]
+    rows = spark.range(400).select("id", F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 4 + 1).cast("int")).alias("hours"))
+    once = read_once(rows, "hours", week=D.to_week_string(D.parse_week_hours(F.col("__text"))))
+    want = rows.select("id", "hours", D.to_week_string(D.parse_week_hours(F.col("hours"))).alias("week"))
+    assert once.columns == want.columns and sorted(once.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+    assert "regexp" not in once._jdf.queryExecution().optimizedPlan().toString().lower()
