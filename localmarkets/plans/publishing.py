@@ -99,8 +99,7 @@ def _(spark, d):
 def _(spark, d):
     folder = P.Published(spark, shared_path(spark, "calendars"))
     folder.texts(city_rows(spark, d), "city_slug", P.CALENDAR_ORDER, line_end=P.CRLF)
-    back = spark.read.schema("value string, city_slug string").text(folder.current(), wholetext=True)
-    return back.select("city_slug", F.md5("value").alias("text"))
+    return P.text_digests(spark, folder.current(), "city_slug", P.CRLF)
 
 
 def site_rows(spark: SparkSession, d: str) -> DataFrame:

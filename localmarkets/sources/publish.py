@@ -6,8 +6,11 @@ for each day of a market, and a footer. ``Published`` writes such rows as one fi
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,3 +215,25 @@ class Published:
         own = f"set-{uuid.uuid4().hex}"
         rows.select(text).write.text(f"{self.path}/{own}")
         self._switch(own)
+
+
+def text_digests(spark: SparkSession, path: str, name: str, line_end: str = "\n") -> DataFrame:
+    """(name, text): the MD5 of each file that ``Published.texts`` wrote. Lines are read in pieces and hashed in their order, so no file is one string."""
+    lines = spark.read.schema(f"value string, {name} string").option("lineSep", line_end).text(path)
+    rows = lines.select(name, "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    dealt = rows.repartition(name).sortWithinPartitions(name, "start", "n").select(name, "value")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = None, None
+        told = lambda: pa.RecordBatch.from_pydict({name: pa.array([own], pa.string()), "text": pa.array([seen.hexdigest()], pa.string())})
+        for batch in batches:
+            for key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seen is None or key != own:
+                    if seen is not None:
+                        yield told()
+                    own, seen = key, hashlib.md5()
+                seen.update(f"{line}{line_end}".encode())
+        if seen is not None:
+            yield told()
+
+    return dealt.mapInArrow(digests, f"{name} string, text string")

@@ -128,3 +128,17 @@ def test_calendar_lines_fold_between_characters(spark):
     assert all(len(p.encode()) <= 75 for p in parts) and len(parts) > 5
     assert parts[0] + "".join(p[1:] for p in parts[1:]) == line and told[1][0] == "short"
     assert spark.range(1).select(P.ical_text(F.lit("a\\b;c,d\r\ne\rf\ng"))).first()[0] == "a\\\\b\;c\\,d\\ne\\nf\\ng"
+
+
+def test_digests_of_published_files(spark, tmp_path):
+    """A file is read in pieces; the digest is that of the whole, whatever the pieces."""
+    folder = P.Published(spark, str(tmp_path / "site"))
+    rows = spark.range(3000).select((F.col("id") % 3).cast("string").alias("name"), "id", F.concat_ws(P.CRLF, F.lit("æ"), F.col("id"), F.lit(""), F.when(F.col("id") % 7 == 0, "\n x\r")).alias("text"))
+    folder.texts(rows, "name", ["id"], line_end=P.CRLF)
+    want = rows_of(spark.read.schema("value string, name string").text(folder.current(), wholetext=True).select("name", F.md5("value")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        assert rows_of(P.text_digests(spark, folder.current(), "name", P.CRLF)) == want and len(want) == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
