@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from localmarkets.functions import text as T
+from localmarkets.operators.joins import read_once
 
 CRLF = "\r\n"
 #: Days of a market in its own calendar and in that of its city; items of a list.
@@ -42,40 +43,46 @@ def folded(line: Column) -> Column:
 
 
 def _joined(*parts: Column, by: str = " ") -> Column:
-    """The parts that say something."""
-    return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), by)
+    """The parts that say something, null if none does."""
+    return F.nullif(F.concat_ws(by, *[F.nullif(p, F.lit("")) for p in parts]), F.lit(""))
 
 
-def ical_day(host: str, base: str, stamp: str, zone: str, street: bool = True) -> Column:
-    """One day of a market as text; columns slug, title, venue_name, street, postcode, city, lat, lng, date, start_time, end_time."""
-    day = F.date_format("date", "yyyyMMdd")
+def ical_market(base: str, street: bool = True) -> Column:
+    """The lines that all days of a market have; columns slug, title, venue_name, street, postcode, city, lat, lng."""
+    place = _joined(F.col("venue_name"), *([F.col("street")] if street else []), _joined(F.col("postcode"), F.col("city")), by=", ")
+    lines = [
+        F.concat(F.lit("SUMMARY:"), ical_text(F.col("title"))), F.concat(F.lit("LOCATION:"), ical_text(place)),
+        F.concat(F.lit("GEO:"), ical_number(F.col("lat")), F.lit(";"), ical_number(F.col("lng"))), F.concat(F.lit(f"URL:{base}/marked/"), "slug"), F.lit("END:VEVENT"),
+    ]
+    return F.concat_ws(CRLF, *lines)
+
+
+def ical_day(host: str, stamp: str, zone: str) -> Column:
+    """One day of a market as text; columns slug, market (``ical_market``), date, start_time, end_time."""
+    day = F.replace(F.col("date").cast("string"), F.lit("-"), F.lit(""))
     at = lambda c: F.concat(F.lit(f";TZID={zone}:"), day, F.lit("T"), F.replace(c, F.lit(":"), F.lit("")), F.lit("00"))
     timed = F.col("start_time").isNotNull() & (F.col("start_time") != "")
-    place = _joined(F.col("venue_name"), *([F.col("street")] if street else []), _joined(F.col("postcode"), F.col("city")), by=", ")
     lines = [
         F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "slug", F.lit("-"), F.col("date").cast("string"), F.lit(f"@{host}")), F.lit(f"DTSTAMP:{stamp}"),
         F.concat(F.lit("DTSTART"), F.when(timed, at(F.col("start_time"))).otherwise(F.concat(F.lit(";VALUE=DATE:"), day))),
         F.when(timed & (F.col("end_time") != "") & (F.col("end_time") >= F.col("start_time")), F.concat(F.lit("DTEND"), at(F.col("end_time")))),
-        F.concat(F.lit("SUMMARY:"), ical_text(F.col("title"))), F.when(place != "", F.concat(F.lit("LOCATION:"), ical_text(place))),
-        F.concat(F.lit("GEO:"), ical_number(F.col("lat")), F.lit(";"), ical_number(F.col("lng"))), F.concat(F.lit(f"URL:{base}/marked/"), "slug"), F.lit("END:VEVENT"),
+        F.col("market"),
     ]
-    return _joined(*lines, by=CRLF)
-
-
-PLACED = ["slug", "title", "venue_name", "street", "postcode", "city", "lat", "lng"]
+    return F.concat_ws(CRLF, *lines)
 
 
-def _upcoming(events: DataFrame, occurrences: DataFrame, today: Column, most: int, *more: str) -> DataFrame:
-    """The next ``most`` days of each event with what is told of it; n: their order."""
-    order = F.row_number().over(Window.partitionBy("event_id").orderBy("date", F.asc_nulls_first("start_time"), F.asc_nulls_first("end_time")))
-    days = occurrences.where(F.col("date") >= today).select("event_id", "date", "start_time", "end_time").withColumn("n", order).where(F.col("n") <= most)
-    return days.join(events.select("k", *PLACED, *more), F.col("event_id") == F.col("k"))
+def _upcoming(events: DataFrame, occurrences: DataFrame, today: Column, most: int) -> DataFrame:
+    """The next ``most`` days of each event (column k) with what is told of it; n: their order, first: the first of them."""
+    order = Window.partitionBy("event_id").orderBy("date", F.asc_nulls_first("start_time"), F.asc_nulls_first("end_time"))
+    days = occurrences.where(F.col("date") >= today).select("event_id", "date", "start_time", "end_time")
+    days = days.withColumns({"n": F.row_number().over(order), "first": F.min("date").over(order)}).where(F.col("n") <= most)
+    return days.join(events, F.col("event_id") == F.col("k"))
 
 
 def event_calendars(events: DataFrame, occurrences: DataFrame, today: Column, host: str, base: str, stamp: str, product: str, zone: str = "Europe/Copenhagen", most: int = OWN_DAYS) -> DataFrame:
     """(event_id, slug, text): the calendar of each event with a day from today on; at most ``most`` days are in a text."""
-    days = _upcoming(events, occurrences, today, most)
-    rows = days.select("event_id", "slug", F.struct("n", ical_day(host, base, stamp, zone).alias("text")).alias("d")).groupBy("event_id", "slug").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    days = _upcoming(events.select("k", "slug", ical_market(base).alias("market")), occurrences, today, most)
+    rows = days.select("event_id", "slug", F.struct("n", ical_day(host, stamp, zone).alias("text")).alias("d")).groupBy("event_id", "slug").agg(F.array_sort(F.collect_list("d")).alias("d"))
     head, body = f"BEGIN:VCALENDAR{CRLF}VERSION:2.0{CRLF}PRODID:{product}{CRLF}", F.array_join(F.col("d.text"), CRLF)
     return rows.select("event_id", "slug", F.concat(F.lit(head), body, F.lit(f"{CRLF}END:VCALENDAR")).alias("text"))
 
@@ -84,10 +91,15 @@ def city_calendars(events: DataFrame, occurrences: DataFrame, today: Column, hos
     """(city_slug, part, first, k, n, text): rows of each city's calendar, in order of part (0 header, 1 a market's day, 2 footer), the market's
     next day, its key and the day's number. Cancelled markets (column ``status``) are left out; the header has the city's name that most of its markets use."""
     known = events.where(F.col("city").isNotNull() & (F.trim("city") != "") & ~F.col("status").eqNullSafe("cancelled"))
-    days = _upcoming(known, occurrences, today, most).withColumn("city_slug", T.slugify_city(F.col("city"))).where("city_slug <> ''")
-    first = F.min("date").over(Window.partitionBy("k"))
-    body = days.select("city_slug", F.lit(1).alias("part"), first.alias("first"), "k", "n", ical_day(host, base, stamp, zone, street=False).alias("text"))
-    names = days.groupBy("city_slug", F.trim("city").alias("name")).agg(F.count("*").alias("c")).groupBy("city_slug").agg(F.max_by("name", F.struct("c", "name")).alias("name"))
+    known = read_once(known, "city", city_slug=T.slugify_city(F.col("__text"))).where("city_slug <> ''")
+    markets = known.select("k", "slug", "city_slug", ical_market(base, street=False).alias("market"))
+    days = _upcoming(markets, occurrences, today, most)
+    body = days.select("city_slug", F.lit(1).alias("part"), "first", "k", "n", ical_day(host, stamp, zone).alias("text"))
+    # The days of a name are counted by event.
+    held = occurrences.where(F.col("date") >= today).groupBy("event_id").agg(F.least(F.count("*"), F.lit(most)).alias("c"))
+    cities = held.join(known.select("k", "city_slug", "city"), F.col("event_id") == F.col("k")).groupBy("city_slug", "city").agg(F.sum("c").alias("c"))
+    cities = cities.select("city_slug", F.trim("city").alias("name"), "c")
+    names = cities.groupBy("city_slug", "name").agg(F.sum("c").alias("c")).groupBy("city_slug").agg(F.max_by("name", F.struct("c", "name")).alias("name"))
     head = F.concat(
         F.lit(f"BEGIN:VCALENDAR{CRLF}VERSION:2.0{CRLF}PRODID:{product}{CRLF}X-WR-CALNAME:Loppemarkeder i "), ical_text(F.col("name")),
         F.lit(f"{CRLF}REFRESH-INTERVAL;VALUE=DURATION:PT12H{CRLF}X-PUBLISHED-TTL:PT12H"),
@@ -112,16 +124,19 @@ def event_json_ld(events: DataFrame, occurrences: DataFrame, today: Column, base
     """(k, json): each event with a day from today on, told by its next day. Fields that are null are left out."""
     start = F.struct("date", "start_time", "end_time")
     ahead = occurrences.where(F.col("date") >= today).groupBy("event_id").agg(F.min(start).alias("next"))
-    rows = events.join(ahead, F.col("k") == F.col("event_id"))
+    # Titles come back from year to year: each is made ready once.
+    named = read_once(events.withColumn("place_title", F.coalesce("venue_name", "title")), "title", shown=T.display_title(F.col("__text")))
+    named = read_once(named, "place_title", place_shown=T.display_title(F.col("__text")))
+    rows = named.join(ahead, F.col("k") == F.col("event_id"))
     day = F.col("next.date").cast("string")
     at = lambda t: F.concat(day, F.lit("T"), t, F.lit(":00"))
     url = F.concat(F.lit(f"{base}/marked/"), "slug")
     geo = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct(F.lit("GeoCoordinates").alias("@type"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
     address = F.struct(F.lit("PostalAddress").alias("@type"), F.col("street").alias("streetAddress"), F.col("postcode").alias("postalCode"), F.col("city").alias("addressLocality"), F.lit("DK").alias("addressCountry"))
-    place = F.struct(F.lit("Place").alias("@type"), T.display_title(F.coalesce("venue_name", "title")).alias("name"), address.alias("address"), geo.alias("geo"))
+    place = F.struct(F.lit("Place").alias("@type"), F.col("place_shown").alias("name"), address.alias("address"), geo.alias("geo"))
     offer = F.when(F.col("is_free"), F.struct(F.lit("Offer").alias("@type"), F.lit("0").alias("price"), F.lit("DKK").alias("priceCurrency"), F.lit("https://schema.org/InStock").alias("availability"), url.alias("url")))
     held = F.struct(
-        F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), T.display_title(F.col("title")).alias("name"), url.alias("url"),
+        F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), F.col("shown").alias("name"), url.alias("url"),
         F.when(F.col("next.start_time") != "", at(F.col("next.start_time"))).otherwise(day).alias("startDate"), F.when(F.col("next.end_time") != "", at(F.col("next.end_time"))).alias("endDate"),
         F.when(F.col("status").eqNullSafe("cancelled"), "https://schema.org/EventCancelled").otherwise("https://schema.org/EventScheduled").alias("eventStatus"),
         F.lit("https://schema.org/OfflineEventAttendanceMode").alias("eventAttendanceMode"), place.alias("location"), F.when(F.col("description") != "", F.substring("description", 1, 500)).alias("description"),
