@@ -97,3 +97,20 @@ def test_copies_are_not_paired(spark):
     table = R.prepared_table(spark.createDataFrame([row | {"k": k, "title": row["title"] if k % 2 else "Broens Lopper"} for k in range(400)], SCHEMA))
     assert R.linked(table).count() <= 3 * 400
     assert {r.cluster for r in R.clusters(table, R.linked(table)).collect()} == {0, 1}
+
+
+def test_like_listings_are_stars(spark):
+    row = {"title": "Broens store lopper i Odense", "street": None, "city": None, "lat": 55.0, "lng": 10.0, "geocode_quality": "P", "category": "loppemarked"}
+    day = lambda k: [D1 + datetime.timedelta(days=k)]
+    for code, links in ((None, R._bare_box_links), ("5000", R._code_links)):
+        table = R.prepared_table(spark.createDataFrame([row | {"k": k, "postcode": code, "dates": day(k)} for k in range(100)], SCHEMA))
+        found = links(table, R.TILE).distinct()
+        assert found.count() <= 3 * 100
+        assert {r.cluster for r in R.clusters(table, found).collect()} == {0}
+
+
+def test_a_table_of_listings_is_what_is_read_of_each(spark):
+    rows = [{"k": k, "title": t, "street": s, "city": c, "postcode": None, "lat": 55.0, "lng": None, "geocode_quality": "A", "category": None, "dates": None} for k, (t, s, c) in enumerate([("Ærø Lopper", "Vej 1", "Odense"), (None, None, None), ("Ærø Lopper", "Odense", "odense"), ("", "", None), (None, "Vej 1", "Odense")])]
+    listings = spark.createDataFrame(rows, SCHEMA)
+    told, table = R.prepared(listings), R.prepared_table(listings)
+    assert told.columns == table.columns and sorted(map(repr, told.collect())) == sorted(map(repr, table.collect()))
