@@ -4,6 +4,7 @@ import datetime
 import os
 
 from localmarkets.operators import resolve as R
+from localmarkets.plans.registry import QUERIES
 from localmarkets.shared import cut, scratch, shared_dir
 
 SCHEMA = "k long, title string, street string, city string, postcode string, lat double, lng double, geocode_quality string, category string, dates array<date>"
@@ -49,3 +50,10 @@ def test_listings_of_a_street_are_a_star(spark):
     found = R._code_links(table, R.TILE).distinct()
     assert found.count() <= 2 * 150
     assert sorted({r.cluster for r in R.clusters(table, found).collect()}) == [0, 1, 2]
+
+
+def test_places_are_not_broadcast(spark, sf):
+    plan = QUERIES["J13_place_pairs"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    # What is broadcast are the keys with more rows than a tile, counted before.
+    assert not any(n in line for line in plan.split("\n") if "BroadcastHashJoin" in line and "Inner" in line for n in ("key#", "street#", "y#"))
