@@ -98,7 +98,8 @@ def _(spark, d):
 @query("S20_city_files", f"WITH {Q_CITY} SELECT city_slug, md5(string_agg(text, {_nl} ORDER BY part, first, k, n) || {_nl}) AS text FROM x GROUP BY city_slug")
 def _(spark, d):
     folder = P.Published(spark, shared_path(spark, "calendars"))
-    folder.texts(city_rows(spark, d), "city_slug", P.CALENDAR_ORDER, line_end=P.CRLF)
+    markets = P.city_markets(published(spark, d), view(spark, d, "v_occ"), today(), BASE, PRODUCT)
+    folder.texts(markets, "city_slug", P.MARKET_ORDER, line_end=P.CRLF, told=lambda rows: P.told_days(rows, HOST, STAMP))
     return P.text_digests(spark, folder.current(), "city_slug", P.CRLF)
 
 

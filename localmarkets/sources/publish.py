@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from localmarkets.functions import text as T
 from localmarkets.operators.joins import read_once
+from localmarkets.shared import without_shuffle_files
 
 CRLF = "\r\n"
 #: Days of a market in its own calendar and in that of its city; items of a list.
@@ -71,12 +72,16 @@ def ical_day(host: str, stamp: str, zone: str) -> Column:
     return F.concat_ws(CRLF, *lines)
 
 
-def _upcoming(events: DataFrame, occurrences: DataFrame, today: Column, most: int) -> DataFrame:
-    """The next ``most`` days of each event (column k) with what is told of it; n: their order, first: the first of them."""
+def _ahead(occurrences: DataFrame, today: Column, most: int) -> DataFrame:
+    """The next ``most`` days of each event; n: their order, first: the first of them."""
     order = Window.partitionBy("event_id").orderBy("date", F.asc_nulls_first("start_time"), F.asc_nulls_first("end_time"))
     days = occurrences.where(F.col("date") >= today).select("event_id", "date", "start_time", "end_time")
-    days = days.withColumns({"n": F.row_number().over(order), "first": F.min("date").over(order)}).where(F.col("n") <= most)
-    return days.join(events, F.col("event_id") == F.col("k"))
+    return days.withColumns({"n": F.row_number().over(order), "first": F.min("date").over(order)}).where(F.col("n") <= most)
+
+
+def _upcoming(events: DataFrame, occurrences: DataFrame, today: Column, most: int) -> DataFrame:
+    """The next ``most`` days of each event (column k) with what is told of it."""
+    return _ahead(occurrences, today, most).join(events, F.col("event_id") == F.col("k"))
 
 
 def event_calendars(events: DataFrame, occurrences: DataFrame, today: Column, host: str, base: str, stamp: str, product: str, zone: str = "Europe/Copenhagen", most: int = OWN_DAYS) -> DataFrame:
@@ -87,14 +92,14 @@ def event_calendars(events: DataFrame, occurrences: DataFrame, today: Column, ho
     return rows.select("event_id", "slug", F.concat(F.lit(head), body, F.lit(f"{CRLF}END:VCALENDAR")).alias("text"))
 
 
-def city_calendars(events: DataFrame, occurrences: DataFrame, today: Column, host: str, base: str, stamp: str, product: str, zone: str = "Europe/Copenhagen", most: int = CITY_DAYS) -> DataFrame:
-    """(city_slug, part, first, k, n, text): rows of each city's calendar, in order of part (0 header, 1 a market's day, 2 footer), the market's
-    next day, its key and the day's number. Cancelled markets (column ``status``) are left out; the header has the city's name that most of its markets use."""
+def city_markets(events: DataFrame, occurrences: DataFrame, today: Column, base: str, product: str, most: int = CITY_DAYS) -> DataFrame:
+    """(city_slug, part, first, k, slug, market, days, text): what each city's calendar is made of, a row a market with its next days (at most ``most``), and rows with the
+    text of the header (part 0) and the footer (2). Cancelled markets (column ``status``) are left out; the header has the city's name that most of its markets use."""
     known = events.where(F.col("city").isNotNull() & (F.trim("city") != "") & ~F.col("status").eqNullSafe("cancelled"))
     known = read_once(known, "city", city_slug=T.slugify_city(F.col("__text"))).where("city_slug <> ''")
     markets = known.select("k", "slug", "city_slug", ical_market(base, street=False).alias("market"))
-    days = _upcoming(markets, occurrences, today, most)
-    body = days.select("city_slug", F.lit(1).alias("part"), "first", "k", "n", ical_day(host, stamp, zone).alias("text"))
+    days = _ahead(occurrences, today, most).groupBy("event_id").agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("n", "date", "start_time", "end_time"))).alias("days"))
+    body = days.join(markets, F.col("event_id") == F.col("k")).select("city_slug", F.lit(1).alias("part"), "first", "k", "slug", "market", "days", F.lit(None).cast("string").alias("text"))
     # The days of a name are counted by event.
     held = occurrences.where(F.col("date") >= today).groupBy("event_id").agg(F.least(F.count("*"), F.lit(most)).alias("c"))
     cities = held.join(known.select("k", "city_slug", "city"), F.col("event_id") == F.col("k")).groupBy("city_slug", "city").agg(F.sum("c").alias("c"))
@@ -105,11 +110,23 @@ def city_calendars(events: DataFrame, occurrences: DataFrame, today: Column, hos
         F.lit(f"{CRLF}REFRESH-INTERVAL;VALUE=DURATION:PT12H{CRLF}X-PUBLISHED-TTL:PT12H"),
     )
     ends = names.select("city_slug", F.inline(F.array(F.struct(F.lit(0).alias("part"), head.alias("text")), F.struct(F.lit(2).alias("part"), F.lit("END:VCALENDAR").alias("text")))))
-    none = F.lit(None)
-    return body.unionByName(ends.select("city_slug", "part", none.cast("date").alias("first"), none.cast("long").alias("k"), none.cast("int").alias("n"), "text"))
+    return body.unionByName(ends, allowMissingColumns=True)
 
 
-CALENDAR_ORDER = ["part", "first", "k", "n"]
+def told_days(rows: DataFrame, host: str, stamp: str, zone: str = "Europe/Copenhagen") -> DataFrame:
+    """(city_slug, part, first, k, n, text): the rows of ``city_markets`` in their order, a row a market's day."""
+    days = rows.select("city_slug", "part", "first", "k", "slug", "market", "text", F.explode_outer("days").alias("d")).select("*", "d.*")
+    return days.select("city_slug", "part", "first", "k", "n", F.when(F.col("part") == 1, ical_day(host, stamp, zone)).otherwise(F.col("text")).alias("text"))
+
+
+def city_calendars(events: DataFrame, occurrences: DataFrame, today: Column, host: str, base: str, stamp: str, product: str, zone: str = "Europe/Copenhagen", most: int = CITY_DAYS) -> DataFrame:
+    """(city_slug, part, first, k, n, text): rows of each city's calendar, in order of part (0 header, 1 a market's day, 2 footer), the market's
+    next day, its key and the day's number."""
+    return told_days(city_markets(events, occurrences, today, base, product, most), host, stamp, zone)
+
+
+#: Order of ``city_markets`` in a calendar.
+MARKET_ORDER = ["part", "first", "k"]
 
 
 # --- linked data ---
@@ -218,11 +235,16 @@ class Published:
         if before:
             files.delete(self._at(before), True)
 
-    def texts(self, rows: DataFrame, name: str, order: list[str], text: str = "text", line_end: str = "\n") -> None:
-        """A folder ``name=value`` with one file for each value of ``name``: its rows in order. A file is written by one task, row by row."""
+    def texts(self, rows: DataFrame, name: str, order: list[str], text: str = "text", line_end: str = "\n", told: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """A folder ``name=value`` with one compressed file for each value of ``name``: its rows in order. A file is written by one task, row by row.
+
+        ``told`` makes the rows of text of the ordered ones, so a text is made where it is written and not sent.
+        """
         own = f"set-{uuid.uuid4().hex}"
         dealt = rows.repartition(name).sortWithinPartitions(name, *[F.asc_nulls_first(o) for o in order])
-        dealt.select(name, text).write.partitionBy(name).option("lineSep", line_end).text(f"{self.path}/{own}")
+        dealt = dealt if told is None else told(dealt)
+        with without_shuffle_files(self.spark):
+            dealt.select(name, text).write.partitionBy(name).option("lineSep", line_end).option("compression", "gzip").text(f"{self.path}/{own}")
         self._switch(own)
 
     def lines(self, rows: DataFrame, text: str = "text") -> None:
@@ -233,10 +255,8 @@ class Published:
 
 
 def text_digests(spark: SparkSession, path: str, name: str, line_end: str = "\n") -> DataFrame:
-    """(name, text): the MD5 of each file that ``Published.texts`` wrote. Lines are read in pieces and hashed in their order, so no file is one string."""
-    lines = spark.read.schema(f"value string, {name} string").option("lineSep", line_end).text(path)
-    rows = lines.select(name, "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    dealt = rows.repartition(name).sortWithinPartitions(name, "start", "n").select(name, "value")
+    """(name, text): the MD5 of each file that ``Published.texts`` wrote. A compressed file is read by one task in its order, so lines are hashed as they are read."""
+    lines = spark.read.schema(f"value string, {name} string").option("lineSep", line_end).text(path).select(name, "value")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = None, None
@@ -251,4 +271,4 @@ def text_digests(spark: SparkSession, path: str, name: str, line_end: str = "\n"
         if seen is not None:
             yield told()
 
-    return dealt.mapInArrow(digests, f"{name} string, text string")
+    return lines.mapInArrow(digests, f"{name} string, text string")

@@ -1,11 +1,18 @@
 """What a job leaves in the shared folder, and links that grow no faster than the listings."""
 
 import datetime
+import hashlib
 import os
 
+from pyspark.sql import functions as F
+
 from localmarkets.operators import resolve as R
+from localmarkets.plans.publishing import BASE, PRODUCT, published, today
 from localmarkets.plans.registry import QUERIES
 from localmarkets.shared import cut, scratch, shared_dir
+from localmarkets.sources import publish as P
+from localmarkets.sources.publish import Published, text_digests
+from localmarkets.views import view
 
 SCHEMA = "k long, title string, street string, city string, postcode string, lat double, lng double, geocode_quality string, category string, dates array<date>"
 D1 = datetime.date(2026, 7, 5)
@@ -57,3 +64,21 @@ def test_places_are_not_broadcast(spark, sf):
     assert "SortMergeJoin" in plan
     # What is broadcast are the keys with more rows than a tile, counted before.
     assert not any(n in line for line in plan.split("\n") if "BroadcastHashJoin" in line and "Inner" in line for n in ("key#", "street#", "y#"))
+
+
+def test_files_of_calendars_are_compressed_and_read_in_order(spark, sf, tmp_path):
+    folder = Published(spark, str(tmp_path / "texts"))
+    rows = spark.range(3000).select(F.concat(F.lit("city"), F.col("id") % 3).alias("city"), "id", F.concat(F.lit("BEGIN:VEVENT line "), "id").alias("text"))
+    folder.texts(rows, "city", ["id"], line_end="\r\n")
+    own = [p for p in (tmp_path / "texts").rglob("city=*/part*")]
+    plain = {f"city{i}": "".join(f"BEGIN:VEVENT line {k}\r\n" for k in range(i, 3000, 3)).encode() for i in range(3)}
+    assert len(own) == 3 and sum(p.stat().st_size for p in own) < sum(map(len, plain.values())) / 3
+    found = text_digests(spark, folder.current(), "city", "\r\n")
+    assert {r.city: r.text for r in found.collect()} == {n: hashlib.md5(t).hexdigest() for n, t in plain.items()}
+    assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString() and "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # A market's days are told after the rows are dealt to files.
+    assert "DTSTART" not in city_markets_plan(spark, sf)
+
+
+def city_markets_plan(spark, sf):
+    return P.city_markets(published(spark, sf), view(spark, sf, "v_occ"), today(), BASE, PRODUCT)._jdf.queryExecution().optimizedPlan().toString()
